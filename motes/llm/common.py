@@ -41,6 +41,17 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, used: list[str], made: list[str]) -> tuple[DataFrame, list]:
+    """docs as its used columns and a struct _rest of the others, so that no name clashes with one an operator uses inside.
+
+    Second, the columns that restore the others. Columns named as one that the operator makes give way to it.
+    """
+    rest = [c for c in docs.columns if c not in used and c not in made]
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    struct = F.struct(*[F.col(quoted(c)) for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
+    return docs.select(*used, struct.alias("_rest")), [F.col("_rest").getField(c).alias(c) for c in rest]
+
+
 def n_splits(df: DataFrame) -> int:
     """Number of input partitions: a measure of the input's size that needs no job."""
     return max(1, df.rdd.getNumPartitions())

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import packed, stash
 
 MODULUS = 4
 MIN_LINES = 2
@@ -47,10 +47,10 @@ def line_dedup(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LIN
     A hash per chunk finds the repeated ones; only those travel with their bytes. Both groupings combine before the
     shuffle, and a chunk that a third of all documents hold is a skewed key of plain joins, which AQE splits.
     """
-    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs, rest = packed(docs, ["doc_id", "text"], ["n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"])
     chunks = (
         _chunked(docs.select("doc_id", "text").where("doc_id is not null"), modulus)
-        .select("doc_id", F.posexplode("_chunks").alias("_pos", "_chunk"))
+        .select("doc_id", F.posexplode_outer("_chunks").alias("_pos", "_chunk"))  # outer: else the optimiser adds a filter that computes the chunks once more
         .where(F.col("_chunk.lines") >= min_lines)
         .select("doc_id", "_pos", F.col("_chunk.text").alias("_text"), F.xxhash64("_chunk.text").alias("_key"))
     )
@@ -69,7 +69,7 @@ def line_dedup(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LIN
         .withColumn("n_chunks", F.coalesce(F.size("_chunks"), F.lit(0)).cast("long"))
         .withColumn("n_removed_lines", F.col("n_lines") - total("_stays"))
         .withColumn("n_removed_chunks", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .select("doc_id", "text", *keep, "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks")
+        .select("doc_id", "text", *rest, "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks")
     )
 
 

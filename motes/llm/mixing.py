@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, word_count
+from .common import packed, stash, word_count
 
 EPOCHS = 3
 #: Slots for each document, on average.
@@ -69,7 +69,7 @@ def schedule(shares: DataFrame, block: int, n_slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(sized, pieces). sized: docs' columns and size, sid, source_size, target, _start (words of the source before it).
+    """(sized, pieces) of docs(doc_id, source, text, _rest). sized: docs' columns but text, and size, sid, source_size, target, _start (words of the source before it).
 
     pieces: one row for each document's part of a slot: sid, slot, _start, words, epoch; ordered by slot they are the mix.
     """
@@ -90,11 +90,11 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> tuple[Data
 
 def mixed(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> DataFrame:
     """docs' columns but text, and size, source_size, target, taken (words that the mix takes, repeats counted), first_slot (null: not taken)."""
+    docs, rest = packed(docs, ["doc_id", "source", "text"], ["size", "source_size", "target", "taken", "first_slot"])
     sized, pieces = mix(docs, epochs, slots)
     taken = pieces.groupBy("sid", "_start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    keep = [c for c in docs.columns if c != "text"]
     some = sized.where("size > 0").join(taken, ["sid", "_start"], "left")
-    return some.unionByName(sized.where("size = 0").withColumns({"taken": F.lit(None).cast("long"), "first_slot": F.lit(None).cast("long")})).select(*keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return some.unionByName(sized.where("size = 0").withColumns({"taken": F.lit(None).cast("long"), "first_slot": F.lit(None).cast("long")})).select("doc_id", "source", *rest, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 #: The same in DuckDB, up to the schedule, which moves no word between documents.

@@ -9,6 +9,12 @@ MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_mixing": "mixing",
     "op3_substring_dedup": "substring_dedup",
+    "op5_minhash": "near_dedup",
+    "op6_secrets": "secrets",
+    "op7_pii": "pii",
+    "op8_decontamination": "decontaminate",
+    "op9_simhash": "simhash",
+    "op10_toxicity": "toxicity",
 }
 
 
