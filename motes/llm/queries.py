@@ -9,6 +9,7 @@ MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_mixing": "mixing",
     "op3_substring_dedup": "substring_dedup",
+    "op4_quality": "quality",
     "op5_minhash": "near_dedup",
     "op6_secrets": "secrets",
     "op7_pii": "pii",
