@@ -1,6 +1,53 @@
-"""All registered queries on trajectories and fields, and the DuckDB SQL that each must equal."""
+"""All registered queries on trajectories and fields, and the DuckDB SQL that each must equal.
+
+A query's columns are given as "strings | integers | doubles"; both sides cast integers to bigint and round doubles to 8 decimals.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.fixtures import CTES, NEEDS, Views
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+DIGITS = 8
+
+
+def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql: str | None = None) -> None:
+    texts, whole, real = (part.split() for part in columns.split("|"))
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        df = query(Views(spark, sf_dir))
+        return df.select(*texts, *[F.col(c).cast("long").alias(c) for c in whole], *[(F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0)).alias(c) for c in real])
+
+    QUERIES[name] = run
+    if sql:
+        used: list[str] = []
+
+        def need(text: str) -> None:
+            for c in CTES:
+                if re.search(rf"\b{c}\b", text) and c not in used:
+                    for d in NEEDS.get(c, ()):
+                        need(d)
+                    if c not in used:
+                        used.append(c)
+
+        need(sql)
+        used.sort(key=list(CTES).index)
+        own = re.match(r"\s*with\s+(recursive\s+)?", sql)
+        ctes = ", ".join(f"{c} as ({CTES[c]})" for c in used)
+        shape = ", ".join([*texts, *[f'"{c}"::bigint as "{c}"' for c in whole], *[f'round("{c}"::double, {DIGITS}) + 0.0 as "{c}"' for c in real]])
+        if own:
+            body = sql[own.end() :]
+            inner = f"with {ctes + ', ' if ctes else ''}{body}"
+        else:
+            inner = f"with {ctes} {sql}" if ctes else sql
+        ORACLES[name] = f"select {shape} from ({inner}) as result"
+
+
+from . import fields, lags, spread, states, tracks  # noqa: E402, F401
