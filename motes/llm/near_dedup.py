@@ -158,9 +158,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
     label = components(first)
     parted = bucket.join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     open_ = parted.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = stash(parted.join(open_, "key", "left_semi"), "open")
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = left.withColumnRenamed("id", "a").join(other, "key").where((F.col("label") < F.col("other")) & alike(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    left = parted.join(open_, "key", "left_semi")
+    left = stash(left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), "open")
+    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("keys").alias("others"))
+    # a pair is made in the first of the buckets that it shares, so once
+    once = F.array_min(F.array_intersect("keys", "others")) == F.col("key")
+    rest = left.withColumnRenamed("id", "a").join(other, "key").where((F.col("label") < F.col("other")) & alike(F.col("n"), F.col("m")) & once).select("a", "b")
     tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity, "links-2")
     links = first.unionByName(second)
