@@ -16,6 +16,8 @@ from ..sources.fixtures import CTES, NEEDS, Views
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 8
+#: Added before rounding, so that exact halves, which sums in another order may miss by a bit, are no ties.
+OFF_TIES = 3.3e-10
 
 
 def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql: str | None = None) -> None:
@@ -23,7 +25,7 @@ def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql:
 
     def run(spark, sf_dir: str) -> DataFrame:
         df = query(Views(spark, sf_dir))
-        return df.select(*texts, *[F.col(c).cast("long").alias(c) for c in whole], *[(F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0)).alias(c) for c in real])
+        return df.select(*texts, *[F.col(c).cast("long").alias(c) for c in whole], *[(F.round(F.col(c).cast("double") + OFF_TIES, DIGITS) + F.lit(0.0)).alias(c) for c in real])
 
     QUERIES[name] = run
     if sql:
@@ -41,7 +43,7 @@ def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql:
         used.sort(key=list(CTES).index)
         own = re.match(r"\s*with\s+(recursive\s+)?", sql)
         ctes = ", ".join(f"{c} as ({CTES[c]})" for c in used)
-        shape = ", ".join([*texts, *[f'"{c}"::bigint as "{c}"' for c in whole], *[f'round("{c}"::double, {DIGITS}) + 0.0 as "{c}"' for c in real]])
+        shape = ", ".join([*texts, *[f'"{c}"::bigint as "{c}"' for c in whole], *[f'round("{c}"::double + {OFF_TIES}, {DIGITS}) + 0.0 as "{c}"' for c in real]])
         if own:
             body = sql[own.end() :]
             inner = f"with {ctes + ', ' if ctes else ''}{body}"
