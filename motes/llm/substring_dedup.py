@@ -29,7 +29,7 @@ from .common import SEEDS, n_splits, place, units, windows, word_hashes
 #: Residues that hold every difference modulo PERIOD (fixed values of a perfect difference set).
 COVER, PERIOD = (0, 1, 3), 7
 WIDTH = 13
-_SENT = "bucket int, known boolean, h1 binary, h2 binary, doc binary, pos binary"
+_SENT = "bucket int, known boolean, n int, least long, h binary, doc binary, pos binary"
 
 
 def _bytes(x: list[str | None]) -> list[bytes]:
@@ -53,10 +53,30 @@ def _send(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray, buck
         for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(key)) + 1):
             if len(part):
                 i = at[part]
-                rows.append((int(key[part[0]]), known, b"" if known else h1[i].tobytes(), b"" if known else h2[i].tobytes() if later_only else b"", doc[i].tobytes(), pos[i].astype(np.int32).tobytes()))
+                least = int(doc[i].min())
+                rows.append((int(key[part[0]]), known, len(i), least, b"" if known else _pack(h1[i], h2[i], later_only), _small(doc[i] - least), _small(pos[i])))
     if rows:
-        kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "known", "h1", "h2", "doc", "pos"])
+        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "known", "n", "least", "h", "doc", "pos"])
+
+
+def _small(x: np.ndarray) -> bytes:
+    """The values in as few bytes each as hold the largest."""
+    top = int(x.max())
+    return x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
+
+
+def _pack(h1: np.ndarray, h2: np.ndarray, whole: bool) -> bytes:
+    """Hashes for the shuffle: 96 bits of a window that decides, 48 of an anchor, where an accidental match only adds work."""
+    if whole:
+        return h1.tobytes() + (h2 & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+    return (h1 & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((h1 >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _unpack(h: bytes, n: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    if whole:
+        return np.frombuffer(h, np.uint64, n), np.frombuffer(h, np.uint32, n, 8 * n)
+    return np.frombuffer(h, np.uint32, n).astype(np.uint64) | (np.frombuffer(h, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)), np.zeros(n, np.uint32)
 
 
 def _anchors(buckets: int, anchor: int):
@@ -76,11 +96,14 @@ def _anchors(buckets: int, anchor: int):
 def _extended(buckets: int, width: int, anchor: int):
     def run(batches):
         for unit in units(batches):
+            if all(found is None for found in unit["found"]):
+                continue
             (h1, h2), owner = word_hashes(_bytes(unit["text"]), SEEDS)
             a, at = windows(h1, owner, width)
             b, _ = windows(h2, owner, width)
             if not len(at):
                 continue
+            ids = np.array([-1 if d is None else d for d in unit["doc_id"]], np.int64)  # without an id nothing is found
             begin = np.searchsorted(owner, np.arange(len(unit["text"])))
             marked = np.zeros(len(h1) + width, np.int64)
             for i, found in enumerate(unit["found"]):
@@ -90,19 +113,19 @@ def _extended(buckets: int, width: int, anchor: int):
             near = seen[at + width - anchor + 1] > seen[at]  # an anchor starts at one of the window's first width - anchor + 1 words
             a, b, at = a[near], b[near], at[near]
             if len(at):
-                yield from _send(a, b, np.array(unit["doc_id"], np.int64)[owner[at]], place(owner)[at], buckets, True)
+                yield from _send(a, b, ids[owner[at]], place(owner)[at], buckets, True)
 
     return run
 
 
 def _settle(later_only: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        join = lambda c, kind, rows: np.frombuffer(b"".join(rows[c]), kind)
-        known, sent = pdf[pdf.known], pdf[~pdf.known]
-        doc, pos = join("doc", np.int64, sent), join("pos", np.int32, sent)
+        wide = lambda r: (np.frombuffer(r.doc, f"<u{len(r.doc) // r.n}").astype(np.int64) + r.least, np.frombuffer(r.pos, f"<u{len(r.pos) // r.n}").astype(np.int64))
+        join = lambda rows: tuple(np.concatenate(x) for x in zip(*map(wide, rows.itertuples()), strict=True)) if len(rows) else (np.zeros(0, np.int64),) * 2
+        sent = pdf[~pdf.known]
+        doc, pos = join(sent)
         if len(doc):
-            h1 = join("h1", np.uint64, sent)
-            h2 = join("h2", np.uint64, sent) if later_only else np.zeros(len(h1), np.uint64)
+            h1, h2 = (np.concatenate(x) for x in zip(*[_unpack(r.h, r.n, later_only) for r in sent.itertuples()], strict=True))
             order = np.lexsort((doc, h2, h1))
             h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
             starts = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
@@ -110,7 +133,8 @@ def _settle(later_only: bool):
             first = np.repeat(doc[starts], count)
             settled = doc != first if later_only else first != np.repeat(doc[starts + count - 1], count)
             doc, pos = doc[settled], pos[settled]
-        out = pd.DataFrame({"doc_id": np.concatenate([doc, join("doc", np.int64, known)]), "pos": np.concatenate([pos, join("pos", np.int32, known)])})
+        known = join(pdf[pdf.known])
+        out = pd.DataFrame({"doc_id": np.concatenate([doc, known[0]]), "pos": np.concatenate([pos, known[1]])})
         return out.drop_duplicates()
 
     return run
@@ -146,7 +170,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, keep_text: bool = True)
     buckets = 4 * n_splits(docs)
     gather = lambda sent, later: sent.groupBy("bucket").applyInPandas(_settle(later), "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("found"))
     shared = gather(named.mapInArrow(_anchors(buckets, anchor), _SENT), False)
-    windows_ = named.join(shared.hint("shuffle_hash"), "doc_id").mapInArrow(_extended(buckets, width, anchor), _SENT)
+    # both joins read one shuffle of the texts: the same columns, rows and join type
+    windows_ = docs.join(shared.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_extended(buckets, width, anchor), _SENT)
     return docs.join(gather(windows_, True).hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
