@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, stash
+from .common import packed, stash, windows, word_hashes
 
 
 
 TRAIN_DOCS, TERMS, WINDOW, THRESHOLD = 20_000, 4000, 4, 0.7
 STEMS = range(4, 9)
+#: Share of the toxic training documents that a term must mark.
+SUPPORT = 0.01
 #: Weights of: 1, exact, misspelled, quoted matches.
 PRIOR = np.array([-3.0, 6.0, 4.0, 1.5])
 TOKEN = re.compile(r"\w[\w@$!*]*\w|\w")
@@ -60,18 +62,26 @@ class Lexicon:
                 for c in w:
                     node = node.setdefault(c, {})
                 node[""] = w
-        sizes = [len(w) for w in words if len(w) >= 5]
-        self.near = range(min(sizes, default=9) - 1, max(sizes, default=0) + 3)
-        # an edit leaves the first or the last half of a term as it is, two edits one of three parts; a token without any cannot match
-        self.parts = frozenset(p for w in words if len(w) >= 5 for p in self._parts(w))
-        self.part = re.compile("|".join(map(re.escape, sorted(self.parts)))) if self.parts else None
+        # one edit leaves the first or the second half of a term in place, two edits one of three parts: which parts a token must show, for its length
+        self.shown: dict[tuple[int, str], set[int]] = {}
+        for w in words:
+            if len(w) >= 5:
+                edits = 2 if len(w) >= 9 else 1
+                cut = [len(w) * i // (edits + 1) for i in range(edits + 2)]
+                for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+                    for shift in range(-edits, edits + 1) if 0 < i < edits else (0,):
+                        at = a + shift if i < edits else a - len(w)  # the last part is counted from the end
+                        self.shown.setdefault((at, w[a:b]), set()).update(range(len(w) - edits, len(w) + edits + 1))
+        self.looks = sorted({(at, len(part)) for at, part in self.shown})
         self.memo: dict[str, int] = {}
 
-    @staticmethod
-    def _parts(word: str) -> list[str]:
-        n = 3 if len(word) >= 9 else 2
-        cut = [len(word) * i // n for i in range(n + 1)]
-        return [word[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+    def _may_match(self, token: str) -> bool:
+        n = len(token)
+        for at, size in self.looks:
+            a = at if at >= 0 else n + at
+            if n in self.shown.get((at, token[a : a + size]), ()):
+                return True
+        return False
 
     def _automaton(self, token: str) -> bool:
         """Whether some term is within its number of edits: the automaton's states are rows of edit distances, stepped along the trie."""
@@ -100,7 +110,7 @@ class Lexicon:
             for v in variants(token):
                 if v in self.words or any(v[:n] in self.stems for n in self.lengths):
                     found = 1 if v is token else 2
-                elif not found and len(v) in self.near and self.part and self.part.search(v) and self._automaton(v):
+                elif not found and self._may_match(v) and self._automaton(v):
                     found = 2
             self.memo[token] = found
         return found
@@ -136,13 +146,24 @@ def _design(counts: np.ndarray) -> np.ndarray:
 
 
 def fit_weights(counts: np.ndarray, y: np.ndarray, penalty: float = 2.0) -> np.ndarray:
+    """Newton's method on the penalised log loss, with steps halved until the loss falls."""
     w, x = PRIOR.copy(), _design(counts)
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + penalty / 2 * ((w - PRIOR) ** 2).sum())
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(4)
-        w = w - np.linalg.solve(hess, x.T @ (p - y) + penalty * (w - PRIOR))
-    # no kind of match may speak for a clean text, and exact ones count most
-    w[1:] = np.maximum(w[1:], 0)
+        step = np.linalg.solve(hess, x.T @ (p - y) + penalty * (w - PRIOR))
+        size, now = 1.0, loss(w)
+        while loss(w - size * step) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    w[1:] = np.maximum(w[1:], 0)  # no kind of match speaks for a clean text
     return w
 
 
@@ -152,7 +173,23 @@ def held_out(doc_id) -> F.Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> DataFrame:
     chosen = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])  # at most n rows of two numbers
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most n rows of two numbers
+
+    def family(batches):
+        for batch in batches:
+            key, at = windows(*_first_hash(batch.column("text").to_pylist()), 3)
+            own = _first_hash(batch.column("text").to_pylist())[1][at]
+            least = np.full(batch.num_rows, np.iinfo(np.uint64).max)
+            np.minimum.at(least, own, key)
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(least.view(np.int64))], names=["text", "toxic", "family"])
+
+    # near copies mostly share the smallest hash of their three-word runs; one of them is enough to learn from
+    return rows.mapInArrow(family, "text string, toxic int, family long").dropDuplicates(["family", "toxic"])
+
+
+def _first_hash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    (h,), owner = word_hashes([t.encode() for t in texts])
+    return h, owner
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -177,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     base = total[1] / total[0]
     rate = F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-9))
     gain = F.col("pos") * F.log(rate / base) + (F.col("n") - F.col("pos")) * F.log((1 - rate) / (1 - base))
-    kept = counts.where((F.col("pos") >= 3) & (F.col("pos") >= 0.9 * F.col("n"))).withColumn("gain", gain).where(F.col("gain") >= float(np.log(50_000))).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    kept = counts.where((F.col("pos") >= max(3, SUPPORT * total[1])) & (F.col("pos") >= 0.9 * F.col("n"))).withColumn("gain", gain).where(F.col("gain") >= float(np.log(50_000))).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
     found = {r.term: r.pos for r in kept}
     # a stem stands for its longer forms unless one of them is nearly all of it
     longer: dict[str, int] = {}
