@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kinematics import KEY, W
+from .kinematics import KEY, track
 
 
 def until_cutoff(tracks: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -107,4 +107,4 @@ def checked_flow(pairs: DataFrame, moving: float, least: float) -> DataFrame:
 
 def first_rows(tracks: DataFrame, n: int) -> DataFrame:
     """The first n rows of each track."""
-    return tracks.withColumn("_i", F.row_number().over(W)).where(F.col("_i") <= n).drop("_i")
+    return tracks.withColumn("_i", F.row_number().over(track())).where(F.col("_i") <= n).drop("_i")

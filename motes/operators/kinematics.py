@@ -6,17 +6,21 @@ these operators shuffles once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.angles import turn, wrap_closed
 
 KEY = ["exp", "particle"]
-W = Window.partitionBy(*KEY).orderBy("frame")
+
+
+def track() -> WindowSpec:
+    """Rows of one track in order of frames."""
+    return Window.partitionBy(*KEY).orderBy("frame")
 
 
 def step(c: str) -> Column:
-    return F.col(c) - F.lag(c).over(W)
+    return F.col(c) - F.lag(c).over(track())
 
 
 def velocity(tracks: DataFrame, scale: float = 1.0, dt: float = 1.0) -> DataFrame:
@@ -24,7 +28,7 @@ def velocity(tracks: DataFrame, scale: float = 1.0, dt: float = 1.0) -> DataFram
     out = tracks.withColumn("dx", step("x") * scale).withColumn("dy", step("y") * scale).withColumn("distance", F.hypot("dx", "dy"))
     moved = F.col("distance") > 0
     out = out.withColumns({"v": F.col("distance") / dt, "vx": F.col("dx") / dt, "vy": F.col("dy") / dt, "theta": F.when(moved, F.atan2("dy", "dx")), "t": F.col("frame") * dt})
-    before = [F.lag(c).over(W) for c in ("dx", "dy", "distance")]
+    before = [F.lag(c).over(track()) for c in ("dx", "dy", "distance")]
     out = out.withColumn("dtheta", F.when(moved & (before[2] > 0), turn(before[0], before[1], F.col("dx"), F.col("dy"))))
     return out.withColumn("omega", F.col("dtheta") / dt)
 
@@ -41,7 +45,7 @@ def gap_dividing_speed(tracks: DataFrame, scale: float = 1.0, dt: float = 1.0) -
 
 def forward_unit(tracks: DataFrame) -> DataFrame:
     """Unit vector (ux, uy) to the next row, zero for no motion, null at the end."""
-    dx, dy = F.lead("x").over(W) - F.col("x"), F.lead("y").over(W) - F.col("y")
+    dx, dy = F.lead("x").over(track()) - F.col("x"), F.lead("y").over(track()) - F.col("y")
     out = tracks.withColumns({"_dx": dx, "_dy": dy}).withColumn("_d", F.hypot("_dx", "_dy"))
     unit = lambda c: F.when(F.col("_d") > 0, F.col(c) / F.col("_d")).when(F.col("_d") == 0, 0.0)
     return out.withColumns({"ux": unit("_dx"), "uy": unit("_dy")}).drop("_dx", "_dy", "_d")
@@ -50,14 +54,14 @@ def forward_unit(tracks: DataFrame) -> DataFrame:
 def rolling_mean(tracks: DataFrame, columns: list[str], window: int = 3, center: bool = True, min_periods: int | None = None) -> DataFrame:
     """Moving average by rows; fewer than min_periods values give null. New columns end in _mean."""
     back = window // 2 if center else window - 1
-    w = W.rowsBetween(-back, window - 1 - back)
+    w = track().rowsBetween(-back, window - 1 - back)
     least = window if min_periods is None else min_periods
     return tracks.withColumns({f"{c}_mean": F.when(F.count(c).over(w) >= least, F.avg(c).over(w)) for c in columns})
 
 
 def rolling_circular_mean(tracks: DataFrame, column: str, window: int = 3, min_periods: int = 1) -> DataFrame:
     """Circular mean of an angle over centred rows, nulls ignored."""
-    w = W.rowsBetween(-(window // 2), window - 1 - window // 2)
+    w = track().rowsBetween(-(window // 2), window - 1 - window // 2)
     return tracks.withColumn(f"{column}_mean", F.when(F.count(column).over(w) >= min_periods, F.atan2(F.avg(F.sin(column)).over(w), F.avg(F.cos(column)).over(w))))
 
 
@@ -65,10 +69,10 @@ def central_velocity(tracks: DataFrame, window: int = 3, dt: float = 1.0) -> Dat
     """Moving average, then second-order differences for uneven times, one-sided at the ends: vx, vy."""
     out = rolling_mean(tracks, ["x", "y"], window, min_periods=1)
     t = F.col("frame") * dt
-    a, b = t - F.lag("frame").over(W) * dt, F.lead("frame").over(W) * dt - t
+    a, b = t - F.lag("frame").over(track()) * dt, F.lead("frame").over(track()) * dt - t
     for c in ("x", "y"):
         m = f"{c}_mean"
-        now, before, after = F.col(m), F.lag(m).over(W), F.lead(m).over(W)
+        now, before, after = F.col(m), F.lag(m).over(track()), F.lead(m).over(track())
         inner = (a * a * after + (b * b - a * a) * now - b * b * before) / (a * b * (a + b))
         out = out.withColumn(f"v{c}", F.coalesce(inner, (now - before) / a, (after - now) / b))
     return out
@@ -76,7 +80,7 @@ def central_velocity(tracks: DataFrame, window: int = 3, dt: float = 1.0) -> Dat
 
 def lag_displacement(tracks: DataFrame, tau: int, scale: float = 1.0) -> DataFrame:
     """(dx, dy, r) to the row tau rows later; rows without one are dropped."""
-    out = tracks.withColumns({"dx": (F.lead("x", tau).over(W) - F.col("x")) * scale, "dy": (F.lead("y", tau).over(W) - F.col("y")) * scale})
+    out = tracks.withColumns({"dx": (F.lead("x", tau).over(track()) - F.col("x")) * scale, "dy": (F.lead("y", tau).over(track()) - F.col("y")) * scale})
     return out.where("dx is not null").withColumn("r", F.hypot("dx", "dy"))
 
 
@@ -105,7 +109,7 @@ def unwrapped(tracks: DataFrame, column: str, extra: tuple[str, ...] = (), perio
 
 def turning_angle(tracks: DataFrame, tau: int = 1, dt: float = 1.0) -> DataFrame:
     """Angle at three rows exactly tau frames apart with both steps over 1e-5, and speeds v_in, v_out, v_mean."""
-    at = lambda c, k: F.lead(c, k * tau).over(W)
+    at = lambda c, k: F.lead(c, k * tau).over(track())
     out = tracks.withColumns({"_ax": at("x", 1) - F.col("x"), "_ay": at("y", 1) - F.col("y"), "_bx": at("x", 2) - at("x", 1), "_by": at("y", 2) - at("y", 1), "_ok": (at("frame", 1) - F.col("frame") == tau) & (at("frame", 2) - at("frame", 1) == tau)})
     out = out.withColumns({"_a": F.col("_ax") ** 2 + F.col("_ay") ** 2, "_b": F.col("_bx") ** 2 + F.col("_by") ** 2}).where("_ok and _a > 1e-10 and _b > 1e-10")
     out = out.withColumns({"angle": turn(F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")), "v_in": F.sqrt("_a") / (tau * dt), "v_out": F.sqrt("_b") / (tau * dt)})
@@ -117,7 +121,7 @@ def segments(tracks: DataFrame, broken: Column | None = None) -> DataFrame:
     new = step("frame") != 1
     if broken is not None:
         new = new | broken
-    return tracks.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("segment", F.sum("_new").over(W)).drop("_new")
+    return tracks.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("segment", F.sum("_new").over(track())).drop("_new")
 
 
 def tau_velocity(tracks: DataFrame, tau: int, dt: float = 1.0) -> DataFrame:
@@ -149,7 +153,7 @@ def frame_windows(df: DataFrame, width: int, least: int = 1, keys: tuple[str, ..
 
 def moving_ratio(df: DataFrame, top: str, bottom: str, k: int) -> DataFrame:
     """Eta over k gap-free rows: sum(top * bottom) / sum(bottom^2)."""
-    w = W.rowsBetween(0, k - 1)
+    w = track().rowsBetween(0, k - 1)
     whole = (F.max("frame").over(w) - F.col("frame") == k - 1) & (F.count("*").over(w) == k)
     return df.withColumn("eta", F.when(whole, F.try_divide(F.sum(F.col(top) * F.col(bottom)).over(w), F.sum(F.col(bottom) ** 2).over(w)))).where("eta is not null")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kinematics import KEY, W, segments, unwrapped
+from .kinematics import KEY, segments, track, unwrapped
 
 
 def lagged(df: DataFrame, columns: list[str], max_lag: int, by: str = "row", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -35,7 +35,7 @@ def imsd(tracks: DataFrame, max_lag: int, by: str = "row", scale: float = 1.0) -
 
 def msd_from_first(tracks: DataFrame) -> DataFrame:
     """Square of the distance to the first point."""
-    return tracks.withColumn("lag", F.row_number().over(W) - 1).withColumn("msd", (F.col("x") - F.first("x").over(W)) ** 2 + (F.col("y") - F.first("y").over(W)) ** 2).where("lag > 0")
+    return tracks.withColumn("lag", F.row_number().over(track()) - 1).withColumn("msd", (F.col("x") - F.first("x").over(track())) ** 2 + (F.col("y") - F.first("y").over(track())) ** 2).where("lag > 0")
 
 
 def ensemble(per_particle: DataFrame, value: str, keys: list[str], least: int = 1) -> DataFrame:
@@ -181,7 +181,7 @@ def linear_fit(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def state_islands(tracks: DataFrame, state: str = "state") -> DataFrame:
     """Rows in islands of contiguous frames and constant state, and once more in islands of contiguous frames as state -1."""
-    own = segments(tracks, F.col(state) != F.lag(state).over(W))
+    own = segments(tracks, F.col(state) != F.lag(state).over(track()))
     return own.unionByName(segments(tracks).withColumn(state, F.lit(-1)))
 
 
@@ -225,7 +225,7 @@ def crossing_lag(curve: DataFrame, keys: list[str], value: str, target: float) -
 
 def increment_autocorrelation(tracks: DataFrame, column: str, max_lag: int) -> DataFrame:
     """Autocorrelation of a track's increments, centred, biased normalisation."""
-    d = tracks.withColumn("_d", F.col(column) - F.lag(column).over(W)).where("_d is not null")
+    d = tracks.withColumn("_d", F.col(column) - F.lag(column).over(track())).where("_d is not null")
     d = d.withColumn("_c", F.col("_d") - F.avg("_d").over(Window.partitionBy(*KEY)))
     total = d.groupBy(*KEY).agg(F.sum(F.col("_c") ** 2).alias("_t"))
     return lagged(d, ["_c"], max_lag).groupBy(*KEY, "lag").agg(F.sum(F.col("_c") * F.col("_c_2")).alias("_s")).join(total, KEY).select(*KEY, "lag", F.try_divide("_s", "_t").alias("c"))

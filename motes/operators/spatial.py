@@ -41,3 +41,138 @@ def pairs(rows: DataFrame, keep: list[str], within: float | None = None) -> Data
 def cosine(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Cosine of the angle of two vectors, 0 where one is zero."""
     return F.coalesce(F.try_divide(ax * bx + ay * by, F.hypot(ax, ay) * F.hypot(bx, by)), F.when(ax.isNotNull() & bx.isNotNull(), F.lit(0.0)))
+
+
+def pair_correlation_bins(pairs_: DataFrame, width: float, most: float, least: int = 5) -> DataFrame:
+    """C(r): mean, std, sem and n of `cos` by distance bin for each category and for all, in one pass over grouping sets."""
+    rows = pairs_.where(F.col("r") < most).withColumn("bin", F.floor(F.col("r") / width))
+    got = rows.rollup("bin", "category").agg(F.avg("cos").alias("mean"), F.stddev_samp("cos").alias("std"), (F.stddev_samp("cos") / F.sqrt(F.count("cos"))).alias("sem"), F.count("cos").alias("n"), F.grouping_id().alias("_g"))
+    return got.where("_g < 2").withColumn("category", F.coalesce("category", F.lit("all"))).where(F.col("n") >= least).drop("_g")
+
+
+def short_range(pairs_: DataFrame, cutoff: float, least: int = 3) -> DataFrame:
+    """Mean cos of pairs nearer than the cut-off per experiment."""
+    return pairs_.where(F.col("r") <= cutoff).groupBy("exp").agg(F.avg("cos").alias("order"), F.count("cos").alias("n")).where(F.col("n") >= least)
+
+
+def frame_pair_mean(rows: DataFrame, u: str, v: str) -> DataFrame:
+    """Mean over all pairs of a frame of u_i . u_j, by (|sum u|^2 - sum |u|^2) / (n (n - 1)), without a join."""
+    s = (F.sum(u) ** 2 + F.sum(v) ** 2 - F.sum(F.col(u) ** 2 + F.col(v) ** 2)).alias("_s")
+    return rows.dropna(subset=[u, v]).groupBy("exp", "frame").agg(s, F.count("*").alias("n")).where("n > 1").select("exp", "frame", (F.col("_s") / (F.col("n") * (F.col("n") - 1))).alias("correlation"), "n")
+
+
+def interaction(particles: DataFrame, field: DataFrame, radii: list[float], inner: float = 0.0, sigma: float | None = None) -> DataFrame:
+    """Around each particle and for each radius: mean dot product and cos with the particle's (dx, dy), mean u and v, std of cos, n.
+
+    One join at the largest radius; smaller disks are filters of its rows. With sigma pixels weigh exp(-d2 / (2 sigma^2)). Empty disks give zeros.
+    """
+    near = near_pixels(particles, field, max(radii), inner).withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))).where(F.col("d2") <= F.col("radius") ** 2)
+    w = F.lit(1.0) if sigma is None else F.exp(-F.col("d2") / (2 * sigma * sigma))
+    c = cosine(F.col("u"), F.col("v"), F.col("dx"), F.col("dy"))
+    rows = near.withColumns({"_w": w, "_c": c, "_d": F.col("u") * F.col("dx") + F.col("v") * F.col("dy")})
+    mean = lambda x: F.sum(F.col("_w") * x) / F.sum("_w")
+    got = rows.groupBy("exp", "frame", "particle", "radius").agg(mean(F.col("_d")).alias("dot"), mean(F.col("_c")).alias("cos"), mean(F.col("u")).alias("u"), mean(F.col("v")).alias("v"), F.stddev_pop("_c").alias("cos_std"), F.count("*").alias("n"))
+    every = particles.select("exp", "frame", "particle").withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
+    return every.join(got, ["exp", "frame", "particle", "radius"], "left").fillna(0, ["dot", "cos", "u", "v", "cos_std", "n"])
+
+
+def rings(particles: DataFrame, field: DataFrame, sizes: list[tuple[float, float]]) -> DataFrame:
+    """For each ring (inner, outer): polar order |<unit flow>|, mean flow, mean speed, share of pixels against the ring's mean flow, nematic angle and order, n.
+
+    The mean is needed before the opposite share: sums first, then the joined rows meet them again under the same partitioning.
+    """
+    near = near_pixels(particles, field.where("u <> 0 or v <> 0"), max(b for _, b in sizes))
+    ring = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("inner"), F.lit(float(b)).alias("outer")) for a, b in sizes]))
+    rows = near.withColumn("_r", ring).select("exp", "frame", "particle", "u", "v", "d2", "_r.inner", "_r.outer").where((F.col("d2") >= F.col("inner") ** 2) & (F.col("d2") <= F.col("outer") ** 2)).withColumn("_s", F.hypot("u", "v"))
+    keys = ["exp", "frame", "particle", "inner", "outer"]
+    ux, uy = F.col("u") / F.col("_s"), F.col("v") / F.col("_s")
+    got = rows.groupBy(*keys).agg(F.hypot(F.avg(ux), F.avg(uy)).alias("order"), F.avg("u").alias("mu"), F.avg("v").alias("mv"), F.avg("_s").alias("speed"), (F.atan2(F.avg(2 * ux * uy), F.avg(ux * ux - uy * uy)) / 2).alias("axis"), F.hypot(F.avg(2 * ux * uy), F.avg(ux * ux - uy * uy)).alias("nematic"), F.count("*").alias("n"))
+    against = rows.join(got.select(*keys, "mu", "mv"), keys).groupBy(*keys).agg(F.avg((F.round(F.col("u") * F.col("mu") + F.col("v") * F.col("mv"), 12) < 0).cast("double")).alias("opposite"))
+    return got.join(against, keys)
+
+
+def order_by_size(particles: DataFrame, field: DataFrame, most: int) -> DataFrame:
+    """Polar order in disks of every radius 1..most around each particle: pixels once by distance class, then running sums over it."""
+    from pyspark.sql import Window
+
+    near = near_pixels(particles, field.where("u <> 0 or v <> 0"), most).withColumns({"size": F.greatest(F.lit(1), F.ceil(F.sqrt("d2"))), "_s": F.hypot("u", "v")})
+    got = near.groupBy("exp", "frame", "particle", "size").agg(F.sum(F.col("u") / F.col("_s")).alias("_u"), F.sum(F.col("v") / F.col("_s")).alias("_v"), F.count("*").alias("_n"))
+    w = Window.partitionBy("exp", "frame", "particle").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    return got.withColumn("n", F.sum("_n").over(w)).withColumn("order", F.hypot(F.sum("_u").over(w), F.sum("_v").over(w)) / F.col("n")).drop("_u", "_v", "_n")
+
+
+def farthest_cell(field: DataFrame, particles: DataFrame) -> DataFrame:
+    """The pixel of each frame farthest from all its particles (smallest px, py on ties): distance to the nearest one."""
+    p = particles.select("exp", "frame", "x", "y")
+    near = field.select("exp", "frame", "px", "py").join(p, ["exp", "frame"]).groupBy("exp", "frame", "px", "py").agg(F.min((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2).alias("_d"))
+    best = F.max_by(F.struct("px", "py", "_d"), F.struct("_d", -F.col("px"), -F.col("py"))).alias("_b")
+    return near.groupBy("exp", "frame").agg(best).select("exp", "frame", "_b.px", "_b.py", F.sqrt("_b._d").alias("distance"))
+
+
+def ring_correlation(particles: DataFrame, field: DataFrame, most: int) -> DataFrame:
+    """Per distance class 0..most around each particle the mean unit flow dotted with the flow at the particle's pixel: c, n."""
+    unit = field.where("u <> 0 or v <> 0").withColumn("_s", F.hypot("u", "v")).select("exp", "frame", "px", "py", (F.col("u") / F.col("_s")).alias("u"), (F.col("v") / F.col("_s")).alias("v"))
+    centre = particles.withColumns({"px": F.rint("x").cast("int"), "py": F.rint("y").cast("int")}).join(unit.withColumnsRenamed({"u": "cu", "v": "cv"}), ["exp", "frame", "px", "py"]).drop("px", "py")
+    near = near_pixels(centre, unit, most).withColumn("distance", F.floor(F.sqrt("d2")))
+    return near.groupBy("exp", "frame", "particle", "distance").agg(F.avg(F.col("u") * F.col("cu") + F.col("v") * F.col("cv")).alias("c"), F.count("*").alias("n"))
+
+
+def sampled_pixels(field: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """N pixels of each frame as virtual particles, by rank of an md5 of seed and place: the same for every plan."""
+    from pyspark.sql import Window
+
+    key = F.md5(F.concat_ws("|", F.lit(seed), "exp", "frame", "px", "py"))
+    w = Window.partitionBy("exp", "frame").orderBy("_k")
+    ranked = field.where("u <> 0 or v <> 0").withColumn("_k", key).withColumn("particle", F.row_number().over(w))
+    return ranked.where(F.col("particle") <= n).select("exp", "frame", "particle", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
+
+
+def baseline_corrected(curve: DataFrame, mean_square: DataFrame) -> DataFrame:
+    """(c - m) / (1 - m) with m the frame's squared mean unit flow, then mean and sem over frames of each experiment and distance."""
+    rows = curve.groupBy("exp", "frame", "distance").agg(F.avg("c").alias("c")).join(mean_square, ["exp", "frame"]).withColumn("c", F.try_divide(F.col("c") - F.col("m"), 1 - F.col("m")))
+    return rows.groupBy("exp", "distance").agg(F.avg("c").alias("mean"), (F.stddev_samp("c") / F.sqrt(F.count("c"))).alias("sem"), F.count("c").alias("n"))
+
+
+def pooled_from_sums(df: DataFrame, value: str, keys: list[str], parts: list[str]) -> DataFrame:
+    """Mean and std of groups from the (n, sum, sum of squares) of their parts."""
+    s = df.groupBy(*keys, *parts).agg(F.count(value).alias("_n"), F.sum(value).alias("_1"), F.sum(F.col(value) ** 2).alias("_2"))
+    g = s.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_1").alias("_1"), F.sum("_2").alias("_2"))
+    return g.select(*keys, "n", (F.col("_1") / F.col("n")).alias("mean"), F.sqrt(F.greatest(F.col("_2") / F.col("n") - (F.col("_1") / F.col("n")) ** 2, F.lit(0.0))).alias("std"))
+
+
+def radial_speed(particles: DataFrame, field: DataFrame, edge: float, most: float, width: float, lag: int = 0) -> DataFrame:
+    """Mean speed by distance from the particle's edge, over the far plateau's (outer half) of the frame and of the movie; lag: the flow so many frames before."""
+    from pyspark.sql import Window
+
+    past = field.withColumn("frame", F.col("frame") + lag)
+    near = near_pixels(particles, past, edge + most, edge).withColumns({"s": F.hypot("u", "v"), "bin": F.floor((F.sqrt("d2") - edge) / width)})
+    far = F.when((F.col("bin") + 0.5) * width > most / 2, F.col("s"))
+    rows = near.withColumn("_f", F.avg(far).over(Window.partitionBy("exp", "frame"))).withColumn("_m", F.avg(far).over(Window.partitionBy("exp")))
+    return rows.groupBy("exp", "bin").agg(F.avg("s").alias("speed"), F.avg(F.try_divide("s", "_f")).alias("by_frame"), F.avg(F.try_divide("s", "_m")).alias("by_movie"), F.count("*").alias("n"))
+
+
+def sampled_field(particles: DataFrame, field: DataFrame, column: str) -> DataFrame:
+    """Bilinear value of a field column at each particle, null unless all four corners exist."""
+    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    p = particles.withColumn("_c", corners).withColumns({"px": (F.floor("x") + F.col("_c.a")).cast("int"), "py": (F.floor("y") + F.col("_c.b")).cast("int")})
+    w = (1 - F.abs(F.col("x") - F.col("px"))) * (1 - F.abs(F.col("y") - F.col("py")))
+    got = p.join(field.select("exp", "frame", "px", "py", F.col(column).alias("_v")), ["exp", "frame", "px", "py"], "left")
+    return got.groupBy("exp", "frame", "particle").agg(F.when(F.count("_v") == 4, F.sum(w * F.col("_v"))).alias(column))
+
+
+def radial_distribution(particles: DataFrame, field: DataFrame, value: Column, most: int) -> DataFrame:
+    """Mean value by integer distance around particles over the frame's mean, and -ln of it."""
+    f = field.withColumn("_v", value)
+    mean = f.groupBy("exp", "frame").agg(F.avg("_v").alias("_m"))
+    near = near_pixels(particles, f, most).withColumn("distance", F.floor(F.sqrt("d2"))).where(F.col("distance") < most)
+    g = near.join(mean, ["exp", "frame"]).groupBy("exp", "distance").agg((F.avg("_v") / F.avg("_m")).alias("g"), F.count("*").alias("n"))
+    return g.withColumn("potential", F.when(F.col("g") > 0, -F.log("g")))
+
+
+def hidden_vector(df: DataFrame, keys: list[str], u: str, v: str, d: str) -> DataFrame:
+    """The vector (hx, hy) of each group whose dot products with (u, v) are d, by least squares; the shortest one if all (u, v) are collinear."""
+    s = df.groupBy(*keys).agg(F.sum(F.col(u) ** 2).alias("_a"), F.sum(F.col(u) * F.col(v)).alias("_b"), F.sum(F.col(v) ** 2).alias("_c"), F.sum(F.col(u) * F.col(d)).alias("_p"), F.sum(F.col(v) * F.col(d)).alias("_q"))
+    det, trace = F.col("_a") * F.col("_c") - F.col("_b") ** 2, F.col("_a") + F.col("_c")
+    full = det > 1e-12 * trace * trace
+    safe = F.when(full, det)
+    return s.select(*keys, F.when(full, (F.col("_c") * F.col("_p") - F.col("_b") * F.col("_q")) / safe).otherwise(F.try_divide("_p", trace)).alias("hx"), F.when(full, (F.col("_a") * F.col("_q") - F.col("_b") * F.col("_p")) / safe).otherwise(F.try_divide("_q", trace)).alias("hy"))

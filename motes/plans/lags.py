@@ -27,9 +27,9 @@ register("d07_slope_summary", "condition | n | mean std q10 q25 q50 q75 q90", la
 register("d08_local_exponent", "condition | lag | x_mid exponent", lambda t: lag.local_exponent(lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]), ["condition"], "lag", "mean"), f"with {IMSD}, e as (select condition, lag, avg(msd) as m from im group by 1,2), l as (select *, lead(lag) over w as l2, lead(m) over w as m2 from e window w as (partition by condition order by lag)) select condition, lag, sqrt(lag*l2) as x_mid, ln(m2/m)/ln(l2/lag) as exponent from l where m2 is not null")
 register("d09_tamsd_frames", "condition exp | particle lag n | msd", lambda t: lag.imsd(t.gaps, L, "frame"), f"with {IMSD.replace('tracks', 'gaps')} select * from im")
 register("d10_ergodicity_breaking", "condition | lag n | eb eb_error", lambda t: lag.ergodicity_breaking(lag.imsd(t.tracks, L)), f"with {IMSD}, e as (select condition, lag, var_samp(msd)/pow(avg(msd),2) as eb, count(*) as n from im group by 1,2 having count(*)>=2) select *, eb*sqrt(2.0/(n-1)) as eb_error from e")
-R2 = (F.col("x_2") - F.col("x")) ** 2 + (F.col("y_2") - F.col("y")) ** 2
+r2 = lambda: (F.col("x_2") - F.col("x")) ** 2 + (F.col("y_2") - F.col("y")) ** 2
 register("d11_ngp", "condition | n | ngp", lambda t: lag.ngp(kin.lag_displacement(t.tracks, 3), F.col("r") ** 2, ["condition"]), f"with {PAIRS} select condition, count(*) as n, 0.5*avg(pow(dx*dx+dy*dy,2))/pow(avg(dx*dx+dy*dy),2)-1 as ngp from pr where lag=3 group by 1")
-register("d12_ngp_by_particle", "exp | particle lag n | ngp", lambda t: lag.ngp(lag.lagged(t.tracks, ["x", "y"], L), R2, ["exp", "particle", "lag"]), f"with {PAIRS} select exp, particle, lag, count(*) as n, 0.5*avg(pow(dx*dx+dy*dy,2))/pow(avg(dx*dx+dy*dy),2)-1 as ngp from pr group by 1,2,3 having count(*)>=4")
+register("d12_ngp_by_particle", "exp | particle lag n | ngp", lambda t: lag.ngp(lag.lagged(t.tracks, ["x", "y"], L), r2(), ["exp", "particle", "lag"]), f"with {PAIRS} select exp, particle, lag, count(*) as n, 0.5*avg(pow(dx*dx+dy*dy,2))/pow(avg(dx*dx+dy*dy),2)-1 as ngp from pr group by 1,2,3 having count(*)>=4")
 register("d13_excess", "exp | particle | excess", lambda t: lag.excess(kin.lag_displacement(t.tracks, 1), "dx", ["exp", "particle"]), f"with {PAIRS} select exp, particle, (avg(pow(dx,4))-3*pow(avg(dx*dx),2))/pow(avg(dx*dx),2) as excess from pr where lag=1 group by 1,2")
 UNIT = f"{PAIRS}, un as (select *, dx/sqrt(dx*dx+dy*dy) as ux, dy/sqrt(dx*dx+dy*dy) as uy from pr where dx<>0 or dy<>0)"
 register("d14_resultant_length", "condition | lag n | mean sem", lambda t: lag.resultant_length(t.tracks, L), f"with {UNIT}, m as (select condition, exp, particle, lag, sqrt(pow(avg(ux),2)+pow(avg(uy),2)) as l from un group by 1,2,3,4) select condition, lag, avg(l) as mean, stddev_samp(l)/sqrt(count(*)) as sem, count(*) as n from m group by 1,2")

@@ -15,7 +15,7 @@ from .lags import IMSD, L
 from .registry import register
 from .tracks import STEP, TURN
 
-Y10 = uniform(F.col("y"), 0.0, 100.0, 10)
+y10 = lambda: uniform(F.col("y"), 0.0, 100.0, 10)
 YBIN = "least(floor(y/10),9)"
 VSTEP = f"{STEP}, vs as (select *, sqrt(dx*dx+dy*dy) as v, case when dx<>0 or dy<>0 then atan2(dy,dx) end as theta from steps where dx is not null)"
 vel = lambda t: kin.velocity(t.tracks).where("v is not null")
@@ -34,33 +34,33 @@ register("e08_axis_sums", "exp | | weight c1 s1 c2 abs aligned anti", lambda t:
 register("e09_axis_sign", "| sign | plus minus", lambda t: dist.axis_sign(moving(t), t.theta), f"with {DEV}, s as (select avg(cos(2*(atan2(v,u)-theta))) as plus, avg(cos(2*(atan2(v,u)+theta))) as minus from d) select *, case when minus>plus+0.05 then -1 else 1 end as sign from s")
 register("e10_condition_histogram", "condition | bin n | mean sem pooled", lambda t: dist.ensemble_histogram(vel(t).withColumn("a", F.degrees("theta")).where("a is not null"), "a", -180, 180, 12), f"with {VSTEP}, a as (select *, least(floor((degrees(theta)+180)/30),11) as bin from vs where theta is not null), h as (select condition, exp, bin, coalesce(n,0) as n from (select distinct condition, exp from a) k cross join (select unnest(range(12)) as bin) b left join (select condition, exp, bin, count(*) as n from a group by 1,2,3) c using (condition, exp, bin)), d as (select *, n/(sum(n) over (partition by exp)*30.0) as d from h) select condition, bin, count(*) as n, avg(d) as mean, stddev_samp(d)/sqrt(count(*)) as sem, sum(d.n)/(sum(sum(d.n)) over (partition by condition)*30) as pooled from d group by condition, bin")
 register("e11_smoothed_circular", "exp | bin | smooth", lambda t: dist.smoothed_circular(dist.histogram(t.tracks, "y", 0, 100, 10, ["exp"]), "count", ["exp"], 10, 1.0), f"with {HIST}, k as (select o, exp(-0.5*o*o) as w from (select unnest(range(-4,5)) as o)), z as (select sum(w) as s from k) select exp, ((bin+o)%10+10)%10 as bin, sum(n*w/s) as smooth from h cross join k cross join z group by 1,2")
-ABIN = uniform(F.col("angle"), -3.1416, 3.1416, 8)
+abin = lambda: uniform(F.col("angle"), -3.1416, 3.1416, 8)
 TN = f"{TURN.format(k=1).replace('from gaps', 'from tracks')}, tb as (select *, (v_in+v_out)/2 as v, floor((angle+3.1416)/(6.2832/8)) as bin from t4)"
 turns = lambda t: kin.turning_angle(t.tracks)
-register("e12_speed_vs_angle", "condition | bin n | mean std", lambda t: dist.two_level_profile(turns(t), ABIN, "v_mean"), f"with {TN}, m as (select condition, exp, bin, avg(v) as m from tb group by 1,2,3 having count(*)>=2) select condition, bin, count(*) as n, avg(m) as mean, stddev_pop(m) as std from m group by 1,2")
-register("e13_speed_ratio", "condition | bin n | mean std", lambda t: dist.ratio_profile(turns(t), ABIN, "v_mean"), f"with {TN}, r as (select *, v/avg(v) over (partition by exp) as r from tb), m as (select condition, exp, bin, avg(r) as m from r group by 1,2,3 having count(*)>=2) select condition, bin, count(*) as n, avg(m) as mean, stddev_pop(m) as std from m group by 1,2")
+register("e12_speed_vs_angle", "condition | bin n | mean std", lambda t: dist.two_level_profile(turns(t), abin(), "v_mean"), f"with {TN}, m as (select condition, exp, bin, avg(v) as m from tb group by 1,2,3 having count(*)>=2) select condition, bin, count(*) as n, avg(m) as mean, stddev_pop(m) as std from m group by 1,2")
+register("e13_speed_ratio", "condition | bin n | mean std", lambda t: dist.ratio_profile(turns(t), abin(), "v_mean"), f"with {TN}, r as (select *, v/avg(v) over (partition by exp) as r from tb), m as (select condition, exp, bin, avg(r) as m from r group by 1,2,3 having count(*)>=2) select condition, bin, count(*) as n, avg(m) as mean, stddev_pop(m) as std from m group by 1,2")
 register("e14_forward_contrast", "condition | n | contrast sem", lambda t: dist.forward_contrast(turns(t), "angle", "v_mean"), f"with {TN}, o as (select condition, exp, (avg(v) filter (where degrees(abs(angle))<=20) - avg(v) filter (where degrees(abs(angle))>=160))/avg(v) as d from tb group by 1,2 having count(*) filter (where degrees(abs(angle))<=20)>=3 and count(*) filter (where degrees(abs(angle))>=160)>=3) select condition, count(*) as n, avg(d) as contrast, stddev_samp(d)/sqrt(count(*)) as sem from o group by 1")
 RANKS = "rk as (select *, rank() over (partition by condition order by a) + (count(*) over (partition by condition, a)-1)/2 as ra, rank() over (partition by condition order by b) + (count(*) over (partition by condition, b)-1)/2 as rb from ab)"
 register("e15_speed_angle_correlation", "condition | n | pearson spearman slope intercept", lambda t: assoc.correlations(turns(t).withColumn("a", F.abs("angle")), "a", "v_mean", ["condition"]), f"with {TN}, ab as (select condition, abs(angle) as a, v as b from tb), {RANKS} select condition, count(*) as n, corr(a,b) as pearson, corr(ra,rb) as spearman, regr_slope(b,a) as slope, regr_intercept(b,a) as intercept from rk group by 1")
-register("e16_joint_density", "condition | xb yb n | share", lambda t: dist.joint_density(t.tracks, by_edges(F.col("x"), [0, 1, 10, 50, 100, 1000]), Y10, ["condition"]), f"with j as (select condition, case when x<0 or x>1000 then null when x<1 then 0 when x<10 then 1 when x<50 then 2 when x<100 then 3 else 4 end as xb, {YBIN} as yb from tracks where y between 0 and 100) select condition, xb, yb, count(*) as n, count(*)/sum(count(*)) over (partition by condition) as share from j where xb is not null group by 1,2,3")
-register("e17_percentile_profile", "condition | bin n percent | value", lambda t: dist.percentile_profile(t.tracks, Y10, "x", ["condition"], [80, 90, 95], 10), f"with q as (select condition, {YBIN} as bin, count(*) as n, quantile_cont(x,[0.8,0.9,0.95]) as q from tracks where y between 0 and 100 group by 1,2 having count(*)>=10) select condition, bin, n, unnest([80,90,95]) as percent, unnest(q) as value from q")
+register("e16_joint_density", "condition | xb yb n | share", lambda t: dist.joint_density(t.tracks, by_edges(F.col("x"), [0, 1, 10, 50, 100, 1000]), y10(), ["condition"]), f"with j as (select condition, case when x<0 or x>1000 then null when x<1 then 0 when x<10 then 1 when x<50 then 2 when x<100 then 3 else 4 end as xb, {YBIN} as yb from tracks where y between 0 and 100) select condition, xb, yb, count(*) as n, count(*)/sum(count(*)) over (partition by condition) as share from j where xb is not null group by 1,2,3")
+register("e17_percentile_profile", "condition | bin n percent | value", lambda t: dist.percentile_profile(t.tracks, y10(), "x", ["condition"], [80, 90, 95], 10), f"with q as (select condition, {YBIN} as bin, count(*) as n, quantile_cont(x,[0.8,0.9,0.95]) as q from tracks where y between 0 and 100 group by 1,2 having count(*)>=10) select condition, bin, n, unnest([80,90,95]) as percent, unnest(q) as value from q")
 PROF = "avg({y}) as mean, stddev_samp({y}) as std, stddev_samp({y})/sqrt(count({y})) as sem, quantile_cont({y},0.25) as q25, quantile_cont({y},0.5) as q50, quantile_cont({y},0.75) as q75, count({y}) as n"
 register("e18_quantile_bins", "condition | bin n | mean std sem q25 q50 q75", lambda t: dist.profile(dist.quantile_bins(t.tracks.withColumn("k", F.floor("y")), "k", ["condition"], 8), F.col("bin"), "x", ["condition"]), f"with e as (select condition, list_sort(list_distinct(quantile_cont(floor(y),[0,0.125,0.25,0.375,0.5,0.625,0.75,0.875,1]))) as e from tracks group by 1), b as (select t.*, greatest(0, least(len(list_filter(e, lambda v: v<=floor(y))), len(e)-1)-1) as bin from tracks t join e using (condition)) select condition, bin, {PROF.format(y='x')} from b group by 1,2")
-register("e19_equal_bins", "condition | bin n | q50", lambda t: dist.profile(t.tracks, Y10, "x", ["condition"], 5), f"select condition, {YBIN} as bin, {PROF.format(y='x')} from tracks where y between 0 and 100 group by 1,2 having count(x)>=5")
+register("e19_equal_bins", "condition | bin n | q50", lambda t: dist.profile(t.tracks, y10(), "x", ["condition"], 5), f"select condition, {YBIN} as bin, {PROF.format(y='x')} from tracks where y between 0 and 100 group by 1,2 having count(x)>=5")
 register("e20_given_edges", "condition | bin n | mean std sem q25 q50 q75", lambda t: dist.profile(t.tracks, by_edges(F.col("y"), [0, 5, 20, 60, 100], "right"), "x", ["condition"]), f"select condition, case when y<0 or y>100 then null when y<=5 then 0 when y<=20 then 1 when y<=60 then 2 else 3 end as bin, {PROF.format(y='x')} from tracks where y between 0 and 100 group by 1,2")
 register("e21_bin_number", "condition | n bins | low high", lambda t: dist.bin_number(t.tracks, "y", ["condition"]), "with s as (select condition, count(y) as n, min(y) as low, max(y) as high, quantile_cont(y,0.75)-quantile_cont(y,0.25) as iqr from tracks group by 1) select *, coalesce(ceil((high-low)/nullif(2*iqr/cbrt(n),0)), ceil(log2(n))+1) as bins from s")
 register("e21_sturges", "condition | n bins | ", lambda t: dist.bin_number(t.tracks, "y", ["condition"], "sturges"), "select condition, count(y) as n, ceil(log2(count(y)))+1 as bins from tracks group by 1")
 register("e22_log_bins", "condition | bin n particles | median x_mean", lambda t: dist.log_bins(t.tracks, "x", "y", 3, 2), "with l as (select *, log10(x) as l from tracks where x>0 and y>0), s as (select condition, min(l) as lo, max(l) as hi, ceil((max(l)-min(l))/(2*(quantile_cont(l,0.75)-quantile_cont(l,0.25))/cbrt(count(l)))) as k from l group by 1), b as (select l.*, least(floor((l-lo)/((hi-lo)/k)),k-1) as bin from l join s using (condition)) select condition, bin, count(*) as n, count(distinct particle) as particles, quantile_cont(y,0.5) as median, exp(avg(ln(x))) as x_mean from b group by 1,2 having count(*)>=3 and count(distinct particle)>=2")
-register("e24_exceedance", "| bin n k | limit p error potential", lambda t: dist.exceedance(t.tracks, Y10, "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100), g as (select l as \"limit\", bin, count(*) as n, count(*) filter (where x>l) as k from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2 having count(*)>=5) select *, k/n as p, sqrt(k/n*(1-k/n)/n) as error, case when k>0 then -ln(k/n) end as potential from g")
-register("e25_odds_posterior", "| bin | limit odds posterior", lambda t: dist.exceedance(t.tracks, Y10, "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100), g as (select l as \"limit\", bin, count(*) as n, count(*) filter (where x>l) as k from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2) select \"limit\", bin, (k/n)/nullif(sum(k) over w/sum(n) over w,0) as odds, k/nullif(sum(k) over w,0) as posterior from g window w as (partition by \"limit\")")
-register("e26_mean_above", "| bin | limit mean_above", lambda t: dist.exceedance(t.tracks, Y10, "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100) select l as \"limit\", bin, avg(x) filter (where x>l) as mean_above from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2 having count(*)>=5")
+register("e24_exceedance", "| bin n k | limit p error potential", lambda t: dist.exceedance(t.tracks, y10(), "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100), g as (select l as \"limit\", bin, count(*) as n, count(*) filter (where x>l) as k from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2 having count(*)>=5) select *, k/n as p, sqrt(k/n*(1-k/n)/n) as error, case when k>0 then -ln(k/n) end as potential from g")
+register("e25_odds_posterior", "| bin | limit odds posterior", lambda t: dist.exceedance(t.tracks, y10(), "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100), g as (select l as \"limit\", bin, count(*) as n, count(*) filter (where x>l) as k from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2) select \"limit\", bin, (k/n)/nullif(sum(k) over w/sum(n) over w,0) as odds, k/nullif(sum(k) over w,0) as posterior from g window w as (partition by \"limit\")")
+register("e26_mean_above", "| bin | limit mean_above", lambda t: dist.exceedance(t.tracks, y10(), "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100) select l as \"limit\", bin, avg(x) filter (where x>l) as mean_above from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2 having count(*)>=5")
 register("e27_lognormal_qq", "condition | n | slope r2", lambda t: _qq(t), "with s as (select condition, ln(x) as l, row_number() over (partition by condition order by x, particle, frame) as i, count(*) over (partition by condition) as n from tracks where x>0) select condition, count(*) as n, regr_slope(l, ln(((i-0.5)/n)/(1-(i-0.5)/n))) as slope, regr_r2(l, ln(((i-0.5)/n)/(1-(i-0.5)/n))) as r2 from s group by 1")
 register("e28_kde_2d", "condition | | gx gy density potential", lambda t: dist.kde2(vel(t).withColumns({"a": F.col("vx") / 50, "b": F.col("vy") / 50}), "a", "b", ["condition"], 2.0, 5), f"with {VSTEP}, p as (select condition, dx/50 as a, dy/50 as b from vs), s as (select condition, var_samp(a)*pow(count(*),-1/3.0) as sa, var_samp(b)*pow(count(*),-1/3.0) as sc, covar_samp(a,b)*pow(count(*),-1/3.0) as sb, count(*) as n from p group by 1), g as (select gx, gy from (select unnest([-2.0,-1.0,0.0,1.0,2.0]) as gx) cross join (select unnest([-2.0,-1.0,0.0,1.0,2.0]) as gy)), d as (select condition, gx, gy, sum(exp(-(sc*(gx-a)*(gx-a)-2*sb*(gx-a)*(gy-b)+sa*(gy-b)*(gy-b))/(sa*sc-sb*sb)/2)/(n*2*pi()*sqrt(sa*sc-sb*sb))) as density from p join s using (condition) cross join g group by 1,2,3) select *, -ln(density/max(density) over (partition by condition)) as potential from d")
 register("e29_even_odd", "exp | bin | even odd", lambda t: dist.even_odd(dist.histogram(t.tracks, "y", 0, 100, 10, ["exp"]).withColumn("s", F.col("bin") - 4.5), "s", "density", ["exp"]), f"with {HIST}, d as (select *, n/(sum(n) over (partition by exp)*10.0) as d from h) select a.exp, a.bin, (a.d+b.d)/2 as even, (a.d-b.d)/2 as odd from d a join d b on a.exp=b.exp and a.bin=9-b.bin")
 register("e30_kde", "condition | | at density", lambda t: dist.kde(t.tracks, "y", ["condition"], 0.0, 100.0, 11), "with s as (select condition, stddev_samp(y)*pow(count(y)*0.75,-0.2) as h, count(y) as n from tracks group by 1) select condition, pt as \"at\", sum(exp(-0.5*pow((pt-y)/h,2))/(n*h*2.5066282746310002)) as density from tracks join s using (condition) cross join (select unnest(range(11))*10.0 as pt) group by 1,2")
 register("e31_bimodality", "exp | stop_bin run_bin | valley_ratio", lambda t: dist.bimodality(dist.histogram(t.tracks, "y", 0, 100, 10, ["exp"]), ["exp"], 5), f"with {HIST}, s as (select *, avg(n) over (partition by exp order by bin rows between 1 preceding and 1 following) as s from h), p as (select exp, max(s) filter (where bin<5) as l, max(s) filter (where bin>=5) as r from s group by 1), q as (select exp, min(bin) filter (where bin<5 and s=l) as stop_bin, min(bin) filter (where bin>=5 and s=r) as run_bin, any_value(l) as l, any_value(r) as r from s join p using (exp) group by 1) select exp, stop_bin, run_bin, min(s)/least(any_value(l),any_value(r)) as valley_ratio from q join s using (exp) where bin between stop_bin and run_bin group by 1,2,3")
 register("e32_direction_histogram", "condition | bin | count density", lambda t: dist.histogram(kin.lag_displacement(t.tracks, 3).withColumn("a", F.degrees(F.atan2("dy", "dx"))), "a", -180, 180, 12, ["condition"]), "with s as (select *, degrees(atan2(lead(y,3) over w-y, lead(x,3) over w-x)) as a from tracks window w as (partition by exp, particle order by frame)), h as (select condition, least(floor((a+180)/30),11) as bin, count(*) as n from s where a is not null group by 1,2) select condition, bin, n as count, n/(sum(n) over (partition by condition)*30) as density from h")
-register("e33_ratio_bins", "condition | bin n | ratio", lambda t: dist.ratio_bins(t.tracks, Y10, "x", "y", ["condition"]), f"select condition, {YBIN} as bin, count(*) as n, sum(x)/nullif(sum(y),0) as ratio from tracks where y between 0 and 100 group by 1,2")
+register("e33_ratio_bins", "condition | bin n | ratio", lambda t: dist.ratio_bins(t.tracks, y10(), "x", "y", ["condition"]), f"select condition, {YBIN} as bin, count(*) as n, sum(x)/nullif(sum(y),0) as ratio from tracks where y between 0 and 100 group by 1,2")
 register("e34_long_table", "exp name | particle frame | value", lambda t: dist.long_table(t.tracks, ["exp", "particle", "frame"], ["x", "y"]), "select exp, particle, frame, 'x' as name, x as value from tracks union all select exp, particle, frame, 'y', y from tracks")
 register("e34_wide_table", "exp | | c0 c1 c2", lambda t: dist.wide_table(t.tracks.groupBy("exp", "condition").agg(F.avg("x").alias("m")), ["exp"], "condition", ["c0", "c1", "c2"], "m"), "select exp, avg(x) filter (where condition='c0') as c0, avg(x) filter (where condition='c1') as c1, avg(x) filter (where condition='c2') as c2 from tracks group by 1")
 register("e36_log_moments", "condition | n | mean std", lambda t: dist.log_moments(vel(t), "v", ["condition"]), f"with {VSTEP} select condition, count(*) as n, avg(ln(v)) as mean, stddev_pop(ln(v)) as std from vs where v>0 group by 1")
