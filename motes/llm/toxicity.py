@@ -33,8 +33,10 @@ TRAIN_DOCS, TERMS, WINDOW, THRESHOLD = 20_000, 4000, 4, 0.7
 STEMS = range(4, 9)
 #: Share of the toxic training documents that a term must mark.
 SUPPORT = 0.01
-#: Weights of: 1, exact, misspelled, quoted matches.
-PRIOR = np.array([-3.0, 6.0, 4.0, 1.5])
+#: Weights of: 1, exact matches, misspelled long terms (or signs for letters), misspelled short ones, quoted matches.
+PRIOR = np.array([-3.0, 6.0, 12.0, 4.0, 1.5])
+#: Characters from which on a misspelled term is unlikely to be another word.
+LONG = 7
 TOKEN = re.compile(r"\w[\w@$!*]*\w|\w")
 LETTERS = str.maketrans("013457@$!", "oieastasi")
 SIGNS = re.compile(r"[0-9@$!*]")
@@ -83,25 +85,25 @@ class Lexicon:
                 return True
         return False
 
-    def _automaton(self, token: str) -> bool:
-        """Whether some term is within its number of edits: the automaton's states are rows of edit distances, stepped along the trie."""
+    def _automaton(self, token: str) -> int:
+        """Length of a term that is within its number of edits: the automaton's states are rows of edit distances, stepped along the trie."""
         stack = [(self.trie, list(range(len(token) + 1)))]
         while stack:
             node, row = stack.pop()
             for c, child in node.items():
                 if c == "":
                     if row[-1] <= (2 if len(child) >= 9 else 1):
-                        return True
+                        return len(child)
                     continue
                 new = [row[0] + 1]
                 for i, t in enumerate(token):
                     new.append(min(row[i] + (t != c), row[i + 1] + 1, new[i] + 1))
                 if min(new) <= 2:
                     stack.append((child, new))
-        return False
+        return 0
 
     def match(self, token: str) -> int:
-        """0 no match, 1 exact, 2 misspelled."""
+        """0 no match, 1 exact, 2 misspelled long term or signs for letters, 3 misspelled short term."""
         found = self.memo.get(token)
         if found is None:
             if len(self.memo) > 400_000:
@@ -110,14 +112,14 @@ class Lexicon:
             for v in variants(token):
                 if v in self.words or any(v[:n] in self.stems for n in self.lengths):
                     found = 1 if v is token else 2
-                elif not found and self._may_match(v) and self._automaton(v):
-                    found = 2
+                elif not found and self._may_match(v) and (size := self._automaton(v)):
+                    found = 2 if size >= LONG else 3
             self.memo[token] = found
         return found
 
 
-def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int]:
-    """Numbers of exact, misspelled and quoted matches."""
+def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int, int]:
+    """Numbers of exact, misspelled long, misspelled short and quoted matches."""
     low = text.lower()
     tokens = TOKEN.findall(low)
     memo, match = lexicon.memo, lexicon.match
@@ -127,9 +129,9 @@ def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int]:
         if k or (k is None and (k := match(t))):
             hits[t] = k
     if not hits:
-        return 0, 0, 0
+        return 0, 0, 0, 0
     quoted = [m.span() for m in QUOTES.finditer(low)]
-    count = [0, 0, 0]
+    count = [0, 0, 0, 0]
     recent = -WINDOW - 1
     for i, m in enumerate(TOKEN.finditer(low)):
         t = m[0]
@@ -137,7 +139,7 @@ def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int]:
             recent = i
         elif t in hits:
             told = i - recent <= WINDOW or any(a <= m.start() < b for a, b in quoted)
-            count[2 if told else hits[t] - 1] += 1
+            count[3 if told else hits[t] - 1] += 1
     return tuple(count)
 
 
@@ -155,7 +157,7 @@ def fit_weights(counts: np.ndarray, y: np.ndarray, penalty: float = 2.0) -> np.n
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(4)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(PRIOR))
         step = np.linalg.solve(hess, x.T @ (p - y) + penalty * (w - PRIOR))
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-6:
@@ -232,11 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     def counted(frames):
         lex = Lexicon(**lexicon)
         for pdf in frames:
-            e = np.array([evidence(lex, t) for t in pdf.text]).reshape(-1, 3)
-            yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "c": e[:, 2], "y": pdf.toxic}).groupby(["a", "b", "c", "y"]).size().rename("n").reset_index()
+            e = np.array([evidence(lex, t) for t in pdf.text]).reshape(-1, 4)
+            yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "c": e[:, 2], "d": e[:, 3], "y": pdf.toxic}).groupby(["a", "b", "c", "d", "y"]).size().rename("n").reset_index()
 
-    table = rows.mapInPandas(counted, "a long, b long, c long, y int, n long").groupBy("a", "b", "c", "y").agg(F.sum("n").alias("n")).toPandas()
-    x = np.repeat(table[["a", "b", "c"]].to_numpy(), table.n, axis=0)
+    table = rows.mapInPandas(counted, "a long, b long, c long, d long, y int, n long").groupBy("a", "b", "c", "d", "y").agg(F.sum("n").alias("n")).toPandas()
+    x = np.repeat(table[["a", "b", "c", "d"]].to_numpy(), table.n, axis=0)
     return lexicon | {"weights": fit_weights(x, np.repeat(table.y.to_numpy(), table.n))}
 
 
@@ -250,7 +252,7 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
         model = held.value
         lexicon = Lexicon(model["words"], model["stems"])
         for batch in batches:
-            e = np.array([evidence(lexicon, t or "") for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            e = np.array([evidence(lexicon, t or "") for t in batch.column("text").to_pylist()]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(_design(e) @ model["weights"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=["doc_id", "text", "_rest", "score"])
 
