@@ -33,8 +33,10 @@ TRAIN_DOCS, TERMS, WINDOW, THRESHOLD = 20_000, 4000, 4, 0.7
 STEMS = range(4, 9)
 #: Share of the toxic training documents that a term must mark.
 SUPPORT = 0.01
-#: Weights of: 1, exact matches, misspelled long terms (or signs for letters), misspelled short ones, quoted matches.
-PRIOR = np.array([-3.0, 6.0, 12.0, 4.0, 1.5])
+#: Weights of: 1, plain matches, doubtful ones (misspelled short terms), quoted matches.
+PRIOR = np.array([-3.0, 6.0, 3.0, 1.5])
+#: Misspelled long terms count nearly as exact ones unless more than this share of clean training documents shows them; then they are doubtful.
+CHANCE = 0.001
 #: Characters from which on a misspelled term is unlikely to be another word.
 LONG = 7
 TOKEN = re.compile(r"\w[\w@$!*]*\w|\w")
@@ -143,13 +145,18 @@ def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int, int]:
     return tuple(count)
 
 
-def _design(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(counts), 1)), np.log1p(counts)], axis=1)
+def _design(counts: np.ndarray, trust: bool) -> np.ndarray:
+    """1, and for each kind of match mostly whether there is one, a little how many."""
+    f = 0.9 * (counts > 0) + 0.1 * np.log1p(counts)
+    exact, long, short, quoted = f.T if len(f) else np.zeros((4, 0))
+    plain = np.maximum(exact, 0.9 * long) if trust else exact
+    doubtful = short if trust else np.maximum(long, short)
+    return np.stack([np.ones(len(f)), plain, doubtful, quoted], axis=1)
 
 
-def fit_weights(counts: np.ndarray, y: np.ndarray, penalty: float = 2.0) -> np.ndarray:
+def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
     """Newton's method on the penalised log loss, with steps halved until the loss falls."""
-    w, x = PRIOR.copy(), _design(counts)
+    w = PRIOR.copy()
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
@@ -212,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     counts = rows.mapInPandas(terms, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     total = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not total[0] or not total[1] or total[0] == total[1]:
-        return {"words": [], "stems": [], "weights": PRIOR}
+        return {"words": [], "stems": [], "weights": PRIOR, "trust": True}
     base = total[1] / total[0]
     rate = F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-9))
     gain = F.col("pos") * F.log(rate / base) + (F.col("n") - F.col("pos")) * F.log((1 - rate) / (1 - base))
@@ -239,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     table = rows.mapInPandas(counted, "a long, b long, c long, d long, y int, n long").groupBy("a", "b", "c", "d", "y").agg(F.sum("n").alias("n")).toPandas()
     x = np.repeat(table[["a", "b", "c", "d"]].to_numpy(), table.n, axis=0)
-    return lexicon | {"weights": fit_weights(x, np.repeat(table.y.to_numpy(), table.n))}
+    y = np.repeat(table.y.to_numpy(), table.n)
+    trust = bool((x[y == 0, 1] > 0).mean() <= CHANCE)
+    return lexicon | {"weights": fit_weights(_design(x, trust), y), "trust": trust}
 
 
 def score_texts(docs: DataFrame, model: dict) -> DataFrame:
@@ -253,7 +262,7 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
         lexicon = Lexicon(model["words"], model["stems"])
         for batch in batches:
             e = np.array([evidence(lexicon, t or "") for t in batch.column("text").to_pylist()]).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(_design(e) @ model["weights"], -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(_design(e, model["trust"]) @ model["weights"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=["doc_id", "text", "_rest", "score"])
 
     return docs.mapInArrow(run, schema).select("doc_id", "text", *rest, "score")
