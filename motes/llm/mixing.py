@@ -42,11 +42,14 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
 
 def running(df: DataFrame, key: str, bucket: str, order: list, value: Column, name: str) -> DataFrame:
-    """Adds the sum of value over the rows before this one, by (bucket, order) within key: inside buckets, plus the totals of earlier buckets."""
+    """Adds the sum of value over the rows before this one, by (bucket, order) within key: inside buckets, plus the totals of earlier buckets.
+
+    Rows may come from generators, whose size the optimiser underrates; the merge hint keeps it from broadcasting them.
+    """
     inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     base = df.groupBy(key, bucket).agg(F.sum(value).alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    return df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(base, [key, bucket]).withColumn(name, (F.col("_in") + F.col("_base")).cast("long")).drop("_in", "_base")
+    return df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(base.hint("merge"), [key, bucket]).withColumn(name, (F.col("_in") + F.col("_base")).cast("long")).drop("_in", "_base")
 
 
 def reverse_bits(x: Column, bits: int) -> Column:
@@ -84,7 +87,7 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> tuple[Data
     spans = sized.where("size > 0").select("sid", "_start", "size", "source_size", "_words", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("epoch")).withColumn("_a", offset(F.col("epoch"))).withColumn("_z", F.least(F.col("_a") + F.col("size"), "_words")).where("_a < _z")
     parts = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_z") - 1) / block))))
     words = F.least("_z", (F.col("rank") + 1) * block) - F.greatest("_a", F.col("rank") * block)
-    pieces = parts.select("sid", "rank", "_start", "epoch", words.alias("words")).join(schedule(shares.select("sid", "need"), block, n_slots), ["sid", "rank"])
+    pieces = parts.select("sid", "rank", "_start", "epoch", words.alias("words")).join(schedule(shares.select("sid", "need"), block, n_slots).hint("merge"), ["sid", "rank"])
     return sized, pieces
 
 
