@@ -7,9 +7,9 @@ their probability Jaccard similarity. Slots are banded, candidates share a band,
 of at least `similarity`, computed exactly.
 
 Equal texts are one representative (the smallest doc_id) before anything else. In each band bucket every member is verified against
-one leader, the member with the most bucket mates; then, after connected components, only members of one bucket that are still
-in different classes are compared with each other. So a bucket of k alike texts costs k comparisons, and yet no linked
-pair of candidates ends in two classes.
+one leader, the member with the most bucket mates; so a bucket of k alike texts costs k comparisons. After connected components, texts
+in buckets that still hold several classes are joined exactly, by a prefix filter on their rarest runs, so that no link
+between candidates is lost.
 
 Defined results: a text without words (null, empty) is a class of its own, also when repeated; a null doc_id has a null class; rows
 that repeat a doc_id are one document. Extra columns of the input are ignored by near_duplicates.
@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, stash, units, windows, word_hashes
@@ -136,6 +136,30 @@ def components(links: DataFrame) -> DataFrame:
         label = label.drop("old")
 
 
+def _listed(batches):
+    for batch in batches:
+        items = [np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column("items")]
+        at = np.repeat(np.arange(batch.num_rows), [len(x) for x in items])
+        flat = np.concatenate(items).astype(np.int64) if items else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("id", "n", "label")], pa.array(flat)], names=["id", "n", "label", "item"])
+
+
+def prefix_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of rows(id, n, label) with different labels that may reach the similarity, by the prefix filter.
+
+    With shingles in one order, rarest first, two sets of n and m items with similarity t share one among the first n - ceil(t n) + 1 and
+    m - ceil(t m) + 1. Texts of one family that changed too much start with shingles of their own, so they make no pair.
+    """
+    listed = stash(rows.join(sets, "id").mapInArrow(_listed, "id long, n int, label long, item long"), "items")
+    count = listed.groupBy("item").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
+    first = listed.join(count, "item").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).where("df > 1")
+    first = stash(first.select("id", "n", "label", "item"), "prefixes")
+    other = first.select("item", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    near = F.least("n", "m") >= similarity * F.greatest("n", "m")
+    return first.withColumnRenamed("id", "a").join(other, "item").where((F.col("label") < F.col("other")) & near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes: doc_id, copy_of (smallest doc_id with the same text), class_id (smallest of its class).
 
@@ -158,12 +182,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
     label = components(first)
     parted = bucket.join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     open_ = parted.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = parted.join(open_, "key", "left_semi")
-    left = stash(left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), "open")
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("keys").alias("others"))
-    # a pair is made in the first of the buckets that it shares, so once
-    once = F.array_min(F.array_intersect("keys", "others")) == F.col("key")
-    rest = left.withColumnRenamed("id", "a").join(other, "key").where((F.col("label") < F.col("other")) & alike(F.col("n"), F.col("m")) & once).select("a", "b")
+    left = stash(parted.join(open_, "key", "left_semi").select("id", "n", "label").distinct(), "open")
+    rest = prefix_pairs(left, sets, similarity)
     tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity, "links-2")
     links = first.unionByName(second)
