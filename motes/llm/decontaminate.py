@@ -26,7 +26,7 @@ from .common import packed, place, units, windows, word_hashes
 
 WIDTH, LITERALS, COVERAGE, RUN, FILTER = 8, 5, 0.5, 6, 4_000_000
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
-NUMBERS = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*%?")
+NUMBERS = re.compile(r"(?<!\w)[0-9]+(?:[.,:/][0-9]+)*%?(?!\w)")
 # fixed values: units of measure and money
 UNITS = re.compile(rf"(?<={NUMBER} )(?:km|kilometers?|miles?|m|meters?|cm|mm|kg|grams?|g|mg|pounds?|lbs?|tons?|liters?|ml|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|kmh|mph|degrees?)\b")
 NAMES = re.compile(r"(?<=[a-zß-ÿ,;] )[A-ZÀ-Þ][a-zß-ÿ]+\b")
