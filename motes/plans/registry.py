@@ -52,4 +52,4 @@ def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql:
         ORACLES[name] = f"select {shape} from ({inner}) as result"
 
 
-from . import fields, lags, spread, states, tracks  # noqa: E402, F401
+from . import composed, fields, lags, spread, states, tracks  # noqa: E402, F401

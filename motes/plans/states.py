@@ -17,7 +17,7 @@ RUNS = "rc as (select *, sum(case when state<>ps then 1 else 0 end) over (partit
 KS = "exp, particle, segment"
 register("h01_run_tumble", "exp | particle segment state first last n | ", lambda t: sta.thresholded(speeds(t), F.lit(60.0)), f"with {SPEED}, st as (select *, (v>=60)::int as state from sg), {RUNS.format(k=KS)} select * from re where cl and cr")
 register("h01b_condition_threshold", "exp | particle segment state first n | ", lambda t: sta.by_condition_threshold(speeds(t), True, drop_edges=False), f"with {SPEED}, th as (select condition, quantile_cont(v,0.5) as th from sv group by 1), st as (select sg.*, (v>=th)::int as state from sg join th using (condition)), {RUNS.format(k=KS)} select * from re")
-register("h02_low_intervals", "exp | particle first last length | ", lambda t: sta.low_intervals(t.tracks, "y", 40.0, 2), "with st as (select *, (y<40)::int as state, row_number() over (partition by exp, particle order by frame) as i from tracks), rc as (select *, sum(case when state<>ps then 1 else 0 end) over (partition by exp, particle order by frame) as run from (select *, lag(state) over (partition by exp, particle order by frame) as ps from st)), rn as (select exp, particle, run, any_value(state) as state, min(frame) as first, max(frame) as last, max(i)-min(i) as length from rc group by 1,2,3) select * from rn where state=1 and length>=2 qualify true and run < (select max(run) from rn r2 where r2.exp=rn.exp and r2.particle=rn.particle)")
+register("h02_low_intervals", "exp | particle first last length | ", lambda t: sta.low_intervals(t.tracks, "y", 40.0, 2), "with st as (select *, (y<40)::int as state, row_number() over (partition by exp, particle order by frame) as i from tracks), rc as (select *, sum(case when state<>ps then 1 else 0 end) over (partition by exp, particle order by frame) as run from (select *, lag(state) over (partition by exp, particle order by frame) as ps from st)), rn as (select exp, particle, run, any_value(state) as state, min(frame) as first, max(frame) as last, max(i)-min(i) as length, max(run) over (partition by exp, particle) as top from rc group by 1,2,3) select * from rn where state=1 and length>=2 and run<top")
 register("e35_waiting_times", "length | n | ", lambda t: sta.low_intervals(t.tracks, "y", 40.0, 1).groupBy(F.col("length").cast("string").alias("length")).agg(F.count("*").alias("n")), "with st as (select *, (y<40)::int as state, row_number() over (partition by exp, particle order by frame) as i from tracks), rc as (select *, sum(case when state<>ps then 1 else 0 end) over (partition by exp, particle order by frame) as run from (select *, lag(state) over (partition by exp, particle order by frame) as ps from st)), rn as (select exp, particle, run, any_value(state) as state, max(i)-min(i) as length, max(run) over (partition by exp, particle) as top from rc group by 1,2,3) select length::varchar as length, count(*) as n from rn where state=1 and length>=1 and run<top group by 1")
 HYS = f"{GSTEP}, sg as (select *, sum(case when df<>1 then 1 else 0 end) over (partition by exp, particle order by frame) as segment from steps), mk as (select *, case when abs(y)<20 then 1 when y>60 then 0 when row_number() over w=1 then (y<40)::int end as m from sg window w as (partition by exp, particle, segment order by frame)), st as (select *, last_value(m ignore nulls) over (partition by exp, particle, segment order by frame) as state from mk)"
 hys = lambda t: sta.hysteresis(t.gaps, "y", 20.0, 60.0)
