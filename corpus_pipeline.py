@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of lines, n_chars following; documents that lost all they had go."""
     held, rest = packed(docs, ["doc_id", "text"], [])
-    out = lines.line_dedup(held.withColumnRenamed("_rest", "held")).where((F.col("n_removed_lines") == 0) | (F.col("text") != ""))
+    # written first: a filter on computed texts would be pushed down and compute them once more inside itself
+    out = stash(lines.line_dedup(held.withColumnRenamed("_rest", "held")), "lines").where((F.col("n_removed_lines") == 0) | (F.col("text") != ""))
     out = out.withColumnRenamed("held", "_rest").select("doc_id", "text", *rest, F.col("n_removed_lines").alias("__gone"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
