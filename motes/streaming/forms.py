@@ -28,8 +28,8 @@ def segments(rows: DataFrame, gap: str, late: str = "1 minute") -> DataFrame:
     return rows.withWatermark("time", late).groupBy(*KEY, F.session_window("time", gap)).agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
-def dwell_runs(rows: DataFrame, column: str, enter: float, leave: float, timeout_ms: int = 600_000) -> DataFrame:
-    """Hysteresis state of each track (1 stopped) and its closed runs as they end: state, first, last, n, censored. A frame gap or a timeout ends a run as censored.
+def dwell_runs(rows: DataFrame, column: str, enter: float, leave: float, timeout_ms: int | None = None) -> DataFrame:
+    """Hysteresis state of each track (1 stopped) and its closed runs as they end: state, first, last, n, censored. A frame gap ends a run as censored, and so does a timeout, if one is set (then the stream plans batches without end, so it suits no drained query).
 
     Rows of a track must arrive in order of frames between batches; inside a batch they are sorted.
     """
@@ -55,10 +55,11 @@ def dwell_runs(rows: DataFrame, column: str, enter: float, leave: float, timeout
                     held = (int(frame), mark, held[2], held[3] + 1)
             if held is not None:
                 state.update(held)
-                state.setTimeoutDuration(timeout_ms)
+                if timeout_ms:
+                    state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(*key, *r) for r in out], columns=[*KEY, "state", "first", "last", "n", "censored"])
 
-    return rows.groupBy(*KEY).applyInPandasWithState(step, "exp string, particle long, state int, first long, last long, n long, censored boolean", "last long, mark int, first long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(*KEY).applyInPandasWithState(step, "exp string, particle long, state int, first long, last long, n long, censored boolean", "last long, mark int, first long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def arriving_steps(rows: DataFrame, dt: float = 1.0) -> DataFrame:
