@@ -115,7 +115,7 @@ def simhash(docs: DataFrame) -> DataFrame:
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All (query bits, index bits) with at most `radius` different bits, once each; both inputs have a column bits, distinct.
 
-    A pair is reported by the first table whose two blocks agree in it.
+    A pair is reported by the first table whose two blocks agree in it. The merge hint is for the exploded tables, whose size the optimiser underrates.
     """
     n = radius + 2
     edges = [64 * i // n for i in range(n + 1)]
@@ -131,7 +131,7 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) ->
     first = F.lit(None)
     for i, j in reversed(pairs):
         first = F.when(same[i] & same[j], F.lit(i * n + j)).otherwise(first)
-    return tables(queries, "query").join(tables(index, "match"), ["t", "k"]).where((F.bit_count(differ) <= radius) & (F.col("t") == first)).select("query", "match")
+    return tables(queries, "query").join(tables(index, "match").hint("merge"), ["t", "k"]).where((F.bit_count(differ) <= radius) & (F.col("t") == first)).select("query", "match")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
