@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, curves
 from ..operators import filters as flt
 from ..operators import kinematics as kin
+from ..operators import smoothing
 from ..sources import io
 from .registry import register
 
@@ -86,3 +87,5 @@ register("k24_synchronised_mean", "exp | particle | x_mean", lambda t: kin.synch
 register("k25_interpolated", f"{ID} | u", lambda t: kin.interpolated(t.gaps.select("exp", "particle", "frame"), t.gaps.where("frame % 10 = 0").groupBy("exp", "frame").agg(F.avg("x").alias("u")), "u"),
          "with s as (select exp, frame, avg(x) as v from gaps where frame%10=0 group by 1,2), r as (select distinct exp, frame from gaps), n as (select r.exp, r.frame, max_by(a.v,a.frame) as va, max(a.frame) as fa from r left join s a on a.exp=r.exp and a.frame<=r.frame group by 1,2), m as (select r.exp, r.frame, min_by(b.v,b.frame) as vb, min(b.frame) as fb from r left join s b on b.exp=r.exp and b.frame>=r.frame group by 1,2) select g.exp, g.particle, g.frame, coalesce(va+(vb-va)*coalesce((g.frame-fa)/nullif(fb-fa,0),0), va, vb) as u from gaps g join n using (exp, frame) join m using (exp, frame)")
 register("k27_nearest_level", "exp | particle frame | x", lambda t: kin.nearest_level(t.gaps, kin.KEY, "frame", F.lit(50)), "select * from gaps qualify row_number() over (partition by exp, particle order by abs(frame-50), frame)=1")
+register("k07_kalman_velocity", f"{ID} | vx vy vx_error vy_error", lambda t: smoothing.kalman_velocity(t.gaps, 1.0, 10.0))
+register("k08_spline_velocity", f"{ID} | x_smooth y_smooth vx vy", lambda t: smoothing.spline_velocity(t.gaps))
