@@ -154,10 +154,14 @@ def prefix_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     count = listed.groupBy("item").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
     first = listed.join(count, "item").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).where("df > 1")
-    first = stash(first.select("id", "n", "label", "item"), "prefixes")
-    other = first.select("item", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    own = first.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item"))), lambda s: s["item"]).alias("prefix"))
+    first = stash(first.select("id", "n", "label", "item", "rank").join(own, "id"), "prefixes")
+    other = first.select("item", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("rank").alias("place"), F.col("prefix").alias("theirs"))
     near = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    return first.withColumnRenamed("id", "a").join(other, "item").where((F.col("label") < F.col("other")) & near).select("a", "b").distinct()
+    # what follows the first shared item bounds the overlap, which the similarity demands to be t / (1 + t) of both sizes
+    enough = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+    once = F.get(F.array_intersect("prefix", "theirs"), F.lit(0)) == F.col("item")
+    return first.withColumnRenamed("id", "a").join(other, "item").where((F.col("label") < F.col("other")) & near & enough & once).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
