@@ -4,7 +4,8 @@ A text is its distinct runs of five words (a shorter text is one run), each weig
 arrivals of a Poisson process with its weight as rate; an arrival picks one of ROWS * BANDS slots, and a slot keeps the
 earliest. A run stops when its next arrival is later than every slot's earliest, so work ends early; two texts agree in a slot with
 their probability Jaccard similarity. Slots are banded, candidates share a band, and links are pairs whose sets of runs have Jaccard similarity
-of at least `similarity`, computed exactly.
+of at least `similarity`, computed exactly. Where a text repeats runs, its weights differ and its probability Jaccard similarity may be far below
+that of the sets; so such a text also has the bands of equal weights, and any two texts are compared at the similarity that links use.
 
 Equal texts are one representative (the smallest doc_id) before anything else. In each band bucket every member is verified against
 one leader, the member with the most bucket mates; so a bucket of k alike texts costs k comparisons. After connected components, texts
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import mix, stash, units, windows, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 8) ** 40 = 0.9994.
+#: A pair whose sets have similarity 0.8 shares a band of equal weights with probability 1 - (1 - 0.8 ** 8) ** 40 = 0.9994.
 ROWS, BANDS = 8, 40
 
 
@@ -75,18 +76,34 @@ def signatures(key: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, s
     return sig.reshape(n, slots)
 
 
+def band_keys(key: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, rows: int, bands: int) -> np.ndarray:
+    """(n, bands): the hash of each band of a text's signature, different for different bands."""
+    sig = signatures(key, owner, weight, n, rows * bands).reshape(n, bands, rows)
+    total = np.zeros(sig.shape[:2], np.uint64)
+    for i in range(rows):
+        total = mix(total * np.uint64(31) + sig[:, :, i])
+    return total ^ mix(np.arange(1, bands + 1, dtype=np.uint64))[None]
+
+
 def _sign(rows: int, bands: int, width: int):
     def run(batches):
         for unit in units(batches, 3_000_000):
             texts = unit["text"]
             key, owner, weight = shingles(texts, width)
             n = np.bincount(owner, minlength=len(texts))
-            sig = signatures(key, owner, weight, len(texts), rows * bands).reshape(len(texts), bands, rows)
-            total = np.zeros(sig.shape[:2], np.uint64)
-            for i in range(rows):
-                total = mix(total * np.uint64(31) + sig[:, :, i])
-            total ^= mix(np.arange(1, bands + 1, dtype=np.uint64))[None]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))), pa.int32()), pa.array(total[n > 0].ravel().view(np.int64)))
+            total = np.zeros((len(texts), 2 * bands), np.uint64)
+            total[:, :bands] = band_keys(key, owner, weight, len(texts), rows, bands)
+            keep = np.zeros(total.shape, bool)
+            keep[:, :bands] = (n > 0)[:, None]
+            # texts without repeats have equal weights already, so their bands serve both comparisons
+            uneven = np.zeros(len(texts), bool)
+            uneven[owner[weight > 1]] = True
+            again = np.flatnonzero(uneven)
+            own = uneven[owner]
+            flat = band_keys(key[own], np.searchsorted(again, owner[own]), np.ones(int(own.sum())), len(again), rows, bands)
+            total[again, bands:] = flat
+            keep[again, bands:] = flat != total[again, :bands]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(keep.sum(1)))), pa.int32()), pa.array(total[keep].view(np.int64)))
             digest = pa.array([hashlib.md5((t or "").encode()).digest() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(unit["doc_id"], pa.int64()), digest, pa.array(n, pa.int32()), lists], names=["doc_id", "digest", "n", "bands"])
 

@@ -208,6 +208,20 @@ def test_near_duplicates_brute_force(spark, hard, none):
     assert near_dedup.keep_one(none).count() == 0
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rng = random.Random(55)
+    rows = []
+    for k in range(0, 40, 2):
+        text = [f"{k}x{i}" for i in range(304)]
+        line = " ".join(text[-5 - 60 :])
+        footer = " ".join(f"{k}f{rng.random()}" for _ in range(30))
+        # equal sets but for the seams of a line said 300 times; further runs said 100 times
+        rows += [(k, " ".join(text)), (k + 1, " ".join([*text, *[line] * 300]) if k % 4 else "\n".join([" ".join(text), *[footer] * 100]))]
+    classes, _ = near_dedup.near_duplicates(docs(spark, rows))
+    got, want = {r.doc_id: r.class_id for r in classes.collect()}, brute_classes(rows)
+    assert {i: want[i] for i, _ in rows} == {i: i - i % 2 for i, _ in rows} and got == want
+
+
 def test_probminhash_estimates_similarity():
     rng = np.random.default_rng(6)
     a = rng.integers(1, 2**63, 300).astype(np.uint64)
