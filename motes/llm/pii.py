@@ -1,10 +1,12 @@
 """Personal data in texts: fixed patterns as seeds, and bootstrapped contextual extraction of further identifiers.
 
-Candidates are tokens with at least MIN_DIGITS digits, or with an @. A lexical pattern is the word before a candidate with the
-shape of the candidate (digits and letters as classes, runs shortened). Seeds, the base spans' values, start with score 1. In each
-round a pattern's score is the mean score of its distinct instances, damped by PRIOR unknown ones, and an instance's is the noisy-or
-of its patterns'; so trust spreads along the graph of patterns and instances, by joins of two aggregated tables. In the end
-patterns that score at least CONFIDENT, with SEEDS_EACH distinct seeds or more, accept their other instances.
+Candidates are tokens with at least MIN_DIGITS digits, or with an @, and groups of digits with spaces between. A lexical pattern is a pair of
+words around a candidate: the two before it, the two after it, or one on either side. Members, at first the base spans' values, spread trust
+along the graph of patterns and instances, by joins of aggregated tables. In each round a pattern's trust in an instance is the share of
+members among its other distinct instances, damped by PRIOR unknown ones; so nothing supports itself. The shape of a value (digits
+and letters as classes, runs shortened) is a soft feature: members of the same shape add to the trust, weighing SHAPE, but an unseen
+shape takes nothing away. Instances with trust of at least CONFIDENT from a pattern with SUPPORT other members or more become members,
+so that later rounds reach patterns without base spans. In the end the occurrences in such patterns are accepted.
 
 Defined results: null counts as the empty text; offsets are code points; base spans always stay; accepted spans (kind found)
 overlap none of them; rows that repeat a doc_id are told apart by their text.
@@ -29,9 +31,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CANDIDATE = re.compile(r"[A-Za-z0-9+(][A-Za-z0-9+()@._/-]*[A-Za-z0-9]")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9])\(?[0-9]{2,4}\)?(?:[\x20-]\(?[0-9]{2,4}\)?)+(?![A-Za-z0-9@._/-])|[A-Za-z0-9+(][A-Za-z0-9+()@._/-]*[A-Za-z0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-MIN_DIGITS, ROUNDS, PRIOR, CONFIDENT, SEEDS_EACH = 5, 3, 2, 0.6, 3
+MIN_DIGITS, ROUNDS, PRIOR, CONFIDENT, SUPPORT, SHAPE = 5, 3, 2, 0.6, 3, 0.25
+NOT_WORD = re.compile(r"\W+")
 
 
 def luhn(digits: str) -> bool:
@@ -61,33 +64,49 @@ def shape(value: str) -> str:
     return re.sub(r"a{3,}", "aa", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", value)))[:40]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, pattern, value, seed) of base spans and further tokens."""
-    out = []
-    for s, k, e in spans:
-        out.append((s, e, text[s:e], True, KINDS[k]))
+def around(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of an occurrence; ^ and $ are the ends of the text."""
+    before = [NOT_WORD.sub("", w).lower() for w in text[max(0, start - 60) : start].split()[-2:]]
+    after = [NOT_WORD.sub("", w).lower() for w in text[end : end + 60].split()[:2]]
+    a, b = ["^", "^", *before][-2:]
+    c, d = [*after, "$", "$"][:2]
+    return [f"{a} {b} _", f"{b} _ {c}", f"_ {c} {d}"]
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], str, str, bool]]:
+    """(start, end, patterns, shape, value, seed) of base spans and further tokens."""
+    out = [(s, e, text[s:e], True) for s, _, e in spans]
     if any(d in text for d in "0123456789@"):
         for m in CANDIDATE.finditer(text):
             v = m[0]
             if ("@" in v or sum(c.isdigit() for c in v) >= MIN_DIGITS) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-                out.append((m.start(), m.end(), v, False, ""))
-    rows = []
-    for s, e, v, seed, _ in out:
-        before = text[max(0, s - 40) : s].split()
-        word = re.sub(r"\W+", "", before[-1]).lower() if before else "^"
-        rows.append((s, e, f"{word}|{shape(v)}", v, seed))
-    return rows
+                out.append((m.start(), m.end(), v, False))
+    return [(s, e, around(text, s, e), shape(v), v, seed) for s, e, v, seed in out]
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns worth trust, from seen(pattern, value, seed). Each round is a join of edges with instance scores and one with pattern scores."""
-    edges = stash(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    instance = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    """(pattern, value): patterns with the instances, not seeds, that they deserve trust for; from seen(pattern, value, seed[, shape]).
+
+    Each round joins edges with members, patterns and shapes. Members only grow, so the last round holds what all found.
+    """
+    if "shape" not in seen.columns:
+        seen = seen.withColumn("shape", F.lit(None).cast("string"))
+    edges = stash(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.first("shape").alias("shape")), "pii-edges")
+    values = edges.groupBy("value").agg(F.max("seed").alias("seed"), F.first("shape").alias("shape"))
+    member = values.where("seed").select("value", F.lit(1).alias("in"))
+    inside = F.coalesce("in", F.lit(0))
     for _ in range(rounds):
-        pattern = edges.join(instance, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("trust"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        trust = edges.join(pattern, "pattern").groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("_s"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("_t"))
-        instance = trust.select("value", F.greatest("_s", "_t").alias("score"))
-    return pattern.where((F.col("trust") >= CONFIDENT) & (F.col("seeds") >= SEEDS_EACH)).select("pattern")
+        marked = edges.join(member, "value", "left").withColumn("in", inside)
+        shapes = values.join(member, "value", "left").groupBy("shape").agg(F.sum(inside).alias("like"), F.count("*").alias("alike")).where("like > 0")
+        # no shape lifts a pattern below this share to CONFIDENT
+        able = marked.groupBy("pattern").agg(F.sum("in").alias("known"), F.count("*").alias("n")).where((F.col("known") >= SUPPORT) & (1 - (1 - F.col("known") / (F.col("n") - 1 + PRIOR)) * (1 - SHAPE) >= CONFIDENT))
+        both = marked.where("not seed").join(able, "pattern").join(shapes, "shape", "left")
+        others = F.col("known") - F.col("in")
+        alike = F.coalesce((F.col("like") - F.col("in")) / (F.col("alike") - 1 + PRIOR), F.lit(0.0))
+        sure = 1 - (1 - others / (F.col("n") - 1 + PRIOR)) * (1 - SHAPE * alike)
+        reached = stash(both.where((others >= SUPPORT) & (sure >= CONFIDENT)).select("pattern", "value"), "pii-reached")
+        member = values.where("seed").select("value").unionByName(reached.select("value")).distinct().withColumn("in", F.lit(1))
+    return reached
 
 
 def _first(batches):
@@ -98,8 +117,8 @@ def _first(batches):
             spans = base_spans(text)
             cand = candidates(text, spans)
             key = hashlib.md5(text.encode()).digest()
-            rows.append((doc, key, ",".join(f"{s}:{k}:{e}" for s, k, e in spans), [{"s": c[0], "e": c[1], "pattern": c[2], "value": c[3], "seed": c[4]} for c in cand]))
-        kinds = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_())])))
+            rows.append((doc, key, ",".join(f"{s}:{k}:{e}" for s, k, e in spans), [{"s": c[0], "e": c[1], "patterns": c[2], "shape": c[3], "value": c[4], "seed": c[5]} for c in cand]))
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("patterns", pa.list_(pa.string())), ("shape", pa.string()), ("value", pa.string()), ("seed", pa.bool_())])))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "key", "base", "cand"])
 
 
@@ -116,9 +135,9 @@ def _last(frames):
 
 def pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_found (long), base_sha256, spans for docs(doc_id, text)."""
-    first = stash(docs.select("doc_id", "text").mapInArrow(_first, "doc_id long, key binary, base string, cand array<struct<s:int,e:int,pattern:string,value:string,seed:boolean>>"), "pii-spans")
-    seen = first.select("doc_id", "key", F.explode("cand").alias("c")).select("doc_id", "key", "c.*")
-    accepted = seen.where("not seed").join(trusted_patterns(seen.select("pattern", "value", "seed")), "pattern", "left_semi")
+    first = stash(docs.select("doc_id", "text").mapInArrow(_first, "doc_id long, key binary, base string, cand array<struct<s:int,e:int,patterns:array<string>,shape:string,value:string,seed:boolean>>"), "pii-spans")
+    seen = first.select("doc_id", "key", F.explode("cand").alias("c")).select("doc_id", "key", "c.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
+    accepted = seen.where("not seed").join(trusted_patterns(seen.select("pattern", "value", "seed", "shape")), ["pattern", "value"], "left_semi")
     found = accepted.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("s", "e")).alias("found"))
     both = first.select("doc_id", "key", "base").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select("doc_id", "base", "found")
     return both.mapInPandas(_last, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_found long, base_sha256 string, spans string")

@@ -277,6 +277,26 @@ def test_pii_bootstrap(spark):
     assert [r.pattern for r in pii.trusted_patterns(seen).collect()] == ["contact|99"]
 
 
+def test_pii_finds_unseen_formats(spark):
+    rng = random.Random(71)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"{i} you may reach me at +1 (743) 555-{digits(4)} any time {i}") for i in range(12)]
+    # unseen formats in the seeds' context; the same values, and with them further ones, in a context without seeds
+    new = ["(743) 555-0199", "743.555.0123", "P1234567X", "DE8937040044"]
+    rows += [(20 + i, f"{i} you may reach me at {v} any time {i}") for i, v in enumerate(new)]
+    rows += [(30 + i, f"{i} their file number {v} stays open {i}") for i, v in enumerate([*new, "K7-99123"])]
+    rows += [(40 + i, f"{i} the total was {digits(7)} in {i}") for i in range(9)]
+    # as many wrong card numbers as right ones: these do not raise each other
+    valid = lambda: next(d for d in iter(lambda: digits(16), None) if pii.luhn(d))
+    wrong = lambda: next(d for d in iter(lambda: digits(16), None) if not pii.luhn(d))
+    rows += [(60 + i, f"{i} an order id {valid() if i % 2 else wrong()} was sent {i}") for i in range(20)]
+    got = {r.doc_id: r for r in pii.pii(docs(spark, rows)).collect()}
+    text = dict(rows)
+    found = {i: [text[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "found"] for i, r in got.items()}
+    assert [found[20 + i] for i in range(4)] == [[v] for v in new] and [found[30 + i] for i in range(5)] == [[v] for v in [*new, "K7-99123"]]
+    assert all(got[i].n_found == 0 for i in [*range(12), *range(40, 49), *range(60, 80)])
+
+
 def test_decontamination(spark, hard, none):
     rng = random.Random(8)
     item = " ".join(words(rng, 30, 3000))
