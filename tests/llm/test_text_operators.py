@@ -256,6 +256,23 @@ def test_secrets(spark, hard, none):
     assert secrets.secret_scan(hard, None).count() == 11 and secrets.secret_scan(none, model).count() == 0 and secrets.train(*secrets.labelled(none)) is None
 
 
+def test_secrets_sees_whole_candidates(spark):
+    # a network that answers to one thing, a capital from G to Z inside the candidate
+    k, w = np.zeros((secrets.WIDTH * secrets.CLASSES, secrets.FILTERS), np.float32), np.zeros(3 * secrets.FILTERS, np.float32)
+    k[4, 0], w[2 * secrets.FILTERS] = 1, 10
+    model = {"k": k, "b": np.zeros(secrets.FILTERS, np.float32), "w": w, "c": np.full(1, -5, np.float32), "p1": 1.0, "p0": 0.0, "threshold": 0.5}
+    path = "/".join(["plainlong"] * 6)
+    for v in ("xxZyyyyy", "onlyletterZ", "pass-Zord-letters-only", f"{path}/key=aZ", f"{path}Z{path}"):
+        got = secrets.secret_scan(docs(spark, [(1, f"Zé {v} Z {path} Zshort\U0001f600 {v}")]), model).first()
+        t = f"Zé {v} Z {path} Zshort\U0001f600 {v}"
+        assert got.spans == ",".join(f"cnn:{m.start()}:{m.end()}" for m in re.finditer(re.escape(v), t)), v
+    x = np.random.default_rng(1).integers(0, secrets.CLASSES, (700, 64))
+    model = {**model, "k": np.random.default_rng(2).normal(0, 1, k.shape).astype(np.float32), "w": np.random.default_rng(3).normal(0, 0.1, w.shape).astype(np.float32)}
+    h = np.maximum(secrets._features(x) @ model["k"], 0)[:, :48]
+    z = np.concatenate([h[:, :16].max(1), h[:, 16:].mean(1), h[:, 16:].max(1)], axis=1) @ model["w"] - 5
+    assert np.allclose(secrets.scores(model, x), 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
 def test_pii(spark, hard, none):
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     t = "mail a.b@x-y.co.uk or 10.0.0.1 and 999.1.1.1 card 4539 5787 6362 1486 tel +1 (743) 555-3824 end"
