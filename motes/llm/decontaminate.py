@@ -5,16 +5,19 @@ placeholders, other words are lower-cased and lose ASCII punctuation. Windows of
 placeholders, are hashed and joined with those of the benchmark. The values that placeholders stand for must be consistent
 for a document and an item: along one alignment, one item value stands for one document value; windows that break this do
 not count. A document is contaminated if its consistent windows cover a share COVERAGE of an item's windows, or RUN of them.
+An item without a window (too short, or too many placeholders) is matched by its whole template instead, as one window of its own length
+with the same consistency; a template of placeholders only must also have the item's values.
 
 The benchmark's distinct window hashes are counted; up to FILTER of them (8 bytes each) are broadcast as a filter before the join,
 beyond that every window goes to the join.
 
-Defined results: null and empty texts, and texts shorter than a window, match nothing; items shorter than a window match nothing;
+Defined results: null and empty texts, and items without words, match nothing;
 a document matches an item once however often it holds it; rows that repeat a doc_id count as one document.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, place, units, windows, word_hashes
+from .common import mix, packed, place, units, windows, word_hashes
 
 WIDTH, LITERALS, COVERAGE, RUN, FILTER = 8, 5, 0.5, 6, 4_000_000
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
@@ -31,14 +34,16 @@ NUMBERS = re.compile(r"(?<!\w)[0-9]+(?:[.,:/][0-9]+)*%?(?!\w)")
 UNITS = re.compile(rf"(?<={NUMBER} )(?:km|kilometers?|miles?|m|meters?|cm|mm|kg|grams?|g|mg|pounds?|lbs?|tons?|liters?|ml|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|kmh|mph|degrees?)\b")
 NAMES = re.compile(r"(?<=[a-zß-ÿ,;] )[A-ZÀ-Þ][a-zß-ÿ]+\b")
 DIGIT = re.compile(r"[0-9]")
+MARKS = re.compile(f"[{NUMBER}{NAME}{UNIT}]")
 PUNCT = {i: " " for i in range(33, 127) if not chr(i).isalnum()}
 
 
 def canonical(text: str) -> tuple[str, list[str]]:
     """Template of a text, and the values of its placeholders in order."""
     values: list[str] = []
+    text = MARKS.sub(" ", text)
     if NAMES.search(text) or DIGIT.search(text):
-        text = NAMES.sub(lambda m: f"{NAME}{m[0].lower()}{NAME}", text)
+        text = NAMES.sub(lambda m: f" {NAME}{m[0].lower()}{NAME} ", text)
         text = NUMBERS.sub(lambda m: f" {NUMBER}{m[0]}{NUMBER} ", text)
         # the value is taken out, the mark stays
         text = re.sub(f"([{NUMBER}{NAME}])([^{NUMBER}{NAME}]*)\\1", lambda m: values.append(m[2]) or m[1], text)
@@ -47,9 +52,14 @@ def canonical(text: str) -> tuple[str, list[str]]:
     return text.lower().translate(PUNCT), values
 
 
-def _windows(texts: list[str | None], width: int):
-    """hash, text index and word index of each window with enough literals; slot numbers before each word; values."""
+def _windows(texts: list[str | None], width: int, whole: list[tuple[int, bool]] | None):
+    """key, first word's index, length of windows; owner, place and slot number of each word; values.
+
+    These are the windows of `width` with enough literals, and those of `whole`, (length, whether placeholders only). whole None: the texts are
+    items, and those without a window are one window as a whole.
+    """
     made = [canonical(t or "") for t in texts]
+    values = [m[1] for m in made]
     (h,), owner = word_hashes([m[0].encode() for m in made])
     marks = word_hashes([m.encode() for m in (NUMBER, NAME)])[0][0]
     slot = np.isin(h, marks)
@@ -58,33 +68,49 @@ def _windows(texts: list[str | None], width: int):
     total = np.concatenate(([0], np.cumsum(slot | unit)))
     good = width - (total[at + width] - total[at]) >= LITERALS
     slots = np.concatenate(([0], np.cumsum(slot)))
-    return key[good], at[good], owner, place(owner), slots, [m[1] for m in made]
-
-
-_ROWS = "id long, h long, pos int, slots array<string>, first_slot int, total int"
-
-
-def _emit(column: str, keep=None, width: int = WIDTH):
+    parts = [(key[good], at[good], np.full(int(good.sum()), width))]
+    count = np.bincount(owner, minlength=len(texts))
+    alone = (count > 0) & (np.bincount(owner[at[good]], minlength=len(texts)) == 0)
+    lengths = sorted({(int(n), bare) for n in np.unique(count[alone]) for bare in (False, True)}) if whole is None else whole
+    for n, bare in lengths:
+        key, at = windows(h, owner, n)
+        fit = (total[at + n] - total[at] == n) == bare
+        if whole is None:
+            fit &= alone[owner[at]] & (count[owner[at]] == n)
+        key, at = mix(key[fit] + np.uint64(n)), at[fit]
+        if bare and len(at):
+            begin = np.searchsorted(owner, owner[at])
+            said = ["\n".join(values[w][a:b]).encode() for w, a, b in zip(owner[at].tolist(), (slots[at] - slots[begin]).tolist(), (slots[at + n] - slots[begin]).tolist(), strict=True)]
+            key = mix(key ^ np.array([int.from_bytes(hashlib.md5(v).digest()[:8]) for v in said], np.uint64))
+        parts.append((key, at, np.full(len(at), n)))
+    key, at, size = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return key, at, size, total[at + size] - total[at] == size, owner, place(owner), slots, values
+
+
+_ROWS = "id long, h long, pos int, slots array<string>, first_slot int, total int, size int, bare boolean"
+
+
+def _emit(column: str, keep=None, width: int = WIDTH, whole: list[tuple[int, bool]] | None = None):
     """A map over Arrow batches with (id column, text): one row per window whose hash is in keep (sorted), all without keep."""
 
     def run(batches):
         wanted = keep.value if keep is not None else None
         for unit in units(batches, 3_000_000):
-            key, at, owner, pos, slots, values = _windows(unit["text"], width)
+            key, at, size, bare, owner, pos, slots, values = _windows(unit["text"], width, whole)
             n = np.bincount(owner[at], minlength=len(unit["text"]))
             if wanted is not None:
                 i = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
                 hit = wanted[i] == key if len(wanted) else np.zeros(len(key), bool)
-                key, at = key[hit], at[hit]
+                key, at, size, bare = key[hit], at[hit], size[hit], bare[hit]
             if not len(key):
                 continue
             who = owner[at]
             begin = np.searchsorted(owner, who)
-            low, high = slots[at] - slots[begin], slots[at + width] - slots[begin]
+            low, high = slots[at] - slots[begin], slots[at + size] - slots[begin]
             held = [values[w][a:b] for w, a, b in zip(who.tolist(), low.tolist(), high.tolist(), strict=True)]
             ids = unit[column]
-            cols = [pa.array([ids[w] for w in who.tolist()], pa.int64()), pa.array(key.view(np.int64)), pa.array(pos[at].astype(np.int32)), pa.array(held, pa.list_(pa.string())), pa.array(low.astype(np.int32)), pa.array(n[who].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "pos", "slots", "first_slot", "total"])
+            cols = [pa.array([ids[w] for w in who.tolist()], pa.int64()), pa.array(key.view(np.int64)), pa.array(pos[at].astype(np.int32)), pa.array(held, pa.list_(pa.string())), pa.array(low.astype(np.int32)), pa.array(n[who].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(bare)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "pos", "slots", "first_slot", "total", "size", "bare"])
 
     return run
 
@@ -92,11 +118,13 @@ def _emit(column: str, keep=None, width: int = WIDTH):
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, item_id, windows (consistent distinct windows of the item that the document holds), total (the item's windows)."""
     bench = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(_emit("item_id", width=width), _ROWS)
+    own = bench.groupBy("id").agg(F.max("total").alias("total"), F.max("size").alias("size"), F.max("bare").alias("bare")).where("total = 1")
+    whole = sorted((r[0], r[1]) for r in own.select("size", "bare").distinct().collect())
     hashes = bench.select("h").distinct()
     keep = None
     if hashes.limit(FILTER + 1).count() <= FILTER:
         keep = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)))
-    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_emit("doc_id", keep, width), _ROWS)
+    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_emit("doc_id", keep, width, whole), _ROWS)
     b = bench.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("first_slot").alias("item_slot"), "total")
     pairs = found.select(F.col("id").alias("doc_id"), "h", "pos", "slots").join(b, "h").withColumn("shift", F.col("pos") - F.col("item_pos")).drop("h", "pos")
     plain = pairs.where(F.size("item_slots") == 0)

@@ -340,6 +340,21 @@ def test_decontamination(spark, hard, none):
     assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(hard, bench.where("false")).count() == 11
 
 
+def test_decontamination_of_names_and_short_items(spark):
+    num = "if the line has 40 people and 12 people join while 40 people wait then how many are there in the whole long line today"
+    dense = "Compute 3 + 4 * 5 - 6 / 2 + 7 * 8 - 9"
+    bench = spark.createDataFrame([(1, num), (2, dense), (3, "Who wrote the old song?"), (4, "17 23 42")], "item_id long, text string")
+    names = "we saw Paris\u2019s roofs and then Rome\u2014a city and Oslo\u2019s \x02 port"
+    rows = [(1, f"{names} {num}"), (2, f"now: {dense}"), (3, "and who wrote the old song then"), (4, "it said 17, 23, 42 there"), (5, dense.replace("3", "11"))]
+    rows += [(6, "who wrote the new song"), (7, "it said 17, 23, 43 there"), (8, dense.replace("9", "4", 1)), (9, "compute 3 4 5 6"), (10, "1 2")]
+    torn = "Add 5 + 5 + 5"
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert [got[i].contaminated for i in range(1, 8)] == [True] * 5 + [False] * 2 and got[1].coverage == 1 and not got[9].contaminated and not got[10].contaminated
+    short = spark.createDataFrame([(1, torn)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, [(1, "add 7 + 7 + 7"), (2, "add 7 + 8 + 7")]), short).collect()}
+    assert got[1].contaminated and not got[2].contaminated
+
+
 def test_simhash_next_and_edits(spark, hard, none):
     rng = random.Random(9)
     rows = [(i * 3, " ".join(words(rng, rng.randrange(0, 60)))) for i in range(50)] + [(500, "ab"), (501, "é" * 9)]
