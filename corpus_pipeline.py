@@ -48,11 +48,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, taken (words, repeats counted) and first_slot (order of the mix)."""
-    mixed = mixing.mixed(docs.select("doc_id", "source", "text")).where("taken > 0")
-    by_id = mixed.groupBy("doc_id").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"))
+    """The rows that the mix takes, with size, source_size, target, taken (words, repeats counted) and first_slot (order of the mix).
+
+    Rows are told apart by a key of their own, so null and repeated doc_ids are rows like any other.
+    """
     made = ("size", "source_size", "target", "taken", "first_slot")
-    return docs.drop(*made).join(by_id, "doc_id")
+    # written, so that the keys stay the same on both ways
+    keyed = stash(docs.drop(*made).withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mixing.mixed(keyed.select("doc_id", "source", "text", "__row")).where("taken > 0").select("__row", *made)
+    return keyed.join(taken, "__row").drop("__row")
+
 
 
 STAGES = [

@@ -355,6 +355,16 @@ def test_decontamination_of_names_and_short_items(spark):
     assert got[1].contaminated and not got[2].contaminated
 
 
+def test_mix_keeps_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, " ".join(f"w{i}x{k}" for k in range(5 + i)), "en", "ab"[i % 2]) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.mix_sources(spark, d, SF).toPandas()
+    want = mixing.mixed(d).where("taken > 0").toPandas()
+    assert sorted(got.taken) == sorted(want.taken) and got.text.is_unique and (got.taken <= 3 * got["size"]).all()
+    assert (got["size"] == got.text.str.split().str.len()).all() and got.doc_id.isna().any()
+    assert ((got.groupby("source").taken.sum() - got.groupby("source").target.first()).abs() <= 1).all()
+
+
 def test_simhash_next_and_edits(spark, hard, none):
     rng = random.Random(9)
     rows = [(i * 3, " ".join(words(rng, rng.randrange(0, 60)))) for i in range(50)] + [(500, "ab"), (501, "é" * 9)]
