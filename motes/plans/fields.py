@@ -73,3 +73,8 @@ register("g41_decomposition", "exp | particle n | alignment eta eta_alignment",
 register("g42_transfer_gain", "condition exp | n | gain efficiency", lambda t: fld.transfer(on_flow(t), ["condition", "exp"]), f"with {ON} select condition, exp, count(*) as n, {TRANS} from tr group by 1,2")
 register("g40_energy_split", "condition | n | mean sem", lambda t: kin.project(kin.lag_displacement(t.tracks, 1), t.theta).groupBy("condition", "exp", "particle").agg(F.avg("share").alias("s")).groupBy("condition").agg(F.avg("s").alias("mean"), (F.stddev_samp("s") / F.sqrt(F.count("s"))).alias("sem"), F.count("s").alias("n")), f"with {STEP}, d as (select condition, exp, particle, frame-1 as frame, dx, dy from steps where dx is not null), s as (select condition, d.exp, particle, avg(pow(dx*cos(theta)+dy*sin(theta),2)/nullif(dx*dx+dy*dy,0)) as s from d join theta t on d.exp=t.exp and d.frame=t.frame group by 1,2,3) select condition, count(s) as n, avg(s) as mean, stddev_samp(s)/sqrt(count(s)) as sem from s group by 1")
 register("k26_hidden_vector", "exp | frame particle | hx hy", lambda t: spa.hidden_vector(spa.near_pixels(moved(t), t.field, 2.0).withColumn("d", F.col("u") * F.col("dx") + F.col("v") * F.col("dy")), ["exp", "frame", "particle"], "u", "v", "d").where("false").unionByName(spa.hidden_vector(t.field.withColumns({"particle": F.col("px"), "d": 2 * F.col("u") - F.col("v") + F.col("py") / 1000}), ["exp", "frame", "particle"], "u", "v", "d")), "with s as (select exp, frame, px as particle, sum(u*u) as a, sum(u*v) as b, sum(v*v) as c, sum(u*(2*u-v+py/1000)) as p, sum(v*(2*u-v+py/1000)) as q from field group by 1,2,3) select exp, frame, particle, case when a*c-b*b>1e-12*pow(a+c,2) then (c*p-b*q)/(a*c-b*b) else p/nullif(a+c,0) end as hx, case when a*c-b*b>1e-12*pow(a+c,2) then (a*q-b*p)/(a*c-b*b) else q/nullif(a+c,0) end as hy from s")
+
+# over all rows of blocks and the real neighbours; tests compare them with brute force
+register("g17_overlapping_blocks_whole", "exp | frame bx by n | m p", lambda t: fld.blocks(spun(t), 8, 4, 0.5, 32))
+register("g19_block_pairs_whole", "exp | frame bx by n | gap", lambda t: fld.blocks(spun(t), 4, 4, 0.5, 32))
+register("k26_hidden_vector_whole", "exp | frame particle | hx hy", lambda t: spa.hidden_vector(spa.near_pixels(moved(t), t.field, 2.0).withColumn("d", F.col("u") * F.col("dx") + F.col("v") * F.col("dy")), ["exp", "frame", "particle"], "u", "v", "d"))

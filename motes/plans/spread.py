@@ -107,3 +107,7 @@ register("j05_variance_split", "| | between within whole", lambda t: assoc.varia
 register("j06_weighted_median", "condition | | median", lambda t: assoc.weighted_median(t.tracks, "y", "x", ["condition"]), "with c as (select condition, y, sum(x) as w from tracks group by 1,2), r as (select *, sum(w) over (partition by condition order by y) as run, sum(w) over (partition by condition) as total from c) select condition, min(y) as median from r where run>=total/2 group by 1")
 register("e23_merged_bins", "condition | group n first_bin last_bin | mean", lambda t: dist.merged_bins(t.tracks, uniform(F.col("x"), 0, 500, 50, "clip"), "y", 200))
 register("x11_weighted_design", "| i | beta", lambda t: t.spark.createDataFrame(list(enumerate(fits.weighted_design(t.tracks, "x", "y", ["frame"]))), "i int, beta double"), "with g as (select sum(y*y) as a, sum(y*y*frame) as b, sum(y*y*frame*frame) as d, sum(y*x) as p, sum(y*frame*x) as q from tracks) select 0 as i, (d*p-b*q)/(a*d-b*b) as beta from g union all select 1, (a*q-b*p)/(a*d-b*b) from g")
+
+# over whole tracks; SQL of the cut forms above says nothing about these, tests compare them with brute force
+register("x08_power_tail_whole", "condition | n | x_min exponent distance", lambda t: fits.power_tail(t.tracks, "x", ["condition"], 20, 25))
+register("x14_retention_whole", "exp | | retention error tau_low", lambda t: fits.retention(t.tracks.groupBy("exp", "frame").agg((F.avg("y") + 100 - F.first("frame")).alias("d"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("e")), ["exp"], "frame", "d", "e"))
