@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,19 @@ def units(batches: Iterator, size: int = UNIT_BYTES) -> Iterator[dict[str, list]
                 at, held = i + 1, 0
 
 
+def slices(batches: Iterator, size: int = UNIT_BYTES) -> Iterator:
+    """Arrow batches with a column `text` cut into batches whose texts have about `size` bytes together."""
+    for batch in batches:
+        text = batch.column("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            begun = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, begun + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SEEDS = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 

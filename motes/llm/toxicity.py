@@ -1,21 +1,26 @@
 """Toxicity by a learned lexicon, matched through Levenshtein automata, with scores of the context of each match.
 
-Lexicon: words and word beginnings (stems) that mark toxic documents among labelled ones, by a likelihood test that counts every
-document once. Terms sit in a trie; a token meets the trie under a Levenshtein automaton (one edit for terms of 5 characters
-or more, two from 9 on), so misspelled terms match. Digits and signs inside tokens are read as letters too.
-Context: a match inside quotation marks, or within WINDOW tokens after a word of reporting, counts as quoted. Exact, misspelled
-and quoted matches, in logarithms, give a score by logistic regression whose penalty pulls towards PRIOR weights.
-
-The model is fitted on at most TRAIN_DOCS labelled rows by hash order (a documented parameter) whose crc32(doc_id) mod 3 is not 1,
-and holds at most TERMS terms, so it is broadcast. Scoring reads whole texts; lang, source, doc_id and labels are no inputs.
+Lexicon: words, and word beginnings (stems), that tell toxic documents from others among labelled ones, by a likelihood ratio test
+that counts every document once. A stem also counts by the documents with two of it. Of terms that begin alike the one with the largest ratio stays, so a stem has its natural length.
+Words sit in a trie; a token meets the trie under a Levenshtein automaton (one edit for words of 5 characters or more, two from 9
+on), so misspelled words match. Tokens near a word that clean training documents hold are other words, no misspellings (`innocent`).
+Digits and signs inside tokens are read as letters too.
+Context: a match inside quotation marks, or within WINDOW tokens after a word of reporting, counts as quoted. Exact words, stems (with the
+text's length, since chance matches grow with it), misspelled and quoted words give a score by logistic regression, penalised towards PRIOR.
+So that the weight of misspellings is learned, every training document is counted once more with typing errors in its long tokens.
+
+The model is fitted on at most TRAIN_DOCS labelled rows by hash order (a documented parameter) whose crc32(doc_id) mod 3 is not 1. A term
+marks SUPPORT of the toxic ones at least, which bounds the lexicon, so it is broadcast. Scoring reads whole texts; lang, source, doc_id and labels are no inputs.
 
 Defined results: null counts as the empty text; texts without a match share one low score; without labels the prior weights
-and an empty lexicon give every text that score; rows of labels with a null label or id are not used; a null doc_id is not held out.
+and an empty lexicon give every text that score; rows of labels with a null label or id are not used, and an id with several labels
+is toxic if one of them says so; rows that repeat a doc_id are scored each; a null doc_id is not held out.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,26 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, stash, windows, word_hashes
-
+from .common import packed, slices, stash, windows, word_hashes
 
-
-TRAIN_DOCS, TERMS, WINDOW, THRESHOLD = 20_000, 4000, 4, 0.7
-STEMS = range(4, 9)
-#: Share of the toxic training documents that a term must mark.
-SUPPORT = 0.01
-#: Weights of: 1, plain matches, doubtful ones (misspelled short terms), quoted matches.
-PRIOR = np.array([-3.0, 6.0, 3.0, 1.5])
-#: Misspelled long terms count nearly as exact ones unless more than this share of clean training documents shows them; then they are doubtful.
-CHANCE = 0.001
-#: Characters from which on a misspelled term is unlikely to be another word.
-LONG = 7
+TRAIN_DOCS, WINDOW, THRESHOLD = 20_000, 4, 0.7
+#: Lengths of stems, and the share of the toxic training documents that a term must mark.
+STEMS, SUPPORT = range(4, 25), 0.01
+#: Least logarithm of a term's likelihood ratio, and least share of toxic documents among those with a word or stem.
+GAIN, WORD_RATE, STEM_RATE = float(np.log(50_000)), 0.9, 0.3
+#: Weights of: 1, words, stems, number of stems, length of texts with stems, misspelled words, quoted words.
+PRIOR = np.array([-3.0, 6.0, 0.5, 1.0, 0.0, 4.0, 1.5])
 TOKEN = re.compile(r"\w[\w@$!*]*\w|\w")
 LETTERS = str.maketrans("013457@$!", "oieastasi")
 SIGNS = re.compile(r"[0-9@$!*]")
-# fixed values: words of reporting in the languages of the tables, and quotation marks
+# fixed values: words of reporting in the languages of the tables, and quotation marks with those that close them
 REPORTING = frozenset("said says saying quote quoted quotes wrote called calls term word sagte schrieb nannte zitat wort dit écrit appelé mot dijo escribió llamó palabra".split())
-QUOTES = re.compile(r"“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]|(?<!\w)\"[^\"\n]{1,300}\"(?!\w)")
+CLOSING = {"“": "”", "«": "»", "„": "“”", '"': '"'}
+MARK = re.compile(r"[“”«»„\n]|(?<!\w)\"|\"(?!\w)")
 
 
 def variants(token: str) -> list[str]:
@@ -53,11 +54,27 @@ def variants(token: str) -> list[str]:
     return [token, plain] if plain else [token]
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans of quotations within a line, in one pass."""
+    out: list[tuple[int, int]] = []
+    begun, ends = -1, ""
+    for m in MARK.finditer(text):
+        c = m[0]
+        if c == "\n":
+            begun = -1
+        elif begun >= 0 and c in ends:
+            out.append((begun, m.end()))
+            begun = -1
+        elif begun < 0 and c in CLOSING:
+            begun, ends = m.start(), CLOSING[c]
+    return out
+
+
 class Lexicon:
-    """Trie of terms. Words match whole tokens, stems match beginnings; automata allow edits in words."""
+    """Trie of terms. Words match whole tokens, stems match beginnings; automata allow edits in words, but not to an innocent token."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.words, self.stems = frozenset(words), frozenset(stems)
+    def __init__(self, words: list[str], stems: list[str], innocent: list[str] = ()):
+        self.words, self.stems, self.innocent = frozenset(words), frozenset(stems), frozenset(innocent)
         self.lengths = sorted({len(s) for s in stems})
         self.trie: dict = {}
         for w in words:
@@ -105,23 +122,25 @@ class Lexicon:
         return 0
 
     def match(self, token: str) -> int:
-        """0 no match, 1 exact, 2 misspelled long term or signs for letters, 3 misspelled short term."""
+        """0 no match, 1 word, 2 stem, 3 misspelled word or signs for letters."""
         found = self.memo.get(token)
         if found is None:
             if len(self.memo) > 400_000:
                 self.memo.clear()
             found = 0
             for v in variants(token):
-                if v in self.words or any(v[:n] in self.stems for n in self.lengths):
-                    found = 1 if v is token else 2
-                elif not found and self._may_match(v) and (size := self._automaton(v)):
-                    found = 2 if size >= LONG else 3
+                if v in self.words:
+                    found = 1 if v is token else 3
+                elif any(v[:n] in self.stems for n in self.lengths):
+                    found = found or 2
+                elif not found and v not in self.innocent and self._may_match(v) and self._automaton(v):
+                    found = 3
             self.memo[token] = found
         return found
 
 
-def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int, int]:
-    """Numbers of exact, misspelled long, misspelled short and quoted matches."""
+def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int, int, int]:
+    """Numbers of matches of words, of stems, of misspelled words, of quoted words, and of tokens."""
     low = text.lower()
     tokens = TOKEN.findall(low)
     memo, match = lexicon.memo, lexicon.match
@@ -131,8 +150,10 @@ def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int, int]:
         if k or (k is None and (k := match(t))):
             hits[t] = k
     if not hits:
-        return 0, 0, 0, 0
-    quoted = [m.span() for m in QUOTES.finditer(low)]
+        return 0, 0, 0, 0, len(tokens)
+    starts = ends = np.zeros(0)
+    if quoted := quotations(low):
+        starts, ends = np.array(quoted).T
     count = [0, 0, 0, 0]
     recent = -WINDOW - 1
     for i, m in enumerate(TOKEN.finditer(low)):
@@ -140,115 +161,156 @@ def evidence(lexicon: Lexicon, text: str) -> tuple[int, int, int, int]:
         if t in REPORTING:
             recent = i
         elif t in hits:
-            told = i - recent <= WINDOW or any(a <= m.start() < b for a, b in quoted)
+            at = np.searchsorted(starts, m.start(), "right") - 1
+            told = i - recent <= WINDOW or (at >= 0 and m.start() < ends[at])
             count[3 if told else hits[t] - 1] += 1
-    return tuple(count)
+    return (*count, len(tokens))
+
+
+def mistyped(text: str) -> str:
+    """The lower-case text with one letter of every token of 5 letters or more left out, doubled or changed, as a hash of the token says."""
+
+    def typo(m: re.Match) -> str:
+        t = m[0]
+        if len(t) < 5 or not t.isalpha():
+            return t
+        h = zlib.crc32(t.encode())
+        i = 1 + h // 3 % (len(t) - 2)
+        return t[:i] + ("", t[i] + t[i], chr(97 + h // 101 % 26))[h % 3] + t[i + 1 :]
+
+    return TOKEN.sub(typo, text.lower())
 
 
-def _design(counts: np.ndarray, trust: bool) -> np.ndarray:
-    """1, and for each kind of match mostly whether there is one, a little how many."""
-    f = 0.9 * (counts > 0) + 0.1 * np.log1p(counts)
-    exact, long, short, quoted = f.T if len(f) else np.zeros((4, 0))
-    plain = np.maximum(exact, 0.9 * long) if trust else exact
-    doubtful = short if trust else np.maximum(long, short)
-    return np.stack([np.ones(len(f)), plain, doubtful, quoted], axis=1)
+def _design(counts: np.ndarray) -> np.ndarray:
+    """Features of evidence: for words mostly whether there is one, a little how many; for stems also how many in how long a text."""
+    counts = np.asarray(counts, float).reshape(-1, 5)
+    some = lambda x: 0.9 * (x > 0) + 0.1 * np.log1p(x)
+    words, stems, near, quoted, size = counts.T
+    return np.stack([np.ones(len(counts)), some(words), 1.0 * (stems > 0), np.log1p(stems), (stems > 0) * np.log((size + 30) / 200), some(near), some(quoted)], axis=1)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
-    """Newton's method on the penalised log loss, with steps halved until the loss falls."""
+def fit_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 0.05) -> np.ndarray:
+    """Newton's method on the penalised log loss of rows that count n times, with steps halved until the loss falls."""
     w = PRIOR.copy()
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + penalty / 2 * ((w - PRIOR) ** 2).sum())
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * ((w - PRIOR) ** 2).sum())
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(PRIOR))
-        step = np.linalg.solve(hess, x.T @ (p - y) + penalty * (w - PRIOR))
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(PRIOR))
+        step = np.linalg.solve(hess, x.T @ (n * (p - y)) + penalty * (w - PRIOR))
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-6:
             size /= 2
         w = w - size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    w[1:] = np.maximum(w[1:], 0)  # no kind of match speaks for a clean text
     return w
 
 
+def chosen_terms(counts: list[tuple[str, int, int]], n: int, pos: int) -> dict:
+    """Words and stems of terms() with (term, documents with it, toxic ones), by falling likelihood ratio; what begins like a chosen one goes.
+
+    n and pos are the numbers of all documents and of toxic ones.
+    """
+
+    def gain(a: int, b: int) -> float:
+        total = 0.0
+        for m, k in ((a, b), (n - a, pos - b)):
+            for part, share in ((k, pos / n), (m - k, 1 - pos / n)):
+                if part > 0:
+                    total += part * np.log(part / m / share)
+        return total
+
+    usable = [(t, a, b) for t, a, b in counts if b >= (WORD_RATE if t[0] == "w" else STEM_RATE) * a]
+    found = sorted(((gain(a, b), t[0] == "w", len(t), t) for t, a, b in usable), key=lambda f: (-round(f[0], 6), not f[1], -f[2], f[3]))
+    words, stems, taken = [], [], set()
+    begun: set[str] = set()
+    for g, _, _, t in found:
+        term = t[1:]
+        if g < GAIN or term in begun or any(term[:k] in taken for k in range(STEMS[0], len(term) + 1)):
+            continue
+        (words if t[0] == "w" else stems).append(term)
+        taken.add(term)
+        begun.update(term[:k] for k in range(STEMS[0], len(term) + 1))
+    return {"words": sorted(words), "stems": sorted(stems)}
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> DataFrame:
-    chosen = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    """(text, toxic) of at most n labelled documents, near copies once."""
+    usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    chosen = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most n rows of two numbers
 
     def family(batches):
         for batch in batches:
-            key, at = windows(*_first_hash(batch.column("text").to_pylist()), 3)
-            own = _first_hash(batch.column("text").to_pylist())[1][at]
+            (h,), owner = word_hashes([t.encode() for t in batch.column("text").to_pylist()])
+            key, at = windows(h, owner, 3)
             least = np.full(batch.num_rows, np.iinfo(np.uint64).max)
-            np.minimum.at(least, own, key)
+            np.minimum.at(least, owner[at], key)
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(least.view(np.int64))], names=["text", "toxic", "family"])
 
     # near copies mostly share the smallest hash of their three-word runs; one of them is enough to learn from
-    return rows.mapInArrow(family, "text string, toxic int, family long").dropDuplicates(["family", "toxic"])
+    return rows.mapInArrow(family, "text string, toxic int, family long").groupBy("family", "toxic").agg(F.min("text").alias("text"))
 
 
-def _first_hash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    (h,), owner = word_hashes([t.encode() for t in texts])
-    return h, owner
+def terms(text: str) -> set[str]:
+    """w and each word of a text; s and each stem; d and each stem of two tokens or more."""
+    tokens = Counter(TOKEN.findall(text.lower()))
+    words = {v for t in tokens for v in variants(t) if len(v) >= 3}
+    begins = Counter()
+    for w, n in tokens.items():
+        begins.update({w[:k]: n for k in STEMS if len(w) > k})
+    return {"w" + w for w in words} | {"s" + b for b in begins} | {"d" + b for b, n in begins.items() if n > 1}
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """Lexicon and weights; two passes over the bounded sample."""
-    rows = stash(training_rows(docs, labels), "toxic-train")
+def _counts(among=None):
+    """A map over frames of text: (term, n), n the number of texts with it, only of terms among the given ones if any are."""
 
-    def terms(frames):
+    def run(frames):
         for pdf in frames:
-            n, pos = Counter(), Counter()
-            for text, y in zip(pdf.text, pdf.toxic, strict=True):
-                words = {v for t in set(TOKEN.findall(text.lower())) for v in variants(t) if len(v) >= 3}
-                seen = {"w" + w for w in words} | {"s" + w[:k] for w in words for k in STEMS if len(w) > k}
-                n.update(seen)
-                if y == 1:
-                    pos.update(seen)
-            yield pd.DataFrame({"term": list(n), "n": list(n.values()), "pos": [pos[t] for t in n]}).query("pos > 0")
-
-    counts = rows.mapInPandas(terms, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+            n = Counter()
+            for text in pdf.text:
+                n.update(terms(text) if among is None else terms(text) & among)
+            yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "n": list(n.values())})
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """Lexicon and weights; passes over the bounded sample."""
+    rows = stash(training_rows(docs, labels), "toxic-train")
     total = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not total[0] or not total[1] or total[0] == total[1]:
-        return {"words": [], "stems": [], "weights": PRIOR, "trust": True}
-    base = total[1] / total[0]
-    rate = F.least(F.col("pos") / F.col("n"), F.lit(1 - 1e-9))
-    gain = F.col("pos") * F.log(rate / base) + (F.col("n") - F.col("pos")) * F.log((1 - rate) / (1 - base))
-    kept = counts.where((F.col("pos") >= max(3, SUPPORT * total[1])) & (F.col("pos") >= 0.9 * F.col("n"))).withColumn("gain", gain).where(F.col("gain") >= float(np.log(50_000))).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-    found = {r.term: r.pos for r in kept}
-    # a stem stands for its longer forms unless one of them is nearly all of it
-    longer: dict[str, int] = {}
-    for t, p in found.items():
-        for k in STEMS:
-            if k < len(t) - 1:
-                s = "s" + t[1 : k + 1]
-                longer[s] = max(longer.get(s, 0), p)
-    stems = {t[1:] for t, p in found.items() if t[0] == "s" and longer.get(t, 0) < 0.95 * p}
-    stems = {s for s in stems if not any(s[:k] in stems for k in STEMS if k < len(s))}
-    words = {t[1:] for t in found if t[0] == "w" and not any(t[1 : k + 1] in stems for k in STEMS)}
-    stems = {s for s in stems if not (s in words)}
-    lexicon = {"words": sorted(words), "stems": sorted(stems)}
+        return {"words": [], "stems": [], "innocent": [], "weights": PRIOR}
+    count = lambda df, among=None: df.select("text").mapInPandas(_counts(among), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    marks = {r.term: r.n for r in count(rows.where("toxic = 1")).where(F.col("n") >= max(3, SUPPORT * total[1])).collect()}
+    held = [(r.term, r.n, marks[r.term]) for r in count(rows, marks.keys()).collect()]
+    lexicon = chosen_terms(held, *total)
 
-    def counted(frames):
+    def near(frames):
         lex = Lexicon(**lexicon)
         for pdf in frames:
-            e = np.array([evidence(lex, t) for t in pdf.text]).reshape(-1, 4)
-            yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "c": e[:, 2], "d": e[:, 3], "y": pdf.toxic}).groupby(["a", "b", "c", "d", "y"]).size().rename("n").reset_index()
+            found = {t for text in pdf.text for t in set(TOKEN.findall(text.lower())) if lex.match(t) == 3}
+            yield pd.DataFrame({"token": sorted(found)}, dtype=object)
 
-    table = rows.mapInPandas(counted, "a long, b long, c long, d long, y int, n long").groupBy("a", "b", "c", "d", "y").agg(F.sum("n").alias("n")).toPandas()
-    x = np.repeat(table[["a", "b", "c", "d"]].to_numpy(), table.n, axis=0)
-    y = np.repeat(table.y.to_numpy(), table.n)
-    trust = bool((x[y == 0, 1] > 0).mean() <= CHANCE)
-    return lexicon | {"weights": fit_weights(_design(x, trust), y), "trust": trust}
+    innocent = sorted(r.token for r in rows.where("toxic = 0").mapInPandas(near, "token string").distinct().collect())
+
+    def counted(frames):
+        lex = Lexicon(**lexicon, innocent=innocent)
+        for pdf in frames:
+            seen = Counter((*evidence(lex, form(t)), y) for t, y in zip(pdf.text, pdf.toxic, strict=True) for form in (str, mistyped))
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=[*"abcdeyn"])
+
+    table = rows.mapInPandas(counted, "a long, b long, c long, d long, e long, y int, n long").toPandas()
+    weights = fit_weights(_design(table[[*"abcde"]].to_numpy()), table.y.to_numpy(), table.n.to_numpy())
+    return lexicon | {"innocent": innocent, "weights": weights}
 
 
 def score_texts(docs: DataFrame, model: dict) -> DataFrame:
@@ -259,10 +321,10 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         model = held.value
-        lexicon = Lexicon(model["words"], model["stems"])
-        for batch in batches:
-            e = np.array([evidence(lexicon, t or "") for t in batch.column("text").to_pylist()]).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(_design(e, model["trust"]) @ model["weights"], -30, 30)))
+        lexicon = Lexicon(model["words"], model["stems"], model["innocent"])
+        for batch in slices(batches):
+            e = [evidence(lexicon, t or "") for t in batch.column("text").to_pylist()]
+            p = 1 / (1 + np.exp(-np.clip(_design(e) @ model["weights"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=["doc_id", "text", "_rest", "score"])
 
     return docs.mapInArrow(run, schema).select("doc_id", "text", *rest, "score")
@@ -279,6 +341,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
-
-
-
