@@ -6,7 +6,8 @@ fingerprints are cut into `radius + 2` blocks, of which at least two survive whe
 pair of blocks, keyed by both, therefore finds every fingerprint within the radius.
 
 Defined results: null counts as the empty text, whose fingerprint is 0; equal texts have equal fingerprints; tied votes give
-a 0 bit; rows with equal doc_id follow each other by text; null doc_ids come last; a single document is its own next one.
+a 0 bit; rows with equal doc_id follow each other by text, and each has its own result; null doc_ids come last; a single document is its
+own next one. Rows that share one doc_id (or have none) meet in one task, since nothing else orders them.
 """
 
 from __future__ import annotations
@@ -52,29 +53,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
-    """run(batch of (doc_id, text, following text)) over docs in ascending doc_id, in ranges as many as docs has splits.
+    """run(batch of (doc_id, text, following text)) over docs in ascending doc_id, in ranges as many as docs has splits, one a task.
 
     A range ends with a copy of the next range's first row (the last one's with the very first), so no task waits for another.
     """
     n = n_splits(docs)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LAST)).alias("_k"))
-    low, cuts = keyed.agg(F.min("_k"), F.percentile_approx("_k", F.array(*[F.lit(i / n) for i in range(n + 1)]), 10000)).first()
+    low, cuts = keyed.agg(F.min("_k"), F.percentile_approx("_k", F.array(*[F.lit(i / n) for i in range(n + 1)]), max(10_000, 2 * n))).first()
     bounds = np.array(sorted(set(cuts or []) - {low}), np.int64)
 
     @F.pandas_udf(T.IntegerType())
     def ranged(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), "right").astype(np.int32))
 
-    begins = F.col("_k").isin([int(x) for x in bounds]) if len(bounds) < 10 else None
-    own = keyed.withColumn("_b", ranged("_k"))
-    if begins is None:
-        starts = keyed.sparkSession.createDataFrame([(int(x),) for x in bounds], "_k long").withColumn("_first", F.lit(True))
-        own = own.join(F.broadcast(starts), "_k", "left")  # one row a split
-    else:
-        own = own.withColumn("_first", begins)
+    @F.pandas_udf(T.BooleanType())
+    def begins(k: pd.Series) -> pd.Series:
+        return pd.Series(np.isin(k.to_numpy(np.int64), bounds))
+
+    own = keyed.withColumn("_b", ranged("_k")).withColumn("_first", begins("_k"))
     to = F.when(F.col("_k") == F.lit(low), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail")), F.struct(F.lit(len(bounds)).alias("b"), F.lit(1).alias("tail"))))
     to = to.when(F.col("_first"), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail")), F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail"))))
-    dealt = own.select("doc_id", "text", "_k", F.explode(to).alias("_to")).select("doc_id", "text", "_k", "_to.b", "_to.tail").repartition(n, "b").sortWithinPartitions("b", "tail", "_k", "text")
+    dealt = own.select("doc_id", "text", "_k", F.explode(to).alias("_to")).select("doc_id", "text", "_k", "_to.b", "_to.tail").repartitionById(len(bounds) + 1, "b").sortWithinPartitions("b", "tail", "_k", "text")
 
     def paired(batches):
         held = None
@@ -134,13 +133,21 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) ->
     return tables(queries, "query").join(tables(index, "match").hint("merge"), ["t", "k"]).where((F.bit_count(differ) <= radius) & (F.col("t") == first)).select("query", "match")
 
 
+def searched(docs: DataFrame, step: int = QUERY_STEP) -> DataFrame:
+    """simhash(docs) without bits, and n_within_radius (long): other rows within RADIUS, null for documents that are no queries."""
+    prints = stash(simhash(docs), "fingerprints")
+    asks = F.coalesce(F.col("doc_id") % step == 0, F.lit(False))
+    asked = prints.where(asks)
+    # written, so that a fingerprint of very many rows is a skewed key which joins split
+    index = stash(prints.groupBy("bits").agg(F.count("*").alias("_n")), "fingerprint-index")
+    found = stash(within_radius(asked.select("bits").distinct(), index.select("bits")), "fingerprint-pairs")
+    near = found.join(index.withColumnRenamed("bits", "match"), "match").groupBy(F.col("query").alias("bits")).agg(F.sum("_n").alias("_all"))
+    counted = asked.join(stash(near, "fingerprint-counts"), "bits", "left").withColumn("n_within_radius", F.col("_all") - 1).select(*prints.columns, "n_within_radius")
+    others = prints.where(~asks).withColumn("n_within_radius", F.lit(None).cast("long"))
+    return counted.unionByName(others).drop("bits")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    prints = stash(simhash(table(spark, sf_dir, "documents")), "fingerprints")
-    index = prints.groupBy("bits").agg(F.count("*").alias("_n"))
-    asked = prints.where(F.col("doc_id") % QUERY_STEP == 0)
-    found = within_radius(asked.select("bits").distinct(), index.select("bits"))
-    near = found.join(index.withColumnRenamed("bits", "match"), "match").groupBy(F.col("query").alias("bits")).agg(F.sum("_n").alias("_all"))
-    counted = asked.select("doc_id", "bits").distinct().join(near, "bits").select("doc_id", (F.col("_all") - 1).alias("n_within_radius"))
-    return prints.join(counted, "doc_id", "left").drop("bits")
+    return searched(table(spark, sf_dir, "documents"))
