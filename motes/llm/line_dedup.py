@@ -45,7 +45,8 @@ def line_dedup(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LIN
     """docs with text replaced by what stays (kept chunks joined by "\\n"), and n_lines, n_chunks, n_removed_lines, n_removed_chunks (long).
 
     A hash per chunk finds the repeated ones; only those travel with their bytes. Both groupings combine before the
-    shuffle, and a chunk that a third of all documents hold is a skewed key of plain joins, which AQE splits.
+    shuffle. A chunk that a third of all documents hold is a skewed key of the joins with what was grouped; AQE splits such a
+    key only where both sides are shuffled for the join, so the grouped side is written first.
     """
     docs, rest = packed(docs, ["doc_id", "text"], ["n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"])
     chunks = (
@@ -55,8 +56,10 @@ def line_dedup(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LIN
         .select("doc_id", "_pos", F.col("_chunk.text").alias("_text"), F.xxhash64("_chunk.text").alias("_key"))
     )
     repeated = chunks.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    repeated = stash(repeated, "line-keys")
     shared = stash(chunks.join(repeated, "_key", "left_semi"), "line-chunks")
     first = shared.groupBy("_key", "_text").agg(F.min(F.struct("doc_id", "_pos")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = stash(first, "line-firsts")
     later = shared.join(first, ["_key", "_text"]).where((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("_pos") != F.col("_first._pos")))
     gone = later.groupBy("doc_id").agg(F.collect_set("_pos").alias("_gone"))
     out = _chunked(docs.join(gone.hint("shuffle_hash"), "doc_id", "left"), modulus)
