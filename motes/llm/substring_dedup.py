@@ -3,11 +3,11 @@
 Difference cover: the residues {0, 1, 3} modulo 7 hold every difference modulo 7. So two equal 13-word windows, wherever they
 start, have a common offset below 7 at which both stand on a cover position, and the 7 words there, an aligned anchor, lie
 inside both. Anchors are hashed at cover positions only (3 of 7); those that two documents share are extended to all
-windows around them, which are compared by 128 bits.
+windows around them, which are compared by 96 bits.
 
 Hashes are dealt to buckets whose number follows the input's. A map task sends one representative for a hash that
-several of its own documents hold (the smallest doc_id's), and settles the others itself; so what reaches a bucket for one
-hash is bounded by the number of map tasks, not by the number of documents.
+several of its own documents hold (the smallest doc_id's), and settles the others itself; those go to buckets by their doc_id.
+So what reaches a bucket for one hash is bounded by the number of units of text (UNIT_BYTES each), not by the number of documents.
 
 Defined results: null and empty texts have no words; texts shorter than the window lose nothing; a window repeated inside one
 document only stays; rows that repeat a doc_id count as one document; a null doc_id loses nothing and is no one's source.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEEDS, n_splits, place, units, windows, word_hashes
+from .common import SEEDS, mix, n_splits, place, units, windows, word_hashes
 
 #: Residues that hold every difference modulo PERIOD (fixed values of a perfect difference set).
 COVER, PERIOD = (0, 1, 3), 7
@@ -47,7 +47,7 @@ def _send(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray, buck
     travels = (doc == first) & (new | (first == last) | later_only)
     rows = []
     for known, at in ((True, np.flatnonzero(settled)), (False, np.flatnonzero(travels))):
-        key = (h1[at] % np.uint64(buckets)).astype(np.int64)
+        key = ((mix(doc[at].astype(np.uint64)) if known else h1[at]) % np.uint64(buckets)).astype(np.int64)
         at = at[np.argsort(key, kind="stable")]
         key = np.sort(key, kind="stable")
         for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(key)) + 1):
