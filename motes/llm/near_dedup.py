@@ -12,8 +12,9 @@ one leader, the member with the most bucket mates; so a bucket of k alike texts
 in buckets that still hold several classes are joined exactly, by a prefix filter on their rarest runs, so that no link
 between candidates is lost.
 
-Defined results: a text without words (null, empty) is a class of its own, also when repeated; a null doc_id has a null class; rows
-that repeat a doc_id are one document. Extra columns of the input are ignored by near_duplicates.
+Defined results: a text without words (null, empty) is a class of its own, also when repeated; a null doc_id has a null class (one row in
+classes for each row of docs) and is no one's copy; rows that repeat doc_id and text are one document; an id with several texts is one for each,
+and where it is the smallest id of several, the text with the smallest md5 stands for it. Extra columns of the input are ignored by near_duplicates.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, stash, units, windows, word_hashes
+from .common import mix, packed, stash, units, windows, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair whose sets have similarity 0.8 shares a band of equal weights with probability 1 - (1 - 0.8 ** 8) ** 40 = 0.9994.
@@ -114,9 +115,8 @@ def _sets(width: int):
     def run(batches):
         for unit in units(batches, 3_000_000):
             key, owner, _ = shingles(unit["text"], width)
-            small = (key >> np.uint64(32)).astype(np.uint32)  # enough for two sets of one pair
             edge = np.searchsorted(owner, np.arange(len(unit["text"]) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(unit["doc_id"], pa.int64()), pa.array([small[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit["doc_id"], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], names=["id", "items"])
 
     return run
 
@@ -125,7 +125,7 @@ def _jaccard(batches):
     for batch in batches:
         out = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = np.sort(np.concatenate([x, y]), kind="stable")
             same = int((both[1:] == both[:-1]).sum())
             out.append(same / max(1, len(both) - same))
@@ -155,9 +155,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _listed(batches):
     for batch in batches:
-        items = [np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column("items")]
+        items = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("items")]
         at = np.repeat(np.arange(batch.num_rows), [len(x) for x in items])
-        flat = np.concatenate(items).astype(np.int64) if items else np.zeros(0, np.int64)
+        flat = np.concatenate(items) if items else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("id", "n", "label")], pa.array(flat)], names=["id", "n", "label", "item"])
 
 
@@ -182,21 +182,26 @@ def prefix_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(classes, links). classes: doc_id, copy_of (smallest doc_id with the same text), class_id (smallest of its class).
+    """(classes, links). classes: doc_id, digest (md5 of the text), copy_of (smallest doc_id with the same text), class_id (smallest of its class).
 
     links: verified pairs a, b, jaccard between representatives of different texts.
     """
+    nameless = docs.where("doc_id is null").select("doc_id", *[F.lit(None).cast(k).alias(c) for c, k in (("digest", "binary"), ("copy_of", "long"), ("class_id", "long"))])
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     signed = stash(docs.mapInArrow(_sign(rows, bands, width), "doc_id long, digest binary, n int, bands array<long>"), "signed")
-    reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
-    member = signed.select("doc_id", "digest", "n").join(reps, "digest", "left").select("doc_id", F.when(F.col("n") > 0, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of")).distinct()
-    slot = signed.join(reps.select(F.col("copy_of").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
+    # written, so that a text of very many copies is a skewed key, which the join splits
+    reps = stash(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "representatives")
+    named = signed.where("n > 0").select("doc_id", "digest").join(reps, "digest")
+    member = named.unionByName(signed.where("n = 0").select("doc_id", "digest", F.col("doc_id").alias("copy_of"))).distinct()
+    own = reps.groupBy(F.col("copy_of").alias("doc_id")).agg(F.min("digest").alias("digest"))
+    slot = signed.join(own, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "digest", "n", F.explode("bands").alias("key"))
     shared = slot.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
     bucket = stash(slot.join(shared, "key"), "buckets")
-    central = bucket.groupBy("id").agg(F.sum("mates").alias("s"))
-    sets = stash(docs.join(central.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(width), "id long, items binary").dropDuplicates(["id"]), "sets")
+    central = bucket.groupBy("id", "digest").agg(F.sum("mates").alias("s"))
+    told = docs.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    sets = stash(told.join(central.select(F.col("id").alias("doc_id"), "digest").hint("shuffle_hash"), ["doc_id", "digest"], "left_semi").mapInArrow(_sets(width), "id long, items binary").dropDuplicates(["id"]), "sets")
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)  # noqa: E731  sizes that allow the similarity
-    leader = bucket.join(central, "id").groupBy("key").agg(F.max(F.struct("s", (-F.col("id")).alias("neg"), F.col("n").alias("m"))).alias("_l")).select("key", (-F.col("_l.neg")).alias("a"), F.col("_l.m").alias("m"))
+    leader = bucket.join(central.drop("digest"), "id").groupBy("key").agg(F.max(F.struct("s", (-F.col("id")).alias("neg"), F.col("n").alias("m"))).alias("_l")).select("key", (-F.col("_l.neg")).alias("a"), F.col("_l.m").alias("m"))
     stars = bucket.join(leader, "key").where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("m"))).select("a", F.col("id").alias("b")).distinct()
     stars = stash(stars, "stars")
     first = verified(stars, sets, similarity, "links-1")
@@ -209,14 +214,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
     second = verified(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity, "links-2")
     links = first.unionByName(second)
     final = components(links)
-    classes = member.join(final, member["copy_of"] == final["id"], "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
-    return classes, links
+    classes = member.join(final, member["copy_of"] == final["id"], "left").select("doc_id", "digest", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
+    return classes.unionByName(nameless), links
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id."""
+    """docs without the documents whose class has a smaller doc_id; all columns and rows of the others stay."""
     classes, _ = near_duplicates(docs, **options)
-    return docs.join(classes.where("class_id < doc_id").select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    held, rest = packed(docs, ["doc_id", "text"], [])
+    gone = classes.where("class_id < doc_id").select("doc_id", "digest").hint("shuffle_hash")
+    kept = held.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(gone, ["doc_id", "digest"], "left_anti")
+    return kept.select("doc_id", "text", *rest).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -224,4 +232,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     classes, links = near_duplicates(table(spark, sf_dir, "documents"))
     ends = links.select(F.col("a").alias("copy_of")).unionByName(links.select(F.col("b").alias("copy_of"))).groupBy("copy_of").agg(F.count("*").alias("n_links"))
-    return classes.join(ends, "copy_of", "left").select("doc_id", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return classes.join(stash(ends, "link-counts"), "copy_of", "left").select("doc_id", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
