@@ -1,6 +1,7 @@
 """Personal data in texts: fixed patterns as seeds, and bootstrapped contextual extraction of further identifiers.
 
-Candidates are tokens with at least MIN_DIGITS digits, or with an @, and groups of digits with spaces between. A lexical pattern is a pair of
+Candidates are tokens with at least MIN_DIGITS digits, or with an @, and groups of digits with spaces between; what a base kind has judged and
+dropped (a card number that fails Luhn, an address with a part over 255, a phone number of another length) is none. A lexical pattern is a pair of
 words around a candidate: the two before it, the two after it, or one on either side. Members, at first the base spans' values, spread trust
 along the graph of patterns and instances, by joins of aggregated tables. In each round a pattern's trust in an instance is the share of
 members among its other distinct instances, damped by PRIOR unknown ones; so nothing supports itself. The shape of a value (digits
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9])\(?[0-9]{2,4}\)?(?:[\x20-]\(?[0-9]{2,4}\)?)+(?![A-Za-z0-9@._/-])|[A-Za-z0-9+(][A-Za-z0-9+()@._/-]*[A-Za-z0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 MIN_DIGITS, ROUNDS, PRIOR, CONFIDENT, SUPPORT, SHAPE = 5, 3, 2, 0.6, 3, 0.25
-NOT_WORD = re.compile(r"\W+")
+NOT_WORD, WORD = re.compile(r"\W+"), re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -43,69 +46,88 @@ def luhn(digits: str) -> bool:
     return (odd + even) % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end), sorted."""
-    out = []
+def judged(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Base spans (start, kind, end), sorted, and the spans (start, end) that a base kind drops for their value."""
+    out, dropped = [], []
     if "@" in text:
         out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
     if any(d in text for d in "0123456789"):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        for m in IP.finditer(text):
+            fits = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
+            out.append((m.start(), 1, m.end())) if fits else dropped.append(m.span())
         for m in CARD.finditer(text):
             digits = NOT_DIGIT.sub("", m[0])
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
-        if "+" in text:
-            out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15]
-    return sorted(out)
+            if 12 <= len(digits) <= 19:
+                out.append((m.start(), 2, m.end())) if luhn(digits) else dropped.append(m.span())
+        for m in PHONE.finditer(text) if "+" in text else ():
+            fits = 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15
+            out.append((m.start(), 3, m.end())) if fits else dropped.append(m.span())
+    return sorted(out), dropped
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end), sorted."""
+    return judged(text)[0]
 
 
 def shape(value: str) -> str:
     """Digits as 9, letters as a, runs of letters shortened to two: "ab-1234" → "aa-9999"."""
-    return re.sub(r"a{3,}", "aa", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", value)))[:40]
+    return re.sub(r"a{3,}", "aa", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", value)))
 
 
-def around(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of an occurrence; ^ and $ are the ends of the text."""
-    before = [NOT_WORD.sub("", w).lower() for w in text[max(0, start - 60) : start].split()[-2:]]
-    after = [NOT_WORD.sub("", w).lower() for w in text[end : end + 60].split()[:2]]
+def around(text: str, words: list[tuple[int, int]], start: int, end: int) -> list[str]:
+    """The lexical patterns of an occurrence, from the spans of the text's words; ^ and $ are the ends of the text."""
+    plain = lambda s, e: NOT_WORD.sub("", text[s:e]).lower()
+    i = bisect_left(words, start, key=lambda w: w[0])  # words from here on begin at the occurrence or later
+    before = [plain(s, min(e, start)) for s, e in words[max(0, i - 2) : i]]
+    j = bisect_right(words, end, key=lambda w: w[1])  # words from here on end after it
+    after = [plain(max(s, end), e) for s, e in words[j : j + 2]]
     a, b = ["^", "^", *before][-2:]
     c, d = [*after, "$", "$"][:2]
     return [f"{a} {b} _", f"{b} _ {c}", f"_ {c} {d}"]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], str, str, bool]]:
-    """(start, end, patterns, shape, value, seed) of base spans and further tokens."""
+def candidates(text: str, spans: list[tuple[int, int, int]], dropped: list[tuple[int, int]]) -> list[tuple[int, int, list[str], str, str, bool]]:
+    """(start, end, patterns, shape, value, seed) of base spans and further tokens, which overlap neither those nor what was dropped."""
     out = [(s, e, text[s:e], True) for s, _, e in spans]
     if any(d in text for d in "0123456789@"):
+        taken = sorted([(s, e) for s, _, e in spans] + dropped)
+        furthest = list(accumulate((e for _, e in taken), max))
         for m in CANDIDATE.finditer(text):
             v = m[0]
-            if ("@" in v or sum(c.isdigit() for c in v) >= MIN_DIGITS) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-                out.append((m.start(), m.end(), v, False))
-    return [(s, e, around(text, s, e), shape(v), v, seed) for s, e, v, seed in out]
+            if "@" in v or sum(c.isdigit() for c in v) >= MIN_DIGITS:
+                i = bisect_left(taken, m.end(), key=lambda t: t[0])
+                if not i or furthest[i - 1] <= m.start():
+                    out.append((m.start(), m.end(), v, False))
+    words = [m.span() for m in WORD.finditer(text)] if out else []
+    return [(s, e, around(text, words, s, e), shape(v), v, seed) for s, e, v, seed in out]
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, value): patterns with the instances, not seeds, that they deserve trust for; from seen(pattern, value, seed[, shape]).
 
     Each round joins edges with members, patterns and shapes. Members only grow, so the last round holds what all found.
+    What was grouped by a key is written before it is joined by that key, so that a hot value or pattern is a skewed key, which joins split.
     """
     if "shape" not in seen.columns:
         seen = seen.withColumn("shape", F.lit(None).cast("string"))
-    edges = stash(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.first("shape").alias("shape")), "pii-edges")
-    values = edges.groupBy("value").agg(F.max("seed").alias("seed"), F.first("shape").alias("shape"))
+    edges = stash(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.min("shape").alias("shape")), "pii-edges")
+    values = edges.groupBy("value").agg(F.max("seed").alias("seed"), F.min("shape").alias("shape"))
+    values = stash(values, "pii-values")
     member = values.where("seed").select("value", F.lit(1).alias("in"))
     inside = F.coalesce("in", F.lit(0))
     for _ in range(rounds):
         marked = edges.join(member, "value", "left").withColumn("in", inside)
         shapes = values.join(member, "value", "left").groupBy("shape").agg(F.sum(inside).alias("like"), F.count("*").alias("alike")).where("like > 0")
+        shapes = stash(shapes, "pii-shapes")
         # no shape lifts a pattern below this share to CONFIDENT
         able = marked.groupBy("pattern").agg(F.sum("in").alias("known"), F.count("*").alias("n")).where((F.col("known") >= SUPPORT) & (1 - (1 - F.col("known") / (F.col("n") - 1 + PRIOR)) * (1 - SHAPE) >= CONFIDENT))
-        both = marked.where("not seed").join(able, "pattern").join(shapes, "shape", "left")
+        both = marked.where("not seed").join(stash(able, "pii-patterns"), "pattern").join(shapes, "shape", "left")
         others = F.col("known") - F.col("in")
         alike = F.coalesce((F.col("like") - F.col("in")) / (F.col("alike") - 1 + PRIOR), F.lit(0.0))
         sure = 1 - (1 - others / (F.col("n") - 1 + PRIOR)) * (1 - SHAPE * alike)
         reached = stash(both.where((others >= SUPPORT) & (sure >= CONFIDENT)).select("pattern", "value"), "pii-reached")
-        member = values.where("seed").select("value").unionByName(reached.select("value")).distinct().withColumn("in", F.lit(1))
+        member = stash(values.where("seed").select("value").unionByName(reached.select("value")).distinct().withColumn("in", F.lit(1)), "pii-members")
     return reached
 
 
@@ -114,8 +136,8 @@ def _first(batches):
         rows = []
         for doc, text in zip(unit["doc_id"], unit["text"], strict=True):
             text = text or ""
-            spans = base_spans(text)
-            cand = candidates(text, spans)
+            spans, dropped = judged(text)
+            cand = candidates(text, spans, dropped)
             key = hashlib.md5(text.encode()).digest()
             rows.append((doc, key, ",".join(f"{s}:{k}:{e}" for s, k, e in spans), [{"s": c[0], "e": c[1], "patterns": c[2], "shape": c[3], "value": c[4], "seed": c[5]} for c in cand]))
         kinds = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("patterns", pa.list_(pa.string())), ("shape", pa.string()), ("value", pa.string()), ("seed", pa.bool_())])))
@@ -138,7 +160,7 @@ def pii(docs: DataFrame) -> DataFrame:
     first = stash(docs.select("doc_id", "text").mapInArrow(_first, "doc_id long, key binary, base string, cand array<struct<s:int,e:int,patterns:array<string>,shape:string,value:string,seed:boolean>>"), "pii-spans")
     seen = first.select("doc_id", "key", F.explode("cand").alias("c")).select("doc_id", "key", "c.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     accepted = seen.where("not seed").join(trusted_patterns(seen.select("pattern", "value", "seed", "shape")), ["pattern", "value"], "left_semi")
-    found = accepted.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("s", "e")).alias("found"))
+    found = stash(accepted.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("s", "e")).alias("found")), "pii-found")
     both = first.select("doc_id", "key", "base").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select("doc_id", "base", "found")
     return both.mapInPandas(_last, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_found long, base_sha256 string, spans string")
 
