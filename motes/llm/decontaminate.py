@@ -8,8 +8,9 @@ not count. A document is contaminated if its consistent windows cover a share CO
 An item without a window (too short, or too many placeholders) is matched by its whole template instead, as one window of its own length
 with the same consistency; a template of placeholders only must also have the item's values.
 
-The benchmark's distinct window hashes are counted; up to FILTER of them (8 bytes each) are broadcast as a filter before the join,
-beyond that every window goes to the join.
+Before the join, documents' windows pass a filter: a bitmap of 2 ** FILTER_BITS bits (16 MB), one set for each window hash of the benchmark, made
+by Spark and broadcast. Its size is fixed; a larger benchmark lets more windows through, which the join on whole hashes then drops.
+A window that many documents and many items share makes a row for each pair of them, since items are counted one by one.
 
 Defined results: null and empty texts, and items without words, match nothing;
 a document matches an item once however often it holds it; rows that repeat a doc_id count as one document.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, packed, place, units, windows, word_hashes
 
-WIDTH, LITERALS, COVERAGE, RUN, FILTER = 8, 5, 0.5, 6, 4_000_000
+WIDTH, LITERALS, COVERAGE, RUN, FILTER_BITS = 8, 5, 0.5, 6, 27
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 NUMBERS = re.compile(r"(?<!\w)[0-9]+(?:[.,:/][0-9]+)*%?(?!\w)")
 # fixed values: units of measure and money
@@ -91,7 +92,7 @@ _ROWS = "id long, h long, pos int, slots array<string>, first_slot int, total in
 
 
 def _emit(column: str, keep=None, width: int = WIDTH, whole: list[tuple[int, bool]] | None = None):
-    """A map over Arrow batches with (id column, text): one row per window whose hash is in keep (sorted), all without keep."""
+    """A map over Arrow batches with (id column, text): one row per window whose bit is set in keep, all without keep."""
 
     def run(batches):
         wanted = keep.value if keep is not None else None
@@ -99,8 +100,8 @@ def _emit(column: str, keep=None, width: int = WIDTH, whole: list[tuple[int, boo
             key, at, size, bare, owner, pos, slots, values = _windows(unit["text"], width, whole)
             n = np.bincount(owner[at], minlength=len(unit["text"]))
             if wanted is not None:
-                i = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
-                hit = wanted[i] == key if len(wanted) else np.zeros(len(key), bool)
+                bit = key >> np.uint64(64 - FILTER_BITS)
+                hit = (wanted[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                 key, at, size, bare = key[hit], at[hit], size[hit], bare[hit]
             if not len(key):
                 continue
@@ -115,15 +116,21 @@ def _emit(column: str, keep=None, width: int = WIDTH, whole: list[tuple[int, boo
     return run
 
 
+def bitmap(bench: DataFrame) -> np.ndarray:
+    """The filter of the window hashes in bench(h): 64-bit words, of which Spark sends those that are not 0 (2 ** (FILTER_BITS - 6) at most)."""
+    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    words = bench.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint64)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, item_id, windows (consistent distinct windows of the item that the document holds), total (the item's windows)."""
     bench = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(_emit("item_id", width=width), _ROWS)
     own = bench.groupBy("id").agg(F.max("total").alias("total"), F.max("size").alias("size"), F.max("bare").alias("bare")).where("total = 1")
     whole = sorted((r[0], r[1]) for r in own.select("size", "bare").distinct().collect())
-    hashes = bench.select("h").distinct()
-    keep = None
-    if hashes.limit(FILTER + 1).count() <= FILTER:
-        keep = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)))
+    keep = docs.sparkSession.sparkContext.broadcast(bitmap(bench))
     found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_emit("doc_id", keep, width, whole), _ROWS)
     b = bench.select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("first_slot").alias("item_slot"), "total")
     pairs = found.select(F.col("id").alias("doc_id"), "h", "pos", "slots").join(b, "h").withColumn("shift", F.col("pos") - F.col("item_pos")).drop("h", "pos")
