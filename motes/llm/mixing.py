@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, stash, word_count
+from .common import n_splits, packed, stash, word_count
 
 EPOCHS = 3
 #: Slots for each document, on average.
@@ -60,15 +60,18 @@ def reverse_bits(x: Column, bits: int) -> Column:
     return F.shiftrightunsigned(x, 64 - bits)
 
 
-def schedule(shares: DataFrame, block: int, n_slots: int) -> DataFrame:
-    """The mix as slots: sid, slot (position in the mix, rising but not dense), rank (among the source's slots). shares: sid, need (slots)."""
+def schedule(shares: DataFrame, block: int, n_slots: int, buckets: int) -> DataFrame:
+    """The mix as slots: sid, slot (position in the mix, rising but not dense), rank (among the source's slots). shares: sid, need (slots).
+
+    Ranks are taken in 2 ** buckets stretches of the mix.
+    """
     bits = max(12, n_slots.bit_length())
     end = F.sum("need").over(Window.orderBy("sid"))
     # a source's points are the integers of its share; runs of them keep every generated array short
     runs = shares.where("need > 0").withColumn("_end", end).withColumn("_from", F.col("_end") - F.col("need")).withColumn("_run", F.explode(F.sequence(F.shiftright("_from", 12), F.shiftright(F.col("_end") - 1, 12)))).repartition("_run")
     low, high = F.greatest("_from", F.shiftleft("_run", 12)), F.least(F.col("_end"), F.shiftleft(F.col("_run") + 1, 12)) - 1
     points = runs.select("sid", F.explode(F.sequence(low, high)).alias("_v")).select("sid", reverse_bits(F.col("_v"), bits).alias("slot"))
-    return running(points.withColumn("_b", F.shiftright("slot", bits - 10)), "sid", "_b", ["slot"], F.lit(1), "rank").select("sid", "slot", "rank")
+    return running(points.withColumn("_b", F.shiftright("slot", max(0, bits - buckets))), "sid", "_b", ["slot"], F.lit(1), "rank").select("sid", "slot", "rank")
 
 
 def mix(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -80,14 +83,15 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> tuple[Data
     total, n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     block = max(1, -(-total // max(1, n * slots)))
     shares = stash(targets(sizes, epochs).withColumn("_words", F.round("target").cast("long")).withColumn("need", F.ceil(F.col("_words") / block)), "mix-shares")
+    digits = max(2, -(-(64 * n_splits(docs)).bit_length() // 4))  # of md5, in hexadecimal: some 64 buckets for each split of the input
     n_slots = shares.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
     named = sizes.join(shares, sizes["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    sized = running(named.withColumn("_b", F.conv(F.substring(F.coalesce("_md5", F.lit("0")), 1, 3), 16, 10).cast("int")), "sid", "_b", ["_md5", "size"], F.col("size"), "_start")
+    sized = running(named.withColumn("_b", F.conv(F.substring(F.coalesce("_md5", F.lit("0")), 1, digits), 16, 10).cast("long")), "sid", "_b", ["_md5", "size"], F.col("size"), "_start")
     offset = lambda e: F.col("_start") + e * F.col("source_size")
     spans = sized.where("size > 0").select("sid", "_start", "size", "source_size", "_words", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("epoch")).withColumn("_a", offset(F.col("epoch"))).withColumn("_z", F.least(F.col("_a") + F.col("size"), "_words")).where("_a < _z")
     parts = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_z") - 1) / block))))
     words = F.least("_z", (F.col("rank") + 1) * block) - F.greatest("_a", F.col("rank") * block)
-    pieces = parts.select("sid", "rank", "_start", "epoch", words.alias("words")).join(schedule(shares.select("sid", "need"), block, n_slots).hint("merge"), ["sid", "rank"])
+    pieces = parts.select("sid", "rank", "_start", "epoch", words.alias("words")).join(schedule(shares.select("sid", "need"), block, n_slots, 4 * digits).hint("merge"), ["sid", "rank"])
     return sized, pieces
 
 
