@@ -1,17 +1,18 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-Trusted documents are those labelled quality 1. Their n-grams of ORDER symbols are counted per task and summed by a shuffle; lower
-orders use continuation counts, each order its own three discounts, the lowest interpolates with the uniform law. A symbol is a
-code point below 2048, others are folded onto 2048 more; so an n-gram is one long, its context and suffix are shifts and masks.
-Scoring: documents are packed into blocks of text, each block asks for its distinct n-grams, and joins sharded by n-gram
+Trusted documents are those labelled quality 1. One in FOLDS of them, by a hash of the doc_id, is held out for the quantiles; n-grams of ORDER
+symbols of the others are counted per task and summed by a shuffle; lower orders use continuation counts, each order its own three
+discounts, the lowest interpolates with the uniform law. A symbol is a UTF-16 code unit, so an n-gram is one long, its context and suffix
+are shifts and masks. Scoring: documents are packed into blocks of text, each block asks for its distinct n-grams, and joins sharded by n-gram
 bring count, context and suffix probability to every distinct one; the answers return to their block, where each document sums them. A document
-is kept if its perplexity lies between two quantiles of its language's trusted documents (of all trusted documents for
+is kept if its perplexity lies between two quantiles of its language's held-out trusted documents (of all held-out ones for
 languages with fewer than LEAST of them).
 
-The input must be a deterministic scan (a table); pass anything else through common.stash first, since blocks are packed twice.
+The input must be a deterministic scan (a table); pass anything else through common.stash first, since blocks are packed twice; an n-gram
+without an answer raises an error.
 Trusted ids are broadcast up to TRUSTED of them (8 bytes each) and joined by shuffle beyond that.
 
-Defined results: null counts as the empty text, with null perplexity, not kept; null is a language of its own; without trusted documents every
+Defined results: null counts as the empty text, with null perplexity, not kept; null is a language of its own; without held-out trusted documents every
 text with characters is kept; rows that repeat a doc_id are scored each; a null doc_id is never trusted.
 """
 
@@ -30,26 +31,26 @@ from pyspark.sql import functions as F
 
 from .common import stash, units
 
-ORDER, BITS, VOCABULARY = 4, 12, 4096
+ORDER, BITS, VOCABULARY = 4, 16, 65536
 BOUNDARY = 1
 BLOCK_BYTES = 32_000_000
-TRUSTED = 4_000_000
-LOW, HIGH, LEAST = 0.002, 0.995, 20
+TRUSTED = 1_000_000
+LOW, HIGH, LEAST, FOLDS = 0.002, 0.995, 20, 5
 
 
 def ngrams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram ending at each character of each text, and the index of its text."""
+    """n-gram ending at each UTF-16 code unit of each text, and the index of its text."""
     pad = chr(BOUNDARY) * (order - 1)
-    joined = pad + pad.join(t or "" for t in texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where(points < 2048, points, 2048 + points % 2048)
+    units_ = [(t or "").encode("utf-16-le", "surrogatepass") for t in texts]
+    gap = pad.encode("utf-16-le")
+    points = np.frombuffer(gap + gap.join(units_), np.uint16).astype(np.int64)
     n = len(points) - order + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = np.zeros(n, np.int64)
     for j in range(order):
         grams = (grams << BITS) | points[j : n + j]
-    sizes = np.array([len(t or "") for t in texts])
+    sizes = np.array([len(u) // 2 for u in units_])
     begin = np.cumsum(np.concatenate(([0], sizes[:-1] + order - 1)))
     at = np.repeat(begin - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
     return grams[at], np.repeat(np.arange(len(texts)), sizes)
@@ -102,10 +103,13 @@ def _scored(data: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         texts = table.column("text").to_pylist()
         grams, owner = ngrams(texts)
         n = np.bincount(owner, minlength=len(texts))
-        total = np.bincount(owner, logp[np.searchsorted(g, grams)], minlength=len(texts)) if len(grams) else np.zeros(len(texts))
+        at = np.minimum(np.searchsorted(g, grams), max(0, len(g) - 1))
+        if len(grams) and (not len(g) or (g[at] != grams).any()):
+            raise ValueError("blocks differ between two passes over the input: stash it first")
+        total = np.bincount(owner, logp[at], minlength=len(texts)) if len(grams) else np.zeros(len(texts))
         with np.errstate(invalid="ignore", divide="ignore"):
             p = np.exp(-total / n)
-        out.append(pd.DataFrame({"doc_id": pd.array(table.column("doc_id").to_pylist(), "Int64"), "lang": table.column("lang").to_pylist(), "n_chars": n, "perplexity": np.where(n > 0, p, np.nan)}))
+        out.append(pd.DataFrame({"doc_id": pd.array(table.column("doc_id").to_pylist(), "Int64"), "lang": table.column("lang").to_pylist(), "n_chars": [len(t or "") for t in texts], "perplexity": np.where(n > 0, p, np.nan)}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -127,9 +131,9 @@ def probabilities(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> D
     below = None
     for o in range(1, order + 1):
         d1, d2, d3 = discounts(levels[o])
-        context = levels[o].groupBy(F.shiftright("g", BITS).alias("h")).agg(F.sum("c").alias("t"), F.sum(F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)).alias("left"))
+        context = levels[o].groupBy(F.shiftrightunsigned("g", BITS).alias("h")).agg(F.sum("c").alias("t"), F.sum(F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)).alias("left"))
         held = F.when(F.col("c") == 1, 1 - d1).when(F.col("c") == 2, 2 - d2).otherwise(F.col("c") - d3)
-        rows = asked[o].join(levels[o], "g", "left").withColumn("h", F.shiftright("g", BITS)).join(context, "h", "left")
+        rows = asked[o].join(levels[o], "g", "left").withColumn("h", F.shiftrightunsigned("g", BITS)).join(context, "h", "left")
         if below is None:
             rows = rows.withColumn("lower", F.lit(1 / VOCABULARY))
         else:
@@ -139,17 +143,16 @@ def probabilities(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> D
     return below.select("g", F.log("p").alias("logp"))
 
 
-def trusted_ids(labels: DataFrame) -> tuple[DataFrame, bool]:
-    """Ids labelled quality 1, and whether they are few enough to broadcast."""
-    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    small = ids.limit(TRUSTED + 1).count() <= TRUSTED
-    return (F.broadcast(ids) if small else ids), small
+def trusted_ids(labels: DataFrame, held_out: bool) -> DataFrame:
+    """Ids labelled quality 1 of the fold that is held out, or of the others; to be broadcast if they are few enough."""
+    ids = labels.where("quality = 1 and doc_id is not null").where((F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0) == held_out).select("doc_id").distinct()
+    return F.broadcast(ids) if ids.limit(TRUSTED + 1).count() <= TRUSTED else ids
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars, perplexity for docs(doc_id, lang, text)."""
     docs = docs.select("doc_id", "lang", "text")
-    counts = stash(docs.join(trusted_ids(labels)[0], "doc_id", "left_semi").select("text").mapInArrow(_counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")
+    counts = stash(docs.join(trusted_ids(labels, False), "doc_id", "left_semi").select("text").mapInArrow(_counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")
     asked = docs.mapInArrow(_requests, "block long, g long")
     known = stash(probabilities(counts, asked.select("g").distinct()), "kn-model")
     answers = asked.join(known, "g")
@@ -159,12 +162,12 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, keep."""
     scored = stash(perplexities(docs, labels).withColumn("perplexity", F.nanvl("perplexity", F.lit(None).cast("double"))), "perplexity")
-    trusted = scored.join(trusted_ids(labels)[0], "doc_id", "left_semi").where("perplexity is not null")
+    trusted = scored.join(trusted_ids(labels, True), "doc_id", "left_semi").where("perplexity is not null")
     bounds = lambda: F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), 10000)
-    every = trusted.agg(bounds().alias("whole"))
+    whole = trusted.agg(bounds()).first()[0]
     by_lang = trusted.groupBy(F.col("lang").alias("_lang")).agg(bounds().alias("own"), F.count("*").alias("_n"))
-    joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(every))  # one row
-    limits = F.when(F.col("_n") >= LEAST, F.col("own")).otherwise(F.col("whole"))
+    joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    limits = F.when(F.col("_n") >= LEAST, F.col("own")).otherwise(F.lit(None) if whole is None else F.array(*[F.lit(x) for x in whole]))
     keep = F.col("perplexity").isNotNull() & (limits.isNull() | F.col("perplexity").between(limits[0], limits[1]))
     return joined.select("doc_id", "lang", "n_chars", "perplexity", keep.alias("keep"))
 
