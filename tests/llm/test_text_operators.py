@@ -124,10 +124,20 @@ def test_perplexity_brute_force(spark):
     texts = ["".join(rng.choice("abcd e") for _ in range(rng.randrange(5, 80))) for _ in range(25)]
     d = docs(spark, list(enumerate(texts)))
     labels = spark.createDataFrame([(i, 1 if i < 15 else 0, 0) for i in range(25)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.perplexity for r in quality.perplexities(d, labels).collect()}
+    out = {r.doc_id: r for r in quality.quality(d, labels, low=0.3, high=0.7).collect()}
+    got = {i: r.perplexity for i, r in out.items()}
+    held = {r.doc_id for r in d.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)) == 0).collect()} & set(range(15))
+    texts = [t + "\U0001f600" for t in texts]
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs(spark, list(enumerate(texts))), labels).collect()}
+    # decisions: between the quantiles of the held-out trusted documents (under LEAST of them, so of all languages)
+    own = sorted(out[i].perplexity for i in held)
+    low, high = (own[max(0, math.ceil(q * len(own)) - 1)] for q in (0.3, 0.7))
+    assert held and all(r.keep == (low <= r.perplexity <= high) for r in out.values())
+    units = [[c for c in t.encode("utf-16-le").decode("utf-16-le", "surrogatepass")[:-1]] + ["\ud83d", "\ude00"] for t in texts]
+    texts = ["".join(u) for u in units]
     n = quality.ORDER
     grams = lambda t: [("\x01" * (n - 1) + t)[i : i + n] for i in range(len(t))]
-    levels = {n: Counter(g for t in texts[:15] for g in grams(t))}
+    levels = {n: Counter(g for i, t in enumerate(texts[:15]) if i not in held for g in grams(t))}
     for o in range(n - 1, 0, -1):
         levels[o] = Counter(g[1:] for g in levels[o + 1])
 
@@ -250,12 +260,33 @@ def test_secrets(spark, hard, none):
         want = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in brute_secrets(t))
         assert got[i].spans == want and got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
     model = secrets.train(*secrets.labelled(docs(spark, rows)))
-    assert model and model["threshold"] >= 0.5
+    assert model
     more = {r.doc_id: r for r in secrets.secret_scan(docs(spark, [(1, f"value {hexes(31)} x"), (2, "plain words only")]), model).collect()}
     assert more[1].n_cnn == 1 and more[2].spans == ""
     assert secrets.secret_scan(hard, None).count() == 11 and secrets.secret_scan(none, model).count() == 0 and secrets.train(*secrets.labelled(none)) is None
 
 
+def test_network_finds_what_the_patterns_miss(spark):
+    rng = random.Random(70)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    plain = lambda: " ".join(pick(lower, rng.randrange(2, 14)) if rng.random() < 0.9 else rng.choice([pick(digits, 16), pick(digits, 9), pick(upper, 10), "2024-01-15T10:22", "/usr/local/lib", f"{pick(lower, 9)}.com"]) for _ in range(60))
+    rows = [(i, f"{plain()} {rng.choice(['token', 'api_key', 'password'])} = {pick(digits + 'abcdef', 40)} {plain()}" if i % 3 == 0 else plain()) for i in range(300)]
+    model = secrets.train(*secrets.labelled(docs(spark, rows)))
+    kinds = [digits + lower + upper, digits + "ABCDEF", digits + "abcdef"]
+    values = [pick(kinds[i % 3], rng.randrange(16, 31)) for i in range(90)]
+    lines = ["bearer {} sent", "my pwd is {} so", "curl -u admin:{} now"]
+    planted = [(i, f"{plain()} {lines[i % 2].format(v)} {plain()}") for i, v in enumerate(values)]
+    clean = [(1000 + i, plain()) for i in range(200)]
+    got = {r.doc_id: r for r in secrets.secret_scan(docs(spark, planted + clean), model).collect()}
+    text = dict(planted + clean)
+    found = {i: [text[i][int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] for i, r in got.items()}
+    caught = sum(any(v in f for f in found[i]) for i, v in enumerate(values))
+    wrong = sum(len(found[i]) for i, _ in clean) + sum(not any(v in f for v in values) for i, _ in planted for f in found[i])
+    assert caught >= 0.9 * len(values) and wrong <= 0.1 * caught, (caught, wrong)
+    assert not any(brute_secrets(t) for t in text.values())
+
+
 def test_secrets_sees_whole_candidates(spark):
     # a network that answers to one thing, a capital from G to Z inside the candidate
     k, w = np.zeros((secrets.WIDTH * secrets.CLASSES, secrets.FILTERS), np.float32), np.zeros(3 * secrets.FILTERS, np.float32)
@@ -278,7 +309,7 @@ def test_secret_sample_fills_from_all_documents(spark):
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rows = [(i, f"{hexes(12)} and otherword{i:05}" if i % 500 else f"token={hexes(24)} and otherword{i:05}") for i in range(12000)]
     x, y = secrets.labelled(docs(spark, rows).repartition(5))
-    assert y.sum() == 24 and (1 - y).sum() == 4000 and secrets.train(x, y) is not None
+    assert y.sum() == 24 and (1 - y).sum() >= 4000 and secrets.train(x, y) is not None
     again = secrets.labelled(docs(spark, rows[::-1]).repartition(3))
     assert (again[0] == x).all() and (again[1] == y).all()
 
@@ -298,6 +329,65 @@ def test_pii(spark, hard, none):
     assert pii.pii(hard).count() == 11 and pii.pii(none).count() == 0
 
 
+def brute_pii(t):
+    """Scans by hand, without regular expressions."""
+    digit, name = set("0123456789"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    run = lambda i, chars: next((j for j in range(i, len(t)) if t[j] not in chars), len(t))
+    out = []
+
+    def email(i):
+        j = run(i, name | set("._%+-"))
+        if j == i or t[j : j + 1] != "@" or (k := run(j + 1, name | {"-"})) == j + 1:
+            return None
+        end = None
+        while t[k : k + 1] == "." and (n := run(k + 1, name | {"-"})) > k + 1:
+            end = k = n
+        return end and (end, True)
+
+    def ip(i):
+        j = run(i, digit)
+        parts = [t[i:j]]
+        while j > i and len(parts) < 4 and t[j : j + 1] == "." and (n := run(j + 1, digit)) > j + 1:
+            parts.append(t[j + 1 : n])
+            j = n
+        return (j, all(int(p) <= 255 for p in parts)) if len(parts) == 4 else None
+
+    def card(i):
+        if t[i] not in digit:
+            return None
+        j = i + 1
+        while (n := j + (t[j : j + 1] in (" ", "-"))) < len(t) and t[n] in digit:
+            j = n + 1
+        d = [int(c) for c in t[i:j] if c in digit]
+        total = sum(v if k % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for k, v in enumerate(d[::-1]))
+        return (j, 12 <= len(d) <= 19 and total % 10 == 0) if j > i + 1 else None
+
+    def phone(i):
+        if t[i] != "+" or t[i + 1 : i + 2] not in digit or i + 1 == len(t):
+            return None
+        j = run(i + 2, digit | set(" ().-"))
+        while j > i + 3 and t[j - 1] not in digit:
+            j -= 1
+        return (j, 9 <= sum(c in digit for c in t[i:j]) <= 15) if j > i + 3 and t[j - 1] in digit else None
+
+    for kind, scan in enumerate((email, ip, card, phone)):
+        i = 0
+        while i < len(t):
+            m = scan(i)
+            if m and m[1]:
+                out.append((i, kind, m[0]))
+            i = m[0] if m else i + 1
+    return sorted(out)
+
+
+def test_base_personal_data_brute_force():
+    rng = random.Random(72)
+    bits = ["a.b@x-y.co.uk", "@", ".", "10.0.0.1", "999.1.1.1", "1.2.3", "4539 5787 6362 1486", "4539578763621487", "+1 (743) 555-3824", "+12", "+", "-", " ", " ", "word", "7", "é", "(", ")", "0001.2.3.4.5"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert pii.base_spans(t) == brute_pii(t), t
+
+
 def test_pii_bootstrap(spark):
     rows = [("contact|99", f"v{i}", True) for i in range(8)] + [("contact|99", "new", False)] + [("the|99", f"t{i}", False) for i in range(9)] + [("the|99", "v1", True)]
     seen = spark.createDataFrame(rows, "pattern string, value string, seed boolean")
@@ -322,6 +412,11 @@ def test_pii_finds_unseen_formats(spark):
     found = {i: [text[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "found"] for i, r in got.items()}
     assert [found[20 + i] for i in range(4)] == [[v] for v in new] and [found[30 + i] for i in range(5)] == [[v] for v in [*new, "K7-99123"]]
     assert all(got[i].n_found == 0 for i in [*range(12), *range(40, 49), *range(60, 80)])
+    # what a base kind judged and dropped is no identifier, however good its context; words of any length make a pattern
+    long = "x" * 90
+    rows = [(i, f"{long} account {valid()} please {long}") for i in range(20)] + [(30, f"{long} account {wrong()} please"), (31, f"{long} account KD-88{digits(4)} please {long}"), (32, f"y{long} account KD-88{digits(4)} now y{long}")]
+    got = {r.doc_id: r for r in pii.pii(docs(spark, rows)).collect()}
+    assert [got[i].n_found for i in (30, 31, 32)] == [0, 1, 0]
 
 
 def test_decontamination(spark, hard, none):
@@ -340,6 +435,44 @@ def test_decontamination(spark, hard, none):
     assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(hard, bench.where("false")).count() == 11
 
 
+def test_decontamination_brute_force(spark):
+    """Texts of few words and numbers, so that windows, slots and torn values occur by chance."""
+    rng = random.Random(81)
+    some = lambda n: " ".join(rng.choice([f"w{rng.randrange(6)}", "the", "of"]) if rng.random() < 0.8 else str(rng.randrange(3)) for _ in range(n))
+    items = [(i, some(rng.randrange(8, 16))) for i in range(12)]
+    rows = []
+    for k in range(60):
+        w = items[k % 12][1].split()
+        w = [str(rng.randrange(3)) if x.isdigit() and rng.random() < 0.4 else x for x in w]
+        a = rng.randrange(3)
+        rows.append((k, " ".join([some(rng.randrange(6)), *w[a : len(w) - rng.randrange(4)], some(5)])))
+
+    def windows_of(t, n):
+        words = [("\x01" if x.isdigit() else x) for x in t.split()]
+        values = t.split()
+        good = lambda i: sum(x != "\x01" for x in words[i : i + n]) >= decontaminate.LITERALS
+        return {i: (tuple(words[i : i + n]), [v for v, x in zip(values[i : i + n], words[i : i + n]) if x == "\x01"]) for i in range(len(words) - n + 1) if good(i)}
+
+    n = decontaminate.WIDTH
+    assert all(windows_of(t, n) for _, t in items)  # no item is matched as a whole here
+    want = {}
+    for d, t in rows:
+        for i, u in items:
+            of_doc, of_item = windows_of(t, n), windows_of(u, n)
+            sound = set()
+            for shift in range(-len(u), len(t)):
+                pairs = [(p, of_item[p], of_doc[p + shift]) for p in of_item if p + shift in of_doc and of_item[p][0] == of_doc[p + shift][0]]
+                stands = {}
+                for _, (_, mine), (_, theirs) in pairs:
+                    for x, y in zip(mine, theirs):
+                        stands.setdefault(x, set()).add(y)
+                sound |= {p for p, (_, mine), _ in pairs if all(len(stands[x]) == 1 for x in mine)}
+            if sound:
+                want[d, i] = (len(sound), len(of_item))
+    got = {(r.doc_id, r.item_id): (r.windows, r.total) for r in decontaminate.matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_decontamination_of_names_and_short_items(spark):
     num = "if the line has 40 people and 12 people join while 40 people wait then how many are there in the whole long line today"
     dense = "Compute 3 + 4 * 5 - 6 / 2 + 7 * 8 - 9"
@@ -380,6 +513,31 @@ def test_simhash_next_and_edits(spark, hard, none):
     assert simhash.simhash(hard).count() == 11 and simhash.simhash(none).count() == 0
 
 
+def test_fingerprint_brute_force():
+    rng = random.Random(90)
+    for _ in range(30):
+        w = words(rng, rng.randrange(0, 40), 9)
+        text = " ".join(w)
+        of = {x: int(word_hashes([x.encode()])[0][0][0]) for x in w}
+        factor, size = 0xD6E8FEB86659FD93, 1 << 64
+
+        def mixed(x):
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % size
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB % size
+            return x ^ (x >> 31)
+
+        terms = [mixed((of[a] + of[b] * factor) % size) for a, b in zip(w, w[1:])] or [of[x] for x in w]
+        votes = [sum(1 if h >> k & 1 else -1 for h in terms) for k in range(64)]
+        assert int(simhash.fingerprints([text])[0]) == sum(1 << k for k, v in enumerate(votes) if v > 0)
+
+
+def test_simhash_of_repeated_and_null_ids(spark):
+    rows = [(50, "a b c d"), (50, "x y z w"), (50, "a b c d"), (100, "a b c d"), (None, "a b c d"), (None, None), (7, "q r s")]
+    got = simhash.searched(docs(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in got) == sorted((i is None, i or 0, len(t or "")) for i, t in rows)
+    assert sorted((r.doc_id, r.n_within_radius) for r in got if r.n_within_radius is not None) == [(50, 0), (50, 3), (50, 3), (100, 3)]
+
+
 def test_radius_search_brute_force(spark):
     rng = random.Random(10)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -415,19 +573,69 @@ def test_automaton_brute_force():
             s = "".join(s)
             want = s in lex.words or any(distance(s, t) <= (2 if len(t) >= 9 else 1) for t in ("idiot", "worthless", "disgusting"))
             assert bool(lex.match(s)) == want, s
-    assert lex.match("loweisch") == 1 and lex.match("1d10t") == 2 and lex.match("clean") == 0
+    assert lex.match("loweisch") == 2 and lex.match("1d10t") == 3 and lex.match("idiod") == 3 and lex.match("clean") == 0
+    assert toxicity.Lexicon(["idiot"], [], ["idiod"]).match("idiod") == 0
     assert toxicity.evidence(lex, 'he said "you idiot" and left')[3] == 1 and toxicity.evidence(lex, "you idiot")[0] == 1
 
 
 def test_toxicity_held_out(spark, hard, none):
     sf = "/root/testdata/sf0.01"
     got = toxicity.query(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
-    assert ((got.predicted == 1) & (got.toxic == 0)).sum() <= 1 and (got[got.toxic == 1].predicted == 1).mean() >= 0.7
+    assert ((got.predicted == 1) & (got.toxic == 0)).sum() <= 1 and (got[got.toxic == 1].predicted == 1).mean() >= 0.75
     labels = spark.createDataFrame([(1, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     h = toxicity.toxicity(hard, labels)
     assert h.count() == 11 and h.where("predicted = 1 or score < 0 or score > 1").count() == 0 and toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_learns_misspellings_and_stems(spark):
+    rng = random.Random(12)
+    some = lambda: [f"{a}{b}{c}" for a, b, c in ([rng.choice(["ta", "lo", "mi", "re", "su"]) for _ in range(3)] for _ in range(rng.randrange(30, 60)))]
+    bad = ["gromfelt", "dreckwurm", "vileblot"]
+    rows, labels = [], []
+    for i in range(900):
+        w, y = some(), i % 6 == 0
+        if y:
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        elif i % 6 == 1:
+            w[0] = "gromfeld"  # one edit from a word, but what clean texts say
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(y)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model["words"] == sorted(bad) and model["innocent"] == ["gromfeld"] and model["weights"][5] > 2
+    probe = [(1, f"{' '.join(some())} drekwurm"), (2, f"{' '.join(some())} gromfeld"), (3, f"{' '.join(some())} v1leblot"), (4, " ".join(some())), (5, None)]
+    got = {r.doc_id: r.score for r in toxicity.score_texts(docs(spark, probe), model).collect()}
+    assert min(got[1], got[3]) >= toxicity.THRESHOLD and max(got[2], got[4], got[5]) < 0.2
+    # scores by hand: features of the counts, times the weights
+    w = model["weights"]
+    assert got[4] == pytest.approx(1 / (1 + math.exp(-w[0]))) and got[1] == pytest.approx(1 / (1 + math.exp(-(w[0] + w[5] * (0.9 + 0.1 * math.log(2))))))
+    # two labels of one id: toxic if one says so; the fit does not depend on the order of rows
+    twice = spark.createDataFrame(labels + [(i, 1 - y) for i, y in labels[:60]], "doc_id long, toxic int")
+    one, two = (toxicity.fit(docs(spark, r), t) for r, t in ((rows, twice), (rows[::-1], twice.orderBy(F.desc("doc_id")))))
+    assert one["words"] == two["words"] and np.allclose(one["weights"], two["weights"])
+
+
+def test_quotations():
+    assert [("a “b c” d"[s:e]) for s, e in toxicity.quotations("a “b c” d")] == ["“b c”"]
+    t = '„x“ «y\nz» "q ' + "w" * 500 + '" it"s'
+    assert [t[s:e] for s, e in toxicity.quotations(t)] == ["„x“", '"q ' + "w" * 500 + '"']
+
+
+def test_queries_take_hard_tables(spark, hard, none, tmp_path):
+    """Every query over a table with nulls, repeats, ties and clashing columns, and over none: exactly the documents' rows."""
+    bench = spark.createDataFrame([(1, "what does the long item say to those who read it now"), (2, None), (None, "x"), (1, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (4, 1, None), (None, 1, 1), (8, None, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    for rows, name in ((hard, "hard"), (none, "none")):
+        for t, df in (("documents", rows), ("benchmark", bench), ("labels", labels)):
+            df.write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        want = sorted((r.doc_id is None, r.doc_id or 0) for r in rows.collect())
+        for op, query in queries.queries().items():
+            got = sorted((r.doc_id is None, r.doc_id or 0) for r in query(spark, f"{tmp_path}/{name}").collect())
+            # near-duplicate classes have one row for an id and its text, however often both are repeated
+            assert got == (sorted({*want}) if op == "op5_minhash" else want), op
+        last = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(last) <= len(want) and (name == "none" or any(r.doc_id is None for r in last))
+
+
 def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near-dedup", "decontamination", "mixing"]
     d = table(spark, SF, "documents")
