@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
-    """Rank from 1 with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2)
+from ..functions import pvalues
+from .ranks import average_rank, running
 
 
 def correlations(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
@@ -28,22 +25,42 @@ def within_correlation(df: DataFrame, x: str, y: str, group: list[str], keys: li
 
 
 def two_samples(df: DataFrame, value: str, first: str) -> DataFrame:
-    """Welch's t with its degrees of freedom, and Mann-Whitney's U with its normal score; `first` marks the first sample. One row."""
-    r = average_rank(df, value, [], "_r")
+    """Welch's t with its degrees of freedom, and Mann-Whitney's U with its normal score; `first` marks the first sample. One row.
+
+    The rank sum comes from counts for each distinct value, so ties and rows of one value meet nowhere.
+    """
     a, b = F.when(F.col(first), F.col(value)), F.when(~F.col(first), F.col(value))
-    s = r.agg(F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"), F.count(a).cast("double").alias("na"), F.count(b).cast("double").alias("nb"), F.sum(F.when(F.col(first), F.col("_r"))).alias("ra"))
+    moments = df.agg(F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"), F.count(a).cast("double").alias("na"), F.count(b).cast("double").alias("nb"))
+    counts = df.groupBy(value).agg(F.count(a).alias("_a"), F.count(value).alias("_n"))
+    ranks = running(counts, value, [], "_n", "_up", "_all").agg(F.sum(F.col("_a") * (F.col("_up") - (F.col("_n") - 1) / 2)).alias("ra"))
+    s = moments.withColumn("_one", F.lit(1)).join(ranks.withColumn("_one", F.lit(1)), "_one")  # two single rows
     e = F.col("va") / F.col("na") + F.col("vb") / F.col("nb")
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
     half = F.col("na") * F.col("nb")
     return s.select(((F.col("ma") - F.col("mb")) / F.sqrt(e)).alias("t"), (e * e / ((F.col("va") / F.col("na")) ** 2 / (F.col("na") - 1) + (F.col("vb") / F.col("nb")) ** 2 / (F.col("nb") - 1))).alias("df"), u.alias("u"), ((u - half / 2) / F.sqrt(half * (F.col("na") + F.col("nb") + 1) / 12)).alias("z"))
 
 
+def signed_ranks(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Wilcoxon's signed ranks of pairs: w_plus, w_minus, n (pairs that differ) and the normal score z with ties corrected. One row."""
+    d = df.withColumn("_d", F.col(first) - F.col(second)).where("_d <> 0").withColumn("_m", F.abs("_d"))
+    c = d.groupBy("_m").agg(F.count("*").alias("_n"), F.count(F.when(F.col("_d") > 0, 1)).alias("_p"))
+    r = running(c, "_m", [], "_n", "_up", "_all").withColumn("_r", F.col("_up") - (F.col("_n") - 1) / 2)
+    s = r.agg(F.sum(F.col("_p") * F.col("_r")).alias("w_plus"), F.sum((F.col("_n") - F.col("_p")) * F.col("_r")).alias("w_minus"), F.sum("_n").alias("n"), F.sum(F.col("_n") ** 3 - F.col("_n")).alias("_t"))
+    n = F.col("n")
+    return s.select("w_plus", "w_minus", "n", ((F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48)).alias("z"))
+
+
+def with_p(stats: DataFrame) -> DataFrame:
+    """Two-sided p-values of the statistics t (with df) and z that there are: p_t, p_z."""
+    out = stats.withColumn("p_z", pvalues.of_normal(F.col("z"))) if "z" in stats.columns else stats
+    return out.withColumn("p_t", pvalues.of_student(F.col("t"), F.col("df"))) if "t" in stats.columns else out
+
+
 def ks_distance(df: DataFrame, value: str, first: str, keys: list[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance, from counts per distinct value."""
-    w = Window.partitionBy(*keys)
-    c = df.groupBy(*keys, value).agg(F.count(F.when(F.col(first), 1)).alias("_a"), F.count(F.when(~F.col(first), 1)).alias("_b"))
-    up = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.try_divide(F.sum("_a").over(up), F.sum("_a").over(w)) - F.try_divide(F.sum("_b").over(up), F.sum("_b").over(w)))
+    c = df.groupBy(*keys, value).agg(F.count(F.when(F.col(first), 1)).alias("_a"), F.count(F.when(~F.col(first), 1)).alias("_b")).withColumn("_n", F.col("_a") + F.col("_b"))
+    c = running(running(c, value, keys, "_n", "_nu", "_nw"), value, keys, "_a", "_au", "_aw")
+    gap = F.abs(F.try_divide("_au", "_aw") - F.try_divide(F.col("_nu") - F.col("_au"), F.col("_nw") - F.col("_aw")))
     return c.withColumn("_g", gap).groupBy(*keys).agg(F.max("_g").alias("distance"))
 
 
@@ -55,7 +72,5 @@ def variance_split(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def weighted_median(df: DataFrame, value: str, weight: str, keys: list[str]) -> DataFrame:
     """The first value at which the running weight reaches half; equal values count together."""
-    w = Window.partitionBy(*keys)
     c = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    run = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return c.withColumns({"_run": run, "_all": F.sum("_w").over(w)}).where(F.col("_run") >= F.col("_all") / 2).groupBy(*keys).agg(F.min(value).alias("median"))
+    return running(c, value, keys, "_w", "_run", "_all").where(F.col("_run") >= F.col("_all") / 2).groupBy(*keys).agg(F.min(value).alias("median"))

@@ -44,6 +44,40 @@ def even_odd_moments(hist: DataFrame, keys: list[str], centre: str, density: str
     return eo.groupBy(*keys).agg(F.try_divide(F.sum(a * c), F.sum(F.when(a.isNotNull(), c * c))).alias("k1"), F.regr_slope(F.when(F.col("even") > 0, F.log("even")), c * c).alias("k2"))
 
 
+def length_and_speed(lengths: DataFrame, speeds: DataFrame) -> DataFrame:
+    """The correlation length around a particle in a frame beside its speed there."""
+    return lengths.select("exp", "frame", "particle", "xi").join(speeds.where("v is not null").select("condition", "exp", "frame", "particle", "v"), ["exp", "frame", "particle"])
+
+
+def persistence_time(orientation: DataFrame, keys: list[str]) -> DataFrame:
+    """Of an orientation correlation by lag (lag, c; c(0) = 1) the integral to its first zero, by straight lines: tau."""
+    w = Window.partitionBy(*keys).orderBy("lag")
+    c = orientation.withColumns({"_c": F.coalesce(F.lag("c").over(w), F.lit(1.0)), "_l": F.coalesce(F.lag("lag").over(w), F.lit(0))})
+    c = c.withColumn("_over", F.coalesce(F.max((F.col("c") <= 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_over = 0")
+    width = F.col("lag") - F.col("_l")
+    part = F.when(F.col("c") > 0, (F.col("c") + F.col("_c")) / 2 * width).otherwise(F.col("_c") / 2 * width * F.col("_c") / (F.col("_c") - F.col("c") + 1e-12))
+    return c.groupBy(*keys).agg(F.sum(part).alias("tau")).where("tau > 0")
+
+
+def persistence_and_length(taus: DataFrame, lengths: DataFrame, radius: Column) -> DataFrame:
+    """A particle's persistence time beside the correlation length around it and its radius over that."""
+    return taus.join(lengths.where("xi > 0.05"), KEY).withColumn("x", radius / F.col("xi"))
+
+
+def augmented(points: DataFrame, flow: DataFrame, lags: list[int]) -> DataFrame:
+    """Points (with heading theta) with the flow's (u, v) around them and, for each frame lag, the turn of the heading over exactly that lag, its square and
+    1 - cos of it, and the change of that turn over the next lag. New columns end in the lag; where a frame is missing they are null."""
+    from ..functions.angles import wrap_closed
+
+    out = points.join(flow.select(*KEY, "frame", "u", "v"), [*KEY, "frame"], "left")
+    for k in lags:
+        later = lambda df, c: df.select(*KEY, (F.col("frame") - k).alias("frame"), F.col(c).alias("_n"))  # noqa: E731, B023
+        out = out.join(later(out, "theta"), [*KEY, "frame"], "left").withColumn(f"turn_{k}", wrap_closed(F.col("_n") - F.col("theta"))).drop("_n")
+        out = out.join(later(out, f"turn_{k}"), [*KEY, "frame"], "left").withColumn(f"change_{k}", wrap_closed(F.col("_n") - F.col(f"turn_{k}"))).drop("_n")
+        out = out.withColumns({f"square_{k}": F.col(f"turn_{k}") ** 2, f"dispersion_{k}": 1 - F.cos(f"turn_{k}")})
+    return out
+
+
 def residuals(df: DataFrame, x: str, y: str, key: str, z: float) -> DataFrame:
     """P10: linear fit per key, residuals with |z| up to a limit: mean, std, skewness (population), excess kurtosis, n."""
     f = df.groupBy(key).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import filled, uniform
+from .ranks import running
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, n: int, keys: list[str], edges: str = "last_closed", weight: Column | None = None) -> DataFrame:
@@ -29,8 +30,7 @@ def ensemble_histogram(df: DataFrame, column: str, low: float, high: float, n: i
 def ccdf(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """P(X >= x) at each distinct positive value, ties counted together."""
     count = df.where(F.col(column) > 0).groupBy(*keys, F.col(column).alias("x")).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*keys).orderBy("x").rowsBetween(0, Window.unboundedFollowing)
-    return count.withColumn("ccdf", F.sum("_n").over(up) / F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
+    return running(count, "x", keys, "_n", "_up", "_all").withColumn("ccdf", (F.col("_all") - F.col("_up") + F.col("_n")) / F.col("_all")).drop("_n", "_up", "_all")
 
 
 def reach(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -164,13 +164,19 @@ def merged_bins(df: DataFrame, bin_: Column, y: str, least: int) -> DataFrame:
 
 
 def exceedance(df: DataFrame, bin_: Column, y: str, limits: list[float], least: int) -> DataFrame:
-    """Per limit and bin: p = P(y > limit | bin), its binomial error, -ln p, odds p / P(y > limit), posterior P(bin | y > limit), mean of y above."""
+    """Per limit and bin: p = P(y > limit | bin), its binomial error, -ln p, odds p / P(y > limit), posterior P(bin | y > limit), their errors, mean of y above.
+
+    The odds' error adds the relative errors of p and of P(y > limit); no binomial variance is taken below 1e-6.
+    """
     rows = df.withColumn("bin", bin_).where("bin is not null").withColumn("limit", F.explode(F.array(*[F.lit(float(v)) for v in limits])))
     over = F.col(y) > F.col("limit")
     got = rows.groupBy("limit", "bin").agg(F.count("*").alias("n"), F.count(F.when(over, 1)).alias("k"), F.avg(F.when(over, F.col(y))).alias("mean_above"))
     w = Window.partitionBy("limit")
     got = got.withColumns({"_n": F.sum("n").over(w), "_k": F.sum("k").over(w)}).where(F.col("n") >= least).withColumn("p", F.col("k") / F.col("n"))
-    return got.withColumns({"error": F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")), "potential": F.when(F.col("p") > 0, -F.log("p")), "odds": F.try_divide(F.col("p"), F.col("_k") / F.col("_n")), "posterior": F.try_divide("k", "_k")}).drop("_n", "_k")
+    got = got.withColumns({"error": F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")), "potential": F.when(F.col("p") > 0, -F.log("p")), "odds": F.try_divide(F.col("p"), F.col("_k") / F.col("_n")), "posterior": F.try_divide("k", "_k")})
+    binomial = lambda p, n: F.greatest(F.col(p) * (1 - F.col(p)), F.lit(1e-6)) / F.col(n)
+    odds = F.col("odds") * F.sqrt(binomial("p", "n") / F.col("p") ** 2 + (1 - F.col("_k") / F.col("_n")) / F.col("_k"))
+    return got.withColumns({"odds_error": F.when(F.col("odds") > 0, odds), "posterior_error": F.when(F.col("_k") > 0, F.sqrt(binomial("posterior", "_k")))}).drop("_n", "_k")
 
 
 def kde(df: DataFrame, x: str, keys: list[str], low: float, high: float, points: int) -> DataFrame:
@@ -227,6 +233,39 @@ def wide_table(df: DataFrame, ids: list[str], name: str, values: list[str], valu
     return df.groupBy(*ids).pivot(name, values).agg(F.first(value))
 
 
+def log_histogram(df: DataFrame, column: str, keys: list[str], low: float, high: float, n: int) -> DataFrame:
+    """Density of ln(column) by bin against the normal density with the same mean and std at the bin's centre."""
+    logs = df.where(F.col(column) > 0).withColumn("_l", F.log(column))
+    h = histogram(logs, "_l", low, high, n, keys).join(log_moments(df, column, keys).select(*keys, "mean", "std"), keys)
+    z = (F.lit(low) + (F.col("bin") + 0.5) * ((high - low) / n) - F.col("mean")) / F.col("std")
+    return h.withColumn("normal", F.when(F.col("std") > 0, F.exp(-z * z / 2) / (F.col("std") * 2.5066282746310002)))
+
+
+def scaled_histogram(df: DataFrame, column: str, keys: list[str], most: float, n: int) -> DataFrame:
+    """Density of column over the key's mean by bin, against the exponential law of mean 1 and the Rayleigh law of mean 1 at the bin's centre."""
+    scaled = df.join(df.groupBy(*keys).agg(F.avg(column).alias("_m")).where("_m > 0"), keys).withColumn("_t", F.col(column) / F.col("_m"))
+    c = (F.col("bin") + 0.5) * (most / n)
+    return histogram(scaled, "_t", 0.0, most, n, keys).withColumns({"exponential": F.exp(-c), "rayleigh": 1.5707963267948966 * c * F.exp(-0.7853981633974483 * c * c)})
+
+
+def normal_qq(df: DataFrame, column: str, keys: list[str], order: list[str]) -> DataFrame:
+    """ln(column) of positive rows against the normal law: slope, intercept and r2 of sorted values on normal quantiles (Filliben's positions), and KS, the distance to the normal law of the same mean and std.
+
+    Ranks come from bucketed running counts, so no task sorts a whole key.
+    """
+    from ..functions.curves import normal_cdf, normal_quantile
+    from .ranks import ranked
+
+    rows = ranked(df.where(F.col(column) > 0).withColumn("_l", F.log(column)), "_l", keys, order)
+    i, n = F.col("rank"), F.col("total")
+    position = F.when(i == n, F.lit(0.5) ** (1 / n)).when(i == 1, 1 - F.lit(0.5) ** (1 / n)).otherwise((i - 0.3175) / (n + 0.365))
+    q = normal_quantile(position)
+    moments = df.where(F.col(column) > 0).groupBy(*keys).agg(F.avg(F.log(column)).alias("_m"), F.stddev_pop(F.log(column)).alias("_s"))
+    z = normal_cdf((F.col("_l") - F.col("_m")) / F.col("_s"))
+    rows = rows.join(moments, keys).withColumns({"_q": q, "_d": F.greatest(i / n - z, z - (i - 1) / n)})
+    return rows.groupBy(*keys).agg(F.regr_slope("_l", "_q").alias("slope"), F.regr_intercept("_l", "_q").alias("intercept"), F.regr_r2("_l", "_q").alias("r2"), F.max("_d").alias("ks"), F.count("*").alias("n"))
+
+
 def log_moments(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Mean, std and n of ln(column) for positive values."""
     return df.where(F.col(column) > 0).groupBy(*keys).agg(F.avg(F.log(column)).alias("mean"), F.stddev_pop(F.log(column)).alias("std"), F.count("*").alias("n"))

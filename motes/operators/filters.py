@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .kinematics import KEY, track
 
 
@@ -43,11 +44,18 @@ def tukey(values: DataFrame, column: str, by: str = "condition", k: float = 1.5)
     return values.join(q, by).where(F.col(column).between(low, high)).drop("_q")
 
 
+def tukey_statistics(values: DataFrame, column: str, by: str = "condition", k: float = 1.5) -> DataFrame:
+    """n, mean, median and std of a group's values, raw and (ending in _in) inside its fences."""
+    q = values.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    low, high = F.greatest(F.lit(0.0), F.col("_q")[0] - k * (F.col("_q")[1] - F.col("_q")[0])), F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])
+    inside = F.when(F.col(column).between(low, high), F.col(column))
+    cols = [a(c).alias(f"{name}{end}") for c, end in ((F.col(column), ""), (inside, "_in")) for name, a in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("std", F.stddev_samp))]
+    return values.join(q, by).groupBy(by).agg(*cols)
+
+
 def plotting_position(values: DataFrame, column: str, by: str, order: list[str]) -> DataFrame:
     """Filliben's position of each row among its group: 1 - 0.5^(1/n), (i - 0.3175) / (n + 0.365), 0.5^(1/n)."""
-    w = Window.partitionBy(by)
-    i, n = F.row_number().over(w.orderBy(column, *order)), F.count("*").over(w)
-    return values.withColumns({"_i": i, "_n": n}).withColumn("position", F.when(F.col("_i") == F.col("_n"), F.lit(0.5) ** (1 / F.col("_n"))).when(F.col("_i") == 1, 1 - F.lit(0.5) ** (1 / F.col("_n"))).otherwise((F.col("_i") - 0.3175) / (F.col("_n") + 0.365))).drop("_i", "_n")
+    return ranked(values, column, [by], order, "_i", "_n").withColumn("position", F.when(F.col("_i") == F.col("_n"), F.lit(0.5) ** (1 / F.col("_n"))).when(F.col("_i") == 1, 1 - F.lit(0.5) ** (1 / F.col("_n"))).otherwise((F.col("_i") - 0.3175) / (F.col("_n") + 0.365))).drop("_i", "_n")
 
 
 def lognormal_core(values: DataFrame, column: str, by: str, order: list[str], tail: float) -> DataFrame:
@@ -105,6 +113,14 @@ def checked_flow(pairs: DataFrame, moving: float, least: float) -> DataFrame:
     return pairs.groupBy("exp").agg(F.count("*").alias("n"), F.avg((b > moving).cast("double")).alias("moving"), F.avg(valid.cast("double")).alias("valid"), F.avg(F.when(valid, F.abs(a - b) / b)).alias("speed_error"), F.avg(F.when(valid, angle)).alias("angle_error"), (F.sum(F.col("u") * F.col("tu") + F.col("v") * F.col("tv")) / F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("correlation"))
 
 
+def steps_on_field(tracks: DataFrame, field: DataFrame, size: int) -> DataFrame:
+    """The step (tu, tv) of each particle to the next frame with the field (u, v) at its nearest pixel, clipped to the frame: an equi-join."""
+    nxt = tracks.select(*KEY, (F.col("frame") - 1).alias("frame"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    pixel = lambda c: F.least(F.greatest(F.rint(c), F.lit(0)), F.lit(size - 1)).cast("int")
+    rows = tracks.join(nxt, [*KEY, "frame"]).withColumns({"tu": F.col("_x") - F.col("x"), "tv": F.col("_y") - F.col("y"), "px": pixel("x"), "py": pixel("y")}).drop("_x", "_y")
+    return rows.join(field, ["exp", "frame", "px", "py"])
+
+
 def first_rows(tracks: DataFrame, n: int) -> DataFrame:
     """The first n rows of each track."""
     return tracks.withColumn("_i", F.row_number().over(track())).where(F.col("_i") <= n).drop("_i")

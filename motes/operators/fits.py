@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked, running
+
 
 def correlation_length(curve: DataFrame, keys: list[str], r: str = "r", c: str = "c", least: float = 0.01) -> DataFrame:
     """Xi from ln c = ln a - r / xi, from the curve's peak on, c >= least, at least 3 points, slope < -1e-6."""
@@ -66,19 +68,38 @@ def exponential_ccdf(c: DataFrame, durations: DataFrame, keys: list[str], value:
     return f.select(*keys, F.when(F.col("_s") < 0, -1 / F.when(F.col("_s") < 0, F.col("_s"))).otherwise(F.col("_m")).alias("tau"), "n")
 
 
-def power_tail(df: DataFrame, x: str, keys: list[str], least: int = 20, candidates: int = 50) -> DataFrame:
-    """x_min and exponent of a power-law tail: of evenly ranked candidates the one with the smallest Kolmogorov-Smirnov distance, exponent by maximum likelihood."""
-    w = Window.partitionBy(*keys)
-    pos = df.where(F.col(x) > 0).withColumns({"_i": F.row_number().over(w.orderBy(x)) - 1, "_n": F.count("*").over(w)})
-    cand = pos.where(F.col("_n") - F.col("_i") >= least).withColumn("_k", F.floor(F.col("_i") / F.greatest(F.lit(1), F.floor((F.col("_n") - least + 1) / candidates))))
-    cand = cand.groupBy(*keys, "_k").agg(F.min(x).alias("x_min")).select(*keys, "x_min").distinct()
-    tail = cand.join(pos.select(*keys, F.col(x).alias("_x")), keys).where(F.col("_x") >= F.col("x_min"))
-    t = Window.partitionBy(*keys, "x_min")
-    tail = tail.withColumns({"_m": F.count("*").over(t), "_a": F.try_divide(F.count("*").over(t).cast("double"), F.sum(F.log(F.col("_x") / F.col("x_min"))).over(t)), "_r": F.row_number().over(t.orderBy("_x"))})
-    d = F.abs(F.col("_r") / F.col("_m") - (1 - F.pow(F.col("x_min") / F.col("_x"), F.col("_a"))))
-    ks = tail.groupBy(*keys, "x_min").agg(F.max(d).alias("distance"), (F.first("_a") + 1).alias("exponent"), F.first("_m").alias("n"))
-    best = F.min_by(F.struct("x_min", "exponent", "distance", "n"), F.struct("distance", "x_min")).alias("_b")
-    return ks.where("exponent is not null").groupBy(*keys).agg(best).select(*keys, "_b.*")
+def power_tail(df: DataFrame, x: str, keys: list[str], least: int = 15, last: int = 5, candidates: int = 250) -> DataFrame:
+    """Power-law tail of positive values: x_max, the largest value that `last` rows reach; of evenly ranked candidates for x_min, from the
+    lowest 15 % on and with `least` ranks below x_max, the one with the smallest Kolmogorov-Smirnov distance, exponent by maximum likelihood; then slope
+    and r2 of log10 P(X >= x) on log10 x in between (every row at its own rank).
+
+    Sums of n and ln x above each value are running sums, so a candidate's exponent is a lookup; only the distance needs values times candidates.
+    """
+    from ..sources.io import stashed
+
+    pos = df.where(F.col(x) > 0).select(*keys, F.col(x).cast("double").alias("_x"))
+    rows = stashed(ranked(pos, "_x", keys, [], "_i", "_n").withColumn("_i", F.col("_i") - 1), "ranks")
+    # the rank before each value, and how many rows have it
+    c = rows.groupBy(*keys, "_x").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.first("_n").alias("_n")).withColumn("_l", (F.col("_hi") - F.col("_lo") + 1) * F.log("_x"))
+    c = stashed(running(stashed(c, "values"), "_x", keys, "_l", "_lup", "_lall").where(F.col("_n") >= least + last), "sums")
+    end = c.where((F.col("_lo") <= F.col("_n") - last) & (F.col("_n") - last <= F.col("_hi"))).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("_x").alias("x_max"), F.col("_hi").alias("_end"), F.col("_lup").alias("_lend"))
+    same = [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)]
+    c = c.join(end, same).where(F.col("_x") <= F.col("x_max")).drop(*[f"_e{i}" for i in range(len(keys))])
+    stop = F.col("_n") - last - least
+    start = F.when(F.floor(F.col("_n") * 0.15) < stop, F.floor(F.col("_n") * 0.15)).otherwise(F.greatest(F.lit(0), stop - 30))
+    count = F.least(F.lit(candidates), stop - start + 1)
+    wanted = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: (start + F.floor(k * (stop - start) / F.greatest(count - 1, F.lit(1)))).cast("long"))
+    n = F.col("_end") - F.col("_lo") + 1
+    logs = F.col("_lend") - F.col("_lup") + F.col("_l") - n * F.log("_x")
+    chosen = c.where(F.exists(wanted, lambda i: i.between(F.col("_lo"), F.col("_hi"))) & (n >= least)).withColumns({"_m": n, "_a": F.try_divide(n, F.when(logs > 0, logs))}).where("_a is not null")
+    cand = chosen.select(*keys, F.col("_x").alias("x_min"), "x_max", F.col("_lo").alias("_from"), "_m", "_a")
+    tail = c.select(*keys, "_x", "_lo", "_hi", "_n").join(F.broadcast(cand), keys).where(F.col("_x") >= F.col("x_min"))  # `candidates` rows a key at most
+    law = 1 - F.pow(F.col("x_min") / F.col("_x"), F.col("_a"))
+    gap = F.greatest(F.abs((F.col("_lo") - F.col("_from") + 1) / F.col("_m") - law), F.abs((F.col("_hi") - F.col("_from") + 1) / F.col("_m") - law))
+    best = tail.withColumn("_d", gap).groupBy(*keys, "x_min", "x_max", "_a", "_m", "_from").agg(F.max("_d").alias("distance")).groupBy(*keys).agg(F.min_by(F.struct("x_min", "x_max", "distance", (F.col("_a") + 1).alias("exponent"), F.col("_m").alias("n")), F.struct("distance", "x_min")).alias("_b")).select(*keys, "_b.*")
+    fit = rows.join(F.broadcast(best), keys).where(F.col("_x").between(F.col("x_min"), F.col("x_max"))).withColumns({"_u": F.log10("_x"), "_v": F.log10((F.col("_n") - F.col("_i")) / F.col("_n"))})
+    line = fit.groupBy(*keys).agg(F.regr_slope("_v", "_u").alias("slope"), F.regr_r2("_v", "_u").alias("r2"))
+    return best.join(line, keys)
 
 
 def von_mises(stats: DataFrame) -> DataFrame:
@@ -127,12 +148,18 @@ def selection_bias(df: DataFrame, v: str, u: str, limit: float, keys: list[str])
     return df.groupBy(*keys).agg(F.percentile(F.when(F.abs(F.col(u)) > limit, F.col(v) / F.when(F.abs(F.col(u)) > limit, F.col(u))), 0.5).alias("median_ratio"), F.try_divide(F.sum(F.col(v) * F.col(u)), F.sum(F.col(u) ** 2)).alias("regression"))
 
 
-#: Models of X16: start values from the data, and the curve.
+#: Models of X16: start values from the data (sorted by x), and the curve: decays, with offset, of two times, from a first to a last value; mean-squared
+#: displacements of persistent, caged and run-and-tumble motion with diffusion; quenching; a line.
 MODELS = {
     "exponential": (lambda x, y: [y.max(), max(x.mean(), 1e-9)], lambda x, p: p[0] * np.exp(-x / p[1])),
     "offset_exponential": (lambda x, y: [y.max() - y.min(), max(x.mean(), 1e-9), y.min()], lambda x, p: p[0] * np.exp(-x / p[1]) + p[2]),
     "gaussian": (lambda x, y: [y.max(), max(x.std(), 1e-9)], lambda x, p: p[0] * np.exp(-0.5 * (x / p[1]) ** 2)),
     "active_msd": (lambda x, y: [max(y.max(), 1e-9) ** 0.5 / max(x.max(), 1e-9), max(x.mean(), 1e-9), 0.0], lambda x, p: 2 * p[0] ** 2 * p[1] * (x - p[1] * (1 - np.exp(-x / p[1]))) + 4 * p[2] * x),
+    "double_exponential": (lambda x, y: [y.max() / 2, max(x.mean() / 4, 1e-9), y.max() / 2, max(2 * x.mean(), 1e-9)], lambda x, p: p[0] * np.exp(-x / p[1]) + p[2] * np.exp(-x / p[3])),
+    "relaxation": (lambda x, y: [y[0], max(x.mean(), 1e-9), y[-1]], lambda x, p: p[2] + (p[0] - p[2]) * np.exp(-x / p[1])),
+    "caged_msd": (lambda x, y: [max(y.max(), 1e-9), max(x.mean(), 1e-9), 0.0], lambda x, p: p[0] * (1 - np.exp(-x / p[1])) + 4 * p[2] * x),
+    "run_tumble_msd": (lambda x, y: [max(y.max(), 1e-9) ** 0.5 / max(x.max(), 1e-9), max(1 / x.mean(), 1e-9), 0.0], lambda x, p: 2 * (p[0] / p[1]) ** 2 * (p[1] * x - 1 + np.exp(-p[1] * x)) + 4 * p[2] * x),
+    "quenching": (lambda x, y: [y.max(), max(1 / x.mean(), 1e-9)], lambda x, p: p[0] / (1 + p[1] * x)),
     "line": (lambda x, y: [0.0, y.mean()], lambda x, p: p[0] * x + p[1]),
 }
 

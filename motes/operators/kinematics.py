@@ -24,13 +24,17 @@ def step(c: str) -> Column:
 
 
 def velocity(tracks: DataFrame, scale: float = 1.0, dt: float = 1.0) -> DataFrame:
-    """Steps by row: dx, dy, distance, v, vx, vy, theta, signed turn dtheta, omega, t. A step of length 0 has no angles."""
+    """Steps by row: dx, dy, distance, v, vx, vy, theta, unit vector (ex, ey), signed turn dtheta, omega, angle alpha of the unit vector's change, t.
+
+    A step of length 0 has no angles and no unit vector; a unit vector that does not change has alpha 0.
+    """
     out = tracks.withColumn("dx", step("x") * scale).withColumn("dy", step("y") * scale).withColumn("distance", F.hypot("dx", "dy"))
     moved = F.col("distance") > 0
     out = out.withColumns({"v": F.col("distance") / dt, "vx": F.col("dx") / dt, "vy": F.col("dy") / dt, "theta": F.when(moved, F.atan2("dy", "dx")), "t": F.col("frame") * dt})
     before = [F.lag(c).over(track()) for c in ("dx", "dy", "distance")]
     out = out.withColumn("dtheta", F.when(moved & (before[2] > 0), turn(before[0], before[1], F.col("dx"), F.col("dy"))))
-    return out.withColumn("omega", F.col("dtheta") / dt)
+    out = out.withColumns({"omega": F.col("dtheta") / dt, "ex": F.when(moved, F.col("dx") / F.col("distance")), "ey": F.when(moved, F.col("dy") / F.col("distance"))})
+    return out.withColumn("alpha", F.atan2(F.round(step("ey"), 12) + F.lit(0.0), F.round(step("ex"), 12) + F.lit(0.0)))
 
 
 def gap_aware_speed(tracks: DataFrame, scale: float = 1.0, dt: float = 1.0) -> DataFrame:

@@ -44,12 +44,19 @@ def ensemble(per_particle: DataFrame, value: str, keys: list[str], least: int =
 
 
 def pooled(per_particle: DataFrame, value: str, keys: list[str], least: int = 1) -> DataFrame:
-    """Mean, std, n and exact quantiles q10 q25 q50 q75 q90 over particles."""
+    """Mean, std, n and exact quantiles q10 q25 q50 q75 q90 over particles; bootstrapped adds the error and interval of the mean."""
     q = F.percentile(value, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     out = per_particle.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"), q.alias("_q")).where(F.col("n") >= least)
     return out.select(*keys, "mean", "std", "n", *[F.col("_q")[i].alias(f"q{p}") for i, p in enumerate((10, 25, 50, 75, 90))])
 
 
+def bootstrapped(stats: DataFrame, per_particle: DataFrame, value: str, keys: list[str], replicates: int) -> DataFrame:
+    """Stats of pooled() with se, low and high (95 %) of the mean over resampled particles."""
+    from .resample import bootstrap_mean
+
+    return stats.join(bootstrap_mean(per_particle, value, ["particle"], keys, replicates), keys)
+
+
 def at_lag(per_particle: DataFrame, value: str, target: int, tolerance: int) -> DataFrame:
     """Each particle's value at the lag nearest the target, if within the tolerance."""
     near = per_particle.where(F.abs(F.col("lag") - target) <= tolerance)

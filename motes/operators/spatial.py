@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,7 +79,7 @@ def interaction(particles: DataFrame, field: DataFrame, radii: list[float], inne
 
 
 def rings(particles: DataFrame, field: DataFrame, sizes: list[tuple[float, float]]) -> DataFrame:
-    """For each ring (inner, outer): polar order |<unit flow>|, mean flow, mean speed, share of pixels against the ring's mean flow, nematic angle and order, n.
+    """For each ring (inner, outer): polar order |<unit flow>|, mean flow, mean speed, share of pixels against the ring's mean flow, nematic angle and order, n.
 
     The mean is needed before the opposite share: sums first, then the joined rows meet them again under the same partitioning.
     """
@@ -102,9 +104,22 @@ def order_by_size(particles: DataFrame, field: DataFrame, most: int) -> DataFram
 
 
 def farthest_cell(field: DataFrame, particles: DataFrame) -> DataFrame:
-    """The pixel of each frame farthest from all its particles (smallest px, py on ties): distance to the nearest one."""
-    p = particles.select("exp", "frame", "x", "y")
-    near = field.select("exp", "frame", "px", "py").join(p, ["exp", "frame"]).groupBy("exp", "frame", "px", "py").agg(F.min((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2).alias("_d"))
+    """The pixel of each frame farthest from all its particles (smallest px, py on ties): distance to the nearest one.
+
+    In rounds of doubled radius, until none is left: pixels with a particle within it know their distance, the others go on. So a pixel meets only
+    particles around it; a round's pixels are written once.
+    """
+    from ..sources.io import stashed
+
+    p = stashed(particles.select("exp", "frame", "x", "y"), "points")
+    left = field.select("exp", "frame", "px", "py").join(p.select("exp", "frame").distinct(), ["exp", "frame"], "left_semi")
+    parts, radius = [], 4.0
+    while not parts or not left.isEmpty():
+        got = stashed(near_pixels(p, left, radius).groupBy("exp", "frame", "px", "py").agg(F.min("d2").alias("_d")), "near")
+        parts.append(got)
+        left = stashed(left.join(got, ["exp", "frame", "px", "py"], "left_anti"), "left")
+        radius *= 2
+    near = reduce(DataFrame.unionByName, parts)
     best = F.max_by(F.struct("px", "py", "_d"), F.struct("_d", -F.col("px"), -F.col("py"))).alias("_b")
     return near.groupBy("exp", "frame").agg(best).select("exp", "frame", "_b.px", "_b.py", F.sqrt("_b._d").alias("distance"))
 
@@ -142,13 +157,73 @@ def pooled_from_sums(df: DataFrame, value: str, keys: list[str], parts: list[str
 
 def radial_speed(particles: DataFrame, field: DataFrame, edge: float, most: float, width: float, lag: int = 0) -> DataFrame:
     """Mean speed by distance from the particle's edge, over the far plateau's (outer half) of the frame and of the movie; lag: the flow so many frames before."""
-    from pyspark.sql import Window
-
     past = field.withColumn("frame", F.col("frame") + lag)
     near = near_pixels(particles, past, edge + most, edge).withColumns({"s": F.hypot("u", "v"), "bin": F.floor((F.sqrt("d2") - edge) / width)})
-    far = F.when((F.col("bin") + 0.5) * width > most / 2, F.col("s"))
-    rows = near.withColumn("_f", F.avg(far).over(Window.partitionBy("exp", "frame"))).withColumn("_m", F.avg(far).over(Window.partitionBy("exp")))
-    return rows.groupBy("exp", "bin").agg(F.avg("s").alias("speed"), F.avg(F.try_divide("s", "_f")).alias("by_frame"), F.avg(F.try_divide("s", "_m")).alias("by_movie"), F.count("*").alias("n"))
+    # sums of bins in frames first; plateaus and ratios need nothing else
+    b = near.groupBy("exp", "frame", "bin").agg(F.sum("s").alias("_s"), F.count("*").alias("_n"))
+    far = (F.col("bin") + 0.5) * width > most / 2
+    plateau = lambda *keys: F.try_divide(F.sum(F.when(far, F.col("_s"))).over(Window.partitionBy(*keys)), F.sum(F.when(far, F.col("_n"))).over(Window.partitionBy(*keys)))
+    b = b.withColumns({"_f": plateau("exp", "frame"), "_m": plateau("exp")})
+    n = F.sum("_n")
+    by_frame = F.try_divide(F.sum(F.try_divide("_s", "_f")), F.sum(F.when(F.col("_f") != 0, F.col("_n"))))
+    return b.groupBy("exp", "bin").agg((F.sum("_s") / n).alias("speed"), by_frame.alias("by_frame"), F.try_divide(F.sum("_s") / n, F.first("_m")).alias("by_movie"), n.alias("n"))
+
+
+def disk_order(particles: DataFrame, spun: DataFrame, radius: float, least: int = 1) -> DataFrame:
+    """Spins in a disk under each particle: magnetisation m, polar order p, n (pixels with a direction); disks with fewer than `least` of them go."""
+    near = near_pixels(particles, spun, radius)
+    got = near.groupBy("exp", "frame", "particle").agg(F.avg("spin").alias("m"), F.hypot(F.avg("u"), F.avg("v")).alias("p"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return particles.join(got, ["exp", "frame", "particle"])
+
+
+def local_length_map(field: DataFrame, step: int, most: int, first: float = 0.05, least: float = 1e-3, bounds: tuple[float, float] = (0.05, 200.0), fit: float = 0.0) -> DataFrame:
+    """Correlation length xi around every step-th pixel of a frame: exp, frame, px, py, xi, a, r2.
+
+    The local curve is c(r), the mean unit flow at distance class r dotted with the flow at the pixel, r = 1..most. Pixels whose first c is not over `first`
+    go; ln c = ln a - r / xi is fitted where c > least, at 3 points or more, to a falling line; xi stays inside bounds. A fit with
+    r2 (of c itself) below `fit` stays only for xi under 2.
+    """
+    grid = field.where((F.col("px") % step == 0) & (F.col("py") % step == 0)).select("exp", "frame", (F.col("py").cast("long") * 1_000_000 + F.col("px")).alias("particle"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
+    curve = ring_correlation(grid, field, most + 1).where(F.col("distance").between(1, most)).select("exp", "frame", "particle", F.col("distance").cast("double").alias("r"), "c")
+    keys = ["exp", "frame", "particle"]
+    use = F.col("c") > least
+    logc, r = F.when(use, F.log(F.when(use, F.col("c")))), F.when(use, F.col("r"))
+    f = curve.groupBy(*keys).agg(F.min_by("c", "r").alias("_1"), F.regr_slope(logc, r).alias("_s"), F.regr_intercept(logc, r).alias("_i"), F.count(logc).alias("_n")).where((F.col("_1") > first) & (F.col("_n") >= 3) & (F.col("_s") < -1e-6))
+    f = f.select(*keys, F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), -1 / F.col("_s"))).alias("xi"), F.least(F.lit(1.5), F.exp("_i")).alias("a"))
+    e = (F.col("c") - F.col("a") * F.exp(-F.col("r") / F.col("xi"))) ** 2
+    q = curve.join(f, keys).groupBy(*keys, "xi", "a").agg(F.sum(e).alias("_e"), (F.var_pop("c") * F.count("*")).alias("_t"))
+    out = q.withColumn("r2", F.when(F.col("_t") > 1e-9, 1 - F.col("_e") / (F.col("_t") + 1e-9)).otherwise(0.0)).where((F.col("r2") >= fit) | (F.col("xi") < 2))
+    return out.select("exp", "frame", (F.col("particle") % 1_000_000).alias("px"), F.floor(F.col("particle") / 1_000_000).alias("py"), "xi", "a", "r2")
+
+
+def length_moments(lengths: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
+    """Mean, median and std (population) of the lengths, and alpha2 = <xi^4> / (3 <xi^2>^2) - 1; maps are first averaged over frames."""
+    m = lengths.groupBy(*keys, "px", "py").agg(F.avg("xi").alias("xi"))
+    return m.groupBy(*keys).agg(F.avg("xi").alias("mean"), F.percentile("xi", 0.5).alias("median"), F.stddev_pop("xi").alias("std"), (F.avg(F.col("xi") ** 4) / (3 * F.avg(F.col("xi") ** 2) ** 2) - 1).alias("alpha2"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def slowdown(profiles: DataFrame, xi: DataFrame, near: float) -> DataFrame:
+    """Of profiles(source, condition, exp, r, value), the speed over the far speed at distance r from the edge: per movie the slowdown 1 - value at the edge
+    (the first point) and the mean one at r / xi < near."""
+    rows = profiles.where("value is not null").join(xi.where("xi > 0"), "exp")
+    keys = ["source", "condition", "exp", "xi"]
+    return rows.groupBy(*keys).agg((1 - F.min_by("value", "r")).alias("edge"), (1 - F.avg(F.when(F.col("r") / F.col("xi") < near, F.col("value")))).alias("near"))
+
+
+def slowdown_by_size(movies: DataFrame) -> DataFrame:
+    """Mean and sem over movies of each source and condition."""
+    cols = [c for v in ("edge", "near") for c in (F.avg(v).alias(v), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{v}_sem"))]
+    return movies.groupBy("source", "condition").agg(*cols, F.count("*").alias("n"))
+
+
+def on_scaled_grid(profiles: DataFrame, xi: DataFrame, grid: list[float]) -> DataFrame:
+    """Each movie's profile at points of r / xi, by straight lines between its points (the first value before them, null after them), then the mean over movies."""
+    w = Window.partitionBy("source", "condition", "exp").orderBy("q")
+    p = profiles.where("value is not null").join(xi.where("xi > 0"), "exp").withColumn("q", F.col("r") / F.col("xi"))
+    p = p.withColumns({"_q": F.lead("q").over(w), "_v": F.lead("value").over(w), "_first": F.row_number().over(w) == 1, "at": F.array(*[F.lit(float(g)) for g in grid])}).withColumn("at", F.explode("at"))
+    inside = (F.col("at") >= F.col("q")) & ((F.col("at") < F.col("_q")) | (F.col("_q").isNull() & (F.col("at") == F.col("q"))))
+    value = F.when(inside, F.coalesce(F.col("value") + (F.col("_v") - F.col("value")) * (F.col("at") - F.col("q")) / (F.col("_q") - F.col("q")), F.col("value"))).when(F.col("_first") & (F.col("at") < F.col("q")), F.col("value"))
+    return p.withColumn("y", value).where("y is not null").groupBy("source", "condition", "at").agg(F.avg("y").alias("mean"), F.count("*").alias("n"))
 
 
 def sampled_field(particles: DataFrame, field: DataFrame, column: str) -> DataFrame:

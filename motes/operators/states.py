@@ -86,11 +86,46 @@ def transitions(states: DataFrame, steps: list[int], keys: list[str]) -> DataFra
 
 
 def triplet_chi2(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Chi-square of triplets (a, b, c) against a first-order chain, and its degrees of freedom. One row."""
+    """Chi-square of triplets (a, b, c) against a first-order chain, the number of cells seen, and the degrees of freedom: over all b, (different a - 1) (different c - 1). One row."""
     w = Window.partitionBy(*keys).orderBy("frame")
     t = states.withColumns({"a": F.lag("state").over(w), "c": F.lead("state").over(w)}).where("a is not null and c is not null").groupBy("a", F.col("state").alias("b"), "c").agg(F.count("*").alias("n"))
     e = t.withColumn("_e", F.sum("n").over(Window.partitionBy("a", "b")) * F.sum("n").over(Window.partitionBy("b", "c")) / F.sum("n").over(Window.partitionBy("b")))
-    return e.agg(F.sum((F.col("n") - F.col("_e")) ** 2 / F.col("_e")).alias("chi2"), F.count("*").alias("cells"))
+    # a cell that was not seen adds its expectation; what is seen of b's table sums to the rows' total
+    seen = e.groupBy("b").agg(F.sum((F.col("n") - F.col("_e")) ** 2 / F.col("_e") - F.col("_e")).alias("_x"), F.sum("n").alias("_n"), F.count("*").alias("cells"), ((F.countDistinct("a") - 1) * (F.countDistinct("c") - 1)).alias("freedom"))
+    return seen.agg(F.sum(F.col("_x") + F.col("_n")).alias("chi2"), F.sum("cells").alias("cells"), F.sum("freedom").alias("freedom"))
+
+
+def markov_checks(counts: DataFrame) -> DataFrame:
+    """Of transitions() between states 0 and 1, for each step: largest gap between the seen matrix and the power of the one-step matrix, second
+    eigenvalue seen and predicted, implied timescale (in steps; null unless 0 < eigenvalue < 0.9999)."""
+    m = counts.groupBy("step").agg(F.coalesce(F.max(F.when(F.col("from") < F.col("to"), F.col("p"))), F.lit(0.0)).alias("a"), F.coalesce(F.max(F.when(F.col("from") > F.col("to"), F.col("p"))), F.lit(0.0)).alias("b"))
+    one = m.where("step = 1").select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.lit(1).alias("_one"))
+    j = m.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").withColumns({"eigenvalue": 1 - F.col("a") - F.col("b"), "predicted": F.pow(1 - F.col("a1") - F.col("b1"), F.col("step"))})  # one row
+    away = lambda x, x1: F.abs(F.col(x) - F.coalesce(F.try_divide(F.col(x1), F.col("a1") + F.col("b1")), F.lit(0.0)) * (1 - F.col("predicted")))
+    e = F.col("eigenvalue")
+    return j.select("step", F.greatest(away("a", "a1"), away("b", "b1")).alias("gap"), "eigenvalue", "predicted", F.when((e > 0) & (e < 0.9999), -F.col("step") / F.log(F.when((e > 0) & (e < 0.9999), e))).alias("timescale"))
+
+
+def state_autocorrelation(states: DataFrame, steps: list[int], keys: list[str]) -> DataFrame:
+    """Autocorrelation of the state by step inside sequences, about the mean and variance of all rows."""
+    w = Window.partitionBy(*keys).orderBy("frame")
+    moments = states.agg(F.avg("state").alias("_m"), F.var_pop("state").alias("_v"), F.lit(1).alias("_one"))
+    nxt = F.array(*[F.struct(F.lit(k).alias("step"), F.lead("state", k).over(w).alias("to")) for k in steps])
+    pairs = states.withColumn("_n", nxt).select("state", F.explode("_n").alias("_p")).where("_p.to is not null")
+    s = pairs.groupBy(F.col("_p.step").alias("step")).agg(F.sum(F.col("state") * F.col("_p.to")).alias("_xy"), F.sum(F.col("state") + F.col("_p.to")).alias("_s"), F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    j = s.join(F.broadcast(moments), "_one")  # one row
+    return j.select("step", "n", F.try_divide(F.col("_xy") - F.col("_m") * F.col("_s") + F.col("n") * F.col("_m") ** 2, F.col("n") * F.col("_v")).alias("correlation"))
+
+
+def dwell_ks(states: DataFrame, keys: list[str], least: int = 8) -> DataFrame:
+    """Per state the distance of closed runs' lengths from the exponential law of their mean, for states with enough runs: distance, mean, n."""
+    runs = islands(states, "state", keys).where("closed_left and closed_right")
+    c = runs.groupBy("state", "n").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy("state")  # one row for each length
+    c = c.withColumns({"_n": F.sum("_k").over(w), "_m": F.sum(F.col("n") * F.col("_k")).over(w) / F.sum("_k").over(w), "_up": F.sum("_k").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))})
+    law = 1 - F.exp(-F.col("n") / F.col("_m"))
+    gap = F.greatest(F.col("_up") / F.col("_n") - law, law - (F.col("_up") - F.col("_k")) / F.col("_n"))
+    return c.where(F.col("_n") >= least).groupBy("state").agg(F.max(gap).alias("distance"), F.first("_m").alias("mean"), F.first("_n").alias("n"))
 
 
 def without_glitches(states: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

@@ -24,7 +24,7 @@ register("g01_pairs_within", "exp | frame particle particle_2 | r", lambda t: wi
 register("g02_frame_pair_mean", "exp | frame n | correlation", lambda t: spa.frame_pair_mean(heads(t), "ux", "uy"), "with fu as (select *, case when dx=0 and dy=0 then 0 else dx/sqrt(dx*dx+dy*dy) end as ux, case when dx=0 and dy=0 then 0 else dy/sqrt(dx*dx+dy*dy) end as uy from (select *, lead(x) over w-x as dx, lead(y) over w-y as dy from gaps window w as (partition by exp, particle order by frame)) where dx is not null) select exp, frame, count(*) as n, (pow(sum(ux),2)+pow(sum(uy),2)-sum(ux*ux+uy*uy))/(count(*)*(count(*)-1)) as correlation from fu group by 1,2 having count(*)>1")
 register("g03_pair_bins", "category | bin n | mean std sem", lambda t: spa.pair_correlation_bins(with_cos(t).withColumn("category", F.when((F.col("particle") + F.col("particle_2")) % 2 == 0, "even").otherwise("odd")), 10.0, 100.0), f"with {PAIR}, c as (select *, case when (particle+particle_2)%2=0 then 'even' else 'odd' end as category, floor(r/10) as bin from pr where r<100) select coalesce(category,'all') as category, bin, count(*) as n, avg(cos) as mean, stddev_samp(cos) as std, stddev_samp(cos)/sqrt(count(*)) as sem from c group by grouping sets ((category, bin),(bin)) having count(*)>=5")
 register("g04_short_range", "exp | n | order", lambda t: spa.short_range(with_cos(t, 30.0), 30.0), f"with {PAIR} select exp, count(*) as n, avg(cos) as \"order\" from pr where r<=30 group by 1 having count(*)>=3")
-register("g05_relative_displacements", "exp | frame particle particle_2 | along", lambda t: spa.pairs(kin.frame_displacement(t.gaps, [2]).where("frame < 7"), ["dx", "dy"]).join(t.theta, ["exp", "frame"]).withColumn("along", (F.col("dx_2") - F.col("dx")) * F.cos("theta") + (F.col("dy_2") - F.col("dy")) * F.sin("theta")), "with d as (select a.exp, a.frame, a.particle, b.x-a.x as dx, b.y-a.y as dy from gaps a join gaps b on a.exp=b.exp and a.particle=b.particle and b.frame=a.frame+2 where a.frame<7) select a.exp, a.frame, a.particle, b.particle as particle_2, (b.dx-a.dx)*cos(theta)+(b.dy-a.dy)*sin(theta) as along from d a join d b on a.exp=b.exp and a.frame=b.frame and a.particle<b.particle join theta t on t.exp=a.exp and t.frame=a.frame")
+register("g05_relative_displacements", "exp | frame particle particle_2 | along", lambda t: spa.pairs(kin.frame_displacement(t.gaps, [2]).join(t.theta, ["exp", "frame"]), ["dx", "dy", "theta"]).withColumn("along", (F.col("dx_2") - F.col("dx")) * F.cos("theta") + (F.col("dy_2") - F.col("dy")) * F.sin("theta")), "with d as (select a.exp, a.frame, a.particle, b.x-a.x as dx, b.y-a.y as dy from gaps a join gaps b on a.exp=b.exp and a.particle=b.particle and b.frame=a.frame+2) select a.exp, a.frame, a.particle, b.particle as particle_2, (b.dx-a.dx)*cos(theta)+(b.dy-a.dy)*sin(theta) as along from d a join d b on a.exp=b.exp and a.frame=b.frame and a.particle<b.particle join theta t on t.exp=a.exp and t.frame=a.frame")
 COS = "case when (u=0 and v=0) or (dx=0 and dy=0) then 0 else (u*dx+v*dy)/(sqrt(u*u+v*v)*sqrt(dx*dx+dy*dy)) end"
 INT = "with {near}, it as (select *, x-16 as dx, y-16 as dy, {w} as w from nr), ic as (select *, {cos} as c, u*dx+v*dy as d from it), ra as (select unnest([1.5,3.0]) as radius), ag as (select exp, frame, particle, radius, sum(w*d)/sum(w) as dot, sum(w*c)/sum(w) as cos, sum(w*u)/sum(w) as u, sum(w*v)/sum(w) as v, stddev_pop(c) as cos_std, count(*) as n from ic cross join ra where d2<=radius*radius group by 1,2,3,4) select p.exp, p.frame, p.particle, ra.radius, coalesce(dot,0) as dot, coalesce(cos,0) as cos, coalesce(u,0) as u, coalesce(v,0) as v, coalesce(cos_std,0) as cos_std, coalesce(n,0) as n from on_field p cross join ra left join ag using (exp, frame, particle, radius)"
 register("g06_interaction", "exp | frame particle n | radius dot cos u v cos_std", lambda t: spa.interaction(moved(t), t.field, [1.5, 3.0]), INT.format(near=NEAR.format(r=3), w="1.0", cos=COS))
@@ -42,9 +42,9 @@ spun = lambda t: fld.spins(t.field, t.theta)
 register("g15_order_moments", "exp | n | mean variance", lambda t: fld.order_moments(fld.disks(spun(t), 3, 4)), f"with {DISK} select exp, count(*) as n, avg(p) as mean, var_pop(p) as variance from ds group by 1")
 register("g16_spin_fractions", "exp | frame n | plus minus bias", lambda t: fld.spin_fractions(spun(t), ["exp", "frame"]), f"with {SPIN} select exp, frame, count(*) as n, avg((spin>0)::int) as plus, avg((spin<0)::int) as minus, avg(spin) as bias from sp group by 1,2")
 register("g17_block_curve", "exp | window blocks | abs_m m m2 p", lambda t: fld.block_curve(spun(t), [2, 4, 8], 0.5, 32), f"with {SPIN}, b as (select exp, frame, w as \"window\", floor(px/w) as bx, floor(py/w) as b2, avg(spin) as m, sqrt(pow(avg(u),2)+pow(avg(v),2)) as p from sp cross join (select unnest([2,4,8]) as w) group by 1,2,3,4,5 having count(*)>=0.5*w*w) select exp, \"window\", count(*) as blocks, avg(abs(m)) as abs_m, avg(m) as m, avg(m*m) as m2, avg(p) as p from b group by 1,2")
-register("g17_overlapping_blocks", "exp | frame bx n | m p", lambda t: fld.blocks(spun(t), 8, 4, 0.5, 32).where("by = 2"), f"with {SPIN}, s as (select a as bx, b as b2 from (select unnest(range(7)) as a) cross join (select unnest(range(7)) as b)) select exp, frame, bx, count(*) as n, avg(spin) as m, sqrt(pow(avg(u),2)+pow(avg(v),2)) as p from sp join s on px>=bx*4 and px<bx*4+8 and py>=b2*4 and py<b2*4+8 where b2=2 group by 1,2,3 having count(*)>=32")
+register("g17_overlapping_blocks", "exp | frame bx row n | m p", lambda t: fld.blocks(spun(t), 8, 4, 0.5, 32).withColumnRenamed("by", "row"), f"with {SPIN}, s as (select a as bx, b as b2 from (select unnest(range(7)) as a) cross join (select unnest(range(7)) as b)) select exp, frame, bx, b2 as \"row\", count(*) as n, avg(spin) as m, sqrt(pow(avg(u),2)+pow(avg(v),2)) as p from sp join s on px>=bx*4 and px<bx*4+8 and py>=b2*4 and py<b2*4+8 group by 1,2,3,4 having count(*)>=32")
 register("g18_disks", "exp | frame cx cy n | m p", lambda t: fld.disks(spun(t), 3, 4), f"with {DISK} select * from ds")
-register("g19_block_pairs", "exp | frame bx n | gap", lambda t: fld.blocks(spun(t), 4, 4, 0.5, 32).where("by = 1"), f"with {SPIN}, b as (select exp, frame, floor(px/4) as bx, count(*) as n, avg(spin) as m, sqrt(pow(avg(u),2)+pow(avg(v),2)) as p from sp where floor(py/4)=1 group by 1,2,3 having count(*)>=8) select *, abs(p-abs(m))/nullif(p,0) as gap from b")
+register("g19_block_pairs", "exp | frame bx row n | gap", lambda t: fld.blocks(spun(t), 4, 4, 0.5, 32).withColumnRenamed("by", "row"), f"with {SPIN}, b as (select exp, frame, floor(px/4) as bx, floor(py/4) as \"row\", count(*) as n, avg(spin) as m, sqrt(pow(avg(u),2)+pow(avg(v),2)) as p from sp group by 1,2,3,4 having count(*)>=8) select *, abs(p-abs(m))/nullif(p,0) as gap from b")
 CORR = f"{UNIT}, ct as (select p.*, u.u as cu, u.v as cv from on_field p join un u on p.exp=u.exp and p.frame=u.frame and round_even(p.x,0)=u.px and round_even(p.y,0)=u.py), rc as (select c.exp, c.frame, c.particle, floor(sqrt(pow(f.px-c.x,2)+pow(f.py-c.y,2))) as distance, avg(f.u*cu+f.v*cv) as c, count(*) as n from ct c join un f on c.exp=f.exp and c.frame=f.frame and pow(f.px-c.x,2)+pow(f.py-c.y,2)<=25 group by 1,2,3,4)"
 register("g21_ring_correlation", "exp | frame particle distance n | c", lambda t: spa.ring_correlation(t.on_field, t.field, 5), f"with {CORR} select * from rc")
 SAMP = "vp as (select exp, frame, row_number() over (partition by exp, frame order by md5(concat_ws('|',0,exp,frame,px,py))) as particle, px::double as x, py::double as y from field where u<>0 or v<>0 qualify row_number() over (partition by exp, frame order by md5(concat_ws('|',0,exp,frame,px,py)))<=5)"
@@ -72,9 +72,4 @@ register("g39_transfer_efficiency", "condition | n | efficiency", lambda t: fld.
 register("g41_decomposition", "exp | particle n | alignment eta eta_alignment", lambda t: fld.transfer(on_flow(t), ["exp", "particle"]), f"with {ON} select exp, particle, count(*) as n, {TRANS} from tr group by 1,2")
 register("g42_transfer_gain", "condition exp | n | gain efficiency", lambda t: fld.transfer(on_flow(t), ["condition", "exp"]), f"with {ON} select condition, exp, count(*) as n, {TRANS} from tr group by 1,2")
 register("g40_energy_split", "condition | n | mean sem", lambda t: kin.project(kin.lag_displacement(t.tracks, 1), t.theta).groupBy("condition", "exp", "particle").agg(F.avg("share").alias("s")).groupBy("condition").agg(F.avg("s").alias("mean"), (F.stddev_samp("s") / F.sqrt(F.count("s"))).alias("sem"), F.count("s").alias("n")), f"with {STEP}, d as (select condition, exp, particle, frame-1 as frame, dx, dy from steps where dx is not null), s as (select condition, d.exp, particle, avg(pow(dx*cos(theta)+dy*sin(theta),2)/nullif(dx*dx+dy*dy,0)) as s from d join theta t on d.exp=t.exp and d.frame=t.frame group by 1,2,3) select condition, count(s) as n, avg(s) as mean, stddev_samp(s)/sqrt(count(s)) as sem from s group by 1")
-register("k26_hidden_vector", "exp | frame particle | hx hy", lambda t: spa.hidden_vector(spa.near_pixels(moved(t), t.field, 2.0).withColumn("d", F.col("u") * F.col("dx") + F.col("v") * F.col("dy")), ["exp", "frame", "particle"], "u", "v", "d").where("false").unionByName(spa.hidden_vector(t.field.withColumns({"particle": F.col("px"), "d": 2 * F.col("u") - F.col("v") + F.col("py") / 1000}), ["exp", "frame", "particle"], "u", "v", "d")), "with s as (select exp, frame, px as particle, sum(u*u) as a, sum(u*v) as b, sum(v*v) as c, sum(u*(2*u-v+py/1000)) as p, sum(v*(2*u-v+py/1000)) as q from field group by 1,2,3) select exp, frame, particle, case when a*c-b*b>1e-12*pow(a+c,2) then (c*p-b*q)/(a*c-b*b) else p/nullif(a+c,0) end as hx, case when a*c-b*b>1e-12*pow(a+c,2) then (a*q-b*p)/(a*c-b*b) else q/nullif(a+c,0) end as hy from s")
-
-# over all rows of blocks and the real neighbours; tests compare them with brute force
-register("g17_overlapping_blocks_whole", "exp | frame bx by n | m p", lambda t: fld.blocks(spun(t), 8, 4, 0.5, 32))
-register("g19_block_pairs_whole", "exp | frame bx by n | gap", lambda t: fld.blocks(spun(t), 4, 4, 0.5, 32))
-register("k26_hidden_vector_whole", "exp | frame particle | hx hy", lambda t: spa.hidden_vector(spa.near_pixels(moved(t), t.field, 2.0).withColumn("d", F.col("u") * F.col("dx") + F.col("v") * F.col("dy")), ["exp", "frame", "particle"], "u", "v", "d"))
+register("k26_hidden_vector", "exp | frame particle | hx hy", lambda t: spa.hidden_vector(spa.near_pixels(moved(t), t.field, 2.0).withColumn("d", F.col("u") * F.col("dx") + F.col("v") * F.col("dy") + F.col("d2") / 1000), ["exp", "frame", "particle"], "u", "v", "d"), f"with {NEAR.format(r=2)}, s as (select exp, frame, particle, sum(u*u) as a, sum(u*v) as b, sum(v*v) as c, sum(u*d) as p, sum(v*d) as q from (select *, u*(x-16)+v*(y-16)+d2/1000 as d from nr) group by 1,2,3) select exp, frame, particle, case when a*c-b*b>1e-12*pow(a+c,2) then (c*p-b*q)/(a*c-b*b) else p/nullif(a+c,0) end as hx, case when a*c-b*b>1e-12*pow(a+c,2) then (a*q-b*p)/(a*c-b*b) else q/nullif(a+c,0) end as hy from s")

@@ -19,7 +19,6 @@ ALPHA = "al as (select condition, exp, particle, regr_slope(log10(msd), log10(la
 register("d01_imsd", "condition exp | particle lag n | msd msd_axis_mean", lambda t: lag.imsd(t.tracks, L), f"with {IMSD} select * from im")
 register("d02_msd_from_first", "exp | particle lag | msd", lambda t: lag.msd_from_first(t.tracks), "with s as (select *, row_number() over w - 1 as lag, pow(x-first_value(x) over w,2)+pow(y-first_value(y) over w,2) as msd from tracks window w as (partition by exp, particle order by frame)) select * from s where lag>0")
 register("d03_ensemble_msd", "condition | lag n | mean sem", lambda t: lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]), f"with {IMSD} select condition, lag, avg(msd) as mean, stddev_samp(msd)/sqrt(count(*)) as sem, count(*) as n from im group by 1,2")
-register("d04_pooled_msd", "condition | lag n | mean std q10 q25 q50 q75 q90", lambda t: lag.pooled(lag.imsd(t.tracks, L), "msd", ["condition", "lag"], 3), f"with {IMSD} select condition, lag, avg(msd) as mean, stddev_samp(msd) as std, count(*) as n, {QUANT.format(v='msd')} from im group by 1,2 having count(*)>=3")
 register("d05_at_lag", "condition exp | particle | msd", lambda t: lag.at_lag(lag.imsd(t.gaps, L, "frame"), "msd", 15, 3), f"with {IMSD.replace('tracks', 'gaps')} select condition, exp, particle, arg_min(msd, abs(lag-15)*1000+lag) as msd from im where abs(lag-15)<=3 group by 1,2,3")
 register("d06_alpha", "condition exp | particle longest | alpha", lambda t: lag.alpha(lag.imsd(t.tracks, L), "msd", 2, 10), f"with {IMSD}, {ALPHA} select * from al")
 register("f03_by_alpha", "exp | particle frame | x", lambda t: lag.by_alpha(t.tracks, L, 0.0), f"with {IMSD}, a as (select exp, particle from im group by 1,2 having regr_slope(log10(msd), log10(lag))>0) select t.* from tracks t join a using (exp, particle)")

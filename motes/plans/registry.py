@@ -20,6 +20,13 @@ DIGITS = 8
 OFF_TIES = 3.3e-10
 
 
+def also(name: str, known: str) -> None:
+    """A second name of a registered query."""
+    QUERIES[name] = QUERIES[known]
+    if known in ORACLES:
+        ORACLES[name] = ORACLES[known]
+
+
 def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql: str | None = None) -> None:
     texts, whole, real = (part.split() for part in columns.split("|"))
 
@@ -46,10 +53,10 @@ def register(name: str, columns: str, query: Callable[[Views], DataFrame], sql:
         shape = ", ".join([*texts, *[f'"{c}"::bigint as "{c}"' for c in whole], *[f'round("{c}"::double + {OFF_TIES}, {DIGITS}) + 0.0 as "{c}"' for c in real]])
         if own:
             body = sql[own.end() :]
-            inner = f"with {ctes + ', ' if ctes else ''}{body}"
+            inner = f"with {own.group(1) or ''}{ctes + ', ' if ctes else ''}{body}"
         else:
             inner = f"with {ctes} {sql}" if ctes else sql
         ORACLES[name] = f"select {shape} from ({inner}) as result"
 
 
-from . import composed, fields, lags, spread, states, tracks  # noqa: E402, F401
+from . import composed, fields, lags, more, spread, states, stored, tracks  # noqa: E402, F401

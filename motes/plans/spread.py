@@ -52,9 +52,8 @@ register("e21_bin_number", "condition | n bins | low high", lambda t: dist.bin_n
 register("e21_sturges", "condition | n bins | ", lambda t: dist.bin_number(t.tracks, "y", ["condition"], "sturges"), "select condition, count(y) as n, ceil(log2(count(y)))+1 as bins from tracks group by 1")
 register("e22_log_bins", "condition | bin n particles | median x_mean", lambda t: dist.log_bins(t.tracks, "x", "y", 3, 2), "with l as (select *, log10(x) as l from tracks where x>0 and y>0), s as (select condition, min(l) as lo, max(l) as hi, ceil((max(l)-min(l))/(2*(quantile_cont(l,0.75)-quantile_cont(l,0.25))/cbrt(count(l)))) as k from l group by 1), b as (select l.*, least(floor((l-lo)/((hi-lo)/k)),k-1) as bin from l join s using (condition)) select condition, bin, count(*) as n, count(distinct particle) as particles, quantile_cont(y,0.5) as median, exp(avg(ln(x))) as x_mean from b group by 1,2 having count(*)>=3 and count(distinct particle)>=2")
 register("e24_exceedance", "| bin n k | limit p error potential", lambda t: dist.exceedance(t.tracks, y10(), "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100), g as (select l as \"limit\", bin, count(*) as n, count(*) filter (where x>l) as k from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2 having count(*)>=5) select *, k/n as p, sqrt(k/n*(1-k/n)/n) as error, case when k>0 then -ln(k/n) end as potential from g")
-register("e25_odds_posterior", "| bin | limit odds posterior", lambda t: dist.exceedance(t.tracks, y10(), "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100), g as (select l as \"limit\", bin, count(*) as n, count(*) filter (where x>l) as k from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2) select \"limit\", bin, (k/n)/nullif(sum(k) over w/sum(n) over w,0) as odds, k/nullif(sum(k) over w,0) as posterior from g window w as (partition by \"limit\")")
+register("e25_odds_posterior", "| bin | limit odds posterior odds_error posterior_error", lambda t: dist.exceedance(t.tracks, y10(), "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100), g as (select l as \"limit\", bin, count(*) as n, count(*) filter (where x>l) as k from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2), s as (select *, k/n as p, sum(k) over w as kk, sum(k) over w/sum(n) over w as pp from g window w as (partition by \"limit\")), o as (select *, p/nullif(pp,0) as odds, k/nullif(kk,0) as posterior from s) select \"limit\", bin, odds, posterior, case when odds>0 then odds*sqrt(greatest(p*(1-p),1e-6)/n/(p*p)+(1-pp)/kk) end as odds_error, case when kk>0 then sqrt(greatest(posterior*(1-posterior),1e-6)/kk) end as posterior_error from o")
 register("e26_mean_above", "| bin | limit mean_above", lambda t: dist.exceedance(t.tracks, y10(), "x", [20, 60, 100], 5), f"with b as (select *, {YBIN} as bin from tracks where y between 0 and 100) select l as \"limit\", bin, avg(x) filter (where x>l) as mean_above from b cross join (select unnest([20.0,60.0,100.0]) as l) group by 1,2 having count(*)>=5")
-register("e27_lognormal_qq", "condition | n | slope r2", lambda t: _qq(t), "with s as (select condition, ln(x) as l, row_number() over (partition by condition order by x, particle, frame) as i, count(*) over (partition by condition) as n from tracks where x>0) select condition, count(*) as n, regr_slope(l, ln(((i-0.5)/n)/(1-(i-0.5)/n))) as slope, regr_r2(l, ln(((i-0.5)/n)/(1-(i-0.5)/n))) as r2 from s group by 1")
 register("e28_kde_2d", "condition | | gx gy density potential", lambda t: dist.kde2(vel(t).withColumns({"a": F.col("vx") / 50, "b": F.col("vy") / 50}), "a", "b", ["condition"], 2.0, 5), f"with {VSTEP}, p as (select condition, dx/50 as a, dy/50 as b from vs), s as (select condition, var_samp(a)*pow(count(*),-1/3.0) as sa, var_samp(b)*pow(count(*),-1/3.0) as sc, covar_samp(a,b)*pow(count(*),-1/3.0) as sb, count(*) as n from p group by 1), g as (select gx, gy from (select unnest([-2.0,-1.0,0.0,1.0,2.0]) as gx) cross join (select unnest([-2.0,-1.0,0.0,1.0,2.0]) as gy)), d as (select condition, gx, gy, sum(exp(-(sc*(gx-a)*(gx-a)-2*sb*(gx-a)*(gy-b)+sa*(gy-b)*(gy-b))/(sa*sc-sb*sb)/2)/(n*2*pi()*sqrt(sa*sc-sb*sb))) as density from p join s using (condition) cross join g group by 1,2,3) select *, -ln(density/max(density) over (partition by condition)) as potential from d")
 register("e29_even_odd", "exp | bin | even odd", lambda t: dist.even_odd(dist.histogram(t.tracks, "y", 0, 100, 10, ["exp"]).withColumn("s", F.col("bin") - 4.5), "s", "density", ["exp"]), f"with {HIST}, d as (select *, n/(sum(n) over (partition by exp)*10.0) as d from h) select a.exp, a.bin, (a.d+b.d)/2 as even, (a.d-b.d)/2 as odd from d a join d b on a.exp=b.exp and a.bin=9-b.bin")
 register("e30_kde", "condition | | at density", lambda t: dist.kde(t.tracks, "y", ["condition"], 0.0, 100.0, 11), "with s as (select condition, stddev_samp(y)*pow(count(y)*0.75,-0.2) as h, count(y) as n from tracks group by 1) select condition, pt as \"at\", sum(exp(-0.5*pow((pt-y)/h,2))/(n*h*2.5066282746310002)) as density from tracks join s using (condition) cross join (select unnest(range(11))*10.0 as pt) group by 1,2")
@@ -66,16 +65,6 @@ register("e34_wide_table", "exp | | c0 c1 c2", lambda t: dist.wide_table(t.track
 register("e36_log_moments", "condition | n | mean std", lambda t: dist.log_moments(vel(t), "v", ["condition"]), f"with {VSTEP} select condition, count(*) as n, avg(ln(v)) as mean, stddev_pop(ln(v)) as std from vs where v>0 group by 1")
 
 
-def _qq(t):
-    """E27 against a logistic law, whose quantiles are closed-form (the normal law's: filters.plotting_position)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("condition")
-    r = t.tracks.where("x > 0").withColumns({"i": F.row_number().over(w.orderBy("x", "particle", "frame")), "n": F.count("*").over(w), "l": F.log("x")}).withColumn("p", (F.col("i") - 0.5) / F.col("n"))
-    q = F.log(F.col("p") / (1 - F.col("p")))
-    return r.groupBy("condition").agg(F.count("*").alias("n"), F.regr_slope("l", q).alias("slope"), F.regr_r2("l", q).alias("r2"))
-
-
 curve = lambda t: t.tracks.groupBy("exp", (F.floor(F.col("y") / 10) + 1).alias("r")).agg(F.exp(-(F.floor(F.first(F.col("y")) / 10) + 1) / 3).alias("_e"), (F.avg("x") / 500).alias("_m"), F.count("*").alias("n")).select("exp", "r", (F.exp(-F.col("r") / 3) * (1 + F.col("_m"))).alias("c"), (F.lit(0.1) / F.sqrt("n")).alias("sem"))
 CURVE = "cv as (select exp, floor(y/10)+1 as r, exp(-(floor(y/10)+1)/3)*(1+avg(x)/500) as c, 0.1/sqrt(count(*)) as sem from tracks group by exp, floor(y/10)+1)"
 PEAK = f"{CURVE}, pk as (select *, arg_max(r, c) over (partition by exp) as p, max(c) over (partition by exp) as m from cv), on_ as (select *, row_number() over (partition by exp order by r) as i from pk where r>=p)"
@@ -88,14 +77,13 @@ register("x04_many_lengths", "exp | particle n | xi", lambda t: fits.correlation
 register("x05_power_law", "condition | n | exponent amplitude r2", lambda t: fits.power_law(lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]), "lag", "mean", ["condition"]), f"with {IMSD}, e as (select condition, lag, avg(msd) as m from im group by 1,2) select condition, count(*) as n, -regr_slope(ln(m),ln(lag)) as exponent, exp(regr_intercept(ln(m),ln(lag))) as amplitude, regr_r2(ln(m),ln(lag)) as r2 from e group by 1")
 register("x06_exponential_pdf", "exp | n | length length_error", lambda t: fits.exponential_pdf(dist.histogram(t.tracks, "x", 0, 300, 10, ["exp"]), "bin", "density", F.sqrt("count"), ["exp"], 0, 8), "with h as (select exp, least(floor(x/30),9) as bin, count(*) as n from tracks where x between 0 and 300 group by 1,2), d as (select *, n/(sum(n) over (partition by exp)*30) as d from h), wl as (select exp, bin as x, ln(d) as y, n as w from d where bin<=8), " + WLS + " select exp, n, -1/slope as length, err/pow(slope,2) as length_error from e where slope<0")
 register("x07_exponential_ccdf", "condition | n | tau", lambda t: fits.exponential_ccdf(dist.ccdf(t.tracks, "x", ["condition"]), t.tracks, ["condition"], "x"), "with c as (select condition, x, count(*) as k from tracks where x>0 group by 1,2), d as (select condition, x, sum(k) over (partition by condition order by x desc)/sum(k) over (partition by condition) as s, sum(k) over (partition by condition) as n from c) select condition, any_value(n) as n, -1/(sum(s*n*x*ln(s))/sum(s*n*x*x)) as tau from d group by 1")
-register("x08_power_tail", "condition | n | x_min exponent distance", lambda t: fits.power_tail(t.tracks.where("frame < 12"), "x", ["condition"], 20, 25), "with p as (select condition, x, row_number() over (partition by condition order by x)-1 as i, count(*) over (partition by condition) as n from tracks where x>0 and frame<12), c as (select distinct condition, x_min from (select condition, floor(i/greatest(1,floor((n-20+1)/25))) as k, min(x) as x_min from p where n-i>=20 group by 1,2)), t as (select c.*, p.x, count(*) over w as m, count(*) over w/nullif(sum(ln(p.x/x_min)) over w,0) as a, row_number() over (partition by condition, x_min order by p.x) as r from c join p using (condition) where p.x>=x_min window w as (partition by condition, x_min)), k as (select condition, x_min, max(abs(r/m-(1-pow(x_min/x,a)))) as distance, any_value(a)+1 as exponent, any_value(m) as n from t group by 1,2) select * from k where exponent is not null qualify row_number() over (partition by condition order by distance, x_min)=1")
 register("x09_von_mises", "condition | | r mean_angle kappa", lambda t: fits.von_mises(dist.circular(vel(t), "theta", ["condition"])), f"with {VSTEP}, c as (select condition, sqrt(pow(avg(cos(theta)),2)+pow(avg(sin(theta)),2)) as r, atan2(avg(sin(theta)),avg(cos(theta))) as mean_angle from vs where theta is not null group by 1) select *, case when r<0.53 then 2*r+pow(r,3)+5*pow(r,5)/6 when r<0.85 then -0.4+1.39*r+0.43/(1-r) else 1/(pow(r,3)-4*r*r+3*r) end as kappa from c")
 register("x10_ols", "condition | n | slope intercept slope_error intercept_error r2 aic loo_rmse", lambda t: fits.ols(t.tracks, "y", "x", ["condition"]), "with s as (select condition, count(*) as n, avg(y) as mx, regr_sxx(x,y) as sxx, regr_slope(x,y) as slope, regr_intercept(x,y) as intercept, regr_r2(x,y) as r2 from tracks group by 1), e as (select t.condition, x-intercept-slope*y as e, 1/n+pow(y-mx,2)/sxx as h from tracks t join s using (condition)), g as (select condition, sum(e*e) as rss, sqrt(avg(pow(e/(1-h),2))) as loo_rmse from e group by 1) select condition, n, slope, intercept, sqrt(rss/(n-2)/sxx) as slope_error, sqrt(rss/(n-2)*(1/n+mx*mx/sxx)) as intercept_error, r2, n*ln(rss/n)+4 as aic, loo_rmse from s join g using (condition)")
 register("x12_within_slope", "condition | n | r slope", lambda t: assoc.within_correlation(t.tracks, "y", "x", kin.KEY, ["condition"]), "with d as (select condition, y-avg(y) over w as a, x-avg(x) over w as b from tracks window w as (partition by exp, particle)) select condition, count(*) as n, corr(a,b) as r, sum(a*b)/sum(a*a) as slope from d group by 1")
 register("x13_inverse_variance", "condition | n | mean error", lambda t: fits.inverse_variance_mean(t.tracks.groupBy("condition", "exp", "particle").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s")), "m", "s", ["condition"]), "with p as (select condition, exp, particle, avg(y) as m, stddev_samp(y) as s from tracks group by 1,2,3) select condition, count(*) as n, sum(m/(s*s))/sum(1/(s*s)) as mean, 1/sqrt(sum(1/(s*s))) as error from p where s>0 group by 1")
-register("x14_retention", "exp | | retention error tau_low", lambda t: fits.retention(t.tracks.where("frame < 30").groupBy("exp", "frame").agg((F.avg("y") + 100 - F.first("frame")).alias("d"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("e")), ["exp"], "frame", "d", "e"), "with s as (select exp, frame, avg(y)+100-frame as d, stddev_samp(y)/sqrt(count(*)) as e from tracks where frame<30 group by 1,2), g as (select exp, arg_min(d,frame) as a, arg_max(d,frame) as b, arg_min(e,frame) as ea, arg_max(e,frame) as eb, max(frame) as t from s group by 1), r as (select *, b/a as retention, abs(b/a)*sqrt(pow(ea/a,2)+pow(eb/b,2)) as error from g) select exp, retention, error, case when retention-error>0 and retention-error<1 then t/-ln(retention-error) end as tau_low from r")
+register("x14_retention", "exp | | retention error tau_low", lambda t: fits.retention(t.tracks.groupBy("exp", "frame").agg((F.avg("y") + 100 - F.first("frame")).alias("d"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("e")), ["exp"], "frame", "d", "e"), "with s as (select exp, frame, avg(y)+100-frame as d, stddev_samp(y)/sqrt(count(*)) as e from tracks group by 1,2), g as (select exp, arg_min(struct_pack(d:=d,e:=e),frame).d as a, arg_max(struct_pack(d:=d,e:=e),frame).d as b, arg_min(struct_pack(d:=d,e:=e),frame).e as ea, arg_max(struct_pack(d:=d,e:=e),frame).e as eb, max(frame) as t from s group by 1), r as (select *, b/a as retention, abs(b/a)*sqrt(pow(ea/a,2)+pow(eb/b,2)) as error from g) select exp, retention, error, case when retention-error>0 and retention-error<1 then t/-ln(retention-error) end as tau_low from r")
 register("x15_selection_bias", "condition | | median_ratio regression", lambda t: fits.selection_bias(vel(t), "vx", "vy", 20.0, ["condition"]), f"with {VSTEP} select condition, quantile_cont(case when abs(dy)>20 then dx/dy end,0.5) as median_ratio, sum(dx*dy)/sum(dy*dy) as regression from vs group by 1")
-register("x16_curve_fits", "condition model | n rank | ", lambda t: fits.curve_fits(lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]).select("condition", F.col("lag").cast("double").alias("x"), F.col("mean").alias("y"), F.col("sem").alias("sigma")), ["condition"], ["exponential", "offset_exponential", "line", "active_msd"]))
+register("x16_curve_fits", "condition model | n rank | ", lambda t: fits.curve_fits(lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]).select("condition", F.col("lag").cast("double").alias("x"), F.col("mean").alias("y"), F.col("sem").alias("sigma")), ["condition"], sorted(fits.MODELS)))
 register("x17_scaled_curve", "condition | | xi v0 rss", lambda t: fits.scaled_curve(lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]).withColumn("m", F.col("mean") / 1000), "lag", "m", master, [0.5 + 0.5 * i for i in range(16)], ["condition"]), f"with {IMSD}, e as (select condition, lag, avg(msd)/1000 as y from im group by 1,2), g as (select *, (1-exp(-lag/xi))/(lag/xi) as g from e cross join (select 0.5+0.5*unnest(range(16)) as xi)), s as (select condition, xi, sum(y*g)/sum(g*g) as v0, sum(y*y)-pow(sum(y*g),2)/sum(g*g) as rss from g group by 1,2) select * from s qualify row_number() over (partition by condition order by rss, xi)=1")
 register("x18_sign_change", "exp | particle | crossing", lambda t: fits.sign_change(t.tracks.withColumn("z", F.col("y") - 50), kin.KEY, "frame", "z"), "with n as (select exp, particle, frame, y-50 as z, lag(frame) over w as f0, lag(y-50) over w as z0 from tracks window w as (partition by exp, particle order by frame)) select exp, particle, min(f0-z0*(frame-f0)/(z-z0)) as crossing from n where z0*z<0 group by 1,2")
 register("x18_hermite", "exp | particle | at value", lambda t: fits.hermite(t.gaps, kin.KEY, "frame", "y", [10.5, 40.25, 80.75]), "with c as (select *, lead(frame) over w-frame as h, (lead(y) over w-y)/(lead(frame) over w-frame) as d from gaps window w as (partition by exp, particle order by frame)), p as (select *, lag(h) over w as h0, lag(d) over w as d0 from c window w as (partition by exp, particle order by frame)), m as (select *, case when d0 is null then d when d is null then d0 when d0*d<=0 then 0 else (3*h+3*h0)/((2*h+h0)/d0+(h+2*h0)/d) end as m from p), q as (select *, lead(y) over w as y2, lead(m) over w as m2 from m window w as (partition by exp, particle order by frame)), a as (select *, (pt-frame)/h as t from q cross join (select unnest([10.5,40.25,80.75]) as pt) where h is not null and pt>=frame and pt<frame+h) select exp, particle, pt as \"at\", (2*t*t*t-3*t*t+1)*y+(t*t*t-2*t*t+t)*h*m+(-2*t*t*t+3*t*t)*y2+(t*t*t-t*t)*h*m2 as value from a")
@@ -105,9 +93,6 @@ register("j03_two_samples", "| | t df u z", lambda t: assoc.two_samples(t.tracks
 register("j04_ks_distance", "condition | | distance", lambda t: assoc.ks_distance(t.tracks.withColumn("f", F.col("frame") < 20), "x", "f", ["condition"]), "with c as (select condition, x, count(*) filter (where frame<20) as a, count(*) filter (where frame>=20) as b from tracks group by 1,2), g as (select condition, abs(sum(a) over w/sum(a) over (partition by condition)-sum(b) over w/sum(b) over (partition by condition)) as g from c window w as (partition by condition order by x)) select condition, max(g) as distance from g group by 1")
 register("j05_variance_split", "| | between within whole", lambda t: assoc.variance_split(t.tracks, "y", "exp"), "with m as (select y, avg(y) over (partition by exp) as m from tracks) select var_pop(m) as \"between\", avg(pow(y-m,2)) as within, var_pop(y) as whole from m")
 register("j06_weighted_median", "condition | | median", lambda t: assoc.weighted_median(t.tracks, "y", "x", ["condition"]), "with c as (select condition, y, sum(x) as w from tracks group by 1,2), r as (select *, sum(w) over (partition by condition order by y) as run, sum(w) over (partition by condition) as total from c) select condition, min(y) as median from r where run>=total/2 group by 1")
-register("e23_merged_bins", "condition | group n first_bin last_bin | mean", lambda t: dist.merged_bins(t.tracks, uniform(F.col("x"), 0, 500, 50, "clip"), "y", 200))
+register("e23_merged_bins", "condition | group n first_bin last_bin | mean", lambda t: dist.merged_bins(t.tracks, uniform(F.col("x"), 0, 500, 50, "clip"), "y", 200),
+         "with recursive r as (select condition, greatest(0,least(49,floor(x/10)))::int as bin, y from tracks where x is not null), b as (select condition, bin, count(*) as n, row_number() over (partition by condition order by bin) as i from r group by 1,2), w as (select condition, i, bin, 0 as g, n as held from b where i=1 union all select b.condition, b.i, b.bin, case when w.held>=200 then w.g+1 else w.g end, case when w.held>=200 then b.n else w.held+b.n end from w join b on w.condition=b.condition and b.i=w.i+1), f as (select *, greatest(0, count(*) filter (where held>=200) over (partition by condition)-1) as last from w) select condition, least(g,last) as \"group\", count(*) as n, min(bin) as first_bin, max(bin) as last_bin, avg(y) as mean from r join f using (condition, bin) group by 1,2")
 register("x11_weighted_design", "| i | beta", lambda t: t.spark.createDataFrame(list(enumerate(fits.weighted_design(t.tracks, "x", "y", ["frame"]))), "i int, beta double"), "with g as (select sum(y*y) as a, sum(y*y*frame) as b, sum(y*y*frame*frame) as d, sum(y*x) as p, sum(y*frame*x) as q from tracks) select 0 as i, (d*p-b*q)/(a*d-b*b) as beta from g union all select 1, (a*q-b*p)/(a*d-b*b) from g")
-
-# over whole tracks; SQL of the cut forms above says nothing about these, tests compare them with brute force
-register("x08_power_tail_whole", "condition | n | x_min exponent distance", lambda t: fits.power_tail(t.tracks, "x", ["condition"], 20, 25))
-register("x14_retention_whole", "exp | | retention error tau_low", lambda t: fits.retention(t.tracks.groupBy("exp", "frame").agg((F.avg("y") + 100 - F.first("frame")).alias("d"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("e")), ["exp"], "frame", "d", "e"))

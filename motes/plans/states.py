@@ -32,7 +32,7 @@ register("h07_hmm_fit", "| state | mean var stay", lambda t: _hmm(t))
 register("h08_decoded", "exp | particle frame state | ", lambda t: (lambda o: sta.decode(o, sta.fit_hmm(o, 2, 3)))(sta.observations(t.gaps, 1, 0.01)))
 register("h09_without_glitches", "exp | particle segment frame state | ", lambda t: sta.without_glitches(hys(t), SEG, 2))
 register("h11_transitions", "| step from to n | p", lambda t: sta.transitions(hys(t), [1, 2, 3], SEG), f"with {HYS}, r as (select *, row_number() over (partition by {KS} order by frame) as r from st) select b.r-a.r as step, a.state as \"from\", b.state as \"to\", count(*) as n, count(*)/sum(count(*)) over (partition by b.r-a.r, a.state) as p from r a join r b on a.exp=b.exp and a.particle=b.particle and a.segment=b.segment and b.r-a.r between 1 and 3 group by 1,2,3")
-register("h11_triplet_chi2", "| cells | chi2", lambda t: sta.triplet_chi2(hys(t), SEG), f"with {HYS}, t as (select a, state as b, c, count(*) as n from (select state, lag(state) over w as a, lead(state) over w as c from st window w as (partition by {KS} order by frame)) where a is not null and c is not null group by 1,2,3), e as (select *, sum(n) over (partition by a,b)*sum(n) over (partition by b,c)/sum(n) over (partition by b) as e from t) select count(*) as cells, sum(pow(n-e,2)/e) as chi2 from e")
+register("h11_triplet_chi2", "| cells freedom | chi2", lambda t: sta.triplet_chi2(hys(t), SEG), f"with {HYS}, t as (select a, state as b, c, count(*) as n from (select state, lag(state) over w as a, lead(state) over w as c from st window w as (partition by {KS} order by frame)) where a is not null and c is not null group by 1,2,3), e as (select *, sum(n) over (partition by a,b)*sum(n) over (partition by b,c)/sum(n) over (partition by b) as e from t), f as (select b, count(*) as cells, (count(distinct a)-1)*(count(distinct c)-1) as freedom, sum(pow(n-e,2)/e-e)+sum(n) as x from e group by 1) select sum(cells) as cells, sum(freedom) as freedom, sum(x) as chi2 from f")
 register("h12_state_turns", "kind | n | mean_turn resultant", lambda t: sta.state_turns(kin.velocity(t.tracks).where("theta is not null").withColumn("state", (F.col("v") >= 60).cast("int")), kin.KEY), f"with {STEP}, s as (select *, atan2(dy,dx) as theta, (sqrt(dx*dx+dy*dy)>=60)::int as state from steps where dx<>0 or dy<>0), n as (select state, lead(state) over w as ns, atan2(sin(lead(theta) over w-theta),cos(lead(theta) over w-theta)) as t from s window w as (partition by exp, particle order by frame)), k as (select unnest(['all', case when state=1 and ns=1 then 'run_run' else 'any_tumble' end]) as kind, t from n where t is not null) select kind, count(*) as n, avg(abs(t)) as mean_turn, sqrt(pow(avg(cos(t)),2)+pow(avg(sin(t)),2)) as resultant from k group by 1")
 
 

@@ -39,12 +39,12 @@ register("f11_thinned", "exp | particle frame | x", lambda t: flt.thinned(t.trac
 register("f12_finite", "exp | frame px | ratio", lambda t: flt.finite(t.field.withColumn("ratio", F.try_divide("u", "v")), ["ratio"]).select("exp", "frame", "px", "ratio").groupBy("exp", "frame", "px").agg(F.sum("ratio").alias("ratio")), "select exp, frame, px, sum(u/v) as ratio from field where v<>0 group by 1,2,3")
 register("f13_condition_names", "name | n | ", lambda t: t.tracks.select(flt.condition_name(F.concat(F.lit(" Bead"), (F.col("particle") % 7) / 10, F.lit("um "))).alias("name")).groupBy("name").agg(F.count("*").alias("n")),
          "select 'beads'||lpad(replace(((particle%7)/10)::varchar,'.',''),2,'0')||'um' as name, count(*) as n from tracks group by 1")
-register("f14_range_spec", "exp | value | ", lambda t: flt.range_spec(t.cutoffs.withColumn("spec", F.concat(F.lit("8:"), F.col("cutoff_frame"), F.lit(":8,16,100"))), "spec").select("exp", "value"),
-         "select distinct exp, unnest(list_concat(range(8, cutoff_frame+1, 8), [16,100])) as value from cutoffs")
+register("f14_range_spec", "exp | value | ", lambda t: flt.range_spec(t.tracks.groupBy("exp").agg(F.max("frame").alias("last")).withColumn("spec", F.concat(F.lit("8:"), F.col("last") + 8, F.lit(":8,16,100"))), "spec").select("exp", "value"),
+         "select distinct exp, unnest(list_concat(range(8, last+9, 8), [16,100])) as value from (select exp, max(frame) as last from tracks group by 1)")
 register("f15_flow_check", "exp | n | moving valid speed_error angle_error correlation", lambda t: flt.checked_flow(t.on_field.withColumn("px", F.floor("x").cast("int")).withColumn("py", F.floor("y").cast("int")).join(t.field, ["exp", "frame", "px", "py"]).withColumns({"tu": F.col("x") / 100 - 0.1, "tv": F.col("y") / 100 - 0.1}), 0.1, 1e-3),
          "with j as (select f.exp, u, v, p.x/100-0.1 as tu, p.y/100-0.1 as tv from on_field p join field f on p.exp=f.exp and p.frame=f.frame and floor(p.x)=f.px and floor(p.y)=f.py), n as (select *, sqrt(u*u+v*v) as a, sqrt(tu*tu+tv*tv) as b from j) select exp, count(*) as n, avg((b>0.1)::int) as moving, avg((a>1e-3 and b>1e-3)::int) as valid, avg(case when a>1e-3 and b>1e-3 then abs(a-b)/b end) as speed_error, avg(case when a>1e-3 and b>1e-3 then abs(atan2(u*tv-v*tu,u*tu+v*tv)) end) as angle_error, sum(u*tu+v*tv)/sqrt(sum(a*a)*sum(b*b)) as correlation from n group by 1")
-register("k01_velocity", f"{ID} | v vx vy theta dtheta omega", lambda t: kin.velocity(t.tracks, 0.11, 4.0),
-         f"with {STEP}, s as (select *, dx*0.11 as sx, dy*0.11 as sy from steps), p as (select *, lag(sx) over w as bx, lag(sy) over w as b2 from s window w as (partition by exp, particle order by frame)), q as (select *, case when sx*sx+sy*sy>0 and bx*bx+b2*b2>0 then atan2(case when bx*sy-b2*sx=0 then 0 else bx*sy-b2*sx end, bx*sx+b2*sy) end as dtheta from p) select *, sqrt(sx*sx+sy*sy)/4 as v, sx/4 as vx, sy/4 as vy, case when sx*sx+sy*sy>0 then atan2(sy,sx) end as theta, dtheta/4 as omega from q")
+register("k01_velocity", f"{ID} | v vx vy theta dtheta omega ex ey alpha", lambda t: kin.velocity(t.tracks, 0.11, 4.0),
+         f"with {STEP}, s as (select *, dx*0.11 as sx, dy*0.11 as sy from steps), p as (select *, lag(sx) over w as bx, lag(sy) over w as b2 from s window w as (partition by exp, particle order by frame)), q as (select *, case when sx*sx+sy*sy>0 and bx*bx+b2*b2>0 then atan2(case when bx*sy-b2*sx=0 then 0 else bx*sy-b2*sx end, bx*sx+b2*sy) end as dtheta from p), e as (select *, case when sx*sx+sy*sy>0 then sx/sqrt(sx*sx+sy*sy) end as ex, case when sx*sx+sy*sy>0 then sy/sqrt(sx*sx+sy*sy) end as ey from q) select *, atan2(round(ey-lag(ey) over w,12)+0.0, round(ex-lag(ex) over w,12)+0.0) as alpha, sqrt(sx*sx+sy*sy)/4 as v, sx/4 as vx, sy/4 as vy, case when sx*sx+sy*sy>0 then atan2(sy,sx) end as theta, dtheta/4 as omega from e window w as (partition by exp, particle order by frame)")
 register("k02_gap_aware_speed", f"{ID} | v", lambda t: kin.gap_aware_speed(t.gaps, 0.11, 4.0), f"with {GSTEP} select *, case when df=1 then sqrt(dx*dx+dy*dy)*0.11/4 end as v from steps")
 register("k03_gap_dividing_speed", f"{ID} | v", lambda t: kin.gap_dividing_speed(t.gaps, 0.11, 4.0), f"with {GSTEP} select *, case when df>0 then sqrt(dx*dx+dy*dy)*0.11/(df*4) end as v from steps")
 register("k04_forward_unit", f"{ID} | ux uy", lambda t: kin.forward_unit(t.tracks),

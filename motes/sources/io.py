@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +61,24 @@ def reuse(dense: DataFrame, point: str, points: int, stride: int, cutoff: int) -
     return dense.where((F.col("frame") % stride == 0) & (F.col(point) < points) & (F.col("frame") <= cutoff))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder that the cluster names (spark.checkpoint.dir); a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="motes-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found}/{name}-{uuid.uuid4().hex}"
+
+
+def stashed(df: DataFrame, name: str = "stash") -> DataFrame:
+    """df written to the shared folder and read back: computed once, whoever reads it, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(df: DataFrame, path: str, by: list[str] | None = None, kind: str = "parquet") -> None:
     """One table; Spark's commit makes it appear whole."""
     writer = df.write.mode("overwrite")
