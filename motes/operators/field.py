@@ -83,14 +83,15 @@ def offsets(most: int) -> list[tuple[int, int]]:
     return [(x, y) for x in range(0, most + 1) for y in range(-most, most + 1) if (x > 0 or y > 0) and x * x + y * y <= most * most]
 
 
-def two_point(field: DataFrame, most: int) -> DataFrame:
-    """Per distance class (floor) the mean of unit-vector dot products c, of c^2, their four-point part <c^2> - <c>^2, n pairs; no wrapping.
+def two_point(field: DataFrame, most: int, size: int | None = None) -> DataFrame:
+    """Per distance class (floor) the mean of unit-vector dot products c, of c^2, their four-point part <c^2> - <c>^2, n pairs.
 
-    Pixels are moved by each offset of a fixed list and meet by an equi-join; sums per frame combine before the shuffle.
+    Without size pairs end at the frame's edge; with it the frame is a torus of size x size pixels, as for a circular convolution. Pixels are moved by each offset of a fixed list and meet by an equi-join; sums per frame combine before the shuffle.
     """
     f = unit(field)
     o = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(int((x * x + y * y) ** 0.5)).alias("d")) for x, y in offsets(most)]))
-    moved = f.withColumn("_o", o).select("exp", "frame", (F.col("px") + F.col("_o.x")).alias("px"), (F.col("py") + F.col("_o.y")).alias("py"), F.col("_o.d").alias("distance"), F.col("u").alias("u2"), F.col("v").alias("v2"))
+    at = lambda p, c: F.col(p) + F.col(c) if size is None else F.pmod(F.col(p) + F.col(c), F.lit(size))
+    moved = f.withColumn("_o", o).select("exp", "frame", at("px", "_o.x").alias("px"), at("py", "_o.y").alias("py"), F.col("_o.d").alias("distance"), F.col("u").alias("u2"), F.col("v").alias("v2"))
     c = F.col("u") * F.col("u2") + F.col("v") * F.col("v2")
     got = moved.join(f, ["exp", "frame", "px", "py"]).withColumn("_c", c).groupBy("exp", "distance").agg(F.avg("_c").alias("c"), F.avg(F.col("_c") ** 2).alias("c2"), F.count("*").alias("n"))
     return got.withColumn("four_point", F.col("c2") - F.col("c") ** 2)

@@ -161,8 +161,13 @@ def irregular_autocorrelation(df: DataFrame, value: str, time: str, max_lag: flo
     return c.join(whole, "condition").withColumns({"normalised": F.try_divide("raw", "_0"), "centred": F.try_divide(F.col("raw") - F.col("_m") ** 2, "_s")}).drop("_m", "_s", "_0")
 
 
-def field_autocorrelation(field: DataFrame, max_lag: int) -> DataFrame:
-    """Mean over pixels and times of u(t) . u(t + lag), lag 0 included; frames are matched exactly, without wrapping."""
+def field_autocorrelation(field: DataFrame, max_lag: int, period: int | None = None) -> DataFrame:
+    """Mean over pixels and times of u(t) . u(t + lag), lag 0 included; frames are matched exactly, and modulo the period if there is one (then as a circular convolution)."""
+    if period is not None:
+        later = field.select("exp", "px", "py", "frame", F.col("u").alias("_u"), F.col("v").alias("_v"))
+        asked = field.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("frame", F.pmod(F.col("frame") + F.col("lag"), F.lit(period)))
+        pairs = asked.join(later, ["exp", "px", "py", "frame"])
+        return pairs.groupBy("exp", "lag").agg(F.avg(F.col("u") * F.col("_u") + F.col("v") * F.col("_v")).alias("c"), F.count("*").alias("n"))
     w = Window.partitionBy("exp", "px", "py").orderBy("frame")
     ahead = F.array(*[F.lead(F.struct("frame", "u", "v"), k).over(w) if k else F.struct("frame", "u", "v") for k in range(max_lag + 1)])
     p = field.withColumn("_a", ahead).withColumn("_p", F.explode(F.filter("_a", lambda s: s.isNotNull()))).drop("_a").withColumn("lag", F.col("_p.frame") - F.col("frame")).where(F.col("lag") <= max_lag)

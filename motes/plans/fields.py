@@ -53,6 +53,8 @@ register("g23_baseline_corrected", "exp | distance n | mean sem", lambda t: spa.
 register("g24_pooled_from_sums", "condition | n | mean std", lambda t: spa.pooled_from_sums(t.tracks, "y", ["condition"], ["exp"]), "select condition, count(*) as n, avg(y) as mean, stddev_pop(y) as std from tracks group by 1")
 TWO = f"{UNIT}, tp as (select a.exp, floor(sqrt(pow(a.px-b.px,2)+pow(a.py-b.py,2))) as distance, a.u*b.u+a.v*b.v as c from un a join un b on a.exp=b.exp and a.frame=b.frame and b.px-a.px between 0 and 3 and abs(b.py-a.py)<=3 and (b.px>a.px or b.py>a.py) and pow(a.px-b.px,2)+pow(a.py-b.py,2)<=9)"
 register("g25_two_point", "exp | distance n | c", lambda t: fld.two_point(t.field, 3), f"with {TWO} select exp, distance, count(*) as n, avg(c) as c from tp group by 1,2")
+WRAP = f"{UNIT}, tw as (select a.exp, floor(sqrt(ox*ox+oy*oy)) as distance, a.u*b.u+a.v*b.v as c from un a cross join (select x as ox, y as oy from (select unnest(range(0,4)) as x) cross join (select unnest(range(-3,4)) as y) where (x>0 or y>0) and x*x+y*y<=9) join un b on a.exp=b.exp and a.frame=b.frame and b.px=(a.px+ox+32)%32 and b.py=(a.py+oy+32)%32)"
+register("g25_two_point_wrapped", "exp | distance n | c four_point", lambda t: fld.two_point(t.field, 3, 32), f"with {WRAP} select exp, distance, count(*) as n, avg(c) as c, avg(c*c)-pow(avg(c),2) as four_point from tw group by 1,2")
 register("g26_four_point", "exp | distance | four_point", lambda t: fld.two_point(t.field, 3), f"with {TWO} select exp, distance, avg(c*c)-pow(avg(c),2) as four_point from tp group by 1,2")
 register("g27_dot_product_ngp", "exp | distance n | c2", lambda t: fld.two_point(t.field, 3).where("n >= 30"), f"with {TWO} select exp, distance, count(*) as n, avg(c*c) as c2 from tp group by 1,2 having count(*)>=30")
 register("g29_mode_split_flow", "mode | distance n | c", lambda t: spa.ring_correlation(t.on_field, t.field, 5).withColumn("mode", F.explode(F.array(F.when(F.col("particle") % 2 == 0, "run").otherwise("tumble"), F.lit("all")))).groupBy("mode", "distance").agg(F.avg("c").alias("c"), F.count("*").alias("n")), f"with {CORR} select coalesce(mode,'all') as mode, distance, count(*) as n, avg(c) as c from (select *, case when particle%2=0 then 'run' else 'tumble' end as mode from rc) group by grouping sets ((mode,distance),(distance))")

@@ -59,6 +59,7 @@ register("d20_angle_autocorrelation", "condition | lag n | mean sem", lambda t:
 register("d21_irregular_autocorrelation", "condition | n | dt raw normalised centred", lambda t: lag.irregular_autocorrelation(t.gaps.withColumn("time", F.col("frame") * 0.25), "y", "time", 5.0, 5, 20),
          "with p as (select a.condition, round((b.frame-a.frame)*0.25::double,3) as dt, avg(a.y*b.y) as raw, count(*) as n from gaps a join gaps b on a.exp=b.exp and a.particle=b.particle and b.frame-a.frame between 1 and 20 group by 1,2 having count(*)>=5), w as (select condition, avg(y) as m, var_pop(y) as s, avg(y*y) as z from gaps group by 1) select p.*, raw/z as normalised, (raw-m*m)/s as centred from p join w using (condition)")
 register("d22_field_autocorrelation", "exp | lag n | c", lambda t: lag.field_autocorrelation(t.field, 4), "select a.exp, b.frame-a.frame as lag, sum(a.u*b.u+a.v*b.v)/count(*) as c, count(*) as n from field a join field b on a.exp=b.exp and a.px=b.px and a.py=b.py and b.frame-a.frame between 0 and 4 group by 1,2")
+register("d22_field_autocorrelation_wrapped", "exp | lag n | c", lambda t: lag.field_autocorrelation(t.field, 4, 7), "select a.exp, l as lag, avg(a.u*b.u+a.v*b.v) as c, count(*) as n from field a cross join (select unnest(range(5)) as l) join field b on a.exp=b.exp and a.px=b.px and a.py=b.py and b.frame=(a.frame+l)%7 group by 1,2")
 HEAD = f"with {GSTEP}, seg as (select *, sum(case when df<>1 then 1 else 0 end) over (partition by exp, particle order by frame) as segment from steps), h0 as (select *, atan2(dy,dx) as h from seg where df=1 and (dx<>0 or dy<>0)), h1 as (select *, coalesce(atan2(sin(h-lag(h) over w),cos(h-lag(h) over w)),0) as j, row_number() over w as r from h0 window w as (partition by exp, particle, segment order by frame) qualify count(*) over (partition by exp, particle, segment)>=3), h2 as (select *, first_value(h) over w + sum(j) over w as g from h1 window w as (partition by exp, particle, segment order by frame)), ms as (select a.condition, a.exp, a.particle, b.r-a.r as lag, avg(pow(b.g-a.g,2)) as msad, count(*) as n from h2 a join h2 b on a.exp=b.exp and a.particle=b.particle and a.segment=b.segment and b.r-a.r between 1 and 5 group by 1,2,3,4)"
 register("d23_msad", "condition exp | particle lag n | msad", lambda t: lag.msad(t.gaps, 5), f"{HEAD} select * from ms")
 register("d24_msad_fit", "condition | n | diffusion offset", lambda t: lag.linear_fit(lag.msad(t.gaps, 5), ["condition"], "lag", "msad"), f"{HEAD} select condition, count(*) as n, regr_slope(msad,lag)/2 as diffusion, regr_intercept(msad,lag) as \"offset\" from ms group by 1")
