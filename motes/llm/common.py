@@ -35,13 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that stash has written, in order, for those who know when they are no longer read (see discard).
+WRITTEN: list[str] = []
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stashed folders, through the file system that holds them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        WRITTEN.remove(p)
+
+
 def packed(docs: DataFrame, used: list[str], made: list[str]) -> tuple[DataFrame, list]:
     """docs as its used columns and a struct _rest of the others, so that no name clashes with one an operator uses inside.
 

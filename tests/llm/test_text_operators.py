@@ -218,6 +218,40 @@ def test_near_duplicates_brute_force(spark, hard, none):
     assert near_dedup.keep_one(none).count() == 0
 
 
+def test_near_duplicates_recall(spark):
+    """All pairs of different texts of a real table at 0.8 or more, by brute force over an inverted index: every class and nearly every link is found."""
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {}
+    for r in d.select("doc_id", "text").collect():
+        w = (r.text or "").encode().split()
+        if w:
+            sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(r.doc_id)
+    reps = {min(ids): s for s, ids in sets.items()}
+    holders, shared = {}, Counter()
+    for i in sorted(reps):
+        mates = Counter()
+        for x in reps[i]:
+            mates.update(holders.get(x, ()))
+            holders.setdefault(x, []).append(i)
+        shared.update({(j, i): n for j, n in mates.items() if n >= 0.8 * max(len(reps[i]), len(reps[j]))})
+    want = {p for p, n in shared.items() if n >= 0.8 * (len(reps[p[0]]) + len(reps[p[1]]) - n)}
+    parent = {i: i for i in reps}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in want:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    classes, _ = near_dedup.near_duplicates(d)
+    got = {r.doc_id: r.class_id for r in classes.collect()}
+    joined = sum(got[a] == got[b] for a, b in want)
+    assert len(want) >= 4 and joined == len(want), (joined, len(want))
+    assert all(root(got[i]) == root(i) for i in reps)  # and no class holds what brute force keeps apart
+
+
 def test_near_duplicates_with_repeated_lines(spark):
     rng = random.Random(55)
     rows = []
