@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from motes.llm import decontaminate as decontamination
 from motes.llm import line_dedup as lines
 from motes.llm import mixing, near_dedup, toxicity
-from motes.llm.common import packed, stash, table
+from motes.llm.common import WRITTEN, discard, packed, stash, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(taken, "__row").drop("__row")
 
 
-
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
@@ -73,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage wrote for itself, and its input, are deleted once its output is written; the last stage's remain, since it is returned unread."""
     docs = table(spark, sf_dir, "documents")
+    begun = len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, WRITTEN[begun:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
