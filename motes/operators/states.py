@@ -180,9 +180,9 @@ def fit_hmm(obs: DataFrame, states: int = 2, rounds: int = 10, tolerance: float
     """
     stats = obs.agg(F.avg("obs"), F.var_pop("obs"), F.count("*"), F.percentile_approx("obs", F.array(*[F.lit((i + 0.5) / states) for i in range(states)]))).first()
     seqs = obs.groupBy(*KEY, "segment").agg(F.sort_array(F.collect_list(F.struct("frame", "obs"))).alias("s")).select(F.transform("s", lambda v: v["obs"]).alias("x"))
-    from pyspark.storagelevel import StorageLevel
+    from ..sources.io import stashed
 
-    seqs = seqs.persist(StorageLevel.DISK_ONLY)
+    seqs = stashed(seqs, "sequences")
     m = {"pi": np.full(states, 1 / states), "a": np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * (0.8 - 0.2 / max(1, states - 1)), "mean": np.array(stats[3], float), "var": np.full(states, stats[1])}
     size = 1 + states * 4 + states * states
     seen: list[float] = []
@@ -207,7 +207,6 @@ def fit_hmm(obs: DataFrame, states: int = 2, rounds: int = 10, tolerance: float
         m = {"pi": first / first.sum(), "a": xi / xi.sum(1, keepdims=True), "mean": s1 / n, "var": np.maximum(s2 / n - (s1 / n) ** 2, 1e-6)}
         if len(seen) > 1 and seen[-1] - seen[-2] < tolerance * abs(seen[-2]):
             break
-    seqs.unpersist()
     order = np.argsort(m["mean"])
     free = states * states - 1 + 2 * states
     return {"pi": m["pi"][order], "a": m["a"][np.ix_(order, order)], "mean": m["mean"][order], "var": m["var"][order], "likelihoods": seen, "aic": 2 * free - 2 * seen[-1], "bic": free * float(np.log(stats[2])) - 2 * seen[-1]}
