@@ -20,7 +20,6 @@ import re
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
