@@ -16,6 +16,8 @@ MODULES = {
     "op8_decontamination": "decontaminate",
     "op9_simhash": "simhash",
     "op10_toxicity": "toxicity",
+    "op11_hard_negatives": "hard_negatives",
+    "op12_centroids": "centroids",
 }
 
 
