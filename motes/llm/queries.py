@@ -18,6 +18,7 @@ MODULES = {
     "op10_toxicity": "toxicity",
     "op11_hard_negatives": "hard_negatives",
     "op12_centroids": "centroids",
+    "op13_token_counts": "token_counts",
 }
 
 
