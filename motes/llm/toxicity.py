@@ -7,14 +7,15 @@ on), so misspelled words match. Tokens near a word that clean training documents
 Digits and signs inside tokens are read as letters too.
 Context: a match inside quotation marks, or within WINDOW tokens after a word of reporting, counts as quoted. Exact words, stems (with the
 text's length, since chance matches grow with it), misspelled and quoted words give a score by logistic regression, penalised towards PRIOR.
-So that the weight of misspellings is learned, every training document is counted once more with typing errors in its long tokens.
+So that the weight of misspellings is learned, every training document is counted once more with typing errors in its long tokens; so that the weight of
+quotation is, once more as a quotation, which is no abuse whatever it quotes.
 
 The model is fitted on at most TRAIN_DOCS labelled rows by hash order (a documented parameter) whose crc32(doc_id) mod 3 is not 1. A term
 marks SUPPORT of the toxic ones at least, which bounds the lexicon, so it is broadcast. Scoring reads whole texts; lang, source, doc_id and labels are no inputs.
 
 Defined results: null counts as the empty text; texts without a match share one low score; without labels the prior weights
 and an empty lexicon give every text that score; rows of labels with a null label or id are not used, and an id with several labels
-is toxic if one of them says so; rows that repeat a doc_id are scored each; a null doc_id is not held out.
+is toxic if one of them says so; texts of one or two words are learned from like others; rows that repeat a doc_id are scored each; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, slices, stash, windows, word_hashes
+from .common import mix, packed, slices, stash, windows, word_hashes
 
 TRAIN_DOCS, WINDOW, THRESHOLD = 20_000, 4, 0.7
 #: Lengths of stems, and the share of the toxic training documents that a term must mark.
@@ -181,6 +182,11 @@ def mistyped(text: str) -> str:
     return TOKEN.sub(typo, text.lower())
 
 
+def as_quoted(text: str) -> str:
+    """The text with every line in quotation marks."""
+    return "\n".join(f"“{re.sub('[“”«»„]', ' ', line)}”" for line in text.split("\n"))
+
+
 def _design(counts: np.ndarray) -> np.ndarray:
     """Features of evidence: for words mostly whether there is one, a little how many; for stems also how many in how long a text."""
     counts = np.asarray(counts, float).reshape(-1, 5)
@@ -254,9 +260,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> Da
             key, at = windows(h, owner, 3)
             least = np.full(batch.num_rows, np.iinfo(np.uint64).max)
             np.minimum.at(least, owner[at], key)
+            # a text without such a run is a family of its own words
+            sign = h.copy()
+            sign[1:] ^= (owner[1:] == owner[:-1]) * (h[:-1] * np.uint64(31))
+            short = np.bincount(owner, minlength=batch.num_rows) < 3
+            own = np.zeros(batch.num_rows, np.uint64)
+            np.add.at(own, owner, sign)
+            least[short] = mix(own[short])
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(least.view(np.int64))], names=["text", "toxic", "family"])
 
-    # near copies mostly share the smallest hash of their three-word runs; one of them is enough to learn from
+    # near copies mostly share the smallest hash of their three-word runs; one of them is enough to learn from. Texts of one or two words are copies only if equal
     return rows.mapInArrow(family, "text string, toxic int, family long").groupBy("family", "toxic").agg(F.min("text").alias("text"))
 
 
@@ -305,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     def counted(frames):
         lex = Lexicon(**lexicon, innocent=innocent)
         for pdf in frames:
-            seen = Counter((*evidence(lex, form(t)), y) for t, y in zip(pdf.text, pdf.toxic, strict=True) for form in (str, mistyped))
+            seen = Counter((*evidence(lex, form(t)), y * (form is not as_quoted)) for t, y in zip(pdf.text, pdf.toxic, strict=True) for form in (str, mistyped, as_quoted))
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=[*"abcdeyn"])
 
     table = rows.mapInPandas(counted, "a long, b long, c long, d long, e long, y int, n long").toPandas()
