@@ -4,11 +4,13 @@ Every source has a weight; its target is its share of all words, at most `epochs
 the other sources by weight. The mix is a row of equal slots of `block` words. A slot is a point of the van der Corput
 sequence: the bit-reversed position falls into a source's share of the cumulative weights, so that every stretch of the
 mix holds the sources in their proportions. A slot's rank among its source's slots names a block of the source's text:
-the source's documents in md5 order, repeated `epochs` times, cut every `block` words. Both ranks and running
+the source's documents in the order of md5(doc_id|md5(text)), repeated `epochs` times, cut every `block` words. Both ranks and running
 sums work in hash buckets first and then over bucket totals, so no task sees a whole source.
 
 Defined results: a null text has 0 words; null is a source of its own, the last; documents without words are never
-taken; an empty table gives an empty mix. Per source only totals meet in one task: one row for each source.
+taken; an empty table gives an empty mix. Rows without doc_id, and rows that share one, are rows each and are dealt by their texts; only rows equal in
+both meet in one task, and which of those stands first does not show but in other columns. Other columns named as a result give way to it. Per source only totals
+meet in one task: one row for each source.
 """
 
 from __future__ import annotations
@@ -79,14 +81,14 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> tuple[Data
 
     pieces: one row for each document's part of a slot: sid, slot, _start, words, epoch; ordered by slot they are the mix.
     """
-    sizes = stash(docs.withColumn("size", word_count("text")).withColumn("_md5", F.md5(F.col("doc_id").cast("string"))).drop("text"), "mix-sizes")
+    sizes = stash(docs.withColumn("size", word_count("text")).withColumn("_md5", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5("text"), F.lit(""))))).drop("text"), "mix-sizes")
     total, n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     block = max(1, -(-total // max(1, n * slots)))
     shares = stash(targets(sizes, epochs).withColumn("_words", F.round("target").cast("long")).withColumn("need", F.ceil(F.col("_words") / block)), "mix-shares")
     digits = max(2, -(-(64 * n_splits(docs)).bit_length() // 4))  # of md5, in hexadecimal: some 64 buckets for each split of the input
     n_slots = shares.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
     named = sizes.join(shares, sizes["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    sized = running(named.withColumn("_b", F.conv(F.substring(F.coalesce("_md5", F.lit("0")), 1, digits), 16, 10).cast("long")), "sid", "_b", ["_md5", "size"], F.col("size"), "_start")
+    sized = running(named.withColumn("_b", F.conv(F.substring("_md5", 1, digits), 16, 10).cast("long")), "sid", "_b", ["_md5", "size"], F.col("size"), "_start")
     offset = lambda e: F.col("_start") + e * F.col("source_size")
     spans = sized.where("size > 0").select("sid", "_start", "size", "source_size", "_words", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("epoch")).withColumn("_a", offset(F.col("epoch"))).withColumn("_z", F.least(F.col("_a") + F.col("size"), "_words")).where("_a < _z")
     parts = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_z") - 1) / block))))
@@ -104,10 +106,11 @@ def mixed(docs: DataFrame, epochs: int = EPOCHS, slots: int = SLOTS) -> DataFram
     return some.unionByName(sized.where("size = 0").withColumns({"taken": F.lit(None).cast("long"), "first_slot": F.lit(None).cast("long")})).select("doc_id", "source", *rest, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-#: The same in DuckDB, up to the schedule, which moves no word between documents.
+#: The same in DuckDB: a document's first slot is the one of its source whose rank is that of its first word's block.
 ORACLE = r"""
 with sizes as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(doc_id::varchar) as h from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5(coalesce(doc_id::varchar, '') || '|' || coalesce(md5(text), '')) as h from documents
 ), by_source as (
   select source, sum(size)::bigint as source_size from sizes group by source
 ), ranked as (
@@ -122,17 +125,31 @@ with sizes as (
 ), goal as (
   select source, sid, source_size, case when lim * share <= rest * weight then lim::double else (select level from level) * weight end as target from filling
 ), placed as (
-  select s.doc_id, s.size, g.source_size, g.target, round(g.target)::bigint as words,
+  select s.doc_id, s.size, g.sid, g.source_size, g.target, round(g.target)::bigint as words,
     coalesce(sum(s.size) over (partition by g.sid order by s.h, s.size rows between unbounded preceding and 1 preceding), 0) as a
   from sizes s join goal g on s.source is not distinct from g.source
-)
-select doc_id, size, source_size, target,
+), block as (
+  select greatest(1, ceil(coalesce(sum(size), 0) / greatest(1, count(*) * 8)))::bigint as block from sizes
+), need as (
+  select sid, ceil(round(target)::bigint / block)::bigint as need, sum(ceil(round(target)::bigint / block)::bigint) over (order by sid) as stop from goal, block
+), bits as (
+  select greatest(12, length(bin(sum(need)::bigint))) as bits from need
+), slots as (
+  select sid, list_sum(list_transform(range(bits), lambda i: ((v >> i) & 1) << (bits - 1 - i)))::bigint as slot from (select sid, unnest(range((stop - need)::bigint, stop::bigint)) as v from need where need > 0), bits
+), schedule as (
+  select sid, slot, row_number() over (partition by sid order by slot) - 1 as rank from slots
+), taken as (
+  select *,
   (greatest(0, least(a + size, words) - a) + greatest(0, least(a + size + source_size, words) - a - source_size) + greatest(0, least(a + size + 2 * source_size, words) - a - 2 * source_size))::bigint as taken
-from placed
+  from placed
+)
+select doc_id, size, source_size, target, taken, coalesce(slot, -1)::bigint as first_slot
+from taken t cross join block left join schedule s on s.sid = t.sid and s.rank = t.a // block and t.taken > 0
 """
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
