@@ -63,7 +63,9 @@ def line_dedup(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LIN
     later = shared.join(first, ["_key", "_text"]).where((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("_pos") != F.col("_first._pos")))
     gone = later.groupBy("doc_id").agg(F.collect_set("_pos").alias("_gone"))
     out = _chunked(docs.join(gone.hint("shuffle_hash"), "doc_id", "left"), modulus)
-    stays = F.filter("_chunks", lambda _, i: F.col("_gone").isNull() | ~F.array_contains("_gone", i))
+    # array_except hashes, so a text of very many chunks takes time in proportion
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "_gone")
+    stays = F.when(F.col("_gone").isNull(), F.col("_chunks")).otherwise(F.transform(kept, lambda i: F.get("_chunks", i)))
     total = lambda x: F.coalesce(F.aggregate(x, F.lit(0).cast("long"), lambda a, c: a + c["lines"]), F.lit(0)).cast("long")
     return (
         out.withColumn("_stays", stays)
