@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow.compute as pc
@@ -35,15 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders that stash has written, in order, for those who know when they are no longer read (see discard).
-WRITTEN: list[str] = []
+#: Where stash notes the folders that it writes, while written() asks for them; each thread has its own.
+_NOTES: ContextVar[list[str] | None] = ContextVar("notes", default=None)
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The folders that stash writes in this thread meanwhile, in order, for those who know when they are no longer read (see discard)."""
+    notes: list[str] = []
+    token = _NOTES.set(notes)
+    try:
+        yield notes
+    finally:
+        _NOTES.reset(token)
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    notes = _NOTES.get()
+    if notes is not None:
+        notes.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +68,6 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-        WRITTEN.remove(p)
 
 
 def packed(docs: DataFrame, used: list[str], made: list[str]) -> tuple[DataFrame, list]:

@@ -342,8 +342,8 @@ def test_secret_sample_fills_from_all_documents(spark):
     rng = random.Random(73)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rows = [(i, f"{hexes(12)} and otherword{i:05}" if i % 500 else f"token={hexes(24)} and otherword{i:05}") for i in range(12000)]
-    x, y = secrets.labelled(docs(spark, rows).repartition(5))
-    assert y.sum() == 24 and (1 - y).sum() >= 4000 and secrets.train(x, y) is not None
+    x, y, own = secrets.labelled(docs(spark, rows).repartition(5))
+    assert y.sum() == 24 and (1 - y).sum() >= 4000 and secrets.train(x, y, own) is not None
     again = secrets.labelled(docs(spark, rows[::-1]).repartition(3))
     assert (again[0] == x).all() and (again[1] == y).all()
 
