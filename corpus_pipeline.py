@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages run() writes Parquet in the shared folder and rereads it. All stages but
 the last return the columns of documents. A null text passes through toxicity, line dedup, near-dedup and
-decontamination as an empty one; the mix never takes it.
+decontamination as an empty one; the mix never takes it. Rows that repeat a doc_id, or have none, are rows each; of equal texts near-dedup keeps one, the smallest id
+first, and rows equal in id and text are interchangeable to the mix; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from motes.llm import decontaminate as decontamination
 from motes.llm import line_dedup as lines
 from motes.llm import mixing, near_dedup, toxicity
-from motes.llm.common import WRITTEN, discard, packed, stash, table
+from motes.llm.common import discard, packed, stash, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +75,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages. What a stage wrote for itself, and its input, are deleted once its output is written; the last stage's remain, since it is returned unread."""
     docs = table(spark, sf_dir, "documents")
-    begun = len(WRITTEN)
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        discard(spark, WRITTEN[begun:-1])
+        with written() as folders:
+            docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, [*before, *folders[:-1]])
+        before = folders[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
