@@ -128,6 +128,61 @@ def histogram_interval(df: DataFrame, bin_: Column, n_bins: int, unit: list[str]
     return whole.join(res.interval(reps, "v", ["bin"]), "bin").withColumn("potential", F.when(F.col("p") > 0, -F.log("p")))
 
 
+def _shapes(counts: DataFrame, n_bins: int) -> DataFrame:
+    """counts (keys, an array _c of counts by bin) with arrays over bins: c (centres), p, even, odd, potential."""
+    width = 2 / n_bins
+    at = F.array(*[F.lit(-1 + (i + 0.5) * width) for i in range(n_bins)])
+    total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
+    d = counts.withColumn("c", at).withColumn("p", F.transform("_c", lambda x: F.try_divide(x, total * width)))
+    half = lambda sign: F.zip_with("p", F.reverse("p"), lambda x, y: (x + sign * y) / 2)
+    zero = F.get("p", (n_bins - 1) // 2)  # the bin nearest 0, the lower one of two
+    potential = F.zip_with("p", "c", lambda p, c: F.when((p > 0) & (zero > 0), -F.log(F.sqrt(F.greatest(1 - c * c, F.lit(1e-6))) * p / zero)))
+    return d.withColumns({"even": half(1), "odd": half(-1), "potential": potential})
+
+
+def _shape_fits(shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """polar and nematic: A and kappa of U(c) = -A arctanh(c) + 2 kappa c^2, from the ratio of odd to even parts, then from the even part, over 0.05 < c <= 0.85."""
+    each = shapes.select(*keys, F.explode(F.arrays_zip("c", "even", "odd")).alias("_e")).select(*keys, "_e.*").where("c > 0.05 and c <= 0.85 and even > 1e-4")
+    ratio = F.atanh(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.col("odd") / F.col("even"))))
+    polar = each.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.sum(ratio * F.atanh("c")) / F.sum(F.atanh("c") ** 2)).alias("polar"), F.count("*").alias("_m")).where("_m >= 2").drop("_m")
+    y = F.log(F.greatest(F.sqrt(1 - F.col("c") ** 2) * F.col("even") / F.cosh(F.col("polar") * F.atanh("c")), F.lit(1e-6)))
+    return each.join(polar, keys).groupBy(*keys, "polar").agg(F.greatest(F.lit(0.0), -F.regr_slope(y, F.col("c") ** 2) / 2).alias("nematic"))
+
+
+def shape_replicates(df: DataFrame, cosine: str, unit: list[str], keys: list[str], n_bins: int = 28, n: int = 100, seed: int = 0) -> DataFrame:
+    """P20: shapes of the histogram of a cosine, of all rows (b 0) and of each replicate b in which units (trajectories) are drawn anew: keys, b, and arrays over bins.
+
+    Rows are first counted by unit and bin, so a replicate weighs counts; all bins of a replicate are one row.
+    """
+    bin_ = F.least(F.floor((F.col(cosine) + 1) * (n_bins / 2)), F.lit(n_bins - 1))
+    u = df.where(F.col(cosine).between(-1, 1)).groupBy(*keys, *unit, bin_.alias("_bin")).agg(F.count("*").alias("_n"))
+    counts = F.array(*[F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("w") * F.col("_n"))), F.lit(0)).cast("double") for i in range(n_bins)]).alias("_c")
+    every = u.withColumns({"b": F.lit(0), "w": F.lit(1)}).unionByName(res.replicates(u, n, unit, seed))
+    return _shapes(every.groupBy(*keys, "b").agg(counts), n_bins)
+
+
+def shape_table(replicates: DataFrame, keys: list[str]) -> DataFrame:
+    """P20: by bin the density p, its even and odd parts and the effective potential -ln(sqrt(1 - c^2) p / p(0)), each with the low and high end of its interval."""
+    names = ["p", "even", "odd", "potential"]
+    each = replicates.select(*keys, "b", F.posexplode(F.arrays_zip("c", *names)).alias("bin", "_e")).select(*keys, "b", "bin", "_e.*")
+    out = each.where("b = 0").drop("b")
+    for name in names:
+        ends = res.interval(each.where("b > 0"), name, [*keys, "bin"]).select(*keys, "bin", F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
+        out = out.join(ends, [*keys, "bin"], "left")
+    return out
+
+
+def shape_fit(replicates: DataFrame, keys: list[str]) -> DataFrame:
+    """P20: polar and nematic strength of the shape, fitted to all rows and to each replicate, with errors and intervals over the replicates."""
+    fits = _shape_fits(replicates, [*keys, "b"])
+    out = fits.where("b = 0").drop("b")
+    for name in ("polar", "nematic"):
+        spread = res.interval(fits.where("b > 0"), name, keys)
+        spread = spread.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("se", "low", "high")])
+        out = out.join(spread, keys, "left") if keys else out.crossJoin(spread)  # single rows
+    return out
+
+
 def alignment_moments(df: DataFrame, value: str) -> DataFrame:
     """Per particle mean, std, and central moments 2, 3, 5 from power sums, then mean and sem over particles per condition."""
     s = [F.avg(F.col(value) ** k).alias(f"_{k}") for k in range(1, 6)]

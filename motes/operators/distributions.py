@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import filled, uniform
-from .ranks import running
+from .ranks import counted, quantiles, ranked, with_quantiles
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, n: int, keys: list[str], edges: str = "last_closed", weight: Column | None = None) -> DataFrame:
@@ -29,15 +29,15 @@ def ensemble_histogram(df: DataFrame, column: str, low: float, high: float, n: i
 
 def ccdf(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """P(X >= x) at each distinct positive value, ties counted together."""
-    count = df.where(F.col(column) > 0).groupBy(*keys, F.col(column).alias("x")).agg(F.count("*").alias("_n"))
-    return running(count, "x", keys, "_n", "_up", "_all").withColumn("ccdf", (F.col("_all") - F.col("_up") + F.col("_n")) / F.col("_all")).drop("_n", "_up", "_all")
+    count = counted(df.where(F.col(column) > 0).withColumn("x", F.col(column)), "x", keys)
+    return count.withColumn("ccdf", (F.col("_all") - F.col("_up") + F.col("_n")) / F.col("_all")).drop("_n", "_up", "_all")
 
 
 def reach(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Percentiles of 1 - CCDF (r1 r5 r10 r50 r90), mean, std, sem, n."""
-    q = F.percentile(column, F.array(*[F.lit(p) for p in (0.01, 0.05, 0.1, 0.5, 0.9)]))
-    out = df.where(F.col(column) > 0).groupBy(*keys).agg(q.alias("_q"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), (F.stddev_samp(column) / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
-    return out.select(*keys, *[F.col("_q")[i].alias(f"r{p}") for i, p in enumerate((1, 5, 10, 50, 90))], "mean", "std", "sem", "n")
+    positive = df.where(F.col(column) > 0)
+    out = positive.groupBy(*keys).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), (F.stddev_samp(column) / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
+    return with_quantiles(out, positive, column, keys, {f"r{p}": p / 100 for p in (1, 5, 10, 50, 90)})
 
 
 def log_thinned(curve: DataFrame, x: str, keys: list[str], points: int) -> DataFrame:
@@ -85,9 +85,9 @@ def smoothed_circular(hist: DataFrame, value: str, keys: list[str], n: int, sigm
 
 def profile(df: DataFrame, bin_: Column, y: str, keys: list[str], least: int = 1) -> DataFrame:
     """Mean, std, sem, quartiles and n of y per bin."""
-    q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.withColumn("bin", bin_).where("bin is not null").groupBy(*keys, "bin").agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), (F.stddev_samp(y) / F.sqrt(F.count(y))).alias("sem"), q.alias("_q"), F.count(y).alias("n")).where(F.col("n") >= least)
-    return out.select(*keys, "bin", "mean", "std", "sem", *[F.col("_q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "n")
+    rows = df.withColumn("bin", bin_).where("bin is not null")
+    out = rows.groupBy(*keys, "bin").agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), (F.stddev_samp(y) / F.sqrt(F.count(y))).alias("sem"), F.count(y).alias("n")).where(F.col("n") >= least)
+    return with_quantiles(out, rows, y, [*keys, "bin"], {f"q{p}": p / 100 for p in (25, 50, 75)})
 
 
 def two_level_profile(df: DataFrame, bin_: Column, y: str, least: int = 2) -> DataFrame:
@@ -118,25 +118,28 @@ def joint_density(df: DataFrame, bx: Column, by: Column, keys: list[str]) -> Dat
 
 def percentile_profile(df: DataFrame, bin_: Column, y: str, keys: list[str], percents: list[int], least: int) -> DataFrame:
     """Percentiles of y per bin, one row each."""
-    q = F.percentile(y, F.array(*[F.lit(p / 100) for p in percents]))
-    got = df.withColumn("bin", bin_).where("bin is not null").groupBy(*keys, "bin").agg(q.alias("_q"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return got.select(*keys, "bin", "n", F.posexplode("_q").alias("_i", "value")).withColumn("percent", F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("_i") + 1)).drop("_i")
+    rows = df.withColumn("bin", bin_).where("bin is not null")
+    got = with_quantiles(rows.groupBy(*keys, "bin").agg(F.count("*").alias("n")).where(F.col("n") >= least), rows, y, [*keys, "bin"], {f"_p{p}": p / 100 for p in percents})
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"_p{p}").alias("value")) for p in percents]))
+    return got.select(*keys, "bin", "n", each.alias("_e")).select(*keys, "bin", "n", "_e.percent", "_e.value")
 
 
 def quantile_bins(df: DataFrame, x: str, keys: list[str], n: int) -> DataFrame:
     """Rows with bin by equal-count edges of their key, equal edges merged; bins are left-closed, the last closed on both sides."""
-    e = df.groupBy(*keys).agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("_e"))
+    edges = [f"_e{i}" for i in range(n + 1)]
+    e = quantiles(df, x, keys, {c: i / n for i, c in enumerate(edges)}).select(*keys, F.array_distinct(F.array(*edges)).alias("_e"))
     i = F.least(F.size(F.filter("_e", lambda v: v <= F.col(x))), F.size("_e") - 1) - 1
     return df.join(e, keys).withColumn("bin", F.greatest(i, F.lit(0))).drop("_e")
 
 
 def bin_number(df: DataFrame, x: str, keys: list[str], rule: str = "fd") -> DataFrame:
     """Number of bins by Sturges or Freedman-Diaconis, and the range."""
-    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+    out = with_quantiles(out, df, x, keys, {"_q1": 0.25, "_q3": 0.75})
     sturges = F.ceil(F.log2("n")) + 1
-    width = 2 * (F.col("_q")[1] - F.col("_q")[0]) / F.cbrt("n")
+    width = 2 * (F.col("_q3") - F.col("_q1")) / F.cbrt("n")
     fd = F.coalesce(F.ceil(F.try_divide(F.col("high") - F.col("low"), width)), sturges)
-    return out.withColumn("bins", sturges if rule == "sturges" else fd).drop("_q")
+    return out.withColumn("bins", sturges if rule == "sturges" else fd).drop("_q1", "_q3")
 
 
 def log_bins(df: DataFrame, x: str, y: str, least: int, least_particles: int) -> DataFrame:
@@ -145,7 +148,8 @@ def log_bins(df: DataFrame, x: str, y: str, least: int, least_particles: int) ->
     b = bin_number(logs, "_l", ["condition"]).select("condition", "low", "high", "bins")
     i = F.least(F.floor((F.col("_l") - F.col("low")) / ((F.col("high") - F.col("low")) / F.col("bins"))), F.col("bins") - 1)
     got = logs.join(b, "condition").withColumn("bin", F.coalesce(F.when(F.col("high") > F.col("low"), i), F.lit(0)))
-    return got.groupBy("condition", "bin").agg(F.percentile(y, 0.5).alias("median"), F.exp(F.avg(F.log(x))).alias("x_mean"), F.count("*").alias("n"), F.countDistinct("exp", "particle").alias("particles")).where((F.col("n") >= least) & (F.col("particles") >= least_particles))
+    out = got.groupBy("condition", "bin").agg(F.exp(F.avg(F.log(x))).alias("x_mean"), F.count("*").alias("n"), F.countDistinct("exp", "particle").alias("particles")).where((F.col("n") >= least) & (F.col("particles") >= least_particles))
+    return with_quantiles(out, got, y, ["condition", "bin"], {"median": 0.5})
 
 
 def merged_bins(df: DataFrame, bin_: Column, y: str, least: int) -> DataFrame:
@@ -251,10 +255,9 @@ def scaled_histogram(df: DataFrame, column: str, keys: list[str], most: float, n
 def normal_qq(df: DataFrame, column: str, keys: list[str], order: list[str]) -> DataFrame:
     """ln(column) of positive rows against the normal law: slope, intercept and r2 of sorted values on normal quantiles (Filliben's positions), and KS, the distance to the normal law of the same mean and std.
 
-    Ranks come from bucketed running counts, so no task sorts a whole key.
+    Ranks come from rows sorted across tasks, so no task sorts a whole key.
     """
     from ..functions.curves import normal_cdf, normal_quantile
-    from .ranks import ranked
 
     rows = ranked(df.where(F.col(column) > 0).withColumn("_l", F.log(column)), "_l", keys, order)
     i, n = F.col("rank"), F.col("total")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kinematics import KEY, track
-from .ranks import ranked
+from .ranks import quantiles, ranked, with_quantiles
 
 
 def until_cutoff(tracks: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -37,20 +37,24 @@ def long_tracks(tracks: DataFrame, least: int) -> DataFrame:
     return tracks.withColumn("_n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("_n") >= least).drop("_n")
 
 
+def _fences(values: DataFrame, column: str, by: str, k: float) -> DataFrame:
+    """by, _low and _high: max(0, Q1 - k IQR) and Q3 + k IQR of each group."""
+    q = quantiles(values, column, [by], {"_q1": 0.25, "_q3": 0.75})
+    reach = k * (F.col("_q3") - F.col("_q1"))
+    return q.select(by, F.greatest(F.lit(0.0), F.col("_q1") - reach).alias("_low"), (F.col("_q3") + reach).alias("_high"))
+
+
 def tukey(values: DataFrame, column: str, by: str = "condition", k: float = 1.5) -> DataFrame:
     """rows inside [max(0, Q1 - k IQR), Q3 + k IQR] of their group."""
-    q = values.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    low, high = F.greatest(F.lit(0.0), F.col("_q")[0] - k * (F.col("_q")[1] - F.col("_q")[0])), F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])
-    return values.join(q, by).where(F.col(column).between(low, high)).drop("_q")
+    return values.join(_fences(values, column, by, k), by).where(F.col(column).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def tukey_statistics(values: DataFrame, column: str, by: str = "condition", k: float = 1.5) -> DataFrame:
     """n, mean, median and std of a group's values, raw and (ending in _in) inside its fences."""
-    q = values.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    low, high = F.greatest(F.lit(0.0), F.col("_q")[0] - k * (F.col("_q")[1] - F.col("_q")[0])), F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])
-    inside = F.when(F.col(column).between(low, high), F.col(column))
-    cols = [a(c).alias(f"{name}{end}") for c, end in ((F.col(column), ""), (inside, "_in")) for name, a in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("std", F.stddev_samp))]
-    return values.join(q, by).groupBy(by).agg(*cols)
+    fenced = values.join(_fences(values, column, by, k), by).withColumn("_in", F.when(F.col(column).between(F.col("_low"), F.col("_high")), F.col(column)))
+    cols = [a(c).alias(f"{name}{end}") for c, end in ((column, ""), ("_in", "_in")) for name, a in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))]
+    out = with_quantiles(fenced.groupBy(by).agg(*cols), values, column, [by], {"median": 0.5})
+    return with_quantiles(out, fenced, "_in", [by], {"median_in": 0.5})
 
 
 def plotting_position(values: DataFrame, column: str, by: str, order: list[str]) -> DataFrame:

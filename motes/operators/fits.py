@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import ranked, running
+from .ranks import counted, running, with_quantiles
+
+
+#: Ranks of a block of values over which power_tail bounds distances.
+BLOCK = 256
 
 
 def correlation_length(curve: DataFrame, keys: list[str], r: str = "r", c: str = "c", least: float = 0.01) -> DataFrame:
@@ -73,31 +77,52 @@ def power_tail(df: DataFrame, x: str, keys: list[str], least: int = 15, last: in
     lowest 15 % on and with `least` ranks below x_max, the one with the smallest Kolmogorov-Smirnov distance, exponent by maximum likelihood; then slope
     and r2 of log10 P(X >= x) on log10 x in between (every row at its own rank).
 
-    Sums of n and ln x above each value are running sums, so a candidate's exponent is a lookup; only the distance needs values times candidates.
+    Equal values are one row with their count; ranks, and sums of n and ln x above each value, are running sums, so a candidate's exponent is a lookup. The
+    distance needs values times candidates, so only the values that can hold a candidate's maximum are measured: the law's and the ranks' values
+    both rise, and inside a block of neighbouring values their difference stays below that of the block's ends taken crosswise. A block is opened for a
+    candidate only if that bound reaches what the block ends of the candidate already show.
     """
     from ..sources.io import stashed
 
     pos = df.where(F.col(x) > 0).select(*keys, F.col(x).cast("double").alias("_x"))
-    rows = stashed(ranked(pos, "_x", keys, [], "_i", "_n").withColumn("_i", F.col("_i") - 1), "ranks")
-    # the rank before each value, and how many rows have it
-    c = rows.groupBy(*keys, "_x").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.first("_n").alias("_n")).withColumn("_l", (F.col("_hi") - F.col("_lo") + 1) * F.log("_x"))
-    c = stashed(running(stashed(c, "values"), "_x", keys, "_l", "_lup", "_lall").where(F.col("_n") >= least + last), "sums")
+    # _lo and _hi: ranks from 0 of the first and last row of each value
+    c = counted(pos, "_x", keys).withColumns({"_lo": F.col("_up") - F.col("_n"), "_hi": F.col("_up") - 1, "_l": F.col("_n") * F.log("_x")}).withColumn("_n", F.col("_all")).drop("_up", "_all")
+    rows = stashed(c, "values")
+    c = stashed(running(rows, "_x", keys, "_l", "_lup", "_lall").where(F.col("_n") >= least + last), "sums")
     end = c.where((F.col("_lo") <= F.col("_n") - last) & (F.col("_n") - last <= F.col("_hi"))).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("_x").alias("x_max"), F.col("_hi").alias("_end"), F.col("_lup").alias("_lend"))
     same = [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)]
     c = c.join(end, same).where(F.col("_x") <= F.col("x_max")).drop(*[f"_e{i}" for i in range(len(keys))])
     stop = F.col("_n") - last - least
     start = F.when(F.floor(F.col("_n") * 0.15) < stop, F.floor(F.col("_n") * 0.15)).otherwise(F.greatest(F.lit(0), stop - 30))
     count = F.least(F.lit(candidates), stop - start + 1)
-    wanted = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: (start + F.floor(k * (stop - start) / F.greatest(count - 1, F.lit(1)))).cast("long"))
+    span = stop - start
+    # candidate ranks are start + floor(k span / (count - 1)); a value is one if such a rank lies in [_lo, _hi]: the first k that reaches _lo
+    of = lambda k: start + F.floor(k * span / F.greatest(count - 1, F.lit(1)))
+    k = F.greatest(F.ceil((F.col("_lo") - start) * F.greatest(count - 1, F.lit(1)) / F.greatest(span, F.lit(1))), F.lit(0))
+    holds = F.lit(False)
+    for near in (k - 1, k, k + 1):  # neighbours too, so that rounding of the quotient does not matter
+        holds = holds | (near.between(0, count - 1) & of(near).between(F.col("_lo"), F.col("_hi")))
     n = F.col("_end") - F.col("_lo") + 1
     logs = F.col("_lend") - F.col("_lup") + F.col("_l") - n * F.log("_x")
-    chosen = c.where(F.exists(wanted, lambda i: i.between(F.col("_lo"), F.col("_hi"))) & (n >= least)).withColumns({"_m": n, "_a": F.try_divide(n, F.when(logs > 0, logs))}).where("_a is not null")
-    cand = chosen.select(*keys, F.col("_x").alias("x_min"), "x_max", F.col("_lo").alias("_from"), "_m", "_a")
-    tail = c.select(*keys, "_x", "_lo", "_hi", "_n").join(F.broadcast(cand), keys).where(F.col("_x") >= F.col("x_min"))  # `candidates` rows a key at most
-    law = 1 - F.pow(F.col("x_min") / F.col("_x"), F.col("_a"))
-    gap = F.greatest(F.abs((F.col("_lo") - F.col("_from") + 1) / F.col("_m") - law), F.abs((F.col("_hi") - F.col("_from") + 1) / F.col("_m") - law))
-    best = tail.withColumn("_d", gap).groupBy(*keys, "x_min", "x_max", "_a", "_m", "_from").agg(F.max("_d").alias("distance")).groupBy(*keys).agg(F.min_by(F.struct("x_min", "x_max", "distance", (F.col("_a") + 1).alias("exponent"), F.col("_m").alias("n")), F.struct("distance", "x_min")).alias("_b")).select(*keys, "_b.*")
-    fit = rows.join(F.broadcast(best), keys).where(F.col("_x").between(F.col("x_min"), F.col("x_max"))).withColumns({"_u": F.log10("_x"), "_v": F.log10((F.col("_n") - F.col("_i")) / F.col("_n"))})
+    chosen = c.where(holds & (n >= least)).withColumns({"_m": n, "_a": F.try_divide(n, F.when(logs > 0, logs))}).where("_a is not null")
+    cand = stashed(chosen.select(*keys, F.col("_x").alias("x_min"), "x_max", F.col("_lo").alias("_from"), "_m", "_a"), "candidates")
+    tail = c.select(*keys, "_x", "_lo", "_hi").withColumn("_block", F.floor(F.col("_lo") / BLOCK))
+    blocks = tail.groupBy(*keys, "_block").agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_lo").alias("_lo0"), F.max("_lo").alias("_lo1"), F.min("_hi").alias("_hi0"), F.max("_hi").alias("_hi1"))
+    law = lambda v: 1 - F.pow(F.col("x_min") / v, F.col("_a"))
+    share = lambda i: (F.col(i) - F.col("_from") + 1) / F.col("_m")
+    gap = lambda v, lo, hi: F.greatest(F.abs(share(lo) - law(F.col(v))), F.abs(share(hi) - law(F.col(v))))
+    # a block that begins below x_min is always opened
+    inside = F.col("_x0") >= F.col("x_min")
+    most = F.when(inside, F.greatest(share("_hi1") - law(F.col("_x0")), law(F.col("_x1")) - share("_lo0"))).otherwise(2.0)
+    shown = F.when(inside, F.greatest(gap("_x0", "_lo0", "_hi0"), gap("_x1", "_lo1", "_hi1")))
+    pairs = blocks.join(cand, keys).where(F.col("_x1") >= F.col("x_min")).withColumns({"_most": most, "_shown": shown})
+    pairs = pairs.withColumn("_least", F.coalesce(F.max("_shown").over(Window.partitionBy(*keys, "x_min")), F.lit(0.0))).where(F.col("_most") >= F.col("_least") * (1 - 1e-9))
+    opened = pairs.select(*keys, "_block", "x_min", "x_max", "_a", "_m", "_from")
+    measured = tail.join(opened, [*keys, "_block"]).where(F.col("_x") >= F.col("x_min")).withColumn("_d", gap("_x", "_lo", "_hi"))
+    best = measured.groupBy(*keys, "x_min", "x_max", "_a", "_m", "_from").agg(F.max("_d").alias("distance")).groupBy(*keys).agg(F.min_by(F.struct("x_min", "x_max", "distance", (F.col("_a") + 1).alias("exponent"), F.col("_m").alias("n")), F.struct("distance", "x_min")).alias("_b")).select(*keys, "_b.*")
+    # every row at its own rank
+    fit = rows.join(best, keys).where(F.col("_x").between(F.col("x_min"), F.col("x_max"))).select(*keys, "_x", "_n", F.explode(F.sequence("_lo", "_hi")).alias("_i"))
+    fit = fit.withColumns({"_u": F.log10("_x"), "_v": F.log10((F.col("_n") - F.col("_i")) / F.col("_n"))})
     line = fit.groupBy(*keys).agg(F.regr_slope("_v", "_u").alias("slope"), F.regr_r2("_v", "_u").alias("r2"))
     return best.join(line, keys)
 
@@ -145,7 +170,8 @@ def retention(df: DataFrame, keys: list[str], time: str, depth: str, error: str)
 
 def selection_bias(df: DataFrame, v: str, u: str, limit: float, keys: list[str]) -> DataFrame:
     """Median of v / u where |u| exceeds the limit, against sum(v u) / sum(u u)."""
-    return df.groupBy(*keys).agg(F.percentile(F.when(F.abs(F.col(u)) > limit, F.col(v) / F.when(F.abs(F.col(u)) > limit, F.col(u))), 0.5).alias("median_ratio"), F.try_divide(F.sum(F.col(v) * F.col(u)), F.sum(F.col(u) ** 2)).alias("regression"))
+    over = df.where(F.abs(F.col(u)) > limit).withColumn("_ratio", F.col(v) / F.col(u))
+    return with_quantiles(df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(v) * F.col(u)), F.sum(F.col(u) ** 2)).alias("regression")), over, "_ratio", keys, {"median_ratio": 0.5})
 
 
 #: Models of X16: start values from the data (sorted by x), and the curve: decays, with offset, of two times, from a first to a last value; mean-squared

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kinematics import KEY, segments, track, unwrapped
+from .ranks import quantiles, with_quantiles
+
+#: Parts of a lag whose largest values are found on their own first.
+PARTS = 64
 
 
 def lagged(df: DataFrame, columns: list[str], max_lag: int, by: str = "row", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -45,9 +49,11 @@ def ensemble(per_particle: DataFrame, value: str, keys: list[str], least: int =
 
 def pooled(per_particle: DataFrame, value: str, keys: list[str], least: int = 1) -> DataFrame:
     """Mean, std, n and exact quantiles q10 q25 q50 q75 q90 over particles; bootstrapped adds the error and interval of the mean."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    out = per_particle.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"), q.alias("_q")).where(F.col("n") >= least)
-    return out.select(*keys, "mean", "std", "n", *[F.col("_q")[i].alias(f"q{p}") for i, p in enumerate((10, 25, 50, 75, 90))])
+    from ..sources.io import stashed
+
+    per_particle = stashed(per_particle.select(*keys, value), "pool")  # read twice
+    out = per_particle.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n")).where(F.col("n") >= least)
+    return with_quantiles(out, per_particle, value, keys, {f"q{p}": p / 100 for p in (10, 25, 50, 75, 90)})
 
 
 def bootstrapped(stats: DataFrame, per_particle: DataFrame, value: str, keys: list[str], replicates: int) -> DataFrame:
@@ -251,8 +257,9 @@ def gap_bias(tracks: DataFrame, max_lag: int) -> DataFrame:
 
 def transport_efficiency(per_particle: DataFrame, speed: float) -> DataFrame:
     """sqrt(msd) / (speed lag) of the ensemble, and mean and median over particles."""
-    own = F.sqrt("msd") / (speed * F.col("lag"))
-    return per_particle.groupBy("condition", "lag").agg((F.sqrt(F.avg("msd")) / (speed * F.first("lag"))).alias("eta"), F.avg(own).alias("eta_mean"), F.percentile(own, 0.5).alias("eta_median"), F.count("*").alias("n"))
+    rows = per_particle.withColumn("_eta", F.sqrt("msd") / (speed * F.col("lag")))
+    out = rows.groupBy("condition", "lag").agg((F.sqrt(F.avg("msd")) / (speed * F.first("lag"))).alias("eta"), F.avg("_eta").alias("eta_mean"), F.count("*").alias("n"))
+    return with_quantiles(out, rows, "_eta", ["condition", "lag"], {"eta_median": 0.5})
 
 
 def domain_reach(at: DataFrame, reach: DataFrame, cond: DataFrame, xi: float) -> DataFrame:
@@ -264,10 +271,16 @@ def domain_reach(at: DataFrame, reach: DataFrame, cond: DataFrame, xi: float) ->
 
 def pool_health(per_particle: DataFrame, value: str = "msd", least: int = 10, limit: float = 5.0) -> DataFrame:
     """Per lag the numbers of particles, of values not positive, of outliers by robust z of log10 (median, 1.4826 MAD), and the top three's share."""
-    logs = per_particle.withColumn("_l", F.when(F.col(value) > 0, F.log10(value)))
-    med = logs.groupBy("lag").agg(F.percentile("_l", 0.5).alias("_m"))
+    from ..sources.io import stashed
+
+    logs = stashed(per_particle.select("lag", *KEY, value).withColumn("_l", F.when(F.col(value) > 0, F.log10(value))), "pool")  # read by each quantile
+    med = quantiles(logs, "_l", ["lag"], {"_m": 0.5})
     dev = logs.join(med, "lag").withColumn("_d", F.abs(F.col("_l") - F.col("_m")))
-    mad = dev.groupBy("lag").agg((1.4826 * F.percentile("_d", 0.5)).alias("_mad"))
-    rank = F.row_number().over(Window.partitionBy("lag").orderBy(F.desc(value), *KEY))
-    out = dev.join(mad, "lag").withColumn("_rank", rank)
-    return out.groupBy("lag").agg(F.count("*").alias("n"), F.count(F.when(F.col(value) <= 0, 1)).alias("not_positive"), F.count(F.when(F.try_divide("_d", "_mad") > limit, 1)).alias("outliers"), (F.sum(F.when(F.col("_rank") <= 3, F.col(value))) / F.sum(value)).alias("top3")).where(F.col("n") >= least)
+    mad = quantiles(dev, "_d", ["lag"], {"_d": 0.5}).select("lag", (1.4826 * F.col("_d")).alias("_mad"))
+    # the three largest values of each part of a lag, then of the lag: a top-k limit that tasks apply before the shuffle
+    part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS))
+    best = lambda df, *by: df.withColumn("_rank", F.row_number().over(Window.partitionBy("lag", *by).orderBy(F.desc(value), *KEY))).where("_rank <= 3").drop("_rank")
+    top = best(best(logs.withColumn("_part", part), "_part"))
+    top = top.groupBy("lag").agg(F.sum(value).alias("_top"))
+    out = dev.join(mad, "lag", "left").join(top, "lag", "left")
+    return out.groupBy("lag").agg(F.count("*").alias("n"), F.count(F.when(F.col(value) <= 0, 1)).alias("not_positive"), F.count(F.when(F.try_divide("_d", "_mad") > limit, 1)).alias("outliers"), (F.first("_top") / F.sum(value)).alias("top3")).where(F.col("n") >= least)

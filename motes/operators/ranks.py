@@ -1,8 +1,9 @@
-"""Ranks and running sums inside large groups, without one task for a group.
+"""Ranks, running sums and exact quantiles inside groups of any size, without one task for a group.
 
-A group of more than SMALL rows is cut into ranges at approximate quantiles of the value. Ranges are summed, their totals run over the
-few ranges of a group, and only rows of one range meet in one task. Equal values fall into the same range, so a value that very many
-rows share is better counted first (`running` takes counts).
+Rows are sorted across all tasks by (group, value, further columns) and written once with their place. A place names the range (one task's output) and the row in it,
+so a rank is the difference to the group's first place in the range plus the rows of the group in earlier ranges: a table of one row for each group and range.
+Everything reads the written places, so it does not matter where ranges were cut, who reads them how often, or what is computed again after a
+lost executor. Running sums and quantiles take one row for each value of a group with its count or weight, so rows that share a value never meet.
 """
 
 from __future__ import annotations
@@ -10,48 +11,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A group has WIDE * WIDE ranges from SMALL rows on; rows of a group meet its cuts in SALTS places.
-WIDE, SMALL, SALTS = 32, 10_000, 16
+#: Bits of a place for the row inside its range, as monotonically_increasing_id gives them.
+ROW_BITS = 33
 
 
-def range_of(value: Column, cuts: Column) -> Column:
-    """How many of the WIDE ** 2 - 1 sorted cuts are below the value, found among every WIDE-th cut first; 0 without cuts."""
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(WIDE - 1)), lambda i: F.get(cuts, i * WIDE - 1))
-    part = F.size(F.filter(coarse, lambda c: c < value))
-    return F.when(cuts.isNull(), 0).otherwise(part * WIDE + F.size(F.filter(F.slice(cuts, part * WIDE + 1, WIDE - 1), lambda c: c < value)))
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _place, rising with the columns `order` over all rows, and _range, the task that sorted the row."""
+    from ..sources.io import stashed
 
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    return stashed(rows, "places").withColumn("_range", F.shiftright("_place", ROW_BITS))
 
-def bucketed(df: DataFrame, value: str, keys: list[str], weight: str | None = None) -> DataFrame:
-    """df without null values, with _bucket (rising with value inside keys), _before and _whole: the weight (or rows) in earlier ranges and in the whole group."""
+
+def with_offsets(rows: DataFrame, keys: list[str], amount: Column) -> DataFrame:
+    """Placed rows with _first, the group's first place in the row's range, _before, the amount of the group in earlier ranges, and _whole, its whole amount."""
     names = [f"_k{i}" for i in range(len(keys))]
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
-    keyed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
-    rows = df.where(F.col(value).isNotNull())
-    n = WIDE * WIDE
-    cuts = rows.groupBy(*keyed).agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n).alias("_p"), F.count("*").alias("_c"))
-    cuts = cuts.select(*names, F.when(F.col("_c") > SMALL, F.col("_p")).alias("_cuts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    held = salted.join(cuts, [*same, F.col("_salt") == F.col("_s")]).withColumn("_bucket", range_of(F.col(value), F.col("_cuts"))).select(*df.columns, "_bucket")
-    totals = held.groupBy(*keyed, F.col("_bucket").alias("_range")).agg(F.sum(F.lit(1).cast("long") if weight is None else F.col(weight)).alias("_t"))
+    parts = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_r")).agg(F.min("_place").alias("_first"), F.sum(amount).alias("_t"))
     over = Window.partitionBy(*names)
-    totals = totals.withColumns({"_before": F.coalesce(F.sum("_t").over(over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_whole": F.sum("_t").over(over)}).drop("_t")
-    return held.join(totals, [*same, F.col("_bucket") == F.col("_range")]).drop("_range", *names)
+    before = F.coalesce(F.sum("_t").over(over.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_before": before, "_whole": F.sum("_t").over(over)}).drop("_t")
+    return rows.join(parts, [*same, F.col("_range") == F.col("_r")]).drop("_r", *names)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank", total: str = "total") -> DataFrame:
+    """df with a number from 1 in the given order inside keys, and the group's number of rows. Rows alike in keys and order should be few: they meet in one task."""
+    rows = with_offsets(placed(df, [*keys, *order]), keys, F.lit(1).cast("long"))
+    return rows.withColumns({rank: F.col("_place") - F.col("_first") + 1 + F.col("_before"), total: F.col("_whole")}).select(*df.columns, rank, total)
 
 
 def ranked(df: DataFrame, value: str, keys: list[str], order: list[str], rank: str = "rank", total: str = "total") -> DataFrame:
-    """df with the rank from 1 by (value, order) inside keys and the group's number of rows."""
-    w = Window.partitionBy(*keys, "_bucket").orderBy(value, *order)
-    return bucketed(df, value, keys).withColumns({rank: F.row_number().over(w) + F.col("_before"), total: F.col("_whole")}).drop("_bucket", "_before", "_whole")
+    """df without null values, with the rank from 1 by (value, order) inside keys and the group's number of rows."""
+    return numbered(df.where(F.col(value).isNotNull()), keys, [value, *order], rank, total)
+
+
+def running(df: DataFrame, value: str, keys: list[str], weight: str, name: str, whole: str) -> DataFrame:
+    """df (one row for each value inside keys) without null values, with the weight of all values up to this one, and of the whole group."""
+    rows = with_offsets(placed(df.where(F.col(value).isNotNull()), [*keys, value]), keys, F.col(weight))
+    w = Window.partitionBy(*keys, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({name: F.sum(weight).over(w) + F.col("_before"), whole: F.col("_whole")}).select(*df.columns, name, whole)
+
+
+def counted(df: DataFrame, value: str, keys: list[str], weight: str | None = None) -> DataFrame:
+    """For each value inside keys: _n rows (or their whole weight), _up up to it, _all of the group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
+    counts = counts if weight is None else counts.where("_n > 0")
+    return running(counts, value, keys, "_n", "_up", "_all")
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """df with the rank from 1 of value inside keys, ties at their mean."""
-    w = Window.partitionBy(*keys, "_bucket")
-    ties = F.count("*").over(Window.partitionBy(*keys, "_bucket", value))
-    return bucketed(df, value, keys).withColumn(name, F.rank().over(w.orderBy(value)) + F.col("_before") + (ties - 1) / 2).drop("_bucket", "_before", "_whole")
+    """df without null values, with the rank from 1 of value inside keys, ties at their mean."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    ranks = counted(df, value, keys).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("_v"), (F.col("_up") - (F.col("_n") - 1) / 2).alias(name))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return df.join(ranks, [*same, F.col(value) == F.col("_v")]).drop("_v", *names)
 
 
-def running(df: DataFrame, value: str, keys: list[str], weight: str, name: str, whole: str) -> DataFrame:
-    """df (one row for each value inside keys) with the weight of all values up to this one, and of the whole group."""
-    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return bucketed(df, value, keys, weight).withColumns({name: F.sum(weight).over(w) + F.col("_before"), whole: F.col("_whole")}).drop("_bucket", "_before", "_whole")
+def quantiles(df: DataFrame, value: str, keys: list[str], shares: dict[str, float], weight: str | None = None) -> DataFrame:
+    """One row a group that has values: exact quantiles, interpolated between neighbours, each under its name. weight: a column of how often a row counts.
+
+    A quantile is where the running count of values reaches its rank, a minimum over the group's values that every task takes of its own rows first.
+    """
+    at = {n: (F.col("_all") - 1) * p for n, p in shares.items()}
+    reaches = lambda rank: F.min(F.when(F.col("_up") > rank, F.col(value).cast("double")))
+    ends = [reaches(round_(p)).alias(f"_{n}_{i}") for n, p in at.items() for i, round_ in enumerate((F.floor, F.ceil))]
+    got = counted(df, value, keys, weight).groupBy(*keys).agg(F.first("_all").alias("_all"), *ends)
+    low, high, part = (lambda n: F.col(f"_{n}_0")), (lambda n: F.col(f"_{n}_1")), (lambda n: at[n] - F.floor(at[n]))
+    return got.select(*keys, *[F.when(low(n) == high(n), low(n)).otherwise(low(n) * (1 - part(n)) + high(n) * part(n)).alias(n) for n in shares])
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, value: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """groups (one row a group of df) with the quantiles of value; null where a group has no values."""
+    names = [f"_q{i}" for i in range(len(keys))]
+    found = quantiles(df, value, keys, shares).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *shares)
+    if not keys:
+        return groups.crossJoin(found)  # two single rows
+    return groups.join(found, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left").drop(*names)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered, quantiles
+
 #: Cumulative Poisson(1) probabilities for weights 0..7.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
@@ -46,9 +48,8 @@ def bootstrap_mean(df: DataFrame, value: str, unit: list[str], keys: list[str],
 
 def bootstrap_percentile(df: DataFrame, value: str, unit: list[str], keys: list[str], p: float, n: int = 50, seed: int = 0) -> DataFrame:
     """Bootstrap of a percentile over units' medians, with integer weights."""
-    u = df.groupBy(*keys, *unit).agg(F.percentile(value, 0.5).alias("_x"))
-    rep = replicates(u, n, unit, seed).withColumn("_x", F.explode(F.array_repeat("_x", F.col("w").cast("int"))))
-    return interval(rep.groupBy(*keys, "b").agg(F.percentile("_x", p).alias("v")), "v", keys)
+    u = quantiles(df, value, [*keys, *unit], {"_x": 0.5})
+    return interval(quantiles(replicates(u, n, unit, seed), "_x", [*keys, "b"], {"v": p}, "w"), "v", keys)
 
 
 def bootstrap_ngp(df: DataFrame, r2: str, unit: list[str], keys: list[str], n: int = 100, seed: int = 0) -> DataFrame:
@@ -67,19 +68,27 @@ def bootstrap_ratio(df: DataFrame, top: Column, bottom: Column, unit: list[str],
     return whole.join(interval(reps, "v", keys), keys)
 
 
+def _drawn(u: DataFrame, outer: str, inner: str, keys: list[str], n: int, seed: int) -> DataFrame:
+    """u (one row for each inner unit) once for each replicate b and copy of its outer unit, with its weight w there; rows of weight 0 go."""
+    drawn = u.select(*keys, outer).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_w", poisson(uniform(F.lit(seed), "b", outer)).cast("int")).where("_w > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_w"))))
+    return drawn.join(u, [*keys, outer]).withColumn("w", poisson(uniform(F.lit(seed), "b", outer, "copy", inner))).where("w > 0")
+
+
+def hierarchical_weights(df: DataFrame, outer: str, inner: str, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """How often each inner unit (particle) counts in each replicate b when outer units (movies), and inside each drawn copy the inner ones, are drawn: keys, outer, inner, b, w."""
+    return _drawn(df.select(*keys, outer, inner).distinct(), outer, inner, keys, n, seed).groupBy(*keys, outer, inner, "b").agg(F.sum("w").alias("w"))
+
+
 def hierarchical(df: DataFrame, value: str, outer: str, inner: str, keys: list[str], n: int = 50, seed: int = 0) -> DataFrame:
     """Movies are weighed, and inside each drawn copy of a movie its particles anew; the mean over particles' means."""
     u = df.groupBy(*keys, outer, inner).agg(F.avg(value).alias("_x"))
-    drawn = u.select(*keys, outer).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_w", poisson(uniform(F.lit(seed), "b", outer)).cast("int")).where("_w > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_w"))))
-    rows = drawn.join(u, [*keys, outer]).withColumn("w", poisson(uniform(F.lit(seed), "b", outer, "copy", inner))).where("w > 0")
-    reps = rows.groupBy(*keys, "b").agg((F.sum(F.col("w") * F.col("_x")) / F.sum("w")).alias("v"))
+    reps = _drawn(u, outer, inner, keys, n, seed).groupBy(*keys, "b").agg((F.sum(F.col("w") * F.col("_x")) / F.sum("w")).alias("v"))
     return interval(reps, "v", keys)
 
 
 def fixed_draws(df: DataFrame, value: str, unit: list[str], keys: list[str], n: int = 50, seed: int = 0) -> DataFrame:
     """Exactly as many draws with replacement as units: draw d of replicate b takes the unit with the rank floor(u n)."""
-    w = Window.partitionBy(*keys)
-    u = df.groupBy(*keys, *unit).agg(F.avg(value).alias("_x")).withColumns({"_i": F.row_number().over(w.orderBy(*unit)) - 1, "_n": F.count("*").over(w)})
+    u = numbered(df.groupBy(*keys, *unit).agg(F.avg(value).alias("_x")), keys, unit, "_i", "_n").withColumn("_i", F.col("_i") - 1)
     size = u.select(*keys, "_n").distinct()
     draws = size.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).withColumn("_i", F.floor(uniform(F.lit(seed), "b", "_d") * F.col("_n")).cast("int"))
     reps = draws.join(u.drop("_n"), [*keys, "_i"]).groupBy(*keys, "b").agg(F.avg("_x").alias("v"))
@@ -106,9 +115,7 @@ def time_shuffle(df: DataFrame, moved: list[str], keys: list[str], rounds: int,
 def particle_swap(df: DataFrame, moved: list[str], rounds: int, seed: int = 0) -> DataFrame:
     """For each round the columns `moved` from another particle of the experiment, row by row, to the shorter track's end: particles in hash order each take the next one's."""
     p = df.select("exp", "particle").distinct().withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    w = Window.partitionBy("exp", "round")
-    o = w.orderBy(uniform(F.lit(seed), "round", "exp", "particle"), "particle")
-    p = p.withColumn("_i", F.row_number().over(o)).withColumn("_n", F.count("*").over(w))
+    p = numbered(p.withColumn("_u", uniform(F.lit(seed), "round", "exp", "particle")), ["exp", "round"], ["_u", "particle"], "_i", "_n").drop("_u")
     take = p.select("exp", "round", F.col("particle").alias("donor"), F.col("_i").alias("_j"))
     to = p.withColumn("_j", F.col("_i") % F.col("_n") + 1).join(take, ["exp", "round", "_j"]).where("particle <> donor").select("exp", "round", "particle", "donor")
     r = F.row_number().over(Window.partitionBy("exp", "particle").orderBy("frame"))
@@ -121,9 +128,8 @@ def block_shuffle(df: DataFrame, block: int, seed: int = 0) -> DataFrame:
     """Blocks of rows of an experiment dealt to its particles anew: a column dealt, the particle that a block goes to."""
     r = df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("exp", "particle").orderBy("frame")) - 1) / block))
     b = r.select("exp", "particle", "block").distinct()
-    w = Window.partitionBy("exp")
-    a = b.withColumn("_i", F.row_number().over(w.orderBy(uniform(F.lit(seed), "exp", "particle", "block"), "particle", "block")))
-    c = b.select("exp", F.col("particle").alias("dealt"), F.row_number().over(w.orderBy("particle", "block")).alias("_i"))
+    a = numbered(b.withColumn("_u", uniform(F.lit(seed), "exp", "particle", "block")), ["exp"], ["_u", "particle", "block"], "_i").drop("_u", "total")
+    c = numbered(b, ["exp"], ["particle", "block"], "_i").select("exp", F.col("particle").alias("dealt"), "_i")
     return r.join(a.join(c, ["exp", "_i"]).drop("_i"), ["exp", "particle", "block"])
 
 

@@ -47,34 +47,73 @@ def kalman_velocity(tracks: DataFrame, noise: float, power: float = 1.0, dt: flo
     return tracks.select(*KEY, "frame", "x", "y").groupBy(*KEY).applyInPandas(run, "exp string, particle long, frame int, vx double, vy double, vx_error double, vy_error double")
 
 
-def whittaker(y: np.ndarray, penalty: float, known: np.ndarray | None = None) -> np.ndarray:
-    """Minimum of |y - z|^2 over known places + penalty |second differences of z|^2: a five-diagonal system, eliminated in one sweep."""
+def whittaker(y: np.ndarray, penalty: float | np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Minimum of |y - z|^2 over known places + penalty |second differences of z|^2: a five-diagonal system, eliminated in one sweep.
+
+    y is (n,) or (n, columns) with a penalty for each column, all eliminated side by side. Missing places at either end go on straight; fewer than two known places
+    leave y as it is.
+    """
     n = len(y)
-    if n < 3:
+    known = np.ones(n, bool) if known is None else known.astype(bool)
+    if n < 3 or known.sum() < 2:
         return y.astype(float)
-    w = np.ones(n) if known is None else known.astype(float)
-    y = np.where(w > 0, y, 0.0)
-    d, e, f = w.copy(), np.zeros(n), np.zeros(n)  # diagonal, first and second upper band
-    for k in range(n - 2):
-        d[k : k + 3] += penalty * np.array([1, 4, 1])
-        e[k : k + 2] += penalty * np.array([-2, -2])
-        f[k] += penalty
-    z = y.astype(float)
+    shape = y.shape
+    z = np.where(known.reshape(-1, *[1] * (y.ndim - 1)), y, 0.0).astype(float).reshape(n, -1)
+    size = np.broadcast_to(np.asarray(penalty, float), z.shape[1:])
+    # bands of the penalty: the sums of 1 -2 1 patterns that cover a place, two or three neighbours
+    d = np.convolve(np.ones(n - 2), [1, 4, 1])[:, None] * size + known[:, None]
+    e = np.append(np.convolve(np.ones(n - 2), [-2, -2]), 0)[:, None] * size
+    f = np.append(np.ones(n - 2), [0, 0])[:, None] * size
     for i in range(n):
-        for j, v in ((1, e[i] if i + 1 < n else 0.0), (2, f[i] if i + 2 < n else 0.0)):
-            if v:
-                r = v / d[i]
-                d[i + j] -= r * v
-                z[i + j] -= r * z[i]
-                if j == 1 and i + 2 < n:
-                    e[i + 1] -= r * f[i]
+        if i + 1 < n:
+            r = e[i] / d[i]
+            d[i + 1] -= r * e[i]
+            z[i + 1] -= r * z[i]
+            if i + 2 < n:
+                e[i + 1] -= r * f[i]
+                r = f[i] / d[i]
+                d[i + 2] -= r * f[i]
+                z[i + 2] -= r * z[i]
     for i in range(n - 1, -1, -1):
-        z[i] = (z[i] - (e[i] * z[i + 1] if i + 1 < n else 0) - (f[i] * z[i + 2] if i + 2 < n else 0)) / d[i]
-    return z
+        if i + 2 < n:
+            z[i] -= f[i] * z[i + 2]
+        if i + 1 < n:
+            z[i] -= e[i] * z[i + 1]
+        z[i] /= d[i]
+    return z.reshape(shape)
+
+
+#: Penalties tried side by side in a round of the search, and rounds; each narrows the range to its neighbours. The range in powers of ten.
+TRIED, SEARCHES, RANGE = 24, 4, (-6.0, 12.0)
+
+
+def smoothed_to(y: np.ndarray, target: float, known: np.ndarray) -> tuple[np.ndarray, float]:
+    """The whittaker curve whose sum of squared residuals at known places is the target, and its penalty.
+
+    The residual rises with the penalty up to that of a straight line; where even that is within the target, the line is the curve (penalty inf).
+    """
+    at = np.flatnonzero(known)
+    if len(at) < 3:
+        return whittaker(y, 1.0, known), 1.0
+    line = np.polyval(np.polyfit(at, y[at], 1), np.arange(len(y)))
+    if ((y - line)[at] ** 2).sum() <= target:
+        return line, float("inf")
+    low, high = RANGE
+    for _ in range(SEARCHES):
+        tried = np.linspace(low, high, TRIED)
+        curves = whittaker(np.repeat(y[:, None], TRIED, 1), 10.0**tried, known)
+        over = ((curves - y[:, None])[at] ** 2).sum(0) > target
+        i = int(over.argmax()) if over.any() else TRIED - 1
+        low, high = tried[max(i - 1, 0)], tried[i]
+    penalty = 10.0 ** ((low + high) / 2)
+    return whittaker(y, penalty, known), float(penalty)
+
 
+def spline_velocity(tracks: DataFrame, penalty: float | None = None, dt: float = 1.0, noise: float = 0.05) -> DataFrame:
+    """Positions smoothed by penalised second differences, then central differences: x_smooth, y_smooth, vx, vy.
 
-def spline_velocity(tracks: DataFrame, penalty: float = 10.0, dt: float = 1.0) -> DataFrame:
-    """K08, re-aimed: positions smoothed by penalised second differences, then central differences: x_smooth, y_smooth, vx, vy."""
+    The penalty of each coordinate of each track is the one that leaves a residual of N noise^2 over its N positions, unless one penalty is given for all.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf.dropna(subset=["x", "y"]).groupby(["exp", "particle", "frame"], as_index=False)[["x", "y"]].mean().sort_values("frame")
@@ -84,7 +123,7 @@ def spline_velocity(tracks: DataFrame, penalty: float = 10.0, dt: float = 1.0) -
         for c in ("x", "y"):
             y = np.zeros(len(known))
             y[at] = g[c].to_numpy(float)
-            s = whittaker(y, penalty, known)
+            s = whittaker(y, penalty, known) if penalty is not None else smoothed_to(y, len(at) * noise**2, known)[0]
             g[f"{c}_smooth"] = s[at]
             g[f"v{c}"] = np.gradient(s, dt)[at] if len(s) > 1 else np.full(len(g), np.nan)
         return g[["exp", "particle", "frame", "x_smooth", "y_smooth", "vx", "vy"]]

@@ -26,7 +26,8 @@ def near_pixels(particles: DataFrame, field: DataFrame, radius: float, inner: fl
 def pairs(rows: DataFrame, keep: list[str], within: float | None = None) -> DataFrame:
     """Pairs i < j of particles of the same frame with distance r; columns of the second end in _2.
 
-    With a range, both go to cells of its width and meet in the 3 by 3 neighbourhood; without, all pairs of a frame.
+    With a range, both go to cells of its width and meet in the 3 by 3 neighbourhood, so what is summed by distance next is summed in the task that
+    joins, and no pair is shuffled. Without a range, all pairs of a frame, whose number grows with its square.
     """
     cols = ["particle", "x", "y", *keep]
     a = rows.select("exp", "frame", *cols)
@@ -169,6 +170,19 @@ def radial_speed(particles: DataFrame, field: DataFrame, edge: float, most: floa
     return b.groupBy("exp", "bin").agg((F.sum("_s") / n).alias("speed"), by_frame.alias("by_frame"), F.try_divide(F.sum("_s") / n, F.first("_m")).alias("by_movie"), n.alias("n"))
 
 
+def depth_series(particles: DataFrame, field: DataFrame, edge: float, most: float, near: float, lags: list[int]) -> DataFrame:
+    """The slowdown's depth by lag: exp, lag, depth and error. The flow so many frames before is compared around today's particle: depth is 1 less the mean speed
+    within `near` of its edge over that of the outer half; the error comes from both standard errors.
+    """
+    past = field.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags]))).withColumn("frame", F.col("frame") + F.col("lag"))
+    rows = near_pixels(particles, past, edge + most, edge).withColumns({"_s": F.hypot("u", "v"), "_r": F.sqrt("d2") - edge})
+    inner, outer = F.when(F.col("_r") < near, F.col("_s")), F.when(F.col("_r") >= most / 2, F.col("_s"))
+    sem = lambda x: F.stddev_samp(x) / F.sqrt(F.count(x))
+    g = rows.groupBy("exp", "lag").agg(F.avg(inner).alias("_a"), F.avg(outer).alias("_b"), sem(inner).alias("_ea"), sem(outer).alias("_eb"))
+    ratio = F.try_divide("_a", "_b")
+    return g.select("exp", "lag", (1 - ratio).alias("depth"), (ratio * F.sqrt(F.try_divide("_ea", "_a") ** 2 + F.try_divide("_eb", "_b") ** 2)).alias("error"))
+
+
 def disk_order(particles: DataFrame, spun: DataFrame, radius: float, least: int = 1) -> DataFrame:
     """Spins in a disk under each particle: magnetisation m, polar order p, n (pixels with a direction); disks with fewer than `least` of them go."""
     near = near_pixels(particles, spun, radius)
@@ -247,6 +261,7 @@ def radial_distribution(particles: DataFrame, field: DataFrame, value: Column, m
 def hidden_vector(df: DataFrame, keys: list[str], u: str, v: str, d: str) -> DataFrame:
     """The vector (hx, hy) of each group whose dot products with (u, v) are d, by least squares; the shortest one if all (u, v) are collinear."""
     s = df.groupBy(*keys).agg(F.sum(F.col(u) ** 2).alias("_a"), F.sum(F.col(u) * F.col(v)).alias("_b"), F.sum(F.col(v) ** 2).alias("_c"), F.sum(F.col(u) * F.col(d)).alias("_p"), F.sum(F.col(v) * F.col(d)).alias("_q"))
+    s = s.where("_a is not null")  # groups without a known product
     det, trace = F.col("_a") * F.col("_c") - F.col("_b") ** 2, F.col("_a") + F.col("_c")
     full = det > 1e-12 * trace * trace
     safe = F.when(full, det)

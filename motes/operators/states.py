@@ -68,6 +68,52 @@ def event_average(states: DataFrame, value: str, reach: int, keys: list[str]) ->
     return ev.groupBy("kind", F.col("_p.k").alias("offset")).agg(F.avg("_p.v").alias("mean"), F.count("*").alias("n"))
 
 
+def triggered_sums(states: DataFrame, value: str, reach: int, keys: list[str], unit: list[str], clear: bool = False) -> DataFrame:
+    """Sums around changes of state and around their controls: unit, kind, control, offset, s (of the value less its unit's mean), n.
+
+    keys: a contiguous segment; unit: what is resampled, a particle of a movie. kind is the state entered (1 stops, 0 starts). A control (1) of a kind is a
+    time of the same unit at which the state that the kind leaves goes on; with clear, only if no change lies within `reach` rows of it, so that
+    no control's window overlaps an event. Windows end where the segment does. One window a segment, no join.
+    """
+    w = Window.partitionBy(*keys).orderBy("frame")
+    dev = states.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*unit)))
+    at = lambda k: F.lead("_d", k).over(w) if k > 0 else F.lag("_d", -k).over(w) if k < 0 else F.col("_d")
+    around = F.array(*[F.struct(F.lit(k).alias("k"), at(k).alias("v")) for k in range(-reach, reach + 1)])
+    marked = dev.withColumns({"_a": around, "_p": F.lag("state").over(w)})
+    if clear:
+        change = (F.col("state") != F.col("_p")).cast("int")
+        marked = marked.withColumn("_c", F.coalesce(F.max(change).over(w.rowsBetween(-reach, reach)), F.lit(0))).where((F.col("state") != F.col("_p")) | (F.col("_c") == 0))
+    rows = marked.where("_p is not null").select(*unit, (1 - F.col("_p")).alias("kind"), (F.col("state") == F.col("_p")).cast("int").alias("control"), F.explode("_a").alias("_e")).where("_e.v is not null")
+    return rows.groupBy(*unit, "kind", "control", F.col("_e.k").alias("offset")).agg(F.sum("_e.v").alias("s"), F.count("*").alias("n"))
+
+
+def triggered_curves(sums: DataFrame, group: list[str]) -> DataFrame:
+    """The pooled curves of triggered_sums: kind, offset, event and control means, their difference, and their numbers of rows n and n_control."""
+    of = lambda c, k: F.sum(F.when(F.col("control") == k, F.col(c)))
+    got = sums.groupBy(*group, "kind", "offset").agg(F.try_divide(of("s", 0), of("n", 0)).alias("event"), F.try_divide(of("s", 1), of("n", 1)).alias("control"), F.coalesce(of("n", 0), F.lit(0)).alias("n"), F.coalesce(of("n", 1), F.lit(0)).alias("n_control"))
+    return got.withColumn("difference", F.col("event") - F.col("control"))
+
+
+def pre_difference(sums: DataFrame, group: list[str], outer: str, inner: str, pre: tuple[int, int] = (-3, -1), n: int = 100, seed: int = 0) -> DataFrame:
+    """Mean over the offsets of the pre-window of event less control, with its error and interval when movies (outer), and in them particles (inner), are drawn anew.
+
+    Columns: kind, events (rows at offset 0), difference, se, low, high.
+    """
+    from .resample import hierarchical_weights, interval
+
+    def effect(df: DataFrame, by: list[str], w: Column) -> DataFrame:
+        near = df.where(F.col("offset").between(*pre))
+        of = lambda c, k: F.sum(F.when(F.col("control") == k, w * F.col(c)))
+        curve = near.groupBy(*by, "kind", "offset").agg((F.try_divide(of("s", 0), of("n", 0)) - F.try_divide(of("s", 1), of("n", 1))).alias("_d"))
+        return curve.groupBy(*by, "kind").agg(F.avg("_d").alias("v"))
+
+    events = sums.groupBy(*group, "kind").agg(F.coalesce(F.sum(F.when((F.col("control") == 0) & (F.col("offset") == 0), F.col("n"))), F.lit(0)).alias("events"))
+    whole = effect(sums, group, F.lit(1)).withColumnRenamed("v", "difference")
+    drawn = sums.join(hierarchical_weights(sums, outer, inner, group, n, seed), [*group, outer, inner])
+    spread = interval(effect(drawn, [*group, "b"], F.col("w")), "v", [*group, "kind"])
+    return events.join(whole, [*group, "kind"]).join(spread, [*group, "kind"])
+
+
 def observations(tracks: DataFrame, tau: int, eps: float) -> DataFrame:
     """ln(v + eps) of displacements over exactly tau frames, with contiguous sequences numbered."""
     from .kinematics import frame_displacement

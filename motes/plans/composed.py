@@ -41,4 +41,13 @@ register("p18_interaction_by_radius", "condition | n | radius mean sem", lambda
 register("p19_pooled_ergodicity", "condition | lag n | eb ngp", lambda t: lag.ergodicity_breaking(lag.imsd(t.tracks, L)).join(lag.ngp(lag.lagged(t.tracks, ["x", "y"], L), (F.col("x_2") - F.col("x")) ** 2 + (F.col("y_2") - F.col("y")) ** 2, ["condition", "lag"]).drop("n"), ["condition", "lag"]), f"with {IMSD}, a as (select condition, lag, count(*) as n, var_samp(msd)/pow(avg(msd),2) as eb from im group by 1,2), b as (select condition, lag, 0.5*avg(pow(dx*dx+dy*dy,2))/pow(avg(dx*dx+dy*dy),2)-1 as ngp from pr group by 1,2) select * from a join b using (condition, lag)")
 W = POIS.format(u=U.format(p="0,b,particle"))
 register("p20_histogram_interval", "| bin | p se low high potential", lambda t: com.histogram_interval(t.tracks, uniform(F.col("y"), 0, 100, 5), 5, ["particle"], 30), f"with u as (select particle, least(floor(y/20),4) as bin, count(*) as n from tracks where y between 0 and 100 group by 1,2), p as (select bin, sum(n)/(sum(sum(n)) over ()) as p from u group by 1), r as (select b, bin, sum(w*n)/(sum(sum(w*n)) over (partition by b)) as v from (select *, {W} as w from u cross join (select unnest(range(1,31)) as b)) where w>0 group by 1,2), i as (select bin, stddev_samp(v) as se, quantile_cont(v,0.025) as low, quantile_cont(v,0.975) as high from r group by 1) select *, -ln(p) as potential from p join i using (bin)")
+headings = lambda t: kin.velocity(t.tracks).where("vx <> 0 or vy <> 0").withColumn("c", F.col("vx") / F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))
+shapes = lambda t: com.shape_replicates(headings(t), "c", ["exp", "particle"], ["condition"], 28, 20)
+SHAPE = f"{STEP}, hc as (select condition, exp, particle, least(floor((dx/sqrt(dx*dx+dy*dy)+1)*14),27)::int as bin from steps where dx<>0 or dy<>0), hu as (select condition, exp, particle, bin, count(*) as n from hc group by all), hw as (select *, {POIS.format(u=U.format(p='0,b,exp,particle'))} as w from hu cross join (select unnest(range(1,21)) as b) union all select *, 0, 1 from hu), hs as (select condition, b, bin, sum(w*n) as k from hw where w>0 group by all), hg as (select condition, b, bin, coalesce(k,0) as k from (select distinct condition, b from hs) cross join (select unnest(range(28)) as bin) left join hs using (condition, b, bin)), hp as (select condition, b, bin, -1+(bin+0.5)/14 as c, k/(sum(k) over (partition by condition, b)/14) as p from hg), sh as (select a.*, (a.p+z.p)/2 as even, (a.p-z.p)/2 as odd, case when a.p>0 and o.p>0 then -ln(sqrt(greatest(1-a.c*a.c,1e-6))*a.p/o.p) end as potential from hp a join hp z on a.condition=z.condition and a.b=z.b and z.bin=27-a.bin join hp o on a.condition=o.condition and a.b=o.b and o.bin=13)"
+ENDS = ", ".join(f"quantile_cont({c},0.025) filter (where b>0) as {c}_low, quantile_cont({c},0.975) filter (where b>0) as {c}_high" for c in ("p", "even", "odd", "potential"))
+register("p20_shape", "condition | bin | c p even odd potential p_low p_high even_low even_high odd_low odd_high potential_low potential_high", lambda t: com.shape_table(shapes(t), ["condition"]),
+         f"with {SHAPE} select * from (select condition, bin, c, p, even, odd, potential from sh where b=0) join (select condition, bin, {ENDS} from sh group by all) using (condition, bin)")
+register("p20_shape_fit", "condition | | polar nematic polar_se polar_low polar_high nematic_se nematic_low nematic_high", lambda t: com.shape_fit(shapes(t), ["condition"]),
+         f"with {SHAPE}, fe as (select * from sh where c>0.05 and c<=0.85 and even>1e-4), fa as (select condition, b, greatest(0,sum(atanh(greatest(-0.999,least(0.999,odd/even)))*atanh(c))/sum(pow(atanh(c),2))) as polar from fe group by all having count(*)>=2), fk as (select condition, b, polar, greatest(0,-regr_slope(ln(greatest(sqrt(1-c*c)*even/cosh(polar*atanh(c)),1e-6)),c*c)/2) as nematic from fe join fa using (condition, b) group by all) "
+         "select * from (select condition, polar, nematic from fk where b=0) join (select condition, stddev_samp(polar) as polar_se, quantile_cont(polar,0.025) as polar_low, quantile_cont(polar,0.975) as polar_high, stddev_samp(nematic) as nematic_se, quantile_cont(nematic,0.025) as nematic_low, quantile_cont(nematic,0.975) as nematic_high from fk where b>0 group by all) using (condition)")
 register("p21_alignment_moments", "condition | n | mean mean_sem c2 c2_sem c3 c3_sem c5 c5_sem", lambda t: com.alignment_moments(kin.velocity(t.tracks).where("theta is not null").withColumn("c", F.cos("theta")), "c"), f"with {STEP}, c as (select condition, exp, particle, cos(atan2(dy,dx)) as c from steps where dx<>0 or dy<>0), d as (select *, avg(c) over (partition by exp, particle) as m from c), p as (select condition, exp, particle, any_value(m) as mean, avg(pow(c-m,2)) as c2, avg(pow(c-m,3)) as c3, avg(pow(c-m,5)) as c5 from d group by 1,2,3) select condition, count(*) as n, {', '.join(f'avg({k}) as {k}, stddev_samp({k})/sqrt(count(*)) as {k}_sem' for k in ('mean', 'c2', 'c3', 'c5'))} from p group by 1")

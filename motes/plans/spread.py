@@ -81,7 +81,6 @@ register("x09_von_mises", "condition | | r mean_angle kappa", lambda t: fits.von
 register("x10_ols", "condition | n | slope intercept slope_error intercept_error r2 aic loo_rmse", lambda t: fits.ols(t.tracks, "y", "x", ["condition"]), "with s as (select condition, count(*) as n, avg(y) as mx, regr_sxx(x,y) as sxx, regr_slope(x,y) as slope, regr_intercept(x,y) as intercept, regr_r2(x,y) as r2 from tracks group by 1), e as (select t.condition, x-intercept-slope*y as e, 1/n+pow(y-mx,2)/sxx as h from tracks t join s using (condition)), g as (select condition, sum(e*e) as rss, sqrt(avg(pow(e/(1-h),2))) as loo_rmse from e group by 1) select condition, n, slope, intercept, sqrt(rss/(n-2)/sxx) as slope_error, sqrt(rss/(n-2)*(1/n+mx*mx/sxx)) as intercept_error, r2, n*ln(rss/n)+4 as aic, loo_rmse from s join g using (condition)")
 register("x12_within_slope", "condition | n | r slope", lambda t: assoc.within_correlation(t.tracks, "y", "x", kin.KEY, ["condition"]), "with d as (select condition, y-avg(y) over w as a, x-avg(x) over w as b from tracks window w as (partition by exp, particle)) select condition, count(*) as n, corr(a,b) as r, sum(a*b)/sum(a*a) as slope from d group by 1")
 register("x13_inverse_variance", "condition | n | mean error", lambda t: fits.inverse_variance_mean(t.tracks.groupBy("condition", "exp", "particle").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s")), "m", "s", ["condition"]), "with p as (select condition, exp, particle, avg(y) as m, stddev_samp(y) as s from tracks group by 1,2,3) select condition, count(*) as n, sum(m/(s*s))/sum(1/(s*s)) as mean, 1/sqrt(sum(1/(s*s))) as error from p where s>0 group by 1")
-register("x14_retention", "exp | | retention error tau_low", lambda t: fits.retention(t.tracks.groupBy("exp", "frame").agg((F.avg("y") + 100 - F.first("frame")).alias("d"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("e")), ["exp"], "frame", "d", "e"), "with s as (select exp, frame, avg(y)+100-frame as d, stddev_samp(y)/sqrt(count(*)) as e from tracks group by 1,2), g as (select exp, arg_min(struct_pack(d:=d,e:=e),frame).d as a, arg_max(struct_pack(d:=d,e:=e),frame).d as b, arg_min(struct_pack(d:=d,e:=e),frame).e as ea, arg_max(struct_pack(d:=d,e:=e),frame).e as eb, max(frame) as t from s group by 1), r as (select *, b/a as retention, abs(b/a)*sqrt(pow(ea/a,2)+pow(eb/b,2)) as error from g) select exp, retention, error, case when retention-error>0 and retention-error<1 then t/-ln(retention-error) end as tau_low from r")
 register("x15_selection_bias", "condition | | median_ratio regression", lambda t: fits.selection_bias(vel(t), "vx", "vy", 20.0, ["condition"]), f"with {VSTEP} select condition, quantile_cont(case when abs(dy)>20 then dx/dy end,0.5) as median_ratio, sum(dx*dy)/sum(dy*dy) as regression from vs group by 1")
 register("x16_curve_fits", "condition model | n rank | ", lambda t: fits.curve_fits(lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]).select("condition", F.col("lag").cast("double").alias("x"), F.col("mean").alias("y"), F.col("sem").alias("sigma")), ["condition"], sorted(fits.MODELS)))
 register("x17_scaled_curve", "condition | | xi v0 rss", lambda t: fits.scaled_curve(lag.ensemble(lag.imsd(t.tracks, L), "msd", ["condition", "lag"]).withColumn("m", F.col("mean") / 1000), "lag", "m", master, [0.5 + 0.5 * i for i in range(16)], ["condition"]), f"with {IMSD}, e as (select condition, lag, avg(msd)/1000 as y from im group by 1,2), g as (select *, (1-exp(-lag/xi))/(lag/xi) as g from e cross join (select 0.5+0.5*unnest(range(16)) as xi)), s as (select condition, xi, sum(y*g)/sum(g*g) as v0, sum(y*y)-pow(sum(y*g),2)/sum(g*g) as rss from g group by 1,2) select * from s qualify row_number() over (partition by condition order by rss, xi)=1")

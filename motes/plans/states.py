@@ -46,6 +46,16 @@ POIS = "(" + "+".join(f"(({{u}})>={p!r})::int" for p in res.POISSON) + ")"
 BS = "bs as (select unnest(range(1,{n}+1)) as b)"
 CI = "stddev_samp(v) as se, quantile_cont(v,0.025) as low, quantile_cont(v,0.975) as high"
 W = POIS.format(u=U.format(p="0,b,{unit}"))
+
+# changes and controls: deviations of x from the particle's mean, 3 rows on either side
+TRIG = f"{HYS}, nb as (select *, row_number() over (partition by {KS} order by frame) as r, lag(state) over (partition by {KS} order by frame) as ps, x-avg(x) over (partition by condition, exp, particle) as d from st), tr as (select a.condition, a.exp, a.particle, 1-a.ps as kind, (a.state=a.ps)::int as control, b.r-a.r as off, b.d from nb a join nb b on a.exp=b.exp and a.particle=b.particle and a.segment=b.segment and b.r-a.r between -3 and 3 where a.ps is not null), su as (select condition, exp, particle, kind, control, off, sum(d) as s, count(*) as n from tr group by all)"
+triggered = lambda t: sta.triggered_sums(hys(t), "x", 3, SEG, ["condition", "exp", "particle"])
+register("h05_triggered_curves", "condition | kind offset n n_control | event control difference", lambda t: sta.triggered_curves(triggered(t), ["condition"]),
+         f"with {TRIG}, c as (select condition, kind, off, sum(s) filter (where control=0)/sum(n) filter (where control=0) as event, sum(s) filter (where control=1)/sum(n) filter (where control=1) as control, coalesce(sum(n) filter (where control=0),0) as n, coalesce(sum(n) filter (where control=1),0) as n_control from su group by all) select condition, kind, off as \"offset\", event, control, event-control as difference, n, n_control from c")
+register("h05_pre_difference", "condition | kind events | difference se low high", lambda t: sta.pre_difference(triggered(t), ["condition"], "exp", "particle", n=20),
+         f"with {TRIG}, {BS.format(n=20)}, m as (select condition, exp, b, {W.format(unit='exp')} as mw from (select distinct condition, exp from su) cross join bs), c as (select condition, exp, b, unnest(range(1,mw+1)) as copy from m), dw as (select condition, exp, particle, b, sum(w) as w from (select c.condition, c.exp, particle, b, {POIS.format(u=U.format(p='0,b,exp,copy,particle'))} as w from c join (select distinct condition, exp, particle from su) using (condition, exp)) group by all), "
+         "aw as (select su.*, b, w from su join dw using (condition, exp, particle) union all select *, 0, 1 from su), cu as (select condition, b, kind, off, sum(w*s) filter (where control=0)/sum(w*n) filter (where control=0)-sum(w*s) filter (where control=1)/sum(w*n) filter (where control=1) as d from aw where off between -3 and -1 and w>0 group by all), ef as (select condition, b, kind, avg(d) as v from cu group by all), ev as (select condition, kind, coalesce(sum(n) filter (where control=0 and off=0),0) as events from su group by all) "
+         f"select ev.condition, ev.kind, events, difference, se, low, high from ev join (select condition, kind, v as difference from ef where b=0) using (condition, kind) join (select condition, kind, {CI} from ef where b>0 group by all) using (condition, kind)")
 register("r01_bootstrap_mean", "condition | | se low high", lambda t: res.bootstrap_mean(t.tracks, "y", ["particle"], ["condition"], 50), f"with u as (select condition, particle, avg(y) as x from tracks group by 1,2), {BS.format(n=50)}, r as (select condition, b, sum(w*x)/sum(w) as v from (select *, {W.format(unit='particle')} as w from u cross join bs) where w>0 group by 1,2) select condition, {CI} from r group by 1")
 register("r02_bootstrap_percentile", "condition | | se low high", lambda t: res.bootstrap_percentile(t.tracks, "x", ["particle"], ["condition"], 0.9, 20), f"with u as (select condition, particle, quantile_cont(x,0.5) as x from tracks group by 1,2), {BS.format(n=20)}, r as (select condition, b, quantile_cont(x,0.9) as v from (select condition, b, x, unnest(range(w)) from (select *, {W.format(unit='particle')} as w from u cross join bs)) group by 1,2) select condition, {CI} from r group by 1")
 register("r03_bootstrap_ngp", "condition | | se low high", lambda t: res.bootstrap_ngp(kin.lag_displacement(t.tracks, 2).withColumn("r2", F.col("r") ** 2), "r2", ["particle"], ["condition"], 30), f"with d as (select condition, particle, pow(lead(x,2) over w-x,2)+pow(lead(y,2) over w-y,2) as r2 from tracks window w as (partition by exp, particle order by frame)), u as (select condition, particle, sum(r2) as a, sum(r2*r2) as c, count(*) as n from d where r2 is not null group by 1,2), {BS.format(n=30)}, r as (select condition, b, 0.5*(sum(w*c)/sum(w*n))/pow(sum(w*a)/sum(w*n),2)-1 as v from (select *, {W.format(unit='particle')} as w from u cross join bs) where w>0 group by 1,2) select condition, {CI} from r group by 1")

@@ -63,6 +63,8 @@ timed = lambda t: forms.with_time(_stream(t, t.gaps, ROWS), 4)
 # what the watermark (the last event's time less a second) has passed
 register("o01_window_moments", "exp | slot n positive | sum square", lambda t: _drained(t, forms.window_moments(timed(t), "x", "40 seconds", "1 second")).withColumn("slot", F.floor((F.unix_micros("window.start") - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 40e6)),
          "with e as (select max(frame)*4-1 as late from gaps) select exp, floor(frame*4/40) as slot, count(*) as n, sum(x) as sum, sum(x*x) as square, count(*) filter (where x>0) as positive from gaps cross join e group by exp, floor(frame*4/40), late having (floor(frame*4/40)+1)*40<=late")
+register("o01_window_histogram", "exp | slot n vortex strain neutral bin count | sum square least most", lambda t: _drained(t, forms.window_statistics(timed(t), "x", "40 seconds", 0.0, 100.0, 10, "1 second")).select("*", F.posexplode("counts").alias("bin", "count")).withColumn("slot", F.floor((F.unix_micros("window.start") - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 40e6)),
+         "with e as (select max(frame)*4-1 as late from gaps), g as (select exp, floor(frame*4/40) as slot, count(x) as n, sum(x) as sum, sum(x*x) as square, count(*) filter (where x<0) as vortex, count(*) filter (where x>0) as strain, count(*) filter (where x=0) as neutral, min(x) as least, max(x) as most from gaps cross join e group by exp, floor(frame*4/40), late having (floor(frame*4/40)+1)*40<=late), h as (select exp, floor(frame*4/40) as slot, least(floor(x/10),9) as bin, count(*) as c from gaps where x between 0 and 100 group by all) select g.*, b.bin, coalesce(h.c,0) as \"count\" from g cross join (select unnest(range(10)) as bin) b left join h on h.exp=g.exp and h.slot=g.slot and h.bin=b.bin")
 register("o02_dwell_runs", "exp | particle state first last n censored | ", lambda t: _drained(t, forms.dwell_runs(_stream(t, t.gaps, ROWS), "y", 20.0, 60.0)),
          f"with {HYS}, rc as (select *, sum(case when state<>ps or segment<>pg then 1 else 0 end) over (partition by exp, particle order by frame) as run from (select *, lag(state) over w as ps, lag(segment) over w as pg from st window w as (partition by exp, particle order by frame))), rn as (select exp, particle, run, any_value(state) as state, any_value(segment) as segment, min(frame) as first, max(frame) as last, count(*) as n from rc group by 1,2,3), nx as (select *, lead(segment) over (partition by exp, particle order by run) as ng from rn) select exp, particle, state, first, last, n, (ng<>segment)::int as censored from nx where ng is not null")
 register("o03_arriving_steps", "exp | particle frame | v turn", lambda t: _drained(t, forms.arriving_steps(_stream(t, t.gaps, ROWS))),

@@ -23,6 +23,17 @@ def window_moments(rows: DataFrame, value: str, width: str, late: str = "1 minut
     return rows.withWatermark("time", late).groupBy("exp", F.window("time", width)).agg(F.count(v).alias("n"), F.sum(v).alias("sum"), F.sum(v * v).alias("square"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"))
 
 
+def window_statistics(rows: DataFrame, value: str, width: str, low: float, high: float, bins: int, late: str = "1 minute") -> DataFrame:
+    """All that the online accumulator keeps, per (exp, tumbling window): n, sum, square, vortex (< 0), strain (> 0), neutral, least, most, and counts, an array over
+    equal bins of [low, high], the last closed. Every part is a sum or an extreme, so the state of a window is one row whatever arrives.
+    """
+    v = F.when(~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf")), F.col(value))
+    bin_ = F.when(v.between(low, high), F.least(F.floor((v - low) * (bins / (high - low))), F.lit(bins - 1)))
+    counts = F.array(*[F.count_if(bin_ == i) for i in range(bins)])
+    got = rows.withWatermark("time", late).groupBy("exp", F.window("time", width))
+    return got.agg(F.count(v).alias("n"), F.sum(v).alias("sum"), F.sum(v * v).alias("square"), F.count_if(v < 0).alias("vortex"), F.count_if(v > 0).alias("strain"), F.count_if(v == 0).alias("neutral"), F.min(v).alias("least"), F.max(v).alias("most"), counts.alias("counts"))
+
+
 def segments(rows: DataFrame, gap: str, late: str = "1 minute") -> DataFrame:
     """Contiguous stretches of each track as session windows with a gap slightly above the frame interval."""
     return rows.withWatermark("time", late).groupBy(*KEY, F.session_window("time", gap)).agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"))
