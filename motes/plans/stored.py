@@ -67,7 +67,13 @@ register("o01_window_histogram", "exp | slot n vortex strain neutral bin count |
          "with e as (select max(frame)*4-1 as late from gaps), g as (select exp, floor(frame*4/40) as slot, count(x) as n, sum(x) as sum, sum(x*x) as square, count(*) filter (where x<0) as vortex, count(*) filter (where x>0) as strain, count(*) filter (where x=0) as neutral, min(x) as least, max(x) as most from gaps cross join e group by exp, floor(frame*4/40), late having (floor(frame*4/40)+1)*40<=late), h as (select exp, floor(frame*4/40) as slot, least(floor(x/10),9) as bin, count(*) as c from gaps where x between 0 and 100 group by all) select g.*, b.bin, coalesce(h.c,0) as \"count\" from g cross join (select unnest(range(10)) as bin) b left join h on h.exp=g.exp and h.slot=g.slot and h.bin=b.bin")
 register("o02_dwell_runs", "exp | particle state first last n censored | ", lambda t: _drained(t, forms.dwell_runs(_stream(t, t.gaps, ROWS), "y", 20.0, 60.0)),
          f"with {HYS}, rc as (select *, sum(case when state<>ps or segment<>pg then 1 else 0 end) over (partition by exp, particle order by frame) as run from (select *, lag(state) over w as ps, lag(segment) over w as pg from st window w as (partition by exp, particle order by frame))), rn as (select exp, particle, run, any_value(state) as state, any_value(segment) as segment, min(frame) as first, max(frame) as last, count(*) as n from rc group by 1,2,3), nx as (select *, lead(segment) over (partition by exp, particle order by run) as ng from rn) select exp, particle, state, first, last, n, (ng<>segment)::int as censored from nx where ng is not null")
+# rows in the order of another column; only what lies before the watermark (a minute behind the last event) is taken, and tracks silent for 100 seconds before it are closed
+shuffled = lambda t: forms.with_time(_stream(t, t.gaps.orderBy(F.xxhash64("particle", "frame")), ROWS), 4)
+register("o02_ordered_runs", "exp | particle state first last n censored | ", lambda t: _drained(t, forms.ordered_runs(shuffled(t), "y", 20.0, 60.0, "60 seconds", 100_000)),
+         f"with {HYS.replace('from gaps', 'from (select * from gaps cross join (select max(frame)*4-60 as late from gaps) where frame*4<late)')}, rc as (select *, sum(case when state<>ps or segment<>pg then 1 else 0 end) over (partition by exp, particle order by frame) as run from (select *, lag(state) over w as ps, lag(segment) over w as pg from st window w as (partition by exp, particle order by frame))), rn as (select exp, particle, run, any_value(state) as state, any_value(segment) as segment, min(frame) as first, max(frame) as last, count(*) as n, any_value(late) as late from rc group by 1,2,3), nx as (select *, lead(segment) over (partition by exp, particle order by run) as ng from rn) select exp, particle, state, first, last, n, (ng is null or ng<>segment)::int as censored from nx where ng is not null or last*4+100<late")
 register("o03_arriving_steps", "exp | particle frame | v turn", lambda t: _drained(t, forms.arriving_steps(_stream(t, t.gaps, ROWS))),
          f"with {GSTEP}, p as (select *, lag(dx) over w as bx, lag(dy) over w as b2, lag(df) over w as bf from steps window w as (partition by exp, particle order by frame)) select exp, particle, frame, case when df=1 then sqrt(dx*dx+dy*dy) end as v, case when df=1 and bf=1 and dx*dx+dy*dy>1e-10 and bx*bx+b2*b2>1e-10 then atan2(case when bx*dy-b2*dx=0 then 0 else bx*dy-b2*dx end, bx*dx+b2*dy) end as turn from p")
+register("o03_ordered_steps", "exp | particle frame | v turn", lambda t: _drained(t, forms.ordered_steps(shuffled(t), "60 seconds", 100_000)),
+         f"with {GSTEP.replace('from gaps', 'from (select * from gaps cross join (select max(frame)*4-60 as late from gaps) where frame*4<late)')}, p as (select *, lag(dx) over w as bx, lag(dy) over w as b2, lag(df) over w as bf from steps window w as (partition by exp, particle order by frame)) select exp, particle, frame, case when df=1 then sqrt(dx*dx+dy*dy) end as v, case when df=1 and bf=1 and dx*dx+dy*dy>1e-10 and bx*bx+b2*b2>1e-10 then atan2(case when bx*dy-b2*dx=0 then 0 else bx*dy-b2*dx end, bx*dx+b2*dy) end as turn from p")
 register("o04_segments", "exp | particle first last n | ", lambda t: _drained(t, forms.segments(timed(t), "5 seconds", "1 second")),
          f"with {GSTEP}, sg as (select *, sum(case when df<>1 then 1 else 0 end) over (partition by exp, particle order by frame) as segment from steps), e as (select max(frame)*4-1 as late from gaps) select exp, particle, min(frame) as first, max(frame) as last, count(*) as n from sg cross join e group by exp, particle, segment, late having max(frame)*4+5<=late")
