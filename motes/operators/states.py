@@ -205,47 +205,141 @@ def state_turns(df: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumn("kind", kind).groupBy("kind").agg(F.avg(F.abs("_t")).alias("mean_turn"), F.hypot(F.avg(F.cos("_t")), F.avg(F.sin("_t"))).alias("resultant"), F.count("*").alias("n"))
 
 
-def _forward_backward(x: np.ndarray, pi: np.ndarray, a: np.ndarray, mean: np.ndarray, var: np.ndarray):
-    b = np.exp(-0.5 * (x[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-    n, k = b.shape
-    alpha, scale, beta = np.zeros((n, k)), np.zeros(n), np.ones((n, k))
-    p = pi * b[0]
+#: Frames of a chunk: what one worker holds of a sequence, however long it is. Chunks read side by side.
+CHUNK, SIDE = 1024, 256
+SEQUENCE = [*KEY, "segment"]
+
+
+def _side_by_side(arrays: list, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Observations, emission densities and a mask of chunks padded to one length: (m, n), (m, n, k), (m, n)."""
+    size = np.array([len(x) for x in arrays])
+    mask = np.arange(size.max(initial=0)) < size[:, None]
+    x = np.zeros(mask.shape)
+    x[mask] = np.concatenate(arrays) if len(arrays) else []
+    b = np.exp(-0.5 * (x[..., None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
+    return x, b, mask
+
+
+def _products(b: np.ndarray, mask: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """diag(b_0) a diag(b_1) ... diag(b_last) of each chunk up to a factor: likelihoods of its rows from the state at its first row to that at its last."""
+    out = b[:, 0, :, None] * np.eye(len(a))
+    for t in range(1, b.shape[1]):
+        step = (out @ a) * b[:, t, None, :]
+        out = np.where(mask[:, t, None, None], step / step.max((1, 2), keepdims=True), out)
+    return out
+
+
+def _forward_backward(b: np.ndarray, mask: np.ndarray, a: np.ndarray, enter: np.ndarray, follow: np.ndarray):
+    """State probabilities g of every row, forward ones, backward ones and scales. enter: probabilities before each chunk's first row; follow: likelihoods of all after its last row."""
+    m, n, _ = b.shape
+    alpha, beta, scale = np.zeros_like(b), np.ones_like(b), np.ones((m, n))
+    p = enter * b[:, 0]
     for t in range(n):
-        p = p if t == 0 else (alpha[t - 1] @ a) * b[t]
-        scale[t] = p.sum()
-        alpha[t] = p / scale[t]
+        p = p if t == 0 else (alpha[:, t - 1] @ a) * b[:, t]
+        scale[:, t] = np.where(mask[:, t], p.sum(1), 1.0)
+        alpha[:, t] = np.where(mask[:, t, None], p / scale[:, t, None], alpha[:, t - 1])
+    beta[:, -1] = follow / (alpha[:, -1] * follow).sum(1, keepdims=True)
     for t in range(n - 2, -1, -1):
-        beta[t] = a @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-    return alpha * beta, alpha, beta, b, scale
+        step = (b[:, t + 1] * beta[:, t + 1]) @ a.T / scale[:, t + 1, None]
+        beta[:, t] = np.where(mask[:, t + 1, None], step, beta[:, t + 1])
+    return alpha * beta, alpha, beta, scale
 
 
-def fit_hmm(obs: DataFrame, states: int = 2, rounds: int = 10, tolerance: float = 1e-4) -> dict:
-    """Gaussian hidden Markov model. The E-step runs on sequences in tasks and sums sufficient statistics before one small aggregate; the M-step needs only those.
+def chunked(obs: DataFrame, frames: int = CHUNK) -> DataFrame:
+    """Sequences in chunks of frames: SEQUENCE, chunk, chunks (of the sequence), begins (the first one), f and x (frames and observations in order)."""
+    got = obs.groupBy(*SEQUENCE, F.floor(F.col("frame") / frames).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("frame", "obs"))).alias("s"))
+    w = Window.partitionBy(*SEQUENCE)
+    got = got.withColumns({"chunks": F.count("*").over(w), "begins": F.col("chunk") == F.min("chunk").over(w)})
+    return got.select(*SEQUENCE, "chunk", "chunks", "begins", F.transform("s", lambda v: v["frame"]).alias("f"), F.transform("s", lambda v: v["obs"]).alias("x"))
 
-    Gives pi, a, mean, var (states by rising mean), likelihoods of the rounds, aic and bic.
+
+def _linked(chunks: DataFrame, model: dict, products, scan, schema: str) -> DataFrame:
+    """chunks with what each must know of those before and after it. Only chunks of sequences that have several give their matrices (products), which meet by sequence (scan).
+
+    schema: the columns that scan adds; a sequence of one chunk has nulls there.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    keys = [*SEQUENCE, "chunk"]
+
+    def run(frames):
+        for pdf in frames:
+            for at in range(0, len(pdf), SIDE):
+                part = pdf.iloc[at : at + SIDE]
+                yield part[keys].assign(matrix=[v.ravel() for v in products(list(part.x), model)])
+
+    ids = "exp string, particle long, segment long, chunk long"
+    many = chunks.where("chunks > 1")
+    matrices = many.select(*keys, "x").mapInPandas(run, f"{ids}, matrix array<double>")
+    linked = matrices.groupBy(*SEQUENCE).applyInPandas(lambda pdf: scan(pdf.sort_values("chunk"), model)[[*keys, *names]], f"{ids}, {schema}")
+    single = chunks.where("chunks = 1").selectExpr("*", *[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in schema.split(", ")])
+    return single.unionByName(many.join(linked, keys))
+
+
+def _likely(arrays: list, model: dict) -> np.ndarray:
+    _, b, mask = _side_by_side(arrays, model["mean"], model["var"])
+    return _products(b, mask, model["a"])
+
+
+def _likely_scan(pdf: pd.DataFrame, model: dict) -> pd.DataFrame:
+    """For the chunks of a sequence: enter, the state probabilities before the first row, and follow, the likelihoods of all later chunks by the state at the next one's first row."""
+    a, k = model["a"], len(model["a"])
+    steps = [np.reshape(v, (k, k)) for v in pdf.matrix]
+    enter, follow = [model["pi"]], [None]
+    for s in steps[:-1]:
+        q = enter[-1] @ s @ a
+        enter.append(q / q.sum())
+    after = np.ones(k)
+    for s in reversed(steps[1:]):
+        w = s @ after
+        follow.append(w / w.max())
+        after = a @ follow[-1]
+    return pdf.assign(enter=enter, follow=follow[::-1])
+
+
+def _posterior(part: pd.DataFrame, model: dict):
+    """Of chunks with enter and follow: observations, mask, g, scales, and expected transitions inside each chunk and on to the next."""
+    x, b, mask = _side_by_side(list(part.x), model["mean"], model["var"])
+    a, k = model["a"], len(model["a"])
+    known = lambda v, other: np.stack([other if r is None else np.asarray(r, float) for r in v]).reshape(-1, k)
+    enter, last = known(part.enter, model["pi"]), np.array([r is None for r in part.follow])
+    nxt = known(part.follow, np.ones(k))
+    g, alpha, beta, scale = _forward_backward(b, mask, a, enter, np.where(last[:, None], 1.0, nxt @ a.T))
+    inside = mask[:, 1:, None]
+    xi = np.einsum("mti,ij,mtj->ij", alpha[:, :-1] * inside, a, b[:, 1:] * beta[:, 1:] / scale[:, 1:, None]) if b.shape[1] > 1 else np.zeros((k, k))
+    cross = alpha[~last, -1][:, :, None] * a * nxt[~last][:, None, :]
+    return x, b, mask, g, scale, xi + (cross / cross.sum((1, 2), keepdims=True)).sum(0)
+
+
+def fit_hmm(obs: DataFrame, states: int = 2, rounds: int = 10, tolerance: float = 1e-4, frames: int = CHUNK) -> dict:
+    """Gaussian hidden Markov model. The E-step runs on chunks of sequences in tasks and sums sufficient statistics before one small aggregate; the M-step needs only those.
+
+    Gives pi, a, mean, var (states by rising mean), likelihoods of the rounds, aic and bic. A sequence longer than a chunk is never held whole: products of its chunks'
+    matrices carry the state probabilities into each chunk, and the likelihoods of what follows back to it.
     """
     stats = obs.agg(F.avg("obs"), F.var_pop("obs"), F.count("*"), F.percentile_approx("obs", F.array(*[F.lit((i + 0.5) / states) for i in range(states)]))).first()
-    seqs = obs.groupBy(*KEY, "segment").agg(F.sort_array(F.collect_list(F.struct("frame", "obs"))).alias("s")).select(F.transform("s", lambda v: v["obs"]).alias("x"))
     from ..sources.io import stashed
 
-    seqs = stashed(seqs, "sequences")
+    chunks = stashed(chunked(obs, frames), "sequences")
     m = {"pi": np.full(states, 1 / states), "a": np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * (0.8 - 0.2 / max(1, states - 1)), "mean": np.array(stats[3], float), "var": np.full(states, stats[1])}
     size = 1 + states * 4 + states * states
     seen: list[float] = []
     for _ in range(rounds):
 
-        def estep(frames, m=m):
+        def estep(batches, m=m):
             total = np.zeros(size)
-            for pdf in frames:
-                for x in pdf.x:
-                    g, alpha, beta, b, scale = _forward_backward(np.asarray(x, float), m["pi"], m["a"], m["mean"], m["var"])
-                    xs = np.asarray(x, float)[:, None]
-                    xi = np.einsum("ti,ij,tj->ij", alpha[:-1], m["a"], b[1:] * beta[1:] / scale[1:, None]) if len(x) > 1 else np.zeros((states, states))
-                    total += np.concatenate([[np.log(scale).sum()], g[0], g.sum(0), (g * xs).sum(0), (g * xs * xs).sum(0), xi.ravel()])
+            for pdf in batches:
+                for at in range(0, len(pdf), SIDE):
+                    part = pdf.iloc[at : at + SIDE]
+                    x, _, mask, g, scale, xi = _posterior(part, m)
+                    g, first = g * mask[..., None], part.begins.to_numpy(bool)
+                    sums = [g[first, 0].sum(0), g.sum((0, 1)), (g * x[..., None]).sum((0, 1)), (g * x[..., None] ** 2).sum((0, 1))]
+                    total += np.concatenate([[np.log(scale).sum()], *sums, xi.ravel()])
             yield pd.DataFrame({"i": np.arange(size), "v": total})
 
+        linked = _linked(chunks, m, _likely, _likely_scan, "enter array<double>, follow array<double>")
+        linked = linked.select("x", "begins", "enter", "follow")
         got = np.zeros(size)
-        for r in seqs.mapInPandas(estep, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in linked.mapInPandas(estep, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             got[r.i] = r.v
         seen.append(got[0])
         first, n, s1, s2 = (got[1 + states * k : 1 + states * (k + 1)] for k in range(4))
@@ -258,25 +352,66 @@ def fit_hmm(obs: DataFrame, states: int = 2, rounds: int = 10, tolerance: float
     return {"pi": m["pi"][order], "a": m["a"][np.ix_(order, order)], "mean": m["mean"][order], "var": m["var"][order], "likelihoods": seen, "aic": 2 * free - 2 * seen[-1], "bic": free * float(np.log(stats[2])) - 2 * seen[-1]}
 
 
-def decode(obs: DataFrame, model: dict) -> DataFrame:
-    """Most likely state path of every sequence, and each row's posterior of its state."""
-    schema = "condition string, exp string, particle long, segment long, frame int, obs double, state int, posterior double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        x = pdf.obs.to_numpy(float)
-        g, _, _, b, _ = _forward_backward(x, model["pi"], model["a"], model["mean"], model["var"])
-        with np.errstate(divide="ignore"):
-            la, lb = np.log(model["a"]), np.log(b)
-            d, back = np.log(model["pi"]) + lb[0], np.zeros((len(x), len(la)), int)
-        for t in range(1, len(x)):
-            s = d[:, None] + la
-            back[t] = s.argmax(0)
-            d = s.max(0) + lb[t]
-        path = np.zeros(len(x), int)
-        path[-1] = d.argmax()
-        for t in range(len(x) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return pdf.assign(state=path, posterior=g[np.arange(len(x)), path])[["condition", "exp", "particle", "segment", "frame", "obs", "state", "posterior"]]
-
-    return obs.groupBy(*KEY, "segment").applyInPandas(run, schema)
+def _logs(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(divide="ignore"):
+        return np.log(model["pi"]), np.log(model["a"])
+
+
+def _best(arrays: list, model: dict) -> np.ndarray:
+    """Of each chunk, the likelihood products beside the log weights of the best paths from the state at its first row to that at its last."""
+    _, b, mask = _side_by_side(arrays, model["mean"], model["var"])
+    _, la = _logs(model)
+    lb = np.log(b)
+    best = np.where(np.eye(len(la), dtype=bool), lb[:, 0, :, None], -np.inf)
+    for t in range(1, b.shape[1]):
+        best = np.where(mask[:, t, None, None], (best[:, :, :, None] + la).max(2) + lb[:, t, None, :], best)
+    return np.stack([_products(b, mask, model["a"]), best], axis=1)
+
+
+def _best_scan(pdf: pd.DataFrame, model: dict) -> pd.DataFrame:
+    """Besides enter and follow: reach, the best log weights by the state at a chunk's first row, and goal, the best path's state at its last row."""
+    k = len(model["a"])
+    both = [np.reshape(v, (2, k, k)) for v in pdf.matrix]
+    lp, la = _logs(model)
+    reach, ends = [lp], []
+    for _, v in both:
+        ends.append((reach[-1][:, None] + v).max(0))
+        reach.append((ends[-1][:, None] + la).max(0))
+    goal = [int(ends[-1].argmax())]
+    for c in range(len(both) - 1, 0, -1):
+        begin = int((reach[c] + both[c][1][:, goal[-1]]).argmax())
+        goal.append(int((ends[c - 1] + la[:, begin]).argmax()))
+    return _likely_scan(pdf.assign(matrix=[v[0].ravel() for v in both]), model).assign(reach=reach[:-1], goal=goal[::-1])
+
+
+def decode(obs: DataFrame, model: dict, frames: int = CHUNK) -> DataFrame:
+    """Most likely state path of every sequence, and each row's posterior of its state. Sequences longer than a chunk are joined as in fit_hmm, paths by the best weights through each chunk."""
+    lp, la = _logs(model)
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), SIDE):
+                part = pdf.iloc[at : at + SIDE]
+                _, b, mask, g, _, _ = _posterior(part, model)
+                lb, (m, n, _) = np.log(b), b.shape
+                d = np.stack([lp if r is None else np.asarray(r, float) for r in part.reach]) + lb[:, 0]
+                back = np.zeros(b.shape, np.int8)
+                for t in range(1, n):
+                    s = d[:, :, None] + la
+                    back[:, t] = s.argmax(1)
+                    d = np.where(mask[:, t, None], s.max(1) + lb[:, t], d)
+                path, rows = np.zeros((m, n), np.int64), np.arange(m)
+                state = np.where(part.goal.isna(), d.argmax(1), part.goal.fillna(0)).astype(int)
+                for t in range(n - 1, -1, -1):
+                    path[:, t] = state
+                    if t:
+                        state = np.where(mask[:, t], back[rows, t, state], state)
+                size = mask.sum(1)
+                out = part[SEQUENCE].loc[part.index.repeat(size)].reset_index(drop=True)
+                yield out.assign(frame=np.concatenate(list(part.f)), obs=np.concatenate(list(part.x)), state=path[mask], posterior=np.take_along_axis(g, path[..., None], 2)[..., 0][mask])
+
+    chunks = chunked(obs, frames)
+    linked = _linked(chunks, model, _best, _best_scan, "enter array<double>, follow array<double>, reach array<double>, goal long")
+    paths = linked.select(*SEQUENCE, "f", "x", "enter", "follow", "reach", "goal").mapInPandas(run, "exp string, particle long, segment long, frame int, obs double, state int, posterior double")
+    # a sequence has one condition
+    return paths.join(obs.select("condition", *SEQUENCE, "frame"), [*SEQUENCE, "frame"]).select("condition", *SEQUENCE, "frame", "obs", "state", "posterior")

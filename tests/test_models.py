@@ -72,11 +72,27 @@ def test_hidden_markov_by_enumeration(spark):
         assert tuple(g.state) == best
         for t, (s, post) in enumerate(zip(g.state, g.posterior)):
             assert post == pytest.approx(sum(v for p, v in paths.items() if p[t] == s) / total, rel=1e-6)
-        assert np.log(states._forward_backward(x, *(MODEL[c] for c in ("pi", "a", "mean", "var")))[4]).sum() == pytest.approx(np.log(total), rel=1e-9)
+        alone = pd.DataFrame({"x": [x], "enter": [None], "follow": [None]})
+        assert np.log(states._posterior(alone, MODEL)[4]).sum() == pytest.approx(np.log(total), rel=1e-9)
     fit = states.fit_hmm(obs, 2, 6, 0.0)
     assert all(b >= a - 1e-9 for a, b in zip(fit["likelihoods"], fit["likelihoods"][1:])) and (np.diff(fit["mean"]) >= 0).all()
 
 
+def test_chunks_of_a_sequence_join_to_the_whole(spark):
+    rng = np.random.default_rng(14)
+    rows, level = [], 0
+    for k, n in enumerate((1, 6, 7, 8, 90, 333)):
+        for f in range(n):
+            level = 1 - level if rng.random() < 0.1 else level
+            rows.append(("c", "e", k, f // 200, 3 + f, float(rng.normal(2 * level, 0.8))))
+    obs = spark.createDataFrame(rows, "condition string, exp string, particle long, segment long, frame int, obs double").repartition(5)
+    whole, cut = (states.fit_hmm(obs, 2, 4, 0.0, frames) for frames in (10**6, 7))
+    for name in ("pi", "a", "mean", "var", "likelihoods"):
+        assert np.allclose(whole[name], cut[name], rtol=1e-9, atol=1e-9), name
+    a, b = (states.decode(obs, MODEL, frames).toPandas().sort_values(["particle", "segment", "frame"], ignore_index=True) for frames in (10**6, 7))
+    assert len(a) == len(rows) and (a.state == b.state).all() and np.allclose(a.posterior, b.posterior, atol=1e-9) and (a.obs == b.obs).all()
+
+
 def test_glitches_by_repeated_rule(spark):
     def plain(s, least):
         s = list(s)
