@@ -263,6 +263,6 @@ def hidden_vector(df: DataFrame, keys: list[str], u: str, v: str, d: str) -> Dat
     s = df.groupBy(*keys).agg(F.sum(F.col(u) ** 2).alias("_a"), F.sum(F.col(u) * F.col(v)).alias("_b"), F.sum(F.col(v) ** 2).alias("_c"), F.sum(F.col(u) * F.col(d)).alias("_p"), F.sum(F.col(v) * F.col(d)).alias("_q"))
     s = s.where("_a is not null")  # groups without a known product
     det, trace = F.col("_a") * F.col("_c") - F.col("_b") ** 2, F.col("_a") + F.col("_c")
-    full = det > 1e-12 * trace * trace
+    full = det > 1e-9 * trace * trace  # below, rounding of the sums would decide
     safe = F.when(full, det)
     return s.select(*keys, F.when(full, (F.col("_c") * F.col("_p") - F.col("_b") * F.col("_q")) / safe).otherwise(F.try_divide("_p", trace)).alias("hx"), F.when(full, (F.col("_a") * F.col("_q") - F.col("_b") * F.col("_p")) / safe).otherwise(F.try_divide("_q", trace)).alias("hy"))

@@ -75,8 +75,8 @@ register("g39_transfer_efficiency", "condition | n | efficiency", lambda t: fld.
 register("g41_decomposition", "exp | particle n | alignment eta eta_alignment", lambda t: fld.transfer(on_flow(t), ["exp", "particle"]), f"with {ON} select exp, particle, count(*) as n, {TRANS} from tr group by 1,2")
 register("g42_transfer_gain", "condition exp | n | gain efficiency", lambda t: fld.transfer(on_flow(t), ["condition", "exp"]), f"with {ON} select condition, exp, count(*) as n, {TRANS} from tr group by 1,2")
 register("g40_energy_split", "condition | n | mean sem", lambda t: kin.project(kin.lag_displacement(t.tracks, 1), t.theta).groupBy("condition", "exp", "particle").agg(F.avg("share").alias("s")).groupBy("condition").agg(F.avg("s").alias("mean"), (F.stddev_samp("s") / F.sqrt(F.count("s"))).alias("sem"), F.count("s").alias("n")), f"with {STEP}, d as (select condition, exp, particle, frame-1 as frame, dx, dy from steps where dx is not null), s as (select condition, d.exp, particle, avg(pow(dx*cos(theta)+dy*sin(theta),2)/nullif(dx*dx+dy*dy,0)) as s from d join theta t on d.exp=t.exp and d.frame=t.frame group by 1,2,3) select condition, count(s) as n, avg(s) as mean, stddev_samp(s)/sqrt(count(s)) as sem from s group by 1")
-register("k26_hidden_vector", "exp | frame particle | hx hy", lambda t: spa.hidden_vector(spa.interaction(moved(t), t.field, [1.5, 3.0]), ["exp", "frame", "particle"], "u", "v", "dot"),
-         f"with {NEAR.format(r=3)}, it as (select *, u*(x-16)+v*(y-16) as d from nr), ra as (select unnest([1.5,3.0]) as radius), rw as (select exp, frame, particle, radius, avg(d) as d, avg(u) as u, avg(v) as v from it cross join ra where d2<=radius*radius group by all), s as (select exp, frame, particle, sum(u*u) as a, sum(u*v) as b, sum(v*v) as c, sum(u*d) as p, sum(v*d) as q from rw group by all) select exp, frame, particle, case when a*c-b*b>1e-12*pow(a+c,2) then (c*p-b*q)/(a*c-b*b) else p/nullif(a+c,0) end as hx, case when a*c-b*b>1e-12*pow(a+c,2) then (a*q-b*p)/(a*c-b*b) else q/nullif(a+c,0) end as hy from s")
+register("k26_hidden_vector", "exp | frame particle | hx hy", lambda t: spa.hidden_vector(spa.interaction(moved(t), t.field, [1.5, 3.0]).where("n > 0"), ["exp", "frame", "particle"], "u", "v", "dot").withColumns({c: F.round(c, 4) for c in ("hx", "hy")}),
+         f"with {NEAR.format(r=3)}, it as (select *, u*(x-16)+v*(y-16) as d from nr), ra as (select unnest([1.5,3.0]) as radius), rw as (select exp, frame, particle, radius, avg(d) as d, avg(u) as u, avg(v) as v from it cross join ra where d2<=radius*radius group by all), s as (select exp, frame, particle, sum(u*u) as a, sum(u*v) as b, sum(v*v) as c, sum(u*d) as p, sum(v*d) as q from rw group by all) select exp, frame, particle, round(case when a*c-b*b>1e-9*pow(a+c,2) then (c*p-b*q)/(a*c-b*b) else p/nullif(a+c,0) end, 4) as hx, round(case when a*c-b*b>1e-9*pow(a+c,2) then (a*q-b*p)/(a*c-b*b) else q/nullif(a+c,0) end, 4) as hy from s")
 DEPTH = NEAR.format(r=5).replace("p.frame=f.frame", "p.frame-f.frame between 0 and 2").replace("p.frame, p.particle", "p.frame, p.frame-f.frame as lag, p.particle")
 register("x14_retention", "exp | | retention error tau_low", lambda t: fits.retention(spa.depth_series(t.on_field, t.field, 1.0, 4.0, 1.0, [0, 1, 2]), ["exp"], "lag", "depth", "error"),
          f"with {DEPTH}, rs as (select exp, lag, sqrt(u*u+v*v) as s, sqrt(d2)-1 as r from nr where d2>=1), ab as (select exp, lag, avg(s) filter (where r<1) as a, avg(s) filter (where r>=2) as b, stddev_samp(s) filter (where r<1)/sqrt(count(*) filter (where r<1)) as ea, stddev_samp(s) filter (where r>=2)/sqrt(count(*) filter (where r>=2)) as eb from rs group by all), ds as (select exp, lag, 1-a/b as d, a/b*sqrt(pow(ea/a,2)+pow(eb/b,2)) as e from ab), g as (select exp, arg_min(struct_pack(d:=d,e:=e),lag) as a, arg_max(struct_pack(d:=d,e:=e),lag) as b, max(lag) as t from ds group by all), r as (select exp, t, b.d/a.d as retention, abs(b.d/a.d)*sqrt(pow(a.e/a.d,2)+pow(b.e/b.d,2)) as error from g) select exp, retention, error, case when retention-error>0 and retention-error<1 then t/-ln(retention-error) end as tau_low from r")
