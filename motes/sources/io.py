@@ -62,14 +62,27 @@ def reuse(dense: DataFrame, point: str, points: int, stride: int, cutoff: int) -
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder that the cluster names (spark.checkpoint.dir); a local session without one gets a temporary folder."""
+    """A new folder's path in the shared folder that the cluster names (spark.checkpoint.dir); a local session without one gets a temporary folder.
+
+    All that an application writes so lies in one folder there, which clear() deletes.
+    """
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="motes-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/{name}-{uuid.uuid4().hex}"
+    return f"{found}/motes-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has stashed, once no result that reads it is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stashed(df: DataFrame, name: str = "stash") -> DataFrame:

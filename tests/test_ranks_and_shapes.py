@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motes.operators import composed, ranks, resample, smoothing, states
+from motes.sources import io
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +56,15 @@ def test_places_are_written_once(spark, values):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len({r._place for r in a}) == len(a)
 
 
+def test_what_is_stashed_can_be_cleared(spark, values):
+    _, df = values
+    rows = io.stashed(df, "kept")
+    assert rows.count() == len(values[0]) and io._own(spark) in rows.inputFiles()[0]
+    io.clear(spark)
+    with pytest.raises(Exception, match="exist"):
+        spark.read.parquet(io._own(spark))
+
+
 def test_quantiles_equal_percentile(values):
     rows, df = values
     shares = {f"q{i}": p for i, p in enumerate((0, 0.01, 0.25, 0.5, 0.77, 1))}
