@@ -10,7 +10,8 @@ shape takes nothing away. Instances with trust of at least CONFIDENT from a patt
 so that later rounds reach patterns without base spans. In the end the occurrences in such patterns are accepted.
 
 Defined results: null counts as the empty text; offsets are code points; base spans always stay; accepted spans (kind found)
-overlap none of them; rows that repeat a doc_id are told apart by their text.
+overlap none of them; rows that repeat a doc_id are told apart by their text. A limit of what can be found: candidates hold MIN_DIGITS digits or an @, so
+identifiers of letters only, or of fewer digits, are never found, whatever their context; an empty table gives none.
 """
 
 from __future__ import annotations
