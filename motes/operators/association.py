@@ -11,8 +11,10 @@ from .ranks import average_rank, running
 
 def correlations(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Pearson, spearman, slope, intercept, slope through the origin and its uncentred R2, n."""
-    both = df.dropna(subset=[x, y])
-    r = average_rank(average_rank(both, x, keys, "_rx"), y, keys, "_ry")
+    from ..sources.io import stashed
+
+    both = stashed(df.dropna(subset=[x, y]).select(*dict.fromkeys([*keys, x, y])), "pairs")  # read for each rank and once more
+    r = average_rank(average_rank(both, x, keys, "_rx", both), y, keys, "_ry", both)
     xy, xx, yy = F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) ** 2), F.sum(F.col(y) ** 2)
     return r.groupBy(*keys).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.try_divide(xy, xx).alias("slope0"), F.try_divide(xy * xy, xx * yy).alias("r2_0"), F.count("*").alias("n"))
 

@@ -49,9 +49,6 @@ def ensemble(per_particle: DataFrame, value: str, keys: list[str], least: int =
 
 def pooled(per_particle: DataFrame, value: str, keys: list[str], least: int = 1) -> DataFrame:
     """Mean, std, n and exact quantiles q10 q25 q50 q75 q90 over particles; bootstrapped adds the error and interval of the mean."""
-    from ..sources.io import stashed
-
-    per_particle = stashed(per_particle.select(*keys, value), "pool")  # read twice
     out = per_particle.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n")).where(F.col("n") >= least)
     return with_quantiles(out, per_particle, value, keys, {f"q{p}": p / 100 for p in (10, 25, 50, 75, 90)})
 

@@ -59,10 +59,10 @@ def counted(df: DataFrame, value: str, keys: list[str], weight: str | None = Non
     return running(counts, value, keys, "_n", "_up", "_all")
 
 
-def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """df without null values, with the rank from 1 of value inside keys, ties at their mean."""
+def average_rank(df: DataFrame, value: str, keys: list[str], name: str, among: DataFrame | None = None) -> DataFrame:
+    """df without null values, with the rank from 1 of value inside keys, ties at their mean. among: the rows to rank among, if not df itself."""
     names = [f"_k{i}" for i in range(len(keys))]
-    ranks = counted(df, value, keys).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("_v"), (F.col("_up") - (F.col("_n") - 1) / 2).alias(name))
+    ranks = counted(df if among is None else among, value, keys).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("_v"), (F.col("_up") - (F.col("_n") - 1) / 2).alias(name))
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
     return df.join(ranks, [*same, F.col(value) == F.col("_v")]).drop("_v", *names)
 

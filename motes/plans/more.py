@@ -14,6 +14,7 @@ from ..operators import kinematics as kin
 from ..operators import lagstats as lag
 from ..operators import spatial as spa
 from ..operators import states as sta
+from ..sources import io
 from .fields import CORR, NEAR, RAD, SAMP, SPIN, UNIT, moved, spun
 from .lags import IMSD, QUANT, L
 from .registry import also, register
@@ -45,7 +46,7 @@ def cdf(z: str) -> str:
 
 
 W = POIS.format(u=U.format(p="0,b,particle"))
-register("d04_pooled_msd", "condition | lag n | mean std q10 q25 q50 q75 q90 se low high", lambda t: (lambda im: lag.bootstrapped(lag.pooled(im, "msd", ["condition", "lag"], 3), im, "msd", ["condition", "lag"], 20))(lag.imsd(t.tracks, L)),
+register("d04_pooled_msd", "condition | lag n | mean std q10 q25 q50 q75 q90 se low high", lambda t: (lambda im: lag.bootstrapped(lag.pooled(im, "msd", ["condition", "lag"], 3), im, "msd", ["condition", "lag"], 20))(io.stashed(lag.imsd(t.tracks, L))),
          f"with {IMSD}, u as (select condition, lag, particle, avg(msd) as x from im group by 1,2,3), {BS.format(n=20)}, r as (select condition, lag, b, sum(w*x)/sum(w) as v from (select *, {W} as w from u cross join bs) where w>0 group by 1,2,3), ci as (select condition, lag, {CI} from r group by 1,2), s as (select condition, lag, avg(msd) as mean, stddev_samp(msd) as std, count(*) as n, {QUANT.format(v='msd')} from im group by 1,2 having count(*)>=3) select * from s join ci using (condition, lag)")
 
 SPEED = f"{GSTEP}, sv as (select *, sqrt(dx*dx+dy*dy) as v from steps where df=1), q as (select condition, quantile_cont(v,0.25) as a, quantile_cont(v,0.75) as b from sv group by 1), fe as (select sv.*, v between greatest(0, a-0.5*(b-a)) and b+0.5*(b-a) as inside from sv join q using (condition))"
