@@ -6,8 +6,8 @@ fingerprints are cut into `radius + 2` blocks, of which at least two survive whe
 pair of blocks, keyed by both, therefore finds every fingerprint within the radius.
 
 Defined results: null counts as the empty text, whose fingerprint is 0; equal texts have equal fingerprints; tied votes give
-a 0 bit; rows with equal doc_id follow each other by text, and each has its own result; null doc_ids come last; a single document is its
-own next one. Rows that share one doc_id (or have none) meet in one task, since nothing else orders them.
+a 0 bit; rows with equal doc_id follow each other by a hash of their text, then by text, and each has its own result; null doc_ids come last; a single
+document is its own next one. A doc_id (or none) of very many rows is cut into several ranges by that hash, so only rows equal in both meet in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import n_splits, stash, windows, word_hashes
 RADIUS = 3
 #: A query is every document whose id this number divides.
 QUERY_STEP = 50
-LAST = (1 << 63) - 1
+LAST, FIRST = (1 << 63) - 1, -(1 << 63)
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -52,28 +52,69 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b) / 64
 
 
-def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
-    """run(batch of (doc_id, text, following text)) over docs in ascending doc_id, in ranges as many as docs has splits, one a task.
+def cuts(keyed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows at which about n ranges of keyed(_k, _h) in this order begin, ascending, as their _k and _h; the first is the first row of all.
 
-    A range ends with a copy of the next range's first row (the last one's with the very first), so no task waits for another.
+    Quantiles of _k (as doubles, so they need not be ids) part the rows, and each part begins with its least _k, whatever the _h: FIRST. A _k of more rows than a
+    range should have is cut by quantiles of its own _h, of 52 bits, which are rows of it.
     """
-    n = n_splits(docs)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LAST)).alias("_k"))
-    low, cuts = keyed.agg(F.min("_k"), F.percentile_approx("_k", F.array(*[F.lit(i / n) for i in range(n + 1)]), max(10_000, 2 * n))).first()
-    bounds = np.array(sorted(set(cuts or []) - {low}), np.int64)
+    shares, exact = F.array(*[F.lit(i / n) for i in range(n + 1)]), max(10_000, 2 * n)
+    total, found = keyed.agg(F.count("*"), F.percentile_approx("_k", shares, exact)).first()
+    points = np.unique(np.array(found or [], np.int64))
+    begin: list[tuple[int, int]] = []
+    hot: dict[int, int] = {}
+    if len(points) < len(found or []):  # one quantile twice: some _k may have a range's worth of rows; at most n of them have
+        hot = {k: c for k, c in keyed.groupBy("_k").agg(F.count("*").alias("c")).where(F.col("c") > total / n).collect()}
+    if hot:
+        for k, least, h in keyed.where(F.col("_k").isin(list(hot))).groupBy("_k").agg(F.min("_h"), F.percentile_approx("_h", shares, exact)).collect():
+            parts = min(n, -(-hot[k] * n // total))
+            begin += [(k, x) for x in {least, *(h[n * i // parts] for i in range(1, parts))}]
 
     @F.pandas_udf(T.IntegerType())
-    def ranged(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), "right").astype(np.int32))
+    def part(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(points, k.to_numpy(np.int64), "right").astype(np.int32))
+
+    others = keyed.where(~F.col("_k").isin(list(hot))) if hot else keyed
+    begin += [(r.k, FIRST) for r in others.groupBy(part("_k").alias("part")).agg(F.min("_k").alias("k")).collect()]
+    begin.sort()
+    return np.array([k for k, _ in begin], np.int64), np.array([h for _, h in begin], np.int64)
+
+
+def ranges(k: np.ndarray, h: np.ndarray, bounds_k: np.ndarray, bounds_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows (k, h) the range that they lie in, and whether they are the row at which it begins."""
+    left, right = np.searchsorted(bounds_k, k, "left"), np.searchsorted(bounds_k, k, "right")
+    at, first = right.copy(), right > left
+    cut = np.flatnonzero(first & (bounds_h[np.minimum(left, max(0, len(bounds_h) - 1))] != FIRST)) if len(bounds_h) else np.zeros(0, np.int64)
+    for value in np.unique(k[cut]):
+        rows = cut[k[cut] == value]
+        a, b = left[rows[0]], right[rows[0]]
+        at[rows] = a + np.searchsorted(bounds_h[a:b], h[rows], "right")
+        first[rows] = np.isin(h[rows], bounds_h[a:b])
+    return at.astype(np.int32), first
 
-    @F.pandas_udf(T.BooleanType())
-    def begins(k: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(k.to_numpy(np.int64), bounds))
 
-    own = keyed.withColumn("_b", ranged("_k")).withColumn("_first", begins("_k"))
-    to = F.when(F.col("_k") == F.lit(low), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail")), F.struct(F.lit(len(bounds)).alias("b"), F.lit(1).alias("tail"))))
-    to = to.when(F.col("_first"), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail")), F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail"))))
-    dealt = own.select("doc_id", "text", "_k", F.explode(to).alias("_to")).select("doc_id", "text", "_k", "_to.b", "_to.tail").repartitionById(len(bounds) + 1, "b").sortWithinPartitions("b", "tail", "_k", "text")
+def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
+    """run(batch of (doc_id, text, following text)) over docs in ascending doc_id, in ranges as many as docs has splits, one a task.
+
+    A range ends with a copy of the next range's first row (the last one's with the very first), so no task waits for another.
+    """
+    n = n_splits(docs)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LAST)).alias("_k")).withColumn("_h", F.shiftrightunsigned(F.xxhash64("text"), 12))
+    begin_k, begin_h = cuts(keyed, n)
+    bounds_k, bounds_h = begin_k[1:], begin_h[1:]
+
+    @F.pandas_udf(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("first", T.BooleanType())]))
+    def ranged(k: pd.Series, h: pd.Series) -> pd.DataFrame:
+        at, first = ranges(k.to_numpy(np.int64), h.to_numpy(np.int64), bounds_k, bounds_h)
+        return pd.DataFrame({"b": at, "first": first})
+
+    own = keyed.withColumn("_r", ranged("_k", "_h"))
+    low = [*zip(begin_k.tolist(), begin_h.tolist(), strict=True)][:1]
+    very_first = F.lit(False) if not low else (F.col("_k") == low[0][0]) & ((F.col("_h") == low[0][1]) | F.lit(low[0][1] == FIRST))
+    here = F.struct(F.col("_r.b").alias("b"), F.lit(0).alias("tail"))
+    ends = lambda b: F.array(here, F.struct(b.cast("int").alias("b"), F.lit(1).alias("tail")))
+    to = F.when(very_first, ends(F.lit(len(bounds_k)))).when(F.col("_r.first"), ends(F.col("_r.b") - 1)).otherwise(F.array(here))
+    dealt = own.select("doc_id", "text", "_k", "_h", F.explode(to).alias("_to")).select("doc_id", "text", "_k", "_h", "_to.b", "_to.tail").repartitionById(len(bounds_k) + 1, "b").sortWithinPartitions("b", "tail", "_k", "_h", "text").drop("_k", "_h")
 
     def paired(batches):
         held = None

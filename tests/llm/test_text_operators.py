@@ -572,6 +572,32 @@ def test_simhash_of_repeated_and_null_ids(spark):
     assert sorted((r.doc_id, r.n_within_radius) for r in got if r.n_within_radius is not None) == [(50, 0), (50, 3), (50, 3), (100, 3)]
 
 
+def test_simhash_cuts_ids_of_many_rows(spark):
+    rng = random.Random(91)
+    rows = [(None, " ".join(words(rng, 6))) for _ in range(400)] + [(5, " ".join(words(rng, 6))) for _ in range(400)] + [(i, " ".join(words(rng, 6))) for i in range(10, 400)] + [(7, "a b")] * 3
+    rng.shuffle(rows)
+    df = docs(spark, rows).repartition(12)
+    hashes = {r.text: r.h for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 12).alias("h")).collect()}
+    key = lambda r: (simhash.LAST if r[0] is None else r[0], hashes[r[1]], r[1])
+    keyed = df.select(F.coalesce("doc_id", F.lit(simhash.LAST)).alias("_k"), F.shiftrightunsigned(F.xxhash64("text"), 12).alias("_h"))
+    bk, bh = simhash.cuts(keyed, 12)
+    order = sorted(rows, key=key)
+    at, first = simhash.ranges(np.array([key(r)[0] for r in order]), np.array([key(r)[1] for r in order]), bk[1:], bh[1:])
+    assert bk[0] == order[0][0] and (np.diff(at) >= 0).all() and np.bincount(at).max() < 250 and set(at[first]) == set(range(1, len(bk)))
+    got = Counter((r.doc_id, r.edited_sha256) for r in simhash.simhash(df).collect())
+    edit = lambda t, f: hashlib.sha256((t[: len(t) - len(t) // 4] + f[: len(t) // 4]).encode()).hexdigest()
+    assert got == Counter((i, edit(t, f)) for (i, t), (_, f) in zip(order, order[1:] + order[:1]))
+
+
+def test_simhash_of_ids_beyond_doubles(spark):
+    rng = random.Random(92)
+    ids = sorted({(1 << 62) + rng.randrange(1 << 16) for _ in range(300)} | {rng.getrandbits(62) for _ in range(300)})
+    rows = [(i, " ".join(words(rng, 5))) for i in ids]
+    got = {r.doc_id: r.edited_sha256 for r in simhash.simhash(docs(spark, rng.sample(rows, len(rows))).repartition(9)).collect()}
+    edit = lambda t, f: hashlib.sha256((t[: len(t) - len(t) // 4] + f[: len(t) // 4]).encode()).hexdigest()
+    assert got == {i: edit(t, f) for (i, t), (_, f) in zip(rows, rows[1:] + rows[:1])}
+
+
 def test_radius_search_brute_force(spark):
     rng = random.Random(10)
     base = [rng.getrandbits(64) for _ in range(40)]
