@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,22 +24,45 @@ def near_pixels(particles: DataFrame, field: DataFrame, radius: float, inner: fl
     return out.drop("_cx", "_cy")
 
 
-def pairs(rows: DataFrame, keep: list[str], within: float | None = None) -> DataFrame:
+#: Second ends of pairs that one key of the pair join holds, about; it buffers no more, however many particles a frame or a cell has.
+PAIR_BLOCK = 1024
+
+
+def pairs(rows: DataFrame, keep: list[str], within: float | None = None, block: int = PAIR_BLOCK) -> DataFrame:
     """Pairs i < j of particles of the same frame with distance r; columns of the second end in _2.
 
-    With a range, both go to cells of its width and meet in the 3 by 3 neighbourhood, so what is summed by distance next is summed in the task that
-    joins, and no pair is shuffled. Without a range, all pairs of a frame, whose number grows with its square.
+    With a range, both go to cells of its width and meet in the 3 by 3 neighbourhood; without one, a frame is one cell, and all its pairs are asked for. A cell's particles are
+    dealt to as many blocks as its number needs, and each first end visits the blocks of the cells it may reach, so no task holds a frame or a crowded cell.
+    What is summed over pairs next is summed in the task that joins: no pair is shuffled.
     """
     cols = ["particle", "x", "y", *keep]
+    place = ["exp", "frame"] if within is None else ["exp", "frame", "_cx", "_cy"]
+    cell = lambda x: F.floor(F.col(x) / within)
     a = rows.select("exp", "frame", *cols)
     b = rows.select("exp", "frame", *[F.col(c).alias(f"{c}_2") for c in cols])
+    if within is not None:
+        a = a.withColumn("_cx", F.explode(F.sequence(cell("x") - 1, cell("x") + 1))).withColumn("_cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
+        b = b.withColumns({"_cx": cell("x_2"), "_cy": cell("y_2")})
+    sizes = b.groupBy(*place).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    a = a.join(sizes, place).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    b = b.join(sizes, place).withColumn("_block", F.pmod(F.xxhash64("particle_2"), F.col("_blocks"))).drop("_blocks")
     r = F.hypot(F.col("x_2") - F.col("x"), F.col("y_2") - F.col("y"))
-    if within is None:
-        return a.join(b, ["exp", "frame"]).where("particle < particle_2").withColumn("r", r)
-    cell = lambda x: F.floor(F.col(x) / within)
-    a = a.withColumn("_cx", F.explode(F.sequence(cell("x") - 1, cell("x") + 1))).withColumn("_cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
-    b = b.withColumns({"_cx": cell("x_2"), "_cy": cell("y_2")})
-    return a.join(b, ["exp", "frame", "_cx", "_cy"]).where("particle < particle_2").withColumn("r", r).where(F.col("r") <= within).drop("_cx", "_cy")
+    met = a.join(b, [*place, "_block"]).where("particle < particle_2").withColumn("r", r).drop("_cx", "_cy", "_block")
+    return met if within is None else met.where(F.col("r") <= within)
+
+
+def relative_displacements(pairs_: DataFrame) -> DataFrame:
+    """Of pairs with (dx, dy), (dx_2, dy_2) and the director theta: dr, the length of the displacement relative to each other, phi, its axial angle to the director
+    in [-pi/2, pi/2), and cos2 of twice that angle, 1 along and -1 across. What moves all particles of a frame alike drops out."""
+    ddx, ddy = F.col("dx") - F.col("dx_2"), F.col("dy") - F.col("dy_2")
+    out = pairs_.withColumns({"dr": F.hypot(ddx, ddy), "_phi": F.atan2(ddy, ddx) - F.col("theta")})
+    return out.withColumns({"phi": F.pmod(F.col("_phi") + math.pi / 2, F.lit(math.pi)) - math.pi / 2, "cos2": F.cos(2 * F.col("_phi"))}).drop("_phi")
+
+
+def relative_order(moved_pairs: DataFrame, keys: list[str], least_dr: float) -> DataFrame:
+    """Over pairs whose relative displacement is at least least_dr: mean cos2 (above 0: transport along the director), its standard error, mean dr, n."""
+    got = moved_pairs.where(F.col("dr") >= least_dr).groupBy(*keys).agg(F.avg("cos2").alias("order"), (F.stddev_samp("cos2") / F.sqrt(F.count("*"))).alias("error"), F.avg("dr").alias("dr"), F.count("*").alias("n"))
+    return got.where("n > 1")
 
 
 def cosine(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -26,6 +26,24 @@ register("g02_frame_pair_mean", "exp | frame n | correlation", lambda t: spa.fra
 register("g03_pair_bins", "category | bin n | mean std sem", lambda t: spa.pair_correlation_bins(with_cos(t, 100.0).withColumn("category", F.when((F.col("particle") + F.col("particle_2")) % 2 == 0, "even").otherwise("odd")), 10.0, 100.0), f"with {PAIR}, c as (select *, case when (particle+particle_2)%2=0 then 'even' else 'odd' end as category, floor(r/10) as bin from pr where r<100) select coalesce(category,'all') as category, bin, count(*) as n, avg(cos) as mean, stddev_samp(cos) as std, stddev_samp(cos)/sqrt(count(*)) as sem from c group by grouping sets ((category, bin),(bin)) having count(*)>=5")
 register("g04_short_range", "exp | n | order", lambda t: spa.short_range(with_cos(t, 30.0), 30.0), f"with {PAIR} select exp, count(*) as n, avg(cos) as \"order\" from pr where r<=30 group by 1 having count(*)>=3")
 register("g05_relative_displacements", "exp | frame particle particle_2 | along", lambda t: spa.pairs(kin.frame_displacement(t.gaps, [2]).join(t.theta, ["exp", "frame"]), ["dx", "dy", "theta"]).withColumn("along", (F.col("dx_2") - F.col("dx")) * F.cos("theta") + (F.col("dy_2") - F.col("dy")) * F.sin("theta")), "with d as (select a.exp, a.frame, a.particle, b.x-a.x as dx, b.y-a.y as dy from gaps a join gaps b on a.exp=b.exp and a.particle=b.particle and b.frame=a.frame+2) select a.exp, a.frame, a.particle, b.particle as particle_2, (b.dx-a.dx)*cos(theta)+(b.dy-a.dy)*sin(theta) as along from d a join d b on a.exp=b.exp and a.frame=b.frame and a.particle<b.particle join theta t on t.exp=a.exp and t.frame=a.frame")
+D2 = "d as (select a.exp, a.condition, a.frame, a.particle, b.x-a.x as dx, b.y-a.y as dy from gaps a join gaps b on a.exp=b.exp and a.particle=b.particle and b.frame=a.frame+2)"
+REL = (
+    f"{D2}, pd as (select a.condition, a.exp, a.frame, a.particle, b.particle as particle_2, a.dx-b.dx as x, a.dy-b.dy as y, theta from d a join d b "
+    "on a.exp=b.exp and a.frame=b.frame and a.particle<b.particle join theta t on t.exp=a.exp and t.frame=a.frame), "
+    "pg as (select *, sqrt(x*x+y*y) as dr, atan2(y,x)-theta as p, fmod(atan2(y,x)-theta+pi()/2, pi()) as q from pd), "
+    "rel as (select *, case when q<0 then fmod(q+pi(),pi()) else q end-pi()/2 as phi, cos(2*p) as cos2 from pg)"
+)
+
+
+def relative(t):
+    """Pairs of a frame with their relative displacement over two frames."""
+    steps = kin.frame_displacement(t.gaps, [2]).select("condition", "exp", "frame", "particle", "x", "y", "dx", "dy").join(t.theta, ["exp", "frame"])
+    return spa.relative_displacements(spa.pairs(steps, ["dx", "dy", "theta", "condition"]))
+
+
+register("g05_relative_directions", "exp | frame particle particle_2 | dr phi cos2", relative, f"with {REL} select exp, frame, particle, particle_2, dr, phi, cos2 from rel")
+register("g05_relative_order", "condition | n | order error dr", lambda t: spa.relative_order(relative(t), ["condition"], 0.5),
+         f"with {REL} select condition, count(*) as n, avg(cos2) as \"order\", stddev_samp(cos2)/sqrt(count(*)) as error, avg(dr) as dr from rel where dr>=0.5 group by 1 having count(*)>1")
 COS = "case when (u=0 and v=0) or (dx=0 and dy=0) then 0 else (u*dx+v*dy)/(sqrt(u*u+v*v)*sqrt(dx*dx+dy*dy)) end"
 INT = "with {near}, it as (select *, x-16 as dx, y-16 as dy, {w} as w from nr), ic as (select *, {cos} as c, u*dx+v*dy as d from it), ra as (select unnest([1.5,3.0]) as radius), ag as (select exp, frame, particle, radius, sum(w*d)/sum(w) as dot, sum(w*c)/sum(w) as cos, sum(w*u)/sum(w) as u, sum(w*v)/sum(w) as v, stddev_pop(c) as cos_std, count(*) as n from ic cross join ra where d2<=radius*radius group by 1,2,3,4) select p.exp, p.frame, p.particle, ra.radius, coalesce(dot,0) as dot, coalesce(cos,0) as cos, coalesce(u,0) as u, coalesce(v,0) as v, coalesce(cos_std,0) as cos_std, coalesce(n,0) as n from on_field p cross join ra left join ag using (exp, frame, particle, radius)"
 register("g06_interaction", "exp | frame particle n | radius dot cos u v cos_std", lambda t: spa.interaction(moved(t), t.field, [1.5, 3.0]), INT.format(near=NEAR.format(r=3), w="1.0", cos=COS))

@@ -187,3 +187,45 @@ def test_streams_equal_batch(spark, tmp_path, walk):
     assert set(zip(seg["first"], seg["last"])) <= {(0, 19), (21, 39)}
     mom = forms.drained(forms.window_moments(forms.with_time(src, 4), "x", "40 seconds", "1 second"), "mom", str(tmp_path)).toPandas()
     assert mom.n.max() <= 30
+
+
+def particles_of(spark, n, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [("e", f, p, float(x), float(y)) for f in (0, 1) for p, (x, y) in enumerate(rng.uniform(-30, 30, (n, 2)) * (1, 1 if f else 0.02))]
+    return rows, spark.createDataFrame(rows, "exp string, frame long, particle long, x double, y double")
+
+
+@pytest.mark.parametrize("within", [None, 7.5])
+def test_pairs_in_blocks(spark, within):
+    """All pairs once each, however a crowded cell or frame is cut into blocks."""
+    from motes.operators import spatial
+
+    rows, df = particles_of(spark, 60)
+    want = {(f, p, q): np.hypot(x - u, y - v) for _, f, p, x, y in rows for _, g, q, u, v in rows if f == g and p < q}
+    want = {k: r for k, r in want.items() if within is None or r <= within}
+    for block in (3, 1024):
+        got = [((r.frame, r.particle, r.particle_2), r.r) for r in spatial.pairs(df, [], within, block).collect()]
+        assert len(got) == len(want) and {k: pytest.approx(r) for k, r in got} == want
+    assert spatial.pairs(df.where("false"), [], within).count() == 0
+
+
+def test_no_pair_is_shuffled(spark):
+    """Above the join of pairs an exchange takes only what a task has summed."""
+    from motes.plans.registry import QUERIES
+
+    for name in ("g03_pair_bins", "g04_short_range", "g05_relative_order"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+        top = next(i for i, line in enumerate(plan) if "Join" in line)
+        above = [next((w for w in ("Exchange", "HashAggregate") if w in line), None) for line in plan[:top]]
+        assert [w for w in above if w][-1] == "HashAggregate", name
+
+
+def test_relative_displacements_ignore_what_moves_all(spark):
+    """A drift of the frame changes nothing; pairs that part along the director have cos2 1, across -1."""
+    from motes.operators import spatial
+
+    df = spark.createDataFrame([("e", 0, 1, 0.0, 0.0, 5.0, 2.0, 0.3), ("e", 0, 2, 1.0, 0.0, 5.0 + math.cos(0.3), 2.0 + math.sin(0.3), 0.3), ("e", 0, 3, 2.0, 0.0, 5.0 - math.sin(0.3), 2.0 + math.cos(0.3), 0.3)], "exp string, frame long, particle long, x double, y double, dx double, dy double, theta double")
+    got = {(r.particle, r.particle_2): r for r in spatial.relative_displacements(spatial.pairs(df, ["dx", "dy", "theta"])).collect()}
+    assert got[1, 2].cos2 == pytest.approx(1) and got[1, 2].phi == pytest.approx(0) and got[1, 3].cos2 == pytest.approx(-1) and got[2, 3].dr == pytest.approx(2**0.5)
+    order = spatial.relative_order(spatial.relative_displacements(spatial.pairs(df, ["dx", "dy", "theta"])), ["exp"], 0.5).first()
+    assert order.n == 3 and order.order == pytest.approx(0, abs=1e-12)
