@@ -4,7 +4,8 @@ Trusted documents are those labelled quality 1. One in FOLDS of them, by a hash
 symbols of the others are counted per task and summed by a shuffle; lower orders use continuation counts, each order its own three
 discounts, the lowest interpolates with the uniform law. A symbol is a UTF-16 code unit, so an n-gram is one long, its context and suffix
 are shifts and masks. Scoring: documents are packed into blocks of text, each block asks for its distinct n-grams, and joins sharded by n-gram
-bring count, context and suffix probability to every distinct one; the answers return to their block, where each document sums them. A document
+bring count, context and suffix probability to every distinct one; the answers return to their block, where each document sums them (a task
+holds one block at a time, and there are SPREAD tasks for each split of the input, so what a task reads does not grow with the input). A document
 is kept if its perplexity lies between two quantiles of its language's held-out trusted documents (of all held-out ones for
 languages with fewer than LEAST of them).
 
@@ -19,21 +20,22 @@ text with characters is kept; rows that repeat a doc_id are scored each; a null
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, units
+from .common import n_splits, stash, units
 
 ORDER, BITS, VOCABULARY = 4, 16, 65536
 BOUNDARY = 1
 BLOCK_BYTES = 32_000_000
+#: Blocks of one split of the input are scored by this many tasks.
+SPREAD = 4
 TRUSTED = 1_000_000
 LOW, HIGH, LEAST, FOLDS = 0.002, 0.995, 20, 5
 
@@ -63,10 +65,10 @@ def _counted(batches):
 
 
 def _blocks(batches):
-    """(block, unit): blocks number the text of one task, a new one every BLOCK_BYTES."""
-    first, held, at = TaskContext.get().partitionId() << 20, 0, 0
+    """(block, unit): blocks number the text of one split, a new one every BLOCK_BYTES. The split is a column, since a task of a union has a number of its own."""
+    held, at = 0, 0
     for unit in units(batches):
-        yield first + at, unit
+        yield (unit["_split"][0] << 20) + at, unit
         held += sum(len(t) for t in unit["text"] if t)
         if held >= BLOCK_BYTES:
             held, at = 0, at + 1
@@ -94,11 +96,9 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], names=["block", "data"])
 
 
-def _scored(data: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    order = np.argsort(answers.g.to_numpy())
-    g, logp = answers.g.to_numpy()[order], answers.logp.to_numpy()[order]
-    out = [pd.DataFrame({"doc_id": pd.array([], "Int64"), "lang": pd.Series([], dtype=object), "n_chars": np.zeros(0, np.int64), "perplexity": np.zeros(0)})]
-    for blob in data.data:
+def _perplexity(blobs: list[bytes], g: np.ndarray, logp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The documents of one block with their perplexity (nan without characters), by ascending n-grams g and the logarithms of their probabilities."""
+    for blob in blobs:
         table = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
         texts = table.column("text").to_pylist()
         grams, owner = ngrams(texts)
@@ -108,9 +108,29 @@ def _scored(data: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
             raise ValueError("blocks differ between two passes over the input: stash it first")
         total = np.bincount(owner, logp[at], minlength=len(texts)) if len(grams) else np.zeros(len(texts))
         with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.exp(-total / n)
-        out.append(pd.DataFrame({"doc_id": pd.array(table.column("doc_id").to_pylist(), "Int64"), "lang": table.column("lang").to_pylist(), "n_chars": [len(t or "") for t in texts], "perplexity": np.where(n > 0, p, np.nan)}))
-    return pd.concat(out, ignore_index=True)
+            p = np.where(n > 0, np.exp(-total / n), np.nan)
+        columns = [table.column("doc_id").combine_chunks(), table.column("lang").combine_chunks(), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(p, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_chars", "perplexity"])
+
+
+def _scored(batches):
+    """Rows by block: first its texts, then its n-grams ascending. One block is held at a time."""
+    block, blobs, grams, logs = None, [], [], []
+    both = lambda: (np.concatenate(grams), np.concatenate(logs)) if grams else (np.zeros(0, np.int64), np.zeros(0))
+    for batch in batches:
+        owner = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if i == j:
+                continue
+            if owner[i] != block:
+                yield from _perplexity(blobs, *both())
+                block, blobs, grams, logs = owner[i], [], [], []
+            part = batch.slice(i, j - i)
+            blobs += part.column("data").drop_null().to_pylist()
+            grams.append(part.column("g").drop_null().to_numpy())
+            logs.append(part.column("logp").drop_null().to_numpy())
+    yield from _perplexity(blobs, *both())
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -153,10 +173,16 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars, perplexity for docs(doc_id, lang, text)."""
     docs = docs.select("doc_id", "lang", "text")
     counts = stash(docs.join(trusted_ids(labels, False), "doc_id", "left_semi").select("text").mapInArrow(_counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")
-    asked = docs.mapInArrow(_requests, "block long, g long")
+    split = docs.withColumn("_split", F.spark_partition_id().cast("long"))
+    asked = split.mapInArrow(_requests, "block long, g long")
     known = stash(probabilities(counts, asked.select("g").distinct()), "kn-model")
     answers = asked.join(known, "g")
-    return docs.mapInArrow(_packed, "block long, data binary").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored, "doc_id long, lang string, n_chars long, perplexity double")
+    packed = split.mapInArrow(_packed, "block long, data binary").select("block", "data", F.lit(None).cast("long").alias("g"), F.lit(None).cast("double").alias("logp"))
+    rows = packed.unionByName(answers.select("block", F.lit(None).cast("binary").alias("data"), "g", "logp"))
+    n = n_splits(docs)
+    task = F.pmod(F.shiftright("block", 20), F.lit(n)) + n * F.pmod("block", F.lit(SPREAD))
+    dealt = rows.withColumn("_task", task.cast("int")).repartitionById(n * SPREAD, "_task").drop("_task").sortWithinPartitions("block", F.asc_nulls_first("g"))
+    return dealt.mapInArrow(_scored, "doc_id long, lang string, n_chars long, perplexity double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:

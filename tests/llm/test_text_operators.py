@@ -532,6 +532,27 @@ def test_mix_keeps_null_and_repeated_ids(spark):
     assert ((got.groupby("source").taken.sum() - got.groupby("source").target.first()).abs() <= 1).all()
 
 
+def test_blocks_are_scored_one_after_another(monkeypatch):
+    """Texts of many blocks, in batches that cut blocks anywhere, have the perplexity of their own n-grams."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(quality, "units", lambda batches: (b.to_pydict() for b in batches))
+    rng = random.Random(93)
+    texts = [" ".join(words(rng, rng.randrange(0, 9))) for _ in range(40)] + ["", None]
+    source = [pa.RecordBatch.from_pydict({"doc_id": [i], "lang": ["en"], "text": [t], "_split": [i // 20]}) for i, t in enumerate(texts)]
+    asked = [(b, g) for split in (source[:20], source[20:40], source[40:]) for r in quality._requests(iter(split)) for b, g in zip(*[c.to_pylist() for c in r.columns], strict=True)]
+    held = [(b, d) for split in (source[:20], source[20:40], source[40:]) for r in quality._packed(iter(split)) for b, d in zip(*[c.to_pylist() for c in r.columns], strict=True)]
+    assert len({b for b, _ in held}) > 5
+    logp = lambda g: -1.0 - g % 7 / 10
+    rows = sorted([(b, 0, 0, d) for b, d in held] + [(b, 1, g, None) for b, g in asked], key=lambda r: r[:3])
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.binary()), pa.array([r[2] if r[1] else None for r in part], pa.int64()), pa.array([logp(r[2]) if r[1] else None for r in part], pa.float64())], names=["block", "data", "g", "logp"])
+    got = {i: p for r in quality._scored(batch(rows[i : i + 17]) for i in range(0, len(rows), 17)) for i, p in zip(r.column("doc_id").to_pylist(), r.column("perplexity").to_pylist(), strict=True)}
+    for i, t in enumerate(texts):
+        grams = quality.ngrams([t])[0].tolist()
+        assert math.isnan(got[i]) if not grams else got[i] == pytest.approx(math.exp(-sum(map(logp, grams)) / len(grams)))
+
+
 def test_simhash_next_and_edits(spark, hard, none):
     rng = random.Random(9)
     rows = [(i * 3, " ".join(words(rng, rng.randrange(0, 60)))) for i in range(50)] + [(500, "ab"), (501, "é" * 9)]
