@@ -174,7 +174,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "lang", "text")
     counts = stash(docs.join(trusted_ids(labels, False), "doc_id", "left_semi").select("text").mapInArrow(_counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")
     split = docs.withColumn("_split", F.spark_partition_id().cast("long"))
-    asked = split.mapInArrow(_requests, "block long, g long")
+    asked = stash(split.mapInArrow(_requests, "block long, g long"), "kn-asked")  # read for each order and for the answers
     known = stash(probabilities(counts, asked.select("g").distinct()), "kn-model")
     answers = asked.join(known, "g")
     packed = split.mapInArrow(_packed, "block long, data binary").select("block", "data", F.lit(None).cast("long").alias("g"), F.lit(None).cast("double").alias("logp"))
