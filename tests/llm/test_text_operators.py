@@ -537,7 +537,7 @@ def test_blocks_are_scored_one_after_another(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(quality, "BLOCK_BYTES", 60)
-    monkeypatch.setattr(quality, "units", lambda batches: (b.to_pydict() for b in batches))
+    monkeypatch.setattr(quality, "units", lambda batches, size: (b.to_pydict() for b in batches))
     rng = random.Random(93)
     texts = [" ".join(words(rng, rng.randrange(0, 9))) for _ in range(40)] + ["", None]
     source = [pa.RecordBatch.from_pydict({"doc_id": [i], "lang": ["en"], "text": [t], "_split": [i // 20]}) for i, t in enumerate(texts)]
