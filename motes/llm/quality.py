@@ -34,7 +34,7 @@ from .common import n_splits, stash, units
 ORDER, BITS, VOCABULARY = 4, 16, 65536
 BOUNDARY = 1
 BLOCK_BYTES = 32_000_000
-#: Text scored at once, in bytes: numpy holds about 50 times as much meanwhile.
+#: Text scored at once, in bytes; numpy holds several 8-byte arrays of its length meanwhile.
 UNIT_BYTES = 2_000_000
 #: Blocks of one split of the input are scored by this many tasks.
 SPREAD = 4
