@@ -73,7 +73,9 @@ curve = lambda t: t.gaps.groupBy("condition", F.col("frame").alias("lag")).agg((
 CURVE = "cv as (select condition, frame as lag, avg(y)-50 as c from gaps group by 1,2), a1 as (select *, lag(c) over w as b, lag(lag) over w as xb from cv window w as (partition by condition order by lag)), a2 as (select *, coalesce((c+b)/2*(lag-xb),0) as area from a1), a3 as (select *, sum(area) over (partition by condition order by lag) as run, min(case when c<0 then lag end) over (partition by condition) as f from a2)"
 register("d27_green_kubo", "condition | | whole to_zero peak median", lambda t: lag.green_kubo(curve(t), ["condition"]), f"with {CURVE} select condition, max_by(run,lag)/2 as whole, coalesce(max(case when lag=f then run-area+b*b/(b-c)/2*(lag-xb) end), max_by(run,lag))/2 as to_zero, max(run)/2 as peak, quantile_cont(run,0.5)/2 as median from a3 group by 1")
 register("d28_integral_time", "condition | | whole to_zero", lambda t: lag.green_kubo(curve(t).withColumn("mean", F.col("mean") + 1.0), ["condition"], 2.0), f"with {CURVE.replace('avg(y)-50', 'avg(y)-50+1.0').replace('*(lag-xb)', '*(lag-xb)*2')} select condition, max_by(run,lag)/2 as whole, coalesce(max(case when lag=f then run-area+b*b/(b-c)/2*(lag-xb)*2 end), max_by(run,lag))/2 as to_zero from a3 group by 1")
-register("d29_crossing_lag", "exp | particle | lag_at_target", lambda t: lag.crossing_lag(lag.imsd(t.tracks, L), ["exp", "particle"], "msd", 3400.0).withColumn("lag_at_target", F.round(F.log10("lag_at_target"), 5)), f"with {IMSD}, n as (select *, lag(lag) over w as xb, lag(msd) over w as yb, max(lag) over (partition by exp, particle) as last from im window w as (partition by exp, particle order by lag)), h as (select *, min(case when msd>=3400 then lag end) over (partition by exp, particle) as hit from n where yb is not null) select exp, particle, round(log10(xb*exp(ln(3400/yb)/(ln(msd/yb)/ln(lag/xb)))), 5) as lag_at_target from h where lag=coalesce(hit,last) and msd<>yb")
+#: Where the curve is nearly flat, the lag may fall below the smallest number: 0, whose logarithm is -inf (Spark's is null).
+log_lag = lambda x: F.when(x == 0, F.lit(float("-inf"))).otherwise(F.round(F.log10(x), 5))
+register("d29_crossing_lag", "exp | particle | lag_at_target", lambda t: lag.crossing_lag(lag.imsd(t.tracks, L), ["exp", "particle"], "msd", 3400.0).withColumn("lag_at_target", log_lag(F.col("lag_at_target"))), f"with {IMSD}, n as (select *, lag(lag) over w as xb, lag(msd) over w as yb, max(lag) over (partition by exp, particle) as last from im window w as (partition by exp, particle order by lag)), h as (select *, min(case when msd>=3400 then lag end) over (partition by exp, particle) as hit from n where yb is not null) select exp, particle, round(log10(xb*exp(ln(3400/yb)/(ln(msd/yb)/ln(lag/xb)))), 5) as lag_at_target from h where lag=coalesce(hit,last) and msd<>yb")
 register("d30_increment_autocorrelation", "exp | particle lag | c", lambda t: lag.increment_autocorrelation(t.tracks, "x", 10), f"with {STEP}, c as (select exp, particle, frame, dx - avg(dx) over (partition by exp, particle) as c from steps where dx is not null), s as (select exp, particle, sum(c*c) as s from c group by 1,2) select a.exp, a.particle, b.frame-a.frame as lag, sum(a.c*b.c)/any_value(s.s) as c from c a join c b on a.exp=b.exp and a.particle=b.particle and b.frame-a.frame between 1 and 10 join s on s.exp=a.exp and s.particle=a.particle group by 1,2,3")
 register("d32_gap_bias", "| lag | by_row by_frame bias", lambda t: lag.gap_bias(t.gaps, 10), "with g as (select *, row_number() over (partition by exp, particle order by frame) as r from gaps), a as (select b.r-a.r as lag, avg(pow(b.x-a.x,2)+pow(b.y-a.y,2)) as by_row from g a join g b on a.exp=b.exp and a.particle=b.particle and b.r-a.r between 1 and 10 group by 1), c as (select b.frame-a.frame as lag, avg(pow(b.x-a.x,2)+pow(b.y-a.y,2)) as by_frame from g a join g b on a.exp=b.exp and a.particle=b.particle and b.frame-a.frame between 1 and 10 group by 1) select *, by_row/by_frame as bias from a join c using (lag)")
 register("d33_transport_efficiency", "condition | lag n | eta eta_mean eta_median", lambda t: lag.transport_efficiency(lag.imsd(t.tracks, L), 0.5), f"with {IMSD} select condition, lag, sqrt(avg(msd))/(0.5*lag) as eta, avg(sqrt(msd)/(0.5*lag)) as eta_mean, quantile_cont(sqrt(msd)/(0.5*lag),0.5) as eta_median, count(*) as n from im group by 1,2")
