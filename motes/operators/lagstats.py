@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.angles import heading
 from .kinematics import KEY, segments, track, unwrapped
 from .ranks import quantiles, with_quantiles
 
@@ -182,7 +183,7 @@ def msad(tracks: DataFrame, max_lag: int, least: int = 3) -> DataFrame:
     seg = segments(tracks)
     w = Window.partitionBy(*KEY, "segment").orderBy("frame")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    headed = seg.withColumns({"_dx": dx, "_dy": dy}).where("_dx is not null and (_dx <> 0 or _dy <> 0)").withColumn("heading", F.atan2("_dy", "_dx"))
+    headed = seg.withColumns({"_dx": dx, "_dy": dy}).where("_dx is not null and (_dx <> 0 or _dy <> 0)").withColumn("heading", heading("_dy", "_dx"))
     n = F.count("*").over(Window.partitionBy(*KEY, "segment"))
     smooth = unwrapped(headed.withColumn("_n", n).where(F.col("_n") >= least), "heading", ("segment",))
     p = lagged(smooth, ["heading_unwrapped"], max_lag, "row", ("segment",))
