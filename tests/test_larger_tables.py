@@ -54,3 +54,16 @@ def test_headings_to_the_last_bit(spark, cents):
         else:
             last[r.particle] = r.theta
         assert r.theta_unwrapped == pytest.approx(last[r.particle], abs=1e-9)
+
+
+def test_speeds_and_distances_to_the_last_bit(spark, cents):
+    """Lengths tie with thresholds, medians and bin edges where sqrt(dx dx + dy dy) does."""
+    from motes.operators import kinematics, spatial
+
+    rows, df = cents
+    want = {k: math.sqrt(dx * dx + dy * dy) for k, (dx, dy) in steps(rows).items()}
+    assert {(r.particle, r.frame): r.v for r in kinematics.gap_aware_speed(df).where("v is not null").collect()} == want
+    at = {(r[2], r[3]): r[4:] for r in rows}
+    for r in spatial.pairs(df, []).collect():
+        (ax, ay), (bx, by) = at[r.particle, r.frame], at[r.particle_2, r.frame]
+        assert r.r == math.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
