@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import in_groups
 from .kinematics import KEY, segments, track
 
 
@@ -174,25 +175,37 @@ def dwell_ks(states: DataFrame, keys: list[str], least: int = 8) -> DataFrame:
     return c.where(F.col("_n") >= least).groupBy("state").agg(F.max(gap).alias("distance"), F.first("_m").alias("mean"), F.first("_n").alias("n"))
 
 
-def without_glitches(states: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
-    """Interior runs shorter than `least` between equal states take that state, the first of a sequence first, until none is left. One pass over each sequence."""
-    schema = states.select(*keys, "frame", "state").schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        s = pdf.state.to_numpy().copy()
-        edges = [0, *(np.flatnonzero(np.diff(s)) + 1), len(s)]
-        i = 1
-        while i < len(edges) - 2:
-            if edges[i + 1] - edges[i] < least and s[edges[i] - 1] == s[edges[i + 1]]:
-                s[edges[i] : edges[i + 1]] = s[edges[i] - 1]
-                del edges[i : i + 2]
-                i = max(1, i - 1)
+def _without_glitches(s: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Of sequences in a row that begin at starts: their states without short interior runs between equal states."""
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[starts] = True
+    edges = np.append(np.flatnonzero(new), len(s))
+    state, size = s[edges[:-1]], np.diff(edges)
+    first = np.zeros(len(size) + 2, bool)
+    first[np.searchsorted(edges, starts)] = True  # runs that begin a sequence
+    inner = ~first[:-2] & ~first[1:-1]
+    inner[-1:] = False
+    short = inner & (size < least)
+    short[1:-1] &= state[:-2] == state[2:]
+    firsts = np.append(np.flatnonzero(first), len(size))
+    for k in np.unique(np.searchsorted(firsts, np.flatnonzero(short), "right") - 1):
+        a, b = firsts[k], firsts[k + 1]
+        stack, at = [a], a + 1  # first runs of what is merged so far; the last one is looked at with the run after it
+        while at < b:
+            if len(stack) > 1 and edges[at] - edges[stack[-1]] < least and state[stack[-2]] == state[at]:
+                stack.pop()
             else:
-                i += 1
-        return pdf.assign(state=s)
+                stack.append(at)
+            at += 1
+        s[edges[a] : edges[b]] = np.repeat(state[stack], np.diff([*edges[stack], edges[b]]))
+    return s
+
 
-    return states.select(*keys, "frame", "state").groupBy(*keys).applyInPandas(run, schema)
+def without_glitches(states: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """Interior runs shorter than `least` between equal states take that state, the first of a sequence first, until none is left. One pass over each sequence."""
+    rows = states.select(*keys, "frame", "state")
+    return in_groups(rows, keys, "frame", lambda pdf, starts: pdf.assign(state=_without_glitches(pdf.state.to_numpy().copy(), starts, least)), rows.schema)
 
 
 def state_turns(df: DataFrame, keys: list[str]) -> DataFrame:
