@@ -67,3 +67,44 @@ def test_speeds_and_distances_to_the_last_bit(spark, cents):
     for r in spatial.pairs(df, []).collect():
         (ax, ay), (bx, by) = at[r.particle, r.frame], at[r.particle_2, r.frame]
         assert r.r == math.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+
+
+def test_many_groups_to_one_call(spark):
+    """Groups cut by the ends of batches come whole and once, nulls in keys are alike, and a call takes many groups."""
+    from motes.operators.grouped import in_groups
+
+    rng = random.Random(4)
+    rows = [("e" if p % 5 else None, p if p % 7 else None, f) for p in range(90) for f in range(rng.randrange(1, 9))]
+    rows += [("long", 1, f) for f in range(300)]
+    df = spark.createDataFrame(rows, "exp string, particle long, frame int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        def run(pdf, starts):
+            size = [b - a for a, b in zip(starts, [*starts[1:], len(pdf)])]
+            return pdf.iloc[starts][["exp", "particle"]].assign(n=size, groups=len(starts))
+
+        got = in_groups(df, ["exp", "particle"], "frame", run, "exp string, particle long, n long, groups long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r.exp, r.particle): r["count"] for r in df.groupBy("exp", "particle").count().collect()}
+    assert len(got) == len(want) and {(r.exp, r.particle): r.n for r in got} == want and max(r.groups for r in got) > 3
+
+
+def test_tracks_smoothed_side_by_side():
+    """The curves are those of each track alone, whatever lies beside it."""
+    import numpy as np
+
+    from motes.operators import smoothing
+
+    rng = np.random.default_rng(8)
+    size = [1, 2, 3, 5, 17, 40, 40]
+    y, known = np.zeros((40, 7)), np.zeros((40, 7), bool)
+    for j, n in enumerate(size):
+        known[:n, j] = rng.random(n) < 0.7
+        known[[0, n - 1], j] = True
+        y[:n, j] = np.where(known[:n, j], rng.normal(size=n).cumsum(), 0)
+    target = known.sum(0) * 0.05**2
+    target[6] = 1e9  # a straight line
+    got = smoothing.smoothed_each(y, target, known)
+    for j, n in enumerate(size):
+        assert got[:n, j] == pytest.approx(smoothing.smoothed_to(y[:n, j], target[j], known[:n, j])[0], abs=1e-8)
