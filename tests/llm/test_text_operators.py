@@ -348,6 +348,59 @@ def test_secret_sample_fills_from_all_documents(spark):
     assert (again[0] == x).all() and (again[1] == y).all()
 
 
+def test_secret_network_learns_from_all_windows(spark, monkeypatch):
+    rng = random.Random(74)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"{hexes(12)} and otherword{i:05} plainlongword of longer{hexes(9)}" + (f" token={hexes(24)}" if i % 100 == 0 else "")) for i in range(4000)]
+    every = secrets.unit_windows([t for _, t in rows])[1]
+    counts, visits, step = {}, {}, secrets.share_gradient
+
+    def fit(rows, n):
+        counts.update(n)
+        return last(rows, n)
+
+    def gradient(rows, model, weights):
+        for r in rows.collect():
+            visits[r.y, r.share] = visits.get((r.y, r.share), 0) + len(r.x) // (secrets.USED // 2)
+        return step(rows, model, weights)
+
+    last = secrets._fit
+    monkeypatch.setattr(secrets, "ROUNDS", 8)
+    monkeypatch.setattr(secrets, "_fit", fit)
+    monkeypatch.setattr(secrets, "share_gradient", gradient)
+    model = secrets.fit(docs(spark, rows).repartition(3))
+    # no window is left out: more than TRAIN_EACH of each kind of others, all trained on alike, or used for the calibration
+    for y in (0, 2):
+        n = {q: v for (s, q), v in counts.items() if s == y}
+        assert sum(n.values()) == (every == y).sum() > 1.2 * secrets.TRAIN_EACH * (y == 2) and 0.1 < n[secrets.SHARES] / sum(n.values()) < 0.3
+        times = {visits[y, q] / v for q, v in n.items() if q < secrets.SHARES}
+        assert len(times) == 1 and min(times) >= 1
+    found = {q: v for (s, q), v in counts.items() if s == 1}
+    assert all(visits[1, q] == 8 * v for q, v in found.items() if q < secrets.SHARES) and {secrets.SHARES, secrets.SHARES + 1} < set(found)
+    assert 0 < model["threshold"] < 1
+    again = secrets.fit(docs(spark, rows).repartition(3))
+    assert all((np.asarray(model[k]) == np.asarray(again[k])).all() for k in model)
+
+
+def test_secret_gradient():
+    rng = np.random.default_rng(75)
+    x = rng.integers(0, secrets.CLASSES, (600, 64)).astype(np.uint8)
+    assert (secrets.unpack(secrets.pack(x).tobytes()) == x[:, : secrets.USED]).all()
+    m = {"k": rng.normal(0, 0.3, (secrets.WIDTH * secrets.CLASSES, secrets.FILTERS)), "b": rng.normal(0, 0.3, secrets.FILTERS), "w": rng.normal(0, 0.3, 3 * secrets.FILTERS), "c": np.zeros(1)}
+    assert np.allclose(1 / (1 + np.exp(-secrets.outputs(m, x)[0])), secrets.scores(m | {"p1": 1.0, "p0": 0.0}, x), atol=1e-4)
+    for y, sign in ((1, 1), (0, -1)):
+        got, at = secrets.gradient(m, x, y), 0
+        loss = lambda m: (np.maximum(0, 1 - sign * secrets.outputs(m, x)[0]) ** 2).sum()  # noqa: E731,B023
+        for k, v in m.items():
+            for i in rng.integers(0, v.size, 6).tolist():
+                move = np.zeros(v.size)
+                move[i] = 1e-6
+                move = move.reshape(v.shape)
+                want = (loss(m | {k: v + move}) - loss(m | {k: v - move})) / 2e-6
+                assert got[at + i] == pytest.approx(want, rel=1e-3, abs=1e-3 * len(x)), (k, i)
+            at += v.size
+
+
 def test_pii(spark, hard, none):
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     t = "mail a.b@x-y.co.uk or 10.0.0.1 and 999.1.1.1 card 4539 5787 6362 1486 tel +1 (743) 555-3824 end"
