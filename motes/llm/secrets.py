@@ -326,8 +326,8 @@ def all_windows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["y", "share", "n", "own", "key", "x", "o"])
 
     made = docs.where("text is not null").select("text").mapInArrow(run, "y int, share int, n long, own long, key long, x binary, o binary")
-    # in order of shares and in pages of few rows, so that a round reads little but its own
-    return stash(made.sortWithinPartitions("share", "y"), "secret-windows", {"parquet.page.row.count.limit": 100})
+    # in order of strata and shares and in pages of few rows, so that a round reads little but its own
+    return stash(made.sortWithinPartitions("y", "share"), "secret-windows", {"parquet.page.row.count.limit": 100})
 
 
 def dealt(found: DataFrame) -> DataFrame:
