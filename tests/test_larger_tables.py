@@ -108,3 +108,58 @@ def test_tracks_smoothed_side_by_side():
     got = smoothing.smoothed_each(y, target, known)
     for j, n in enumerate(size):
         assert got[:n, j] == pytest.approx(smoothing.smoothed_to(y[:n, j], target[j], known[:n, j])[0], abs=1e-8)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_pair_moments_are_those_of_all_pairs(spark, block):
+    """However the particles fall into cells and blocks, and however many are alike; ends of a bin belong where floor(r / width) puts them."""
+    from motes.operators import spatial
+
+    rng = random.Random(6)
+    places = [(float(rng.randrange(-60, 60)), float(rng.randrange(0, 30)), rng.choice([0.0, 1.1, 2.7])) for _ in range(25)]
+    rows = [(f"e{f % 2}", f, p, p % 2, *rng.choice(places)) for f in range(3) for p in range(40)]
+    rows = [(*r[:6], math.cos(r[6]), math.sin(r[6])) for r in rows]
+    df = spark.createDataFrame([*rows, ("e0", 0, 99, 1, None, 1.0, 1.0, 0.0)], "exp string, frame int, particle long, kind int, x double, y double, ux double, uy double")
+    want: dict = {}
+    for a in rows:
+        for b in rows:
+            if a[1] == b[1] and a[2] < b[2]:
+                r = math.sqrt((a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2)
+                if r < 25:
+                    want.setdefault((a[0], a[3] == b[3], r // 5), []).append(a[6] * b[6] + a[7] * b[7])
+    got = spatial.merged_moments(spatial.pair_moments(df, ["exp"], 5.0, 25.0, block), ["exp", "same", "bin"]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        c = want[r.exp, r.same, r.bin]
+        mean = sum(c) / len(c)
+        assert r.n == len(c) and r.mean == pytest.approx(mean, abs=1e-12) and r.m2 == pytest.approx(sum((x - mean) ** 2 for x in c), abs=1e-9)
+
+
+def test_pairs_of_one_angle_have_no_spread(spark):
+    """The spread of values that are alike is 0, not what rounding of their squares leaves."""
+    from motes.operators import spatial
+
+    rng = random.Random(7)
+    df = spark.createDataFrame([("e", f, 0, rng.uniform(0, 90), rng.uniform(0, 90), math.cos(0.4) / 3, math.sin(0.4) / 3) for f in range(4) for _ in range(50)], "exp string, frame int, kind int, x double, y double, ux double, uy double")
+    got = spatial.pair_correlation_bins(df, 10.0, 100.0).collect()
+    assert got and all(r.mean == pytest.approx(1 / 9) and r.std < 1e-12 for r in got)
+
+
+def made_by_joins(plan):
+    """Rows that the joins of an executed plan have given."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return made_by_joins(plan.executedPlan())
+    if "QueryStage" in name:
+        return made_by_joins(plan.plan())
+    below = [made_by_joins(plan.children().apply(i)) for i in range(plan.children().size())]
+    return sum(below) + (plan.metrics().apply("numOutputRows").value() if "Join" in name else 0)
+
+
+def test_no_row_for_a_pair(spark):
+    """Sums over pairs come from blocks that meet: joins give no more rows than there are particles, about."""
+    from motes.plans.registry import QUERIES
+
+    df = QUERIES["g03_pair_bins"](spark, "/root/testdata/sf0.01")
+    df.collect()
+    assert 0 < made_by_joins(df._jdf.queryExecution().executedPlan()) < 16_000
