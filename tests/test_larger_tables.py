@@ -163,3 +163,18 @@ def test_no_row_for_a_pair(spark):
     df = QUERIES["g03_pair_bins"](spark, "/root/testdata/sf0.01")
     df.collect()
     assert 0 < made_by_joins(df._jdf.queryExecution().executedPlan()) < 16_000
+
+
+def test_few_rows_with_many_pairs_go_to_many_tasks(spark):
+    """The join of pairs has as many tasks as the session's shuffles, however few bytes its rows are."""
+    from motes.operators import spatial
+
+    df = spark.createDataFrame([("e", f, p, 0.0, 0.0) for f in range(40) for p in range(20)], "exp string, frame int, particle long, x double, y double")
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        for within in (None, 5.0):
+            tasks = spatial.pairs(df, [], within).groupBy(F.spark_partition_id()).count().collect()
+            assert len(tasks) > 7 and sum(r["count"] for r in tasks) == 40 * 190
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
